@@ -12,8 +12,10 @@ Layout of a store folder (Parquet, so commits are atomic per job and any Hadoop
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
+import re
 import zlib
 
 import numpy as np
@@ -25,7 +27,7 @@ from pyspark.sql.window import Window
 from .common import named, partitions, slices, table, text_bytes, work_dir
 
 #: Words whose ids one task keeps before it starts its cache anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 WINDOW, MASK, LEAST, MOST = 16, (1 << 8) - 1, 64, 2048
 
 
@@ -73,47 +75,101 @@ def cuts(ids: np.ndarray, window: int = WINDOW, mask: int = MASK, least: int = L
     return ends
 
 
+#: Words of these signs fall into pre-tokens by sight: runs of letters, single digits, runs of other signs.
+_PLAIN = re.compile(r"[a-zA-Z0-9!-&(-/:-@\[-`{-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+_PIECES = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
+
+
+def _byte_signs() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it can be printed."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(kept)]
+    return {b: chr(b) for b in kept} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class WordEncoder:
-    """Ids of a text by the tokenizers library, one library call for each word not seen lately.
+    """Ids of a text by the tokenizers library, asked once for each word not seen lately.
 
-    Splitting at ASCII white space is exact for tokenizers whose pre-tokens never hold white space, as the
-    constructor checks on the file's own pre-tokenizer; ``whole=True`` passes whole texts otherwise.
+    Splitting at ASCII white space is exact for tokenizers whose pre-tokens hold no white space. For plain
+    words (ASCII and Latin-1 letters, digits and signs but the apostrophe) the library's model is asked for
+    each pre-token, which skips its normaliser and splitter; other words go through all of it. Both short
+    cuts are tried on probes first and left out for a tokenizer whose own result differs.
     """
 
-    def __init__(self, path: str, whole: bool = False):
+    def __init__(self, path: str, limit: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.cache = Tokenizer.from_file(path), {}
-        probe = "a b\tc\nd 'll 12  x"
-        apart = [i for w in probe.split() for i in self._ids(w)]
-        self.whole = whole or apart != self._ids(probe)
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tok.encode(text, add_special_tokens=False).ids
+        self.tok, self.limit = Tokenizer.from_file(path), limit
+        self.cache: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.signs = _byte_signs()
+        probe = ["Ab\tc\nd 'll 12  x", "Élan! naïve,über ÿ9z9 ...?! 10.5% a_b-c (ÀÖß) x1y22 it's \xd7 don't"]
+        self.whole = any([i for w in p.encode().split() for i in self._ids(w)] != self._ids(p.encode()) for p in probe)
+        self.plain = True
+        try:
+            self.plain = all(self._plain(w) == self._packed(self._ids(w.encode())) for p in probe for w in p.split() if _PLAIN.fullmatch(w))
+        except Exception:  # a model that cannot be asked for single pre-tokens
+            self.plain = False
+
+    def _ids(self, word: bytes) -> list[int]:
+        return self.tok.encode(word.decode(), add_special_tokens=False).ids
+
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        return np.array(ids, "<u4").tobytes()
+
+    def _plain(self, word: str) -> bytes:
+        out, parts = [], self.parts
+        for p in _PIECES.findall(word.lower()):
+            got = parts.get(p)
+            if got is None:
+                signs = p if p.isascii() else p.encode().decode("latin-1").translate(self.signs)
+                got = parts[p] = self._packed([t.id for t in self.tok.model.tokenize(signs)])
+            out.append(got)
+        return b"".join(out)
+
+    def _learn(self, new: list[bytes]) -> None:
+        cache, rest = self.cache, []
+        for w in new:
+            word = w.decode()
+            if self.plain and _PLAIN.fullmatch(word) and "<|" not in word:
+                cache[w] = self._plain(word)
+            else:
+                rest.append((w, word))
+        for k in range(0, len(rest), 8192):
+            part = rest[k : k + 8192]
+            got = self.tok.encode_batch_fast([word for _, word in part], add_special_tokens=False)
+            cache.update((w, self._packed(e.ids)) for (w, _), e in zip(part, got))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if self.whole:
             got = self.tok.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
-            return [np.array(e.ids, "<u4").tobytes() for e in got]
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
+            return [self._packed(e.ids) for e in got]
+        if len(self.cache) > self.limit:
+            self.cache.clear()
+        if len(self.parts) > self.limit:
+            self.parts.clear()
         split = [t.split() for t in texts]
-        new = [w for w in set().union(*split) if w not in cache] if split else []
-        for k in range(0, len(new), 8192):
-            part = new[k : k + 8192]
-            got = self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, got))
-        return [b"".join(map(cache.__getitem__, words)) for words in split]
+        out = [list(map(self.cache.get, words)) for words in split]
+        missing = {w for words, ids in zip(split, out) if None in ids for w, x in zip(words, ids) if x is None}
+        self._learn(list(missing))
+        get = self.cache.__getitem__
+        return [b"".join(map(get, words) if None in ids else ids) for words, ids in zip(split, out)]
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker, kept for its next tasks."""
+    return WordEncoder(path)
 
 
 def _rows(tokenizer: str, end_id: int, id_col: str):
     """Map batches of (id, uid, _b) to chunk rows and recipe rows, which differ in ``kind``."""
 
     def run(batches):
-        enc, tail = WordEncoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        enc, tail = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for b in slices(batch, "_b"):
                 data = enc.encode([t or b"" for t in named(b, "_b").to_pylist()])

@@ -85,6 +85,19 @@ def test_token_store_round_trip(spark, docs):
     assert chunks.count() == chunks.select("hash").distinct().count()
 
 
+def test_word_encoder_equals_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, enc = Tokenizer.from_file(path), token_store.WordEncoder(path)
+    assert enc.plain and not enc.whole
+    r = np.random.default_rng(6)
+    signs = list("abzAZ'srtÉéßñÜ×÷ÿİſ019.,!?-_<|>#\u0301\u00a0\u2003\x1c٣中 \n\t  ") + ["<|endoftext|>", "the", "'ll", "ing"]
+    texts = ["".join(r.choice(signs, r.integers(0, 40))) for _ in range(4000)]
+    got = enc.encode([t.encode() for t in texts])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_token_store_finds_damage(spark, docs):
     folder = work_dir(spark, "store")
     token_store.write_store(docs, folder, public_tokenizers.path("word_bpe_49k.json"), 2)
