@@ -1,13 +1,365 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries over the driver's tables, and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from methylspark.functions import seq
+from methylspark.operators import bedgraph, calling, dedup, extract, genome, select
+from methylspark.plans import derive
+from methylspark.plans.derive import B_SQL, C_SQL, G_SQL, K_SQL, R_SQL, S_SQL
+
+FLAGSHIP = "/root/testdata/sf0.001"
+BOUNDS = {"OT": (4, 50, 3, 55), "OB": (0, 52, 6, 0), "CTOT": (2, 0, 2, 0), "CTOB": (0, 40, 0, 58)}
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, *ctes: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = (f"with {', '.join(ctes)} " if ctes else "") + sql
+        return f
+
+    return add
+
+
+RB, RG = (C_SQL, R_SQL, B_SQL), (C_SQL, R_SQL, B_SQL, G_SQL)
+BASE = "(select g.*, substr(c.seq, g.start + 1, 1) as base from g join c using (chrom) where context = 'CpG')"
+FLOAT = "trunc(1000::float * {m}::float / ({m} + {u})::float)::int"
+PERMILLE = FLOAT.format(m="n_meth", u="n_unmeth")
+
+
+@query(f"select chrom, length, (length(seq) - length(replace(seq, 'CG', '')))::bigint // 2 as n_cpg, md5(seq) as digest from c", C_SQL)
+def contig_stats(spark, d):
+    n = F.size(F.regexp_extract_all("seq", F.lit("CG"), F.lit(0))).cast("long")
+    return derive.contigs(spark, d).select("chrom", "length", n.alias("n_cpg"), F.md5("seq").alias("digest"))
+
+
+@query("select chrom, md5(translate(seq, 'Cc', 'TT')) as ct, md5(translate(seq, 'Gg', 'AA')) as ga, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) as rc from c", C_SQL)
+def convert(spark, d):
+    c = derive.contigs(spark, d)
+    return c.select("chrom", F.md5(seq.convert_ct("seq")).alias("ct"), F.md5(seq.convert_ga("seq")).alias("ga"), F.md5(seq.reverse_complement(F.col("seq"))).alias("rc"))
+
+
+@query("select read_id, strand, sum(q)::int as phred, md5(string_agg(chr(q + 33), '' order by i)) as qual from b group by all", *RB)
+def phred_sum(spark, d):
+    r = derive.reads(spark, d)
+    return r.select("read_id", "strand", seq.total_phred("qual").alias("phred"), F.md5(seq.encode_phred("qual")).alias("qual"))
+
+
+CIGARS = ["60M", "2S3M1I2M2D52M", "3H2S58M", "20M30N40M", "10=1X49M"]
+
+
+@query(f"""select read_id, string_agg(coalesce(p::varchar, '-'), ',' order by k, j) as positions, 1::int as one from (
+  select read_id, k, j, case when op in ('M', '=', 'X') then pos + coalesce(before, 0) + j end as p from (
+    select read_id, pos, k, n, op, sum(case when op in ('M', '=', 'X', 'D', 'N') then n else 0 end) over (partition by read_id order by k rows between unbounded preceding and 1 preceding) as before from (
+      select read_id, pos, k, ns[k]::int as n, ops[k] as op from (
+        select read_id, pos, regexp_extract_all(cg, '([0-9]+)([MIDNSHP=X])', 1) as ns, regexp_extract_all(cg, '([0-9]+)([MIDNSHP=X])', 2) as ops from (select read_id, pos, {CIGARS}[1 + read_id % 5] as cg from r)), unnest(range(1, len(ns) + 1)) t(k))), unnest(range(n)) u(j) where op not in ('D', 'N', 'H', 'P')) group by read_id""", C_SQL, R_SQL)
+def cigar_positions(spark, d):
+    r = derive.reads(spark, d)
+    cigar = F.element_at(F.array(*[F.lit(c) for c in CIGARS]), (F.col("read_id") % 5 + 1).cast("int"))
+    p = seq.cigar_positions(F.col("cg"), F.col("pos"))
+    return r.select("read_id", "pos", cigar.alias("cg")).select("read_id", F.array_join(p.cast("array<string>"), ",", "-").alias("positions"), F.lit(1).alias("one"))
+
+
+@query("select read_id, case when xg = 'CT' then substr('NN' || seq || 'NN', pos + 3, 3) else substr('NN' || seq || 'NN', pos + 1, 3) end as context from r", C_SQL, R_SQL)
+def genomic_context(spark, d):
+    r = genome.with_reference(derive.reads(spark, d), derive.contigs(spark, d))
+    return r.select("read_id", F.when(F.col("xg") == "CT", F.substring("ref", 3, 3)).otherwise(F.substring("ref", 1, 3)).alias("context"))
+
+
+@query("select read_id, string_agg(call, '' order by i) as xm from b group by read_id", *RB)
+def call_xm(spark, d):
+    return derive.called(spark, d).select("read_id", "xm")
+
+
+@query("""select read_id, string_agg(case when good then '' else case when run > 0 or i = 0 then run::varchar else '' end || g end, '' order by i) || case when max(tail) > 0 then max(tail)::varchar else '' end as xx, count(*) filter (not good)::int as nm from (
+  select *, (i - 1 - coalesce(max(case when not good then i end) over (partition by read_id order by i rows between unbounded preceding and 1 preceding), -1))::int as run,
+    59 - coalesce(max(case when not good then i end) over (partition by read_id), -1) as tail
+  from (select read_id, i, g, call <> '.' or base = g as good from b)) group by read_id""", *RB)
+def call_xx_nm(spark, d):
+    return derive.called(spark, d).select("read_id", calling.call_xx().alias("x")).select("read_id", "x.xx", "x.nm")
+
+
+@query(" select " + ", ".join(f"count(*) filter (call = '{c.upper()}') as m_{k}, count(*) filter (lower(call) = '{c}') as t_{k}" for k, c in (("cpg", "z"), ("chg", "x"), ("chh", "h"))) + " from b", *RB)
+def context_totals(spark, d):
+    return calling.context_totals(derive.called(spark, d))
+
+
+def _sites(spark, d):
+    return extract.site_counts(extract.calls(extract.keep(derive.called(spark, d))))
+
+
+@query(f"select context, chrom, start, start + 1 as \"end\", {PERMILLE} as permille, n_meth, n_unmeth from g", *RG)
+def site_counts(spark, d):
+    return extract.bedgraph(_sites(spark, d))
+
+
+_IN = " and ".join(f"(strand <> '{s}' or second_mate <> {m} or (i >= {lo} and ({hi} = 0 or i < {hi})))" for s, (a, b, c, e) in BOUNDS.items() for m, lo, hi in (("false", a, b), ("true", c, e)))
+
+
+@query(f"select chrom, site as start, count(*) filter (call = 'Z') as n_meth, count(*) filter (call = 'z') as n_unmeth from b where lower(call) = 'z' and q >= 20 and mapq >= 20 and {_IN} group by all", *RB)
+def site_counts_bounds(spark, d):
+    aln = extract.keep(derive.called(spark, d), 20, drop_duplicates=False)
+    return extract.site_counts(extract.calls(aln, 20, ("CpG",), BOUNDS)).drop("context")
+
+
+@query("select strand, case when second_mate then 2 else 1 end as read, i + 1 as position, count(*) filter (call = 'Z') as n_meth, count(*) filter (call = 'z') as n_unmeth from b where lower(call) = 'z' and q >= 5 and mapq >= 10 group by all", *RB)
+def mbias_matrix(spark, d):
+    aln = extract.keep(derive.called(spark, d), 10, drop_duplicates=False)
+    return extract.mbias(extract.calls(aln, contexts=("CpG",), columns=("read_id", "strand", "second_mate")))
+
+
+Z = 3.2905267314919255
+_M = "m as (select strand, case when second_mate then 2 else 1 end as read, i + 1 as position, count(*) filter (call = 'Z')::double as a, count(*) filter (call = 'z')::double as u from b where lower(call) = 'z' and q >= 5 and mapq >= 10 group by all)"
+_I = f"i as (select strand, read, position, a / (a + u) as meth, mid - {Z} * sqrt(mid * (1 - mid) / n) as lower, mid + {Z} * sqrt(mid * (1 - mid) / n) as upper from (select *, a + u + {Z * Z} as n, (a + {Z * Z / 2}) / (a + u + {Z * Z}) as mid from m))"
+
+
+@query("select strand, read, position, round(meth, 6) as meth, round(lower, 6) as lower, round(upper, 6) as upper from i", *RB, _M, _I)
+def mbias_ci(spark, d):
+    i = extract.mbias_intervals(mbias_matrix(spark, d))
+    return i.select("strand", "read", "position", *[F.round(c, 6).alias(c) for c in ("meth", "lower", "upper")])
+
+
+@query("""select strand, read, coalesce(max(case when bad and position < half then position end) + 1, 0)::int as five, coalesce(min(case when bad and position >= half then position end) - 1, 0)::int as three from (
+  select *, ((upper < mean and meth < lo) or (lower > mean and meth > hi)) and abs(meth - mean) > 0.01 as bad from (
+    select *, avg(case when mid then meth end) over w as mean, min(case when mid then lower end) over w as lo, max(case when mid then upper end) over w as hi, floor(last * 0.5) as half from (
+      select *, position >= floor(last * 0.2) and position <= ceil(last * 0.8) as mid from (select *, max(position) over (partition by strand, read) as last from i)) window w as (partition by strand, read))) group by all""", *RB, _M, _I)
+def mbias_cutoffs(spark, d):
+    return extract.mbias_cutoffs(extract.mbias_intervals(mbias_matrix(spark, d))).select("strand", "read", F.col("five").cast("int").alias("five"), F.col("three").cast("int").alias("three"))
+
+
+def _pairs(spark, d):
+    """Mate 1 is a derived read, mate 2 begins up to 79 bases later."""
+    r = derive.called(spark, d)
+    return r.withColumns({"pos2": F.least(F.col("pos") + F.col("read_id") % 80, F.lit(1 << 30)).cast("int"), "mapq2": (F.col("mapq") * 7 % 43).cast("int")})
+
+
+@query("select read_id, case when mapq >= 10 and mapq * 7 % 43 >= 10 then case when pos + 60 >= pos + read_id % 80 then 'overlap' else 'apart' end when mapq >= 10 then 'first' when mapq * 7 % 43 >= 10 then 'second' else 'none' end as pair_class from r", C_SQL, R_SQL)
+def pair_routing(spark, d):
+    p = _pairs(spark, d)
+    p = p.select("read_id", F.col("chrom").alias("chrom1"), F.col("chrom").alias("chrom2"), F.col("xg").alias("xg1"), F.col("xg").alias("xg2"), F.col("mapq").alias("mapq1"), "mapq2", F.col("pos").alias("pos1"), "pos2", (F.col("pos") + 60).alias("end1"), (F.col("pos2") + 60).alias("end2"))
+    return extract.route_pairs(p).select("read_id", "pair_class")
+
+
+@query("""select read_id as pair_id, chrom, site, case when c2 is null then case when q >= 5 then call end when call = c2 then case when greatest(q, q2) * 1.2 >= 5 then call end when abs(q - q2) >= 5 then case when q > q2 then call else c2 end end as call
+  from (select *, case when i >= read_id % 80 then case when (read_id * 3 + site * 7) % 10 < 6 or call = '.' then call else case when call = upper(call) then lower(call) else upper(call) end end end as c2, (read_id * 3 + i * 7) % 40 as q2 from b)
+  where case when c2 is null then case when q >= 5 then call end when call = c2 then case when greatest(q, q2) * 1.2 >= 5 then call end when abs(q - q2) >= 5 then case when q > q2 then call else c2 end end not in ('.')""", *RB)
+def overlap_resolved(spark, d):
+    """Mate 2 covers the read from base read_id % 80 on, with calls flipped at some sites."""
+    marks = F.zip_with(seq.letters("xm"), F.col("qual"), lambda c, q: F.struct(c.alias("call"), q.alias("q")))
+    items = F.zip_with(seq.cigar_positions(F.col("cigar"), F.col("pos")), marks, lambda p, x: F.struct(p.alias("site"), x["call"].alias("call"), x["q"].alias("q")))
+    items = F.transform(items, lambda s, i: F.struct(s["site"].alias("site"), i.alias("i"), s["call"].alias("call"), s["q"].alias("q")))
+    e = derive.called(spark, d).select("read_id", "chrom", F.explode(items).alias("s")).select(F.col("read_id").alias("pair_id"), "chrom", "s.*")
+    flip = F.when(F.col("call") == F.upper("call"), F.lower("call")).otherwise(F.upper("call"))
+    same = ((F.col("pair_id") * 3 + F.col("site") * 7) % 10 < 6) | (F.col("call") == ".")
+    two = e.filter(F.col("i") >= F.col("pair_id") % 80).select("pair_id", "chrom", "site", F.lit(2).alias("mate"), F.when(same, F.col("call")).otherwise(flip).alias("call"), ((F.col("pair_id") * 3 + F.col("i") * 7) % 40).cast("int").alias("q"))
+    one = e.select("pair_id", "chrom", "site", F.lit(1).alias("mate"), "call", "q")
+    return extract.resolve_overlaps(one.unionByName(two))
+
+
+@query("""select read_id, case when exists_site and xg = 'GA' then substr(xm, 1, 2) || '.' || substr(xm, 4) when exists_site then substr(xm, 1, 57) || '.' || substr(xm, 59) else xm end as xm from (
+  select read_id, xg, read_id % 3 = 0 as exists_site, string_agg(call, '' order by i) as xm from b group by all)""", *RB)
+def rrbs_trim(spark, d):
+    return derive.called(spark, d).select("read_id", extract.rrbs_trim(F.col("xm"), F.col("xg"), F.col("read_id") % 3 == 0).alias("xm"))
+
+
+def _dup_reads(spark, d):
+    r = derive.called(spark, d).filter("pos is not null")
+    m, u = dedup.call_maps(F.col("xm"), F.col("qual"), words=1)
+    key = F.concat_ws(":", "chrom", (F.floor(F.col("pos") / 400)).cast("string"))
+    r = r.select("read_id", key.alias("key"), m.alias("meth"), u.alias("unmeth"), F.col("mapq").alias("phred"))
+    return r.withColumn("calls", F.bit_count(F.col("meth")[0]) + F.bit_count(F.col("unmeth")[0]))
+
+
+_DUP = "u as (select read_id, chrom || ':' || (pos // 400) as key, mapq as phred, bit_or(case when q >= 5 and call in ('Z', 'X', 'H') then (1::bigint << i) else 0 end) as m, bit_or(case when q >= 5 and call in ('z', 'x', 'h') then (1::bigint << i) else 0 end) as u, count(*) filter (q >= 5 and call <> '.') as calls from b group by all)"
+
+
+@query("select key, count(*) as reads, max(calls)::int as most from u group by key", *RB, _DUP)
+def dup_keys(spark, d):
+    return _dup_reads(spark, d).groupBy("key").agg(F.count("*").alias("reads"), F.max("calls").alias("most"))
+
+
+def dup_greedy(spark, d):
+    return dedup.mark_duplicates(_dup_reads(spark, d), ["key"])
+
+
+QUERIES["dup_greedy"] = dup_greedy
+SQL["dup_greedy"] = "with recursive " + ", ".join((*RB, _DUP)) + """,
+  n as materialized (select *, row_number() over (partition by key order by calls desc, phred desc, read_id) as k from u),
+  w as (select key, k, [{'m': m, 'u': u}] as kept, false as dup, read_id from n where k = 1
+    union all select n.key, n.k, case when list_bool_or(list_transform(w.kept, lambda x: bit_count(xor(x.m, n.m) & xor(x.u, n.u)) = 0)) then w.kept else list_append(w.kept, {'m': n.m, 'u': n.u}) end,
+      list_bool_or(list_transform(w.kept, lambda x: bit_count(xor(x.m, n.m) & xor(x.u, n.u)) = 0)), n.read_id from w join n on n.key = w.key and n.k = w.k + 1)
+  select read_id, dup as duplicate from w"""
+
+
+def dup_flags(spark, d):
+    aln = derive.reads(spark, d).select("read_id", "flag")
+    return dedup.flag_duplicates(aln, dup_greedy(spark, d))
+
+
+QUERIES["dup_flags"] = dup_flags
+SQL["dup_flags"] = SQL["dup_greedy"].replace("select read_id, dup as duplicate from w", "select w.read_id, (r.flag | case when dup then 1024 else 0 end)::int as flag from w join r using (read_id)")
+
+
+_X = "x as (select *, case when flag & 4 = 0 then as_score end as s from k where mate = 1)"
+_W = f"""w as (select read_id, n = 1 and top is not null as won, st, top as s, greatest(coalesce(xs, -1073741824), coalesce(second, -1073741824)) as xs, score_min as least, mapq as q from (
+  select read_id, arg_max(src_strand, coalesce(s, -1073741824)::bigint * 10 - src_strand) as st, max(s) as top, count(*) filter (s = mx) as n, arg_max(xs_score, coalesce(s, -1073741824)::bigint * 10 - src_strand) as xs,
+    arg_max(score_min, coalesce(s, -1073741824)::bigint * 10 - src_strand) as score_min, arg_max(mapq, coalesce(s, -1073741824)::bigint * 10 - src_strand) as mapq, max(case when s < mx then s end) as second
+  from (select *, max(s) over (partition by read_id) as mx from x) group by read_id))"""
+
+
+def _best(mode):
+    q = seq.mapq_sql("s", "xs", "least", mode, lambda v: f"{v}::float::double")
+    return f"select read_id, case when won then st end as src_strand, case when won then s end as as_score, case when won and xs >= least then xs end as xs_score, case when won then least({q}, q) else 0 end as mapq from w"
+
+
+@query(_best("end"), K_SQL, _X, _W)
+def best_strand_se(spark, d):
+    return select.best_single(derive.candidates(spark, d).filter("mate = 1"))
+
+
+@query(_best("local"), K_SQL, _X, _W)
+def best_strand_local(spark, d):
+    return select.best_single(derive.candidates(spark, d).filter("mate = 1"), "local")
+
+
+@query("""select read_id, low as tier, case when low < 3 then case when n = 1 then ps end when na = 1 then xs end as strand1, case when low < 3 then case when n = 1 then ps end when nb = 1 then ys end as strand2 from (
+  select read_id, min(low) as low, count(*) filter (tier = low and low < 3 and sm = m) as n, count(*) filter (a = ma) as na, count(*) filter (b = mb) as nb,
+    min(case when tier = low and sm = m then src_strand end) as ps, min(case when a = ma then src_strand end) as xs, min(case when b = mb then src_strand end) as ys from (
+    select *, max(case when tier = low and low < 3 then sm end) over (partition by read_id) as m, max(a) over (partition by read_id) as ma, max(b) over (partition by read_id) as mb from (
+      select *, min(tier) over (partition by read_id) as low from (
+        select *, a + b as sm, case when a is not null and b is not null and p = 2 then 1 when a is not null and b is not null then 2 else 3 end as tier from (
+          select read_id, src_strand, max(case when mate = 1 and flag & 4 = 0 then as_score end) as a, max(case when mate = 2 and flag & 4 = 0 then as_score end) as b, max(case when flag & 4 = 0 then flag & 2 end) as p from k group by all)))) group by read_id)""", K_SQL)
+def best_strand_pe(spark, d):
+    return select.best_paired(derive.candidates(spark, d))
+
+
+@query("select read_id, mate, src_strand, flag, as_score, ((as_score)) as first_score from (select *, row_number() over (partition by read_id, mate, src_strand) as n from k) where n = 1", K_SQL)
+def multimapper_first(spark, d):
+    return select.first_alignment(derive.candidates(spark, d)).select("read_id", "mate", "src_strand", "flag", "as_score", F.col("as_score").alias("first_score"))
+
+
+@query("select count(*) as reads, " + ", ".join(f"count(*) filter (won and st = {k}) as strand{k}" for k in range(4)) + ", count(*) filter (not won or won is null) as unmapped, printf('%6.2f%%', 100.0 * count(*) filter (won) / count(*)) as mapped_percent from w", K_SQL, _X, _W)
+def align_metrics(spark, d):
+    return select.metrics(best_strand_se(spark, d))
+
+
+@query("select o_orderkey as read_id, trunc((-0.6::float + -0.6::float * n::float)::float)::int as linear, trunc((20::float + 8::float * ln(n)::float)::float)::int as logarithm, trunc((1::float + 2::float * sqrt(n)::float)::float)::int as root from (select o_orderkey, (20 + o_custkey % 200)::double as n from orders)")
+def score_min(spark, d):
+    o = derive.table(spark, d, "orders").select(F.col("o_orderkey").alias("read_id"), (20 + F.col("o_custkey") % 200).alias("n"))
+    n = F.col("n")
+    return o.select("read_id", seq.score_min(n).alias("linear"), seq.score_min(n, "G", 20.0, 8.0).alias("logarithm"), seq.score_min(n, "S", 1.0, 2.0).alias("root"))
+
+
+@query("select strand, second_mate, count(*) as reads from r group by all", C_SQL, R_SQL)
+def strand_label(spark, d):
+    return derive.reads(spark, d).groupBy("strand", "second_mate").agg(F.count("*").alias("reads"))
+
+
+def _cpg(spark, d):
+    return _sites(spark, d).filter("context = 'CpG'").drop("context")
+
+
+@query(f"select chrom, start, start + 2 as \"end\", {PERMILLE} as permille, n_meth, n_unmeth from (select chrom, case when base = 'C' then start else start - 1 end as start, sum(n_meth)::bigint as n_meth, sum(n_unmeth)::bigint as n_unmeth from {BASE} group by all)", *RG)
+def merge_cpgs(spark, d):
+    return bedgraph.merge_cpgs(_cpg(spark, d), derive.contigs(spark, d))
+
+
+@query("select chrom, start, n_meth, n_unmeth, round(1000.0::double * n_meth / (n_meth + n_unmeth))::int as permille from (select chrom, start, sum(n_meth)::bigint as n_meth, sum(n_unmeth)::bigint as n_unmeth from s group by all)", S_SQL)
+def merge_replicates(spark, d):
+    return bedgraph.merge_replicates(derive.samples(spark, d))
+
+
+@query(f"""select b.bin::int as bin, count(cov) as n from range(252) b(bin) left join (
+  select least(coalesce(cov, 0), 251) as cov from (select chrom, p - 1 as start from c, unnest(range(1, length(seq))) t(p) where substr(seq, p::int, 2) = 'CG') left join
+  (select chrom, case when base = 'C' then start else start - 1 end as start, sum(n_meth + n_unmeth) as cov from {BASE} group by all) using (chrom, start)) on cov = b.bin group by b.bin""", *RG)
+def cpg_coverage_hist(spark, d):
+    return bedgraph.coverage_histogram(_cpg(spark, d), derive.contigs(spark, d))
+
+
+NAMES = ["FN", "OF", "ON", "FR", "FA", "OA", "OR"]
+
+
+def _matrix(v):
+    return "select chrom, start, " + ", ".join(f"coalesce(sum(case when sample = '{n}' then {v} end), 0)::bigint as \"{n}\"" for n in NAMES) + " from s group by all"
+
+
+@query(_matrix("n_meth"), S_SQL)
+def bsseq_m(spark, d):
+    return bedgraph.matrix(derive.samples(spark, d), NAMES, F.col("n_meth"))
+
+
+@query(_matrix("n_meth + n_unmeth"), S_SQL)
+def bsseq_cov(spark, d):
+    return bedgraph.matrix(derive.samples(spark, d), NAMES, F.col("n_meth") + F.col("n_unmeth"))
+
+
+@query(f"select chrom || '.' || (start + 1) as \"chrBase\", chrom as chr, start + 1 as base, case when base = 'C' then 'F' else 'R' end as strand, n_meth + n_unmeth as coverage, printf('%5.2f', (100::float * n_meth::float / (n_meth + n_unmeth)::float)::double) as \"freqC\", printf('%5.2f', (100::float * n_unmeth::float / (n_meth + n_unmeth)::float)::double) as \"freqT\" from {BASE}", *RG)
+def methylkit(spark, d):
+    return bedgraph.methylkit(_cpg(spark, d), derive.contigs(spark, d))
+
+
+_P, _N = "base = 'C'", "base <> 'C'"
+
+
+@query(f"""select chrom, start, start + 2 as "end", printf('%4.2f', "methC" / "totalC") as ratio, "totalC", "methC", case when p > 0 and m > 0 then 'B' when p > 0 then '+' else '-' end as strand, "plusTotal", "plusMeth", "minusTotal", "minusMeth" from (
+  select chrom, case when base = 'C' then start else start - 1 end as start, sum(n_meth + n_unmeth)::bigint as "totalC", sum(n_meth)::bigint as "methC", coalesce(sum(n_meth + n_unmeth) filter ({_P}), 0)::bigint as "plusTotal", coalesce(sum(n_meth) filter ({_P}), 0)::bigint as "plusMeth",
+    coalesce(sum(n_meth + n_unmeth) filter ({_N}), 0)::bigint as "minusTotal", coalesce(sum(n_meth) filter ({_N}), 0)::bigint as "minusMeth", count(*) filter ({_P}) as p, count(*) filter ({_N}) as m from {BASE} group by all)""", *RG)
+def moabs(spark, d):
+    return bedgraph.moabs(_cpg(spark, d), derive.contigs(spark, d))
+
+
+@query(f"select chrom, start + 1 as position, sum(n_meth + n_unmeth)::bigint as coverage, sum(n_meth)::bigint as n_meth from (select * replace (case when base = 'C' then start else start - 1 end as start) from {BASE}) group by all", *RG)
+def methylseekr(spark, d):
+    return bedgraph.methylseekr(merge_cpgs(spark, d))
+
+
+@query("select chrom as chr, start + 1 as pos, n_meth as meth, n_unmeth as unmeth from g where context = 'CpG'", *RG)
+def beat(spark, d):
+    return bedgraph.beat(_cpg(spark, d))
+
+
+@query("select chrom, start, n_meth, n_unmeth from s where chrom = 'chr3' and sample = 'FN'", S_SQL)
+def chrom_filter(spark, d):
+    return derive.samples(spark, d).filter("chrom = 'chr3' and sample = 'FN'").drop("sample")
+
+
+@query("select chrom, row_number() over (order by chrom, pos, read_id) as n, pos, read_id from r", C_SQL, R_SQL)
+def coordinate_sort(spark, d):
+    """Row numbers of the sorted reads: numbers within each contig, plus the reads of contigs before."""
+    from pyspark.sql.window import Window
+
+    r = derive.reads(spark, d).select("chrom", "pos", "read_id")
+    before = Window.orderBy("chrom").rowsBetween(Window.unboundedPreceding, -1)  # one row a contig
+    sizes = r.groupBy("chrom").agg(F.count("*").alias("c")).select("chrom", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("b"))
+    own = F.row_number().over(Window.partitionBy("chrom").orderBy("pos", "read_id"))
+    return r.withColumn("own", own).join(sizes, "chrom").select("chrom", (F.col("own") + F.col("b")).alias("n"), "pos", "read_id")
+
+
+_CUT = "regexp_split_to_array(replace(replace(seq, 'CCGG', 'C CGG'), 'TCGA', 'T CGA'), ' ')"
+
+
+@query(f"select chrom, (k - 1)::int as k, md5(f[k]) as fragment, length(f[k])::int as size from (select chrom, {_CUT} as f from c), unnest(range(1, len(f) + 1)) t(k)", C_SQL)
+def digest_fragments(spark, d):
+    return genome.digest(derive.contigs(spark, d)).select("chrom", "k", F.md5("fragment").alias("fragment"), F.length("fragment").alias("size"))
+
+
+@query(f"select chrom, md5(array_to_string(list_transform(f, lambda x: case when length(x) - 40 > 39 then substr(x, 1, 39) || repeat('N', length(x) - 78) || substr(x, length(x) - 38) else x end), '')) as seq from (select chrom, {_CUT} as f from c)", C_SQL)
+def reduced_genome(spark, d):
+    return genome.reduced_genome(derive.contigs(spark, d)).select("chrom", F.md5("seq").alias("seq"))
 
 
 def entry(spark):
-    return spark.range(1)
+    """CpG site counts of the smallest tables."""
+    return site_counts(spark, FLAGSHIP).filter("context = 'CpG'")
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
