@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -83,6 +84,14 @@ class Model:
         return -math.expm1(clean)
 
 
+def _bag(text: str):
+    """Features of each sentence."""
+    for s in _SENTENCE.split(text.lower()):
+        words = set(_WORD.findall(s))
+        if words:
+            yield {f for w in words for f in features(w)}
+
+
 def fit(rows: list[tuple[str, int]], rounds: int = 300, rate: float = 0.5, sparse: float = 2e-3) -> Model:
     """Weights from (text, 0 or 1) rows: gradient steps on the noisy-or likelihood, weights kept positive.
 
@@ -92,31 +101,29 @@ def fit(rows: list[tuple[str, int]], rounds: int = 300, rate: float = 0.5, spars
     y = np.array([r[1] for r in rows], np.float64)
     if not len(y) or not 0 < y.sum() < len(y):
         return Model({})
-    bags = []
-    seen, toxic = Counter(), Counter()
+    # texts are gone through again for each step: only counts and indices of known features are held
+    toxic = Counter(f for text, label in rows if label for f in set().union(*_bag(text)))
+    toxic = {f: n for f, n in toxic.items() if n >= LEAST_DOCS}
+    seen = Counter(toxic)
     for text, label in rows:
-        bag = [set(f for w in set(_WORD.findall(s)) for f in features(w)) for s in _SENTENCE.split(text.lower())]
-        bag = [b for b in bag if b]
-        bags.append(bag)
-        have = set().union(*bag) if bag else set()
-        seen.update(have)
-        if label:
-            toxic.update(have)
-    share = y.mean()
-    # features that are no likelier in toxic rows cannot have a positive weight for long
-    vocab = [f for f, n in seen.items() if toxic[f] >= LEAST_DOCS and toxic[f] > 2 * share * n]
-    index = {f: k for k, f in enumerate(vocab)}
+        if not label:
+            seen.update(toxic.keys() & set().union(*_bag(text)))
+    # features that are hardly likelier in toxic rows cannot keep a positive weight; rates are by class, so
+    # the balance of the sample does not matter
+    odds = y.sum() / (len(y) - y.sum())
+    vocab = [f for f in toxic if toxic[f] > 2 * odds * (seen[f] - toxic[f])]
     if not vocab:
         return Model({})
-    sent, feat, owner = [], [], []
-    for d, bag in enumerate(bags):
-        for b in bag:
+    index = {f: k for k, f in enumerate(vocab)}
+    sent, feat, owner = array("i"), array("i"), array("i")
+    for d, (text, _) in enumerate(rows):
+        for b in _bag(text):
             known = [index[f] for f in b if f in index]
             if known:
-                sent += [len(owner)] * len(known)
-                feat += known
+                sent.extend([len(owner)] * len(known))
+                feat.extend(known)
                 owner.append(d)
-    sent, feat, owner = np.array(sent), np.array(feat), np.array(owner)
+    sent, feat, owner = (np.frombuffer(x, np.int32) for x in (sent, feat, owner))
     rank = np.log((np.array([toxic[f] for f in vocab]) + 0.5) / (np.array([seen[f] - toxic[f] for f in vocab]) + 0.5))
     w = np.clip(rank, 0, None) * 0.6
     g2 = np.full(len(vocab), 1e-8)

@@ -262,5 +262,7 @@ def test_toxicity_learns_from_document_labels(spark):
     assert spots and all("slur" in x.sentence for x in spots)
     texts = dict(rows)
     assert all(texts[x.doc_id][x.start : x.end] == x.sentence for x in spots)
+    even = toxicity.fit([(t, 1) for t, (_, y) in zip((x for _, x in rows), labels) if y] + [(prose(k, 60), 0) for k in range(129)])
+    assert even.document("fine. a slury here.") >= 0.5 > even.document(prose(3, 500))
     none = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score(docs, none).filter("predicted = 1").count() == 0
