@@ -29,6 +29,14 @@ def in_bounds(index, strand, second_mate, bounds: dict[str, tuple[int, int, int,
     return ok
 
 
+def parse_bounds(text: str) -> tuple[int, int, int, int]:
+    """Bounds written as "A,B,C,D"."""
+    a, b, c, d = (int(x) for x in text.split(","))
+    if min(a, b, c, d) < 0:
+        raise ValueError("bounds cannot be negative")
+    return a, b, c, d
+
+
 def calls(aln: DataFrame, min_phred: int = 5, contexts: tuple[str, ...] = ("CpG", "CHG", "CHH"), bounds: dict | None = None, columns: tuple[str, ...] = ("read_id",)) -> DataFrame:
     """One row for each call of good quality: columns, chrom, pos, index, strand sign, context, methylated.
 

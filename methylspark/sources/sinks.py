@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from methylspark.functions.seq import encode_phred, has_flag, reverse_complement
+from methylspark.functions.seq import encode_phred, has_flag, reference_span, reverse_complement
 
 
 def write_bedgraph(sites: DataFrame, path: str) -> None:
@@ -52,3 +52,59 @@ def fastq_records(aln: DataFrame) -> DataFrame:
 
 def write_unmapped(aln: DataFrame, path: str) -> None:
     fastq_records(aln).write.option("compression", "gzip").text(path)
+
+
+#: Column, tag and type of each tag that is written.
+TAGS = [("as_score", "AS", "i"), ("xs_score", "XS", "i"), ("nm", "NM", "i"), ("xm", "XM", "Z"), ("xx", "XX", "Z"), ("xr", "XR", "Z"), ("xg", "XG", "Z")]
+
+
+def sam_lines(aln: DataFrame) -> DataFrame:
+    """SAM text of alignments: positions from 1, without tags that are null."""
+    qual = F.when(F.size("qual") > 0, encode_phred(F.col("qual"))).otherwise("*")
+    before, after = ["qname", "flag", "chrom", "pos", "mapq", "cigar"], ["mate_chrom", "mate_pos", "tlen", "seq"]
+    fields = [F.col(c) + 1 if c in ("pos", "mate_pos") else F.col(c) for c in before + after]
+    tags = [F.concat(F.lit(f"{t}:{k}:"), F.col(c).cast("string")) for c, t, k in TAGS if c in aln.columns]
+    return aln.select(F.concat_ws("\t", *[f.cast("string") for f in fields], qual, *tags).alias("value"))
+
+
+def write_sam(aln: DataFrame, contigs: DataFrame, path: str, program: str = "methylspark", by_position: bool = False) -> None:
+    """Header lines in ``path``/header, alignments in ``path``/records: one after the other they are a SAM text.
+
+    ``by_position`` sorts by contig order, position, end and mate, unplaced reads last.
+    """
+    order = "coordinate" if by_position else "unsorted"
+    ends = contigs.sparkSession.createDataFrame([(0, 0, f"@HD\tVN:1.6\tSO:{order}"), (2, 0, f"@PG\tID:{program}\tPN:{program}")], "k int, ord int, value string")
+    sq = F.concat(F.lit("@SQ\tSN:"), "chrom", F.lit("\tLN:"), F.col("length").cast("string"))
+    head = contigs.select(F.lit(1).alias("k"), F.col("ord").cast("int").alias("ord"), sq.alias("value")).unionByName(ends)
+    head.orderBy("k", "ord").select("value").write.text(f"{path}/header")
+    if by_position:
+        placed = aln.join(contigs.select("chrom", F.col("ord").alias("_ord")), "chrom", "left")
+        aln = placed.orderBy(F.asc_nulls_last("_ord"), "pos", F.col("pos") + reference_span(F.col("cigar")), has_flag(F.col("flag"), 128))
+    sam_lines(aln).write.text(f"{path}/records")
+
+
+def write_fasta(contigs: DataFrame, path: str, width: int = 60) -> None:
+    """A record for each contig, in lines of ``width`` bases; in order of ``ord`` where it is given."""
+    rows = contigs.orderBy("ord") if "ord" in contigs.columns else contigs
+    body = F.regexp_replace("seq", f"(.{{{width}}})(?=.)", "$1\n")
+    rows.select(F.concat(F.lit(">"), "chrom", F.lit("\n"), body).alias("value")).write.text(path)
+
+
+def report_lines(chosen: DataFrame, totals: DataFrame) -> DataFrame:
+    """n, value: the run's report from the one row of ``metrics`` and the one row of ``context_totals``.
+
+    Shares of nothing are written as nan.
+    """
+
+    def lines(df, first, named_counts):
+        share = lambda a, b: F.when(F.col(b) > 0, F.format_string("%6.2f%%", F.lit(100.0) * F.col(a) / F.nullif(F.col(b), F.lit(0)))).otherwise("nan")
+        rows = [F.struct(F.lit(first + k).alias("n"), F.concat(F.lit(f"{label}\t"), F.col(a).cast("string"), F.lit("\t"), share(a, b)).alias("value")) for k, (label, a, b) in enumerate(named_counts)]
+        return df.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+    strands = [(name, f"strand{k}", "reads") for k, name in enumerate(("OT", "OB", "CTOT", "CTOB"))]
+    contexts = [(f"methylated {c}", f"m_{c.lower()}", f"t_{c.lower()}") for c in ("CpG", "CHG", "CHH")]
+    return lines(chosen, 0, [("reads", "reads", "reads"), *strands, ("unmapped", "unmapped", "reads")]).unionByName(lines(totals, 100, contexts))
+
+
+def write_report(chosen: DataFrame, totals: DataFrame, path: str) -> None:
+    report_lines(chosen, totals).orderBy("n").select("value").write.text(path)

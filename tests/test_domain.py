@@ -1,12 +1,16 @@
 """Hand-made fixtures for the domain operators and text formats."""
 
+import re
+import struct
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from methylspark.functions import seq
 from methylspark.operators import bedgraph, dedup, extract, genome
-from methylspark.sources import sinks, text
+from methylspark.sources import bam, sinks, text
 from methylspark.streaming import site_counts
 
 
@@ -77,6 +81,77 @@ def test_text_formats(spark, tmp_path):
     assert [x.value for x in sinks.fastq_records(a).collect()] == ["@r\nCGTT\n+\nI$#\""]
 
 
+SAM_ROWS = [
+    ("r1", 16, "c1", 4, 30, "2S3M1D1I", "=", 9, -7, "ACGTNA", [40, 1, 2, 3, 0, 93], -3, None, 300, "z..Z..", None, "CT", "GA"),
+    ("r1", 147, "c2", 0, 255, "3M", "c1", 4, 7, "GGT", [5, 6, 7], 0, -70000, None, None, "3", None, None),
+    ("r2", 4, "*", -1, 0, "*", "*", -1, 0, "*", None, None, None, None, None, None, None, None),
+]
+
+
+def bam_bytes(rows, contigs):
+    out = b"BAM\1" + struct.pack("<i", 3) + b"@CO" + struct.pack("<i", len(contigs))
+    for c in contigs:
+        out += struct.pack("<i", len(c) + 1) + c.encode() + b"\0" + struct.pack("<i", 1000)
+    for r in rows:
+        q, flag, chrom, pos, mapq, cigar, mate, mate_pos, tlen, s, qual, *tags = r
+        ref = contigs.index(chrom) if chrom != "*" else -1
+        mate = ref if mate == "=" else contigs.index(mate) if mate != "*" else -1
+        s = "" if s == "*" else s
+        steps = [] if cigar == "*" else [(int(n) << 4) | "MIDNSHP=X".index(o) for n, o in re.findall(r"(\d+)(\D)", cigar)]
+        codes = ["=ACMGRSVTWYHKDBN".index(x) for x in s] + [0] * (len(s) % 2)
+        body = struct.pack("<iiBBHHHiiii", ref, pos, len(q) + 1, mapq, 0, len(steps), flag, len(s), mate, mate_pos, tlen) + q.encode() + b"\0"
+        body += struct.pack(f"<{len(steps)}I", *steps) + bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2])) + bytes(qual or [])
+        body += b"ZBBs" + struct.pack("<ihh", 2, 7, 8)
+        for name, v in zip(bam.TAGS, tags):
+            if isinstance(v, int):
+                body += name.encode() + b"i" + struct.pack("<i", v)
+            elif v is not None:
+                body += name.encode() + b"Z" + v.encode() + b"\0"
+        out += struct.pack("<i", len(body)) + body
+    return out
+
+
+def blocked(out, block):
+    """``out`` in gzip blocks of ``block`` bytes, so that records reach over blocks."""
+    parts = [out[k : k + block] for k in range(0, len(out), block)] + [b""]
+    done = b""
+    for p in parts:
+        z = zlib.compressobj(6, zlib.DEFLATED, -15)
+        c = z.compress(p) + z.flush()
+        done += b"\x1f\x8b\x08\x04" + bytes(6) + struct.pack("<H2sHH", 6, b"BC", 2, len(c) + 25) + c + struct.pack("<II", zlib.crc32(p), len(p))
+    return done
+
+
+def test_bam_and_sam(spark, tmp_path):
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "one.bam").write_bytes(blocked(bam_bytes(SAM_ROWS, ["c1", "c2"]), 23))
+    (tmp_path / "b" / "none.bam").write_bytes(blocked(bam_bytes([], ["c1"]), 500))
+    got = bam.read_bam(spark, str(tmp_path / "b"), rows=2)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, SAM_ROWS))
+    contigs = spark.createDataFrame([("c1", 0, 1000), ("c2", 1, 1000)], "chrom string, ord int, length long")
+    sinks.write_sam(got, contigs, str(tmp_path / "s"), by_position=True)
+    head = [r.value for r in spark.read.text(str(tmp_path / "s" / "header")).collect()]
+    assert sorted(head) == ["@HD\tVN:1.6\tSO:coordinate", "@PG\tID:methylspark\tPN:methylspark", "@SQ\tSN:c1\tLN:1000", "@SQ\tSN:c2\tLN:1000"]
+    back = text.read_sam(spark, str(tmp_path / "s" / "records")).collect()
+    assert [r[:10] + r[11:] for r in map(tuple, back)] == [r[:10] + r[11:] for r in SAM_ROWS]
+    assert [r.qual for r in back[:2]] == [r[10] for r in SAM_ROWS[:2]]
+    with pytest.raises(ValueError, match="ends inside"):
+        list(bam.records(blocked(bam_bytes(SAM_ROWS, ["c1", "c2"])[:-5], 23)))
+
+
+def test_fasta_report_and_bounds(spark, tmp_path):
+    c = spark.createDataFrame([("c1", 0, "A" * 60), ("c2", 1, "C" * 61)], "chrom string, ord int, seq string")
+    sinks.write_fasta(c.coalesce(1), str(tmp_path / "f"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "f")).collect()) == sorted([">c1", "A" * 60, ">c2", "C" * 60, "C"])
+    m = spark.createDataFrame([(8, 3, 1, 0, 0, 4)], "reads long, strand0 long, strand1 long, strand2 long, strand3 long, unmapped long")
+    t = spark.createDataFrame([(1, 0, 2, 3, 0, 2)], "m_cpg long, m_chg long, m_chh long, t_cpg long, t_chg long, t_chh long")
+    lines = [r.value for r in sinks.report_lines(m, t).orderBy("n").collect()]
+    assert lines[:2] == ["reads\t8\t100.00%", "OT\t3\t 37.50%"] and lines[-3:] == ["methylated CpG\t1\t 33.33%", "methylated CHG\t0\tnan", "methylated CHH\t2\t100.00%"]
+    assert extract.parse_bounds("0,90,20,0") == (0, 90, 20, 0)
+    with pytest.raises(ValueError):
+        extract.parse_bounds("0,-1,2,3")
+
+
 def test_cpg_tools(spark):
     c = spark.createDataFrame([("c", "ACGCGT")], "chrom string, seq string")
     s = spark.createDataFrame([("c", 1, 3, 1), ("c", 2, 1, 1), ("c", 4, 0, 260)], "chrom string, start int, n_meth long, n_unmeth long")
