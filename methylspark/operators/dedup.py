@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from methylspark.functions.seq import letters
+from methylspark.functions.seq import has_flag, letters, total_phred, unclipped_start
 
 
 def edit_distance(m1, u1, m2, u2) -> Column:
@@ -30,6 +30,30 @@ def call_maps(xm, qual, min_phred: int = 5, words: int = 4, offset=0) -> tuple[C
     return maps[0], maps[1]
 
 
+PAIR_KEY = ["chrom1", "strand1", "start1", "chrom2", "strand2", "start2"]
+
+
+def pair_rows(aln: DataFrame, read_id: str = "read_id", words: int = 4, min_phred: int = 5) -> DataFrame:
+    """One row for each template: read_id, PAIR_KEY, meth, unmeth (words of both mates), calls, phred.
+
+    Needs chrom, pos, cigar, flag, strand, second_mate, xm and qual (array). A missing or unmapped mate has a
+    null chrom, strand and start and empty maps, so single ends, orphans and pairs share one rule. Clipped bases
+    keep their places in the maps, which hold the first ``62 * words`` bases of a mate; longer reads need more
+    words. Templates without a mapped mate are left out.
+    """
+    start = unclipped_start(F.col("cigar"), F.col("pos"))
+    m, u = call_maps(F.col("xm"), F.col("qual"), min_phred, words)
+    mapped = aln.filter(~has_flag(F.col("flag"), 4) & F.col("pos").isNotNull())
+    one = mapped.select(read_id, F.when(F.col("second_mate"), 2).otherwise(1).alias("_mate"), F.struct("chrom", "strand", start.cast("int").alias("start"), m.alias("m"), u.alias("u"), total_phred(F.col("qual")).alias("q")).alias("r"))
+    g = one.groupBy(read_id).agg(*[F.max(F.when(F.col("_mate") == k, F.col("r"))).alias(f"r{k}") for k in (1, 2)])
+    none = F.array_repeat(F.lit(0).cast("long"), words)
+    maps = [F.concat(*[F.coalesce(f"r{k}.{c}", none) for k in (1, 2)]).alias(n) for c, n in (("m", "meth"), ("u", "unmeth"))]
+    key = [F.col(f"r{k}.{c}").alias(f"{c}{k}") for k in (1, 2) for c in ("chrom", "strand", "start")]
+    phred = sum(F.coalesce(f"r{k}.q", F.lit(0)) for k in (1, 2))
+    set_bits = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + F.bit_count(x))
+    return g.select(read_id, *key, *maps, phred.alias("phred")).withColumn("calls", set_bits("meth") + set_bits("unmeth"))
+
+
 def mark_duplicates(reads: DataFrame, key: list[str], read_id: str = "read_id") -> DataFrame:
     """read_id, duplicate. Inside a key, reads in the order (calls desc, phred desc, read_id): a read is a
     duplicate if an earlier kept one is at distance 0.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from methylspark.functions.seq import cigar_positions, reference_span
 
@@ -48,8 +49,6 @@ def cpg_positions(contigs: DataFrame) -> DataFrame:
     c = contigs.select("chrom", F.split(F.upper("seq"), "CG").alias("p"))
     sizes = F.transform(F.slice("p", 1, F.size("p") - 1), lambda x: F.length(x))
     c = c.select("chrom", F.posexplode(sizes).alias("k", "gap"))
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy("chrom").orderBy("k")
     return c.select("chrom", (F.sum("gap").over(w) + 2 * F.col("k")).cast("int").alias("start"))
 
@@ -75,3 +74,24 @@ def reduced_genome(contigs: DataFrame, read_length: int = 36, enzymes: tuple[str
     """chrom, seq: contigs with fragment interiors masked."""
     cut = F.split(F.upper("seq"), "|".join(SITES[e] for e in enzymes))
     return contigs.select("chrom", F.array_join(F.transform(cut, lambda f: mask_fragment(f, read_length)), "").alias("seq"))
+
+
+def position_numbers(rows: DataFrame, order: list[str], chrom: str = "chrom", pos: str = "pos", width: int = 1024) -> DataFrame:
+    """Add ``n``: each row's number from 1 in the order of contig, position and then ``order``.
+
+    Rows are numbered within stretches of ``width`` positions and moved up by the rows of the stretches
+    before, which are counted: no task sorts a whole contig. Null positions come first in their contig.
+    """
+    bin_ = F.floor(F.col(pos) / width)
+    binned = rows.withColumn("_bin", F.coalesce(bin_, F.lit(-(1 << 40))))
+    sizes = binned.groupBy(chrom, "_bin").agg(F.count("*").alias("_c"))
+    within = Window.partitionBy(chrom).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.withColumn("_b", F.coalesce(F.sum("_c").over(within), F.lit(0)))
+    contig = sizes.groupBy(chrom).agg(F.sum("_c").alias("_c"))
+    earlier = Window.orderBy(chrom).rowsBetween(Window.unboundedPreceding, -1)  # one row a contig
+    contig = contig.select(F.col(chrom).alias("_chrom"), F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_a"))
+    before = before.join(contig, F.col(chrom).eqNullSafe(F.col("_chrom"))).select(F.col(chrom).alias("_chrom"), F.col("_bin").alias("_at"), (F.col("_a") + F.col("_b")).alias("_b"))
+    own = F.row_number().over(Window.partitionBy(chrom, "_bin").orderBy(pos, *order))
+    numbered = binned.withColumn("_own", own)
+    same = F.col(chrom).eqNullSafe(F.col("_chrom")) & (F.col("_bin") == F.col("_at"))
+    return numbered.join(before, same).withColumn("n", F.col("_own") + F.col("_b")).drop("_bin", "_own", "_chrom", "_at", "_b")

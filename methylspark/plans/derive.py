@@ -68,8 +68,9 @@ def candidates(spark, sf_dir) -> DataFrame:
     k = F.col("c") * 3 + F.col("src_strand") * 7 + F.col("read_id") + F.col("mate") * 5
     off = (F.col("c") + F.col("src_strand") + F.col("read_id") + F.col("mate")) % 5 == 0
     proper = (F.col("c") + F.col("src_strand")) % 3 == 0
-    flag = F.when(off, 4).otherwise(0) + F.when(proper, 2).otherwise(0)
-    return o.select("read_id", "src_strand", "mate", flag.alias("flag"), (-(k % 11)).cast("int").alias("as_score"), (-(k % 53)).cast("int").alias("xs_score"), F.lit(-36).alias("score_min"), (k % 43).cast("int").alias("mapq"), (k % 3).alias("rank"))
+    flag = F.when(off, 4).otherwise(0) + F.when(proper, 2).otherwise(0) + F.when(k % 7 == 0, 8).otherwise(0) + F.when(k % 4 == 1, 16).otherwise(0)
+    chrom, pos = F.concat(F.lit("chr"), (k % 3 + 1).cast("string")), (k * 13 % 1000).cast("int")
+    return o.select("read_id", "src_strand", "mate", flag.alias("flag"), chrom.alias("chrom"), pos.alias("pos"), (-(k % 11)).cast("int").alias("as_score"), (-(k % 53)).cast("int").alias("xs_score"), F.lit(-36).alias("score_min"), (k % 43).cast("int").alias("mapq"), (k % 3).alias("rank"))
 
 
 #: The same tables for DuckDB.
@@ -90,6 +91,7 @@ B_SQL = """b as (select *, case when g = 'N' then '.' when xg = 'CT' and g = 'C'
       substr('NN' || seq || 'NN', (pos + i + 1)::int, 5) as ref5, substr(seq, (pos + i + 1)::int, 1) as g from r, range(60) t(i))))"""
 G_SQL = "g as (select context, chrom, site as start, count(*) filter (m) as n_meth, count(*) filter (not m) as n_unmeth from (select *, case lower(call) when 'z' then 'CpG' when 'x' then 'CHG' else 'CHH' end as context, call = upper(call) as m from b where call <> '.' and q >= 5 and mapq >= 10 and flag = 0) group by all)"
 S_SQL = "s as (select l_linestatus || l_returnflag as sample, 'chr' || (l_suppkey % 7 + 1) as chrom, l_partkey::int as start, sum(l_linenumber)::bigint as n_meth, sum(l_quantity)::bigint as n_unmeth from lineitem group by all)"
-K_SQL = """k as (select o_orderkey as read_id, src_strand::int as src_strand, mate, case when (o_custkey + src_strand + o_orderkey + mate) % 5 = 0 then 4 else 0 end + case when (o_custkey + src_strand) % 3 = 0 then 2 else 0 end as flag,
+K_SQL = """k as (select o_orderkey as read_id, src_strand::int as src_strand, mate, case when (o_custkey + src_strand + o_orderkey + mate) % 5 = 0 then 4 else 0 end + case when (o_custkey + src_strand) % 3 = 0 then 2 else 0 end + case when (o_custkey * 3 + src_strand * 7 + o_orderkey + mate * 5) % 7 = 0 then 8 else 0 end + case when (o_custkey * 3 + src_strand * 7 + o_orderkey + mate * 5) % 4 = 1 then 16 else 0 end as flag,
+  'chr' || ((o_custkey * 3 + src_strand * 7 + o_orderkey + mate * 5) % 3 + 1) as chrom, ((o_custkey * 3 + src_strand * 7 + o_orderkey + mate * 5) * 13 % 1000)::int as pos,
   (-((o_custkey * 3 + src_strand * 7 + o_orderkey + mate * 5) % 11))::int as as_score, (-((o_custkey * 3 + src_strand * 7 + o_orderkey + mate * 5) % 53))::int as xs_score, -36 as score_min,
   ((o_custkey * 3 + src_strand * 7 + o_orderkey + mate * 5) % 43)::int as mapq from orders, range(4) x(src_strand), (values (1), (2)) m(mate))"""

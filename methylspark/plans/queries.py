@@ -204,6 +204,19 @@ QUERIES["dup_flags"] = dup_flags
 SQL["dup_flags"] = SQL["dup_greedy"].replace("select read_id, dup as duplicate from w", "select w.read_id, (r.flag | case when dup then 1024 else 0 end)::int as flag from w join r using (read_id)")
 
 
+def _templates(spark, d):
+    """Reads 2t and 2t + 1 are the mates of template t; every third mate has a clip."""
+    r = derive.called(spark, d).withColumns({"second_mate": F.col("read_id") % 2 == 1, "read_id": F.floor(F.col("read_id") / 2)})
+    return r.withColumn("cigar", F.when(F.col("pos") % 3 == 0, "4S56M").otherwise(F.col("cigar")))
+
+
+@query("""select read_id // 2 as read_id, """ + ", ".join(f"max(case when read_id % 2 = {k - 1} then {v} end) as {n}{k}" for k in (1, 2) for v, n in (("chrom", "chrom"), ("strand", "strand"), ("case when pos % 3 = 0 then greatest(pos - 4, 0) else pos end", "start")))
+       + ", sum(q)::int as phred, count(*) filter (q >= 5 and call <> '.')::int as calls, " + ", ".join(f"coalesce(bit_or(case when read_id % 2 = {k - 1} and q >= 5 and call in {c} then 1::bigint << i end), 0) as {n}{k}" for n, c in (("meth", "('Z', 'X', 'H')"), ("unmeth", "('z', 'x', 'h')")) for k in (1, 2)) + " from b group by all", *RB)
+def dup_templates(spark, d):
+    t = dedup.pair_rows(_templates(spark, d), words=1)
+    return t.select("read_id", *dedup.PAIR_KEY, "phred", "calls", *[F.col(c)[k].alias(f"{c}{k + 1}") for c in ("meth", "unmeth") for k in (0, 1)])
+
+
 _X = "x as (select *, case when flag & 4 = 0 then as_score end as s from k where mate = 1)"
 _W = f"""w as (select read_id, n = 1 and top is not null as won, st, top as s, greatest(coalesce(xs, -1073741824), coalesce(second, -1073741824)) as xs, score_min as least, mapq as q from (
   select read_id, arg_max(src_strand, coalesce(s, -1073741824)::bigint * 10 - src_strand) as st, max(s) as top, count(*) filter (s = mx) as n, arg_max(xs_score, coalesce(s, -1073741824)::bigint * 10 - src_strand) as xs,
@@ -237,6 +250,44 @@ def best_strand_pe(spark, d):
     return select.best_paired(derive.candidates(spark, d))
 
 
+_T = """t as (select *, a + b as sm, case when a is not null and b is not null and p = 2 then 1 when a is not null and b is not null then 2 else 3 end as tier from (
+  select read_id, src_strand, """ + ", ".join(f"max(case when mate = {m} and flag & 4 = 0 then {v} end) as {n}" for m, ns in ((1, ("a", "xa", "la", "fa", "ca", "pa")), (2, ("b", "xb", "lb", "fb", "cb", "pb"))) for n, v in zip(ns, ("as_score", "xs_score", "score_min", "flag", "chrom", "pos"))) + """,
+    max(case when flag & 4 = 0 then flag & 2 end) as p from k group by all))"""
+_U = """u as (select *, case when low < 3 and tier = low and sm = max(case when tier = low then sm end) over r then src_strand end as ps, case when low = 3 and a = max(a) over r then src_strand end as s1, case when low = 3 and b = max(b) over r then src_strand end as s2
+  from (select *, min(tier) over (partition by read_id) as low from t) window r as (partition by read_id))"""
+_V = """v as (select u.*, case when low < 3 then case when np = 1 then wp end when n1 = 1 then w1 end as t1, case when low < 3 then case when np = 1 then wp end when n2 = 1 then w2 end as t2
+  from u join (select read_id, count(ps) as np, min(ps) as wp, count(s1) as n1, min(s1) as w1, count(s2) as n2, min(s2) as w2 from u group by read_id) using (read_id))"""
+_Y = """y as (select read_id, min(low) as low, min(t1) as t1, min(t2) as t2, """ + ", ".join(f"max(case when src_strand = t{m} then {c}{n} end) as {c or 's'}{m}" for m, n in ((1, "a"), (2, "b")) for c in ("", "x", "l", "f", "c", "p")) + """,
+    max(case when src_strand <> t1 and tier = low then sm end) as rs, arg_max(a, sm * 10 - src_strand) filter (src_strand <> t1 and tier = low) as ra, arg_max(b, sm * 10 - src_strand) filter (src_strand <> t1 and tier = low) as rb,
+    max(case when src_strand <> t1 then a end) as o1, max(case when src_strand <> t2 then b end) as o2 from v group by read_id)"""
+_N = "coalesce({}, -1073741824)"
+_E = f"""e as (select *, case when low < 3 then case when rs > {_N.format('x1')} + {_N.format('x2')} then ra else {_N.format('x1')} end else greatest({_N.format('x1')}, o1) end as y1,
+  case when low < 3 then case when rs > {_N.format('x1')} + {_N.format('x2')} then rb else {_N.format('x2')} end else greatest({_N.format('x2')}, o2) end as y2 from y)"""
+_PAIRS = (K_SQL, _T, _U, _V, _Y, _E)
+
+
+def _mate(m, o, lost):
+    q = seq.mapq_sql("qs", "qx", "ql", "end", lambda v: f"{v}::float::double")
+    turned = f"case when t{o} is null then 8 when f{o} & 16 <> 0 then 32 else 0 end"
+    score = lambda c: f"case when low < 3 then {c}1 + {c}2 else {c}{m} end"
+    return f"""select read_id, {m} as mate, low as tier, t{m}::int as src_strand, c{m} as chrom, p{m} as pos, (case when t{m} is null then {lost} | {turned} else (f{m} & ~8) | {turned} end)::int as flag, s{m} as as_score,
+  case when y{m} >= l{m} then y{m} end as xs_score, case when t{m} is null then 0 else {q} end as mapq, case when t{m} is not null then c{o} end as mate_chrom, case when t{m} is not null then p{o} end as mate_pos
+  from (select *, {score('s')} as qs, {score('y')} as qx, {score('l')} as ql from e)"""
+
+
+_ROWS = f"{_mate(1, 2, 0x45)} union all {_mate(2, 1, 0x85)}"
+
+
+@query(_ROWS, *_PAIRS)
+def best_pairs(spark, d):
+    return select.best_pairs(derive.candidates(spark, d))
+
+
+@query("select count(*) as reads, count(*) filter (src_strand is not null and mate = 1 and tier = 1) as concordant, count(*) filter (src_strand is not null and mate = 1 and tier = 2) as discordant, count(*) filter (src_strand is not null and tier = 3) as singletons, " + ", ".join(f"count(*) filter (src_strand = {k}) as strand{k}" for k in range(4)) + f" from ({_ROWS})", *_PAIRS)
+def pair_metrics(spark, d):
+    return select.pair_metrics(best_pairs(spark, d))
+
+
 @query("select read_id, mate, src_strand, flag, as_score, ((as_score)) as first_score from (select *, row_number() over (partition by read_id, mate, src_strand) as n from k) where n = 1", K_SQL)
 def multimapper_first(spark, d):
     return select.first_alignment(derive.candidates(spark, d)).select("read_id", "mate", "src_strand", "flag", "as_score", F.col("as_score").alias("first_score"))
@@ -329,14 +380,7 @@ def chrom_filter(spark, d):
 
 @query("select chrom, row_number() over (order by chrom, pos, read_id) as n, pos, read_id from r", C_SQL, R_SQL)
 def coordinate_sort(spark, d):
-    """Row numbers of the sorted reads: numbers within each contig, plus the reads of contigs before."""
-    from pyspark.sql.window import Window
-
-    r = derive.reads(spark, d).select("chrom", "pos", "read_id")
-    before = Window.orderBy("chrom").rowsBetween(Window.unboundedPreceding, -1)  # one row a contig
-    sizes = r.groupBy("chrom").agg(F.count("*").alias("c")).select("chrom", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("b"))
-    own = F.row_number().over(Window.partitionBy("chrom").orderBy("pos", "read_id"))
-    return r.withColumn("own", own).join(sizes, "chrom").select("chrom", (F.col("own") + F.col("b")).alias("n"), "pos", "read_id")
+    return genome.position_numbers(derive.reads(spark, d).select("chrom", "pos", "read_id"), ["read_id"])
 
 
 _CUT = "regexp_split_to_array(replace(replace(seq, 'CCGG', 'C CGG'), 'TCGA', 'T CGA'), ' ')"

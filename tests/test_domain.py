@@ -1,5 +1,6 @@
 """Hand-made fixtures for the domain operators and text formats."""
 
+import random
 import re
 import struct
 import zlib
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from methylspark.functions import seq
-from methylspark.operators import bedgraph, dedup, extract, genome
+from methylspark.operators import bedgraph, dedup, extract, genome, select
 from methylspark.sources import bam, sinks, text
 from methylspark.streaming import site_counts
 
@@ -54,6 +55,92 @@ def test_duplicates_follow_order(spark):
     assert dedup.mark_duplicates(hurt, ["key"]).filter("duplicate").count() == 0
 
 
+LOW = -(1 << 30)
+
+
+def pair_by_hand(rows):
+    """Winners of one template by plain loops: {mate: (tier, strand, flag, score, second score, mate place)}."""
+    at = {(r["mate"], r["src_strand"]): r for r in rows if not r["flag"] & 4}
+    both = [s for s in range(4) if (1, s) in at and (2, s) in at]
+    proper = [s for s in both if (at[1, s]["flag"] | at[2, s]["flag"]) & 2]
+    pool, tier = (proper, 1) if proper else (both, 2) if both else ([], 3)
+    second = lambda r: LOW if r["xs_score"] is None else r["xs_score"]
+    best, won, xs = {}, {1: None, 2: None}, {}
+    if pool:
+        total = {s: at[1, s]["as_score"] + at[2, s]["as_score"] for s in pool}
+        top = [s for s in pool if total[s] == max(total.values())]
+        if len(top) == 1:
+            won = {1: top[0], 2: top[0]}
+            xs = {m: second(at[m, top[0]]) for m in (1, 2)}
+            for s in pool:
+                if s != top[0] and total[s] > xs[1] + xs[2]:
+                    xs = {m: at[m, s]["as_score"] for m in (1, 2)}
+    else:
+        for m in (1, 2):
+            mine = {s: at[m, s]["as_score"] for s in range(4) if (m, s) in at}
+            top = [s for s in mine if mine[s] == max(mine.values())]
+            if len(top) == 1:
+                won[m] = top[0]
+                xs[m] = max([second(at[m, top[0]]), *(v for s, v in mine.items() if s != top[0])])
+    for m, o in ((1, 2), (2, 1)):
+        me, other = (at[k, won[k]] if won[k] is not None else None for k in (m, o))
+        extra = (32 if other["flag"] & 16 else 0) if other else 8
+        if me:
+            shown = xs[m] if xs[m] >= me["score_min"] else None
+            best[m] = (tier, won[m], me["flag"] & ~8 | extra, me["as_score"], shown, (other["chrom"], other["pos"]) if other else (None, None))
+        else:
+            best[m] = (tier, None, (0x45 if m == 1 else 0x85) | extra, None, None, (None, None))
+    return best
+
+
+def test_best_pairs_equal_plain_loops(spark):
+    rng, rows = random.Random(5), []
+    for t in range(300):
+        proper, dense = rng.random() < 0.5, rng.choice((0.2, 0.6, 1.0))
+        for s in range(4):
+            for m in (1, 2):
+                flag = (0 if rng.random() < dense else 4) + (2 if proper and rng.random() < 0.7 else 0) + 8 * rng.randrange(2) + 16 * rng.randrange(2)
+                rows.append((t, m, s, flag, f"c{s}", rng.randrange(99), -rng.randrange(9), rng.choice((None, -rng.randrange(12), -50)), -30))
+    names = ["read_id", "mate", "src_strand", "flag", "chrom", "pos", "as_score", "xs_score", "score_min"]
+    df = spark.createDataFrame(rows, "read_id long, mate int, src_strand int, flag int, chrom string, pos int, as_score int, xs_score int, score_min int")
+    chosen = select.best_pairs(df)
+    got = {(r.read_id, r.mate): (r.tier, r.src_strand, r.flag, r.as_score, r.xs_score, (r.mate_chrom, r.mate_pos)) for r in chosen.collect()}
+    want = {}
+    for t in range(300):
+        want |= {(t, m): v for m, v in pair_by_hand([dict(zip(names, r)) for r in rows if r[0] == t]).items()}
+    assert got == want
+    assert {v[0] for v in want.values() if v[1] is not None} == {1, 2, 3}
+    n = select.pair_metrics(chosen).first()
+    assert n.reads == 600 and n.singletons == sum(v[0] == 3 and v[1] is not None for v in want.values())
+    assert select.best_pairs(df.limit(0)).count() == 0
+
+
+def test_pair_quality(spark):
+    """Both mates of a pair have one quality, from sums; a perfect pair without a second alignment has 42."""
+    rows = [(1, m, s, 2 if s == 0 else 4, "c", 5, 0, None, -30) for m in (1, 2) for s in (0, 1)]
+    df = spark.createDataFrame(rows, "read_id long, mate int, src_strand int, flag int, chrom string, pos int, as_score int, xs_score int, score_min int")
+    assert [(r.mapq, r.src_strand, r.xs_score) for r in select.best_pairs(df).collect()] == [(42, 0, None)] * 2
+
+
+def test_template_rows(spark):
+    rows = [(1, "c", 10, "2S4M", 0, "OT", False, "..Z.z.", [9] * 6), (1, "d", 50, "3M", 0, "OT", True, "h.H", [9, 9, 2]), (2, "c", 8, "3M", 0, "OB", False, "z..", [7] * 3), (3, "c", 1, "1M", 4, "OT", False, "Z", [9])]
+    df = spark.createDataFrame(rows, "read_id long, chrom string, pos int, cigar string, flag int, strand string, second_mate boolean, xm string, qual array<int>")
+    got = {r.read_id: r for r in dedup.pair_rows(df, words=1).collect()}
+    assert set(got) == {1, 2}
+    assert [got[1][k] for k in dedup.PAIR_KEY] == ["c", "OT", 8, "d", "OT", 50] and [got[2][k] for k in dedup.PAIR_KEY] == ["c", "OB", 8, None, None, None]
+    assert (got[1].meth, got[1].unmeth, got[1].calls, got[1].phred) == ([4, 0], [16, 1], 3, 74)
+    twice = df.unionByName(df.withColumn("read_id", F.col("read_id") + 10))
+    marks = {r.read_id: r.duplicate for r in dedup.mark_duplicates(dedup.pair_rows(twice, words=1), dedup.PAIR_KEY).collect()}
+    assert marks == {1: False, 2: False, 11: True, 12: True}
+
+
+def test_position_numbers(spark):
+    rows = [("b", 5000, 1), ("a", 7, 2), ("a", 7, 1), ("a", 3000, 9), ("b", None, 4), ("a", 1023, 3)]
+    df = spark.createDataFrame(rows, "chrom string, pos int, read_id int")
+    got = [(r.chrom, r.pos, r.read_id) for r in genome.position_numbers(df, ["read_id"]).orderBy("n").collect()]
+    assert got == sorted(rows, key=lambda r: (r[0], -1 if r[1] is None else r[1], r[2]))
+
+
 def test_overlap_rule(spark):
     rows = [(1, "c", 5, 1, "Z", 3), (1, "c", 5, 2, "Z", 5), (1, "c", 6, 1, "Z", 10), (1, "c", 6, 2, "z", 30), (1, "c", 7, 1, "Z", 10), (1, "c", 7, 2, "z", 10), (1, "c", 8, 1, "z", 4), (1, "c", 9, 2, "z", 5)]
     df = spark.createDataFrame(rows, "pair_id int, chrom string, site int, mate int, call string, q int")
