@@ -8,25 +8,31 @@ from pyspark.sql import functions as F
 from methylspark.functions.seq import cigar_positions, letters
 
 
-def _at(ref, p) -> Column:
-    """Base of ``ref`` (which begins two bases before pos) at reference position p."""
-    return F.substring(ref, p - F.col("pos") + 3, F.lit(1))
+def _on_read(ref, blank: str) -> Column:
+    """``ref`` (which begins two bases before pos) laid along the read: one character a base, ``blank`` where it has no place."""
+    simple = F.col("cigar").rlike(r"^\d+M$")
+    at = lambda p: F.coalesce(F.substring(ref, p - F.col("pos") + 3, F.lit(1)), F.lit(blank))
+    walked = F.array_join(F.transform(cigar_positions(F.col("cigar"), F.col("pos")), at), "")
+    return F.when(simple, F.substring(ref, F.lit(3), F.length("seq"))).otherwise(walked)
 
 
-def call_xm() -> Column:
-    """Call string of a row with seq, cigar, pos, xg and ref: Z/z CpG, X/x CHG, H/h CHH, upper if methylated."""
-    ref, ct = F.col("ref"), F.col("xg") == "CT"
+def context_kinds(ref, xg) -> Column:
+    """``ref`` with z, x or h at each cytosine of the strand that ``xg`` names and a dot elsewhere."""
+    ref = F.upper(ref)
+    top = F.regexp_replace(F.regexp_replace(F.regexp_replace(ref, "C(?=G)", "z"), "C(?=.G)", "x"), "C", "h")
+    low = F.regexp_replace(F.regexp_replace(F.regexp_replace(ref, "(?<=C)G", "z"), "(?<=C.)G", "x"), "G", "h")
+    return F.regexp_replace(F.when(xg == "CT", top).otherwise(low), "[^zxh]", ".")
+
 
-    def call(p, base):
-        here = _at(ref, p)
-        one = F.when(ct, _at(ref, p + 1) == "G").otherwise(_at(ref, p - 1) == "C")
-        two = F.when(ct, _at(ref, p + 2) == "G").otherwise(_at(ref, p - 2) == "C")
-        kind = F.when(one, "z").when(two, "x").otherwise("h")
-        meth = F.when(ct, (here == "C") & (base == "C")).otherwise((here == "G") & (base == "G"))
-        un = F.when(ct, (here == "C") & (base == "T")).otherwise((here == "G") & (base == "A"))
-        return F.when(p.isNull(), ".").when(meth, F.upper(kind)).when(un, kind).otherwise(".")
+def call_xm() -> Column:
+    """Call string of a row with seq, cigar, pos, xg and ref: Z/z CpG, X/x CHG, H/h CHH, upper if methylated.
 
-    return F.array_join(F.zip_with(cigar_positions(F.col("cigar"), F.col("pos")), letters("seq"), call), "")
+    Contexts are found by patterns over the whole reference window, so a base costs two comparisons.
+    """
+    kind = _on_read(context_kinds(F.col("ref"), F.col("xg")), ".")
+    base = F.when(F.col("xg") == "CT", F.translate("seq", "CT", "10")).otherwise(F.translate("seq", "GA", "10"))
+    call = lambda k, b: F.when(b == "1", F.upper(k)).when(b == "0", k).otherwise(".")
+    return F.array_join(F.zip_with(letters(kind), letters(base), call), "")
 
 
 def call_xx() -> Column:
@@ -34,20 +40,13 @@ def call_xx() -> Column:
 
     Inserted and clipped bases are mismatches written as N.
     """
-    ref = F.col("ref")
-    both = F.zip_with(letters("seq"), letters("xm"), lambda b, c: F.struct(b.alias("b"), c.alias("c")))
-    items = F.zip_with(cigar_positions(F.col("cigar"), F.col("pos")), both, lambda p, x: F.struct(_at(ref, p).alias("g"), x["b"].alias("b"), x["c"].alias("c")))
-    steps = F.transform(items, lambda x, i: F.struct(((x["c"] != ".") | (x["b"] == F.coalesce(x["g"], F.lit("")))).alias("good"), F.coalesce(x["g"], F.lit("N")).alias("base"), i.alias("i")))
-    start = F.struct(F.lit(0).alias("run"), F.lit("").alias("out"), F.lit(0).alias("nm"))
-
-    def step(a, s):
-        lead = F.when((a["run"] > 0) | (s["i"] == 0), a["run"].cast("string")).otherwise("")
-        return F.when(s["good"], F.struct((a["run"] + 1).alias("run"), a["out"].alias("out"), a["nm"].alias("nm"))).otherwise(
-            F.struct(F.lit(0).alias("run"), F.concat(a["out"], lead, s["base"]).alias("out"), (a["nm"] + 1).alias("nm"))
-        )
-
-    end = lambda a: F.struct(F.concat(a["out"], F.when(a["run"] > 0, a["run"].cast("string")).otherwise("")).alias("xx"), a["nm"].alias("nm"))
-    return F.aggregate(steps, start, step, end)
+    read = F.zip_with(letters("seq"), letters("xm"), lambda b, c: F.when(c == ".", b).otherwise("="))
+    marks = F.zip_with(letters(_on_read(F.col("ref"), "?")), read, lambda g, b: F.when((b == "=") | (b == g), "=").when(g == "?", "N").otherwise(g))
+    line = F.array_join(marks, "")
+    runs = F.regexp_extract_all(line, F.lit("(=+|[^=])"), F.lit(1))
+    text = F.array_join(F.transform(runs, lambda r: F.when(r.startswith("="), F.length(r).cast("string")).otherwise(r)), "")
+    lead = F.when(line.startswith("=") | (line == ""), "").otherwise("0")
+    return F.struct(F.concat(lead, text).alias("xx"), F.length(F.translate(line, "=", "")).alias("nm"))
 
 
 def context_totals(aln: DataFrame) -> DataFrame:

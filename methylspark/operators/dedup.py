@@ -16,17 +16,15 @@ def edit_distance(m1, u1, m2, u2) -> Column:
     )
 
 
-def call_maps(xm, qual, min_phred: int = 5, words: int = 4, offset=0) -> tuple[Column, Column]:
+def call_maps(xm, qual, min_phred: int = 5, words: int = 4) -> tuple[Column, Column]:
     """(methylated, unmethylated) bit maps of a call string as arrays of ``words`` longs of 62 bits each."""
-    bit = lambda i: F.pow(F.lit(2.0), F.pmod(i, F.lit(62)).cast("double")).cast("long")
-    pairs = F.zip_with(letters(xm), qual, lambda c, q: F.struct(c.alias("c"), q.alias("q")))
-    items = F.transform(pairs, lambda s, i: F.struct(s["c"].alias("c"), (i + offset).alias("i"), (s["q"] >= min_phred).alias("ok")))
+    good = F.array_join(F.zip_with(letters(xm), qual, lambda c, q: F.when(q >= min_phred, c).otherwise(".")), "")
 
-    def word(w, chars):
-        mine = F.filter(items, lambda s: s["ok"] & s["c"].isin(*chars) & (F.floor(s["i"] / 62) == w))
-        return F.aggregate(mine, F.lit(0).cast("long"), lambda a, s: a.bitwiseOR(bit(s["i"])))
+    def word(w, ones):
+        digits = F.translate(F.reverse(F.substring(good, 62 * w + 1, 62)), "ZXHzxh.", ones)
+        return F.when(digits == "", 0).otherwise(F.conv(digits, 2, 10)).cast("long")
 
-    maps = [F.array(*[word(w, chars) for w in range(words)]) for chars in (["Z", "X", "H"], ["z", "x", "h"])]
+    maps = [F.array(*[word(w, ones) for w in range(words)]) for ones in ("1110000", "0001110")]
     return maps[0], maps[1]
 
 

@@ -40,23 +40,21 @@ def parse_bounds(text: str) -> tuple[int, int, int, int]:
 def calls(aln: DataFrame, min_phred: int = 5, contexts: tuple[str, ...] = ("CpG", "CHG", "CHH"), bounds: dict | None = None, columns: tuple[str, ...] = ("read_id",)) -> DataFrame:
     """One row for each call of good quality: columns, chrom, pos, index, strand sign, context, methylated.
 
-    Needs chrom, pos, cigar, xm, qual (array) and xg; with ``bounds`` also strand and second_mate. The
-    dots go before rows are made, so only calls are exploded.
+    Needs chrom, pos, cigar, xm, qual (array) and xg; with ``bounds`` also strand and second_mate. Dots are
+    filtered in the stage that explodes the reads, before any shuffle.
     """
     wanted = [c for c, k in CONTEXT.items() if k in contexts]
     both = wanted + [c.upper() for c in wanted]
-    marks = F.zip_with(letters("xm"), F.col("qual"), lambda c, q: F.struct(c.alias("c"), q.alias("q")))
-    items = F.zip_with(cigar_positions(F.col("cigar"), F.col("pos")), marks, lambda p, x: F.struct(p.alias("p"), x["c"].alias("c"), x["q"].alias("q")))
-    items = F.transform(items, lambda s, i: F.struct(s["p"].alias("p"), i.alias("i"), s["c"].alias("c"), s["q"].alias("q")))
-    good = F.filter(items, lambda s: s["c"].isin(*both) & s["p"].isNotNull() & (s["q"] >= min_phred))
+    items = F.arrays_zip(cigar_positions(F.col("cigar"), F.col("pos")).alias("p"), letters("xm").alias("c"), F.col("qual").alias("q"))
     extra = [c for c in ("strand", "second_mate") if c in aln.columns and c not in columns]
-    e = aln.select(*columns, *extra, "chrom", "xg", F.explode(good).alias("s"))
+    e = aln.select(*columns, *extra, "chrom", "xg", F.posexplode(items).alias("i", "s"))
+    e = e.filter(F.col("s.c").isin(*both) & F.col("s.p").isNotNull() & (F.col("s.q") >= min_phred))
     if bounds:
-        e = e.filter(in_bounds(F.col("s.i"), F.col("strand"), F.col("second_mate"), bounds))
+        e = e.filter(in_bounds(F.col("i"), F.col("strand"), F.col("second_mate"), bounds))
     kind = F.lower("s.c")
     context = F.when(kind == "z", "CpG").when(kind == "x", "CHG").otherwise("CHH")
     sign = F.when(F.col("xg") == "CT", "+").otherwise("-")
-    return e.select(*columns, *extra, "chrom", F.col("s.p").alias("site"), F.col("s.i").alias("index"), sign.alias("sign"), context.alias("context"), (F.col("s.c") != kind).alias("methylated"))
+    return e.select(*columns, *extra, "chrom", F.col("s.p").alias("site"), F.col("i").alias("index"), sign.alias("sign"), context.alias("context"), (F.col("s.c") != kind).alias("methylated"))
 
 
 def site_counts(called: DataFrame) -> DataFrame:

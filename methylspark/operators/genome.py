@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from methylspark.functions.seq import cigar_positions, reference_span
 
-TILE, OVERLAP = 65536, 1024
+TILE, OVERLAP = 8192, 1024
 
 
 def tiles(contigs: DataFrame, tile: int = TILE, overlap: int = OVERLAP) -> DataFrame:
@@ -20,11 +20,15 @@ def tiles(contigs: DataFrame, tile: int = TILE, overlap: int = OVERLAP) -> DataF
     return t.select("chrom", "tile", start.alias("start"), F.substring(F.col("seq"), start + 1, end - start).alias("tile_seq"))
 
 
-def with_reference(aln: DataFrame, contigs: DataFrame, tile: int = TILE, overlap: int = OVERLAP) -> DataFrame:
+def with_reference(aln: DataFrame, contigs: DataFrame, tile: int = TILE, overlap: int = OVERLAP, max_span: int | None = None) -> DataFrame:
     """Add ``ref``: reference bases from two before ``pos`` to two after the alignment, N beyond the contig.
 
     An equi-join on (chrom, tile); alignments that reach over a tile's margin are joined to whole contigs.
+    ``max_span`` says that no alignment covers more reference bases: the alignments are then read once and
+    not joined to whole contigs, and a longer one raises an error. It may be ``overlap - 4`` at most.
     """
+    if max_span is not None and max_span > overlap - 4:
+        raise ValueError("max_span must be at most overlap - 4")
     span = F.when(F.col("cigar").rlike(r"^\d+M$"), F.length("seq")).otherwise(reference_span(F.col("cigar")))
     a = aln.withColumns({"_span": span, "tile": F.floor(F.col("pos") / tile).cast("int")})
     cut = lambda s, at: F.substring(F.concat(F.lit("NN"), s, F.lit("NN")), F.greatest(at + 1, F.lit(1)), F.col("_span") + 4)
@@ -34,7 +38,14 @@ def with_reference(aln: DataFrame, contigs: DataFrame, tile: int = TILE, overlap
         return F.rpad(cut(s, at), F.col("_span") + 4, "N")
 
     t = tiles(contigs, tile, overlap)
-    near = a.filter(F.col("_span") <= overlap - 4).join(t, ["chrom", "tile"]).withColumn("ref", window(F.col("tile_seq"), F.col("start"))).drop("tile_seq", "start")
+    if max_span is None:
+        short = a.filter(F.col("_span") <= overlap - 4)
+    else:
+        too_long = F.raise_error(F.concat(F.lit(f"an alignment covers more than {max_span} bases: "), F.col("_span").cast("string")))
+        short = a.withColumn("_span", F.when(F.col("_span") > max_span, too_long.cast("int")).otherwise(F.col("_span")))
+    near = short.join(t, ["chrom", "tile"]).withColumn("ref", window(F.col("tile_seq"), F.col("start"))).drop("tile_seq", "start")
+    if max_span is not None:
+        return near.drop("tile", "_span")
     whole = contigs.select("chrom", F.col("seq").alias("_contig"))
     far = a.filter(F.col("_span") > overlap - 4).join(whole, "chrom").withColumn("ref", window(F.col("_contig"), F.lit(0))).drop("_contig")
     return near.unionByName(far).drop("tile", "_span")

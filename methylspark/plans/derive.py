@@ -51,7 +51,7 @@ def reads(spark, sf_dir) -> DataFrame:
 
 def called(spark, sf_dir) -> DataFrame:
     """reads with ref and call string xm."""
-    return with_reference(reads(spark, sf_dir), contigs(spark, sf_dir)).withColumn("xm", call_xm())
+    return with_reference(reads(spark, sf_dir), contigs(spark, sf_dir), max_span=READ).withColumn("xm", call_xm())
 
 
 def samples(spark, sf_dir) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from methylspark.functions import seq
-from methylspark.operators import bedgraph, dedup, extract, genome, select
+from methylspark.operators import bedgraph, calling, dedup, extract, genome, select
 from methylspark.sources import bam, sinks, text
 from methylspark.streaming import site_counts
 
@@ -122,6 +122,57 @@ def test_pair_quality(spark):
     assert [(r.mapq, r.src_strand, r.xs_score) for r in select.best_pairs(df).collect()] == [(42, 0, None)] * 2
 
 
+def test_reference_windows(spark):
+    rng = random.Random(3)
+    chrom = "".join(rng.choice("ACGT") for _ in range(700))
+    c = spark.createDataFrame([("c", chrom)], "chrom string, seq string")
+    reads = [(k, "c", k * 7, "60M" if k % 3 else "20M200N40M", "A" * 60, "CT") for k in range(60)]
+    df = spark.createDataFrame(reads, "read_id int, chrom string, pos int, cigar string, seq string, xg string")
+    padded = "NN" + chrom + "N" * 400
+    want = {k: padded[pos : pos + (64 if k % 3 else 264)] for k, _, pos, *_ in reads}
+    assert {r.read_id: r.ref for r in genome.with_reference(df, c, tile=100, overlap=80).collect()} == want
+    short = df.filter("cigar = '60M'")
+    got = {r.read_id: r.ref for r in genome.with_reference(short, c, tile=100, overlap=80, max_span=60).collect()}
+    assert got == {k: v for k, v in want.items() if k % 3}
+    with pytest.raises(Exception, match="covers more than 60"):
+        genome.with_reference(df, c, tile=100, overlap=300, max_span=60).collect()
+    with pytest.raises(ValueError):
+        genome.with_reference(df, c, overlap=80, max_span=80)
+
+
+def test_calls_by_hand(spark):
+    """Contexts, conversions, clips, insertions and gaps against a plain walk over the bases."""
+    rng, rows, chrom = random.Random(9), [], "NN" + "".join(random.Random(8).choice("ACGTN") for _ in range(400)) + "NN"
+    for k in range(200):
+        cigar = rng.choice(["20M", "3S10M2I5M", "8M3D12M", "5M4N10M5S", "2H6=1X13M"])
+        pos, mark = rng.randrange(0, 370), rng.choice(["CT", "GA"])
+        at, p, out = [], pos, []
+        for n, op in re.findall(r"(\d+)(\D)", cigar):
+            for _ in range(int(n)):
+                if op in "M=XIS":
+                    at.append(p if op in "M=X" else None)
+                p += op in "M=XDN"
+        read = "".join(rng.choice("ACGT") if q is None or rng.random() < 0.4 else chrom[q + 2] for q in at)
+        for q, b in zip(at, read):
+            g = chrom[q : q + 5] if q is not None else "....."
+            one, two = (g[3] == "G", g[4] == "G") if mark == "CT" else (g[1] == "C", g[0] == "C")
+            kind, pair = "z" if one else "x" if two else "h", "CT" if mark == "CT" else "GA"
+            out.append("." if g[2] != pair[0] else kind.upper() if b == pair[0] else kind if b == pair[1] else ".")
+        marks = ["=" if x != "." or (q is not None and chrom[q + 2] == b) else "N" if q is None else chrom[q + 2] for x, q, b in zip(out, at, read)]
+        xx, run = "", 0
+        for i, x in enumerate(marks):
+            if x == "=":
+                run += 1
+            else:
+                xx, run = xx + (str(run) if run or not i else "") + x, 0
+        rows.append((k, "c", pos, cigar, read, mark, "".join(out), xx + (str(run) if run else ""), sum(x != "=" for x in marks)))
+    df = spark.createDataFrame(rows, "read_id int, chrom string, pos int, cigar string, seq string, xg string, want string, want_xx string, want_nm int")
+    c = spark.createDataFrame([("c", chrom[2:-2])], "chrom string, seq string")
+    called = genome.with_reference(df, c, tile=64, overlap=64).withColumn("xm", calling.call_xm())
+    got = called.select("want", "xm", "want_xx", "want_nm", calling.call_xx().alias("x")).collect()
+    assert len(got) == 200 and all((r.xm, r.x.xx, r.x.nm) == (r.want, r.want_xx, r.want_nm) for r in got)
+
+
 def test_template_rows(spark):
     rows = [(1, "c", 10, "2S4M", 0, "OT", False, "..Z.z.", [9] * 6), (1, "d", 50, "3M", 0, "OT", True, "h.H", [9, 9, 2]), (2, "c", 8, "3M", 0, "OB", False, "z..", [7] * 3), (3, "c", 1, "1M", 4, "OT", False, "Z", [9])]
     df = spark.createDataFrame(rows, "read_id long, chrom string, pos int, cigar string, flag int, strand string, second_mate boolean, xm string, qual array<int>")
