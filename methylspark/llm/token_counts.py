@@ -74,12 +74,13 @@ class Rollup:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents arrive, exact copies go, and the rest is counted by a newer tokenizer version.
+    """All documents' tokens by both tokenizer versions, reached by deltas of each kind.
 
-    1. ``arrivals`` inserts every document's count by words-1.
+    1. ``arrivals`` inserts every document under words-1 with an outdated count (that of words-2).
     2. ``copies`` deletes documents whose text a smaller doc_id has, and is sent twice.
-    3. ``recount`` inserts the rest by words-2.
-    4. ``repair`` revises words-1 counts of the rest: a text's tokens once more by words-2.
+    3. ``returns`` inserts them again with the right words-1 count.
+    4. ``repair`` revises the rest from the outdated count to that of words-1.
+    5. ``recount`` inserts every document by words-2.
     """
     docs = table(spark, sf_dir, "documents").withColumn("key", F.md5(F.encode(F.coalesce("text", F.lit("")), "utf-8")))
     counts = materialize(count_tokens(docs, ["doc_id", "source", "lang", "key"]), "counts")
@@ -88,12 +89,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     copies, rest = marked.filter("copy"), marked.filter("not copy")
     rollup = Rollup(spark, work_dir(spark, "rollup"))
     batches = {
-        "arrivals": inserts(marked, "words-1", "words-1"),
-        "copies": deletes(copies, "words-1", "words-1"),
-        "recount": inserts(rest, "words-2", "words-2"),
-        "repair": revisions(rest, "words-1", "words-1", "words-2"),
+        "arrivals": inserts(marked, "words-1", "words-2"),
+        "copies": deletes(copies, "words-1", "words-2"),
+        "returns": inserts(copies, "words-1", "words-1"),
+        "repair": revisions(rest, "words-1", "words-2", "words-1"),
+        "recount": inserts(marked, "words-2", "words-2"),
     }
-    for name in ("arrivals", "copies", "copies", "recount", "repair", "arrivals"):
+    for name in ("arrivals", "copies", "copies", "returns", "repair", "recount", "arrivals"):
         rollup.commit(name, batches[name])
     return rollup.totals()
 

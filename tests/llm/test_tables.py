@@ -141,6 +141,19 @@ def test_rollup_is_idempotent(spark):
     assert {tuple(r) for r in again.totals().collect()} == {("s", "en", "words-1", 2, 4)}
 
 
+def test_token_counts_cover_all_documents_by_each_tokenizer(spark, tmp_path):
+    rows = [(1, "a b, c", "s", "en"), (2, "a b, c", "s", "en"), (3, "a b, c", "t", "en"), (3, "a b, c", "t", "en"), (4, None, "s", "en"), (5, "", "s", "en"), (6, "ü-x! y", None, None), (None, "a b, c", "s", "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for name, pattern in (("words-1", r"[^\x09-\x0D\x20]+"), ("words-2", r"[A-Za-z0-9\x80-\U0010FFFF]+|[^A-Za-z0-9\x80-\U0010FFFF\x09-\x0D\x20]")):
+        for _, text, source, lang in rows:
+            n, tokens = want.get((source, lang, name), (0, 0))
+            want[source, lang, name] = n + 1, tokens + len(re.findall(pattern, text or ""))
+    got = token_counts.op10_token_counts(spark, str(tmp_path)).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr((*k, *v)) for k, v in want.items())
+    assert want["s", "en", "words-1"] == (4, 6) and want["s", "en", "words-2"] == (4, 8)
+
+
 def test_pipeline_on_small_tables(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     r = np.random.default_rng(8)
