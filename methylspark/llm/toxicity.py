@@ -17,8 +17,10 @@ from .common import crc_bucket, named, table, text_bytes
 #: Most labelled rows of each class that the model is fitted on, and the longest text (characters) used
 #: for fitting. Scoring has no such bounds.
 SAMPLE_ROWS, SAMPLE_CHARS = 2500, 20_000
-#: Log odds of a sentence without evidence; so low that even 10^4 clean sentences leave a low score.
+#: Log odds that a sentence's evidence starts from. Sentences without evidence add nothing to a document's score.
 PRIOR = -12.0
+#: In texts of more sentences than this, weak evidence counts by its share: as much as in a text of so many with the same mix.
+SENTENCES = 1000
 PREFIXES = (3, 4, 5, 6)
 LEAST_DOCS = 4
 
@@ -67,20 +69,29 @@ class Model:
         return 1.0 / (1.0 + math.exp(-min(z, 40.0)))
 
     def document(self, text: str) -> float:
-        """Noisy-or over sentences. Sentences without evidence count with the prior's odds."""
+        """Noisy-or over the sentences with evidence, as in fitting; length alone does not raise it.
+
+        A sentence that is likelier toxic than not counts in full in a text of any length. Weaker ones
+        share the prior of SENTENCES sentences in longer texts.
+        """
         low = text.lower()
         cache, word = self.cache, self.word
-        base = -math.log1p(math.exp(PRIOR))
-        clean = 0.0
+        weak = strong = 0.0
+        n = 0
         for s in _SENTENCE.split(low):
             ws = _WORD.findall(s)
             if not ws:
                 continue
+            n += 1
             z = 0.0
             for w in set(ws):
                 v = cache.get(w)
                 z += word(w) if v is None else v
-            clean += base if z == 0.0 else -math.log1p(math.exp(min(PRIOR + z, 40.0)))
+            if PRIOR + z >= 0.0:
+                strong -= math.log1p(math.exp(min(PRIOR + z, 40.0)))
+            elif z != 0.0:
+                weak -= math.log1p(math.exp(PRIOR + z))
+        clean = strong + weak * min(1.0, SENTENCES / max(n, 1))
         return -math.expm1(clean)
 
 

@@ -266,3 +266,22 @@ def test_toxicity_learns_from_document_labels(spark):
     assert even.document("fine. a slury here.") >= 0.5 > even.document(prose(3, 500))
     none = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score(docs, none).filter("predicted = 1").count() == 0
+
+
+def test_toxicity_of_long_clean_texts(spark):
+    model = toxicity.Model({"slurx$": 20.0, "mild$": 3.0, "odd$": 8.0})
+    numbers = "0.12\n" * 500_000
+    clean = {
+        "numbers": numbers,
+        "prose": ". ".join(" ".join(WORDS[k % 390 : k % 390 + 5]) for k in range(200_000)),
+        "log": "\n".join(f"2024-01-01 host{k % 7} | ok | {k}" for k in range(100_000)),
+        "weak": "a mild word. w1. w2. w3. w4.\n" * 50_000,
+    }
+    for name, t in clean.items():
+        assert model.document(t) < 0.5, name
+    assert model.document(numbers) == 0.0
+    # one toxic sentence counts in full, however long the text; weak evidence adds up in short ones
+    assert model.document(numbers + "a slurx here") >= 0.5 and model.document("a slurx here\n" + clean["weak"]) >= 0.5
+    assert model.document("odd. " * 60) >= 0.5 > model.document("odd. " * 20) > model.document("odd. ") > 0
+    docs = spark.createDataFrame([(1, numbers), (2, numbers + "a slurx here")], "doc_id long, text string")
+    assert {r.doc_id: r.predicted for r in toxicity.score(docs, model).collect()} == {1: 0, 2: 1}
