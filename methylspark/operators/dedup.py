@@ -9,22 +9,34 @@ from methylspark.functions.seq import has_flag, letters, total_phred, unclipped_
 
 
 def edit_distance(m1, u1, m2, u2) -> Column:
-    """Positions that one read has methylated and the other unmethylated; calls against none cost nothing."""
+    """Positions that one read has methylated and the other unmethylated; calls against none cost nothing.
+
+    Maps may differ in length; words that one of them lacks hold no calls.
+    """
+    differ = lambda a, b: F.coalesce(a, F.lit(0)).bitwiseXOR(F.coalesce(b, F.lit(0)))
     return F.aggregate(
-        F.zip_with(F.zip_with(m1, m2, lambda a, b: a.bitwiseXOR(b)), F.zip_with(u1, u2, lambda a, b: a.bitwiseXOR(b)), lambda x, y: F.bit_count(x.bitwiseAND(y))),
+        F.zip_with(F.zip_with(m1, m2, differ), F.zip_with(u1, u2, differ), lambda x, y: F.bit_count(x.bitwiseAND(y))),
         F.lit(0), lambda a, x: a + x,
     )
 
 
 def call_maps(xm, qual, min_phred: int = 5, words: int = 4) -> tuple[Column, Column]:
-    """(methylated, unmethylated) bit maps of a call string as arrays of ``words`` longs of 62 bits each."""
+    """(methylated, unmethylated) bit maps of a call string as arrays of longs of 62 bits each.
+
+    There are ``words`` of them, and as many more as the calls of a longer read fill.
+    """
     good = F.array_join(F.zip_with(letters(xm), qual, lambda c, q: F.when(q >= min_phred, c).otherwise(".")), "")
 
-    def word(w, ones):
-        digits = F.translate(F.reverse(F.substring(good, 62 * w + 1, 62)), "ZXHzxh.", ones)
+    rest = F.regexp_extract_all(F.substring(good, 62 * words + 1, 2**31 - 1), F.lit("(?s).{1,62}"), F.lit(0))
+
+    def word(part, ones):
+        digits = F.translate(F.reverse(part), "ZXHzxh.", ones)
         return F.when(digits == "", 0).otherwise(F.conv(digits, 2, 10)).cast("long")
 
-    maps = [F.array(*[word(w, ones) for w in range(words)]) for ones in ("1110000", "0001110")]
+    def more(ones):
+        return F.coalesce(F.transform(rest, lambda part: word(part, ones)), F.array().cast("array<bigint>"))
+
+    maps = [F.concat(F.array(*[word(F.substring(good, 62 * w + 1, 62), ones) for w in range(words)]), more(ones)) for ones in ("1110000", "0001110")]
     return maps[0], maps[1]
 
 
@@ -36,8 +48,8 @@ def pair_rows(aln: DataFrame, read_id: str = "read_id", words: int = 4, min_phre
 
     Needs chrom, pos, cigar, flag, strand, second_mate, xm and qual (array). A missing or unmapped mate has a
     null chrom, strand and start and empty maps, so single ends, orphans and pairs share one rule. Clipped bases
-    keep their places in the maps, which hold the first ``62 * words`` bases of a mate; longer reads need more
-    words. Templates without a mapped mate are left out.
+    keep their places in the maps: ``words`` words of mate 1, as many of mate 2, and then, word by word in turn, what
+    longer mates have beyond them. Templates without a mapped mate are left out.
     """
     start = unclipped_start(F.col("cigar"), F.col("pos"))
     m, u = call_maps(F.col("xm"), F.col("qual"), min_phred, words)
@@ -45,7 +57,14 @@ def pair_rows(aln: DataFrame, read_id: str = "read_id", words: int = 4, min_phre
     one = mapped.select(read_id, F.when(F.col("second_mate"), 2).otherwise(1).alias("_mate"), F.struct("chrom", "strand", start.cast("int").alias("start"), m.alias("m"), u.alias("u"), total_phred(F.col("qual")).alias("q")).alias("r"))
     g = one.groupBy(read_id).agg(*[F.max(F.when(F.col("_mate") == k, F.col("r"))).alias(f"r{k}") for k in (1, 2)])
     none = F.array_repeat(F.lit(0).cast("long"), words)
-    maps = [F.concat(*[F.coalesce(f"r{k}.{c}", none) for k in (1, 2)]).alias(n) for c, n in (("m", "meth"), ("u", "unmeth"))]
+    zero = lambda x: F.coalesce(x, F.lit(0).cast("long"))
+
+    def both(c):
+        m1, m2 = [F.coalesce(f"r{k}.{c}", none) for k in (1, 2)]
+        beyond = [F.slice(x, words + 1, F.size(x)) for x in (m1, m2)]
+        return F.concat(F.slice(m1, 1, words), F.slice(m2, 1, words), F.flatten(F.zip_with(*beyond, lambda a, b: F.array(zero(a), zero(b)))))
+
+    maps = [both(c).alias(n) for c, n in (("m", "meth"), ("u", "unmeth"))]
     key = [F.col(f"r{k}.{c}").alias(f"{c}{k}") for k in (1, 2) for c in ("chrom", "strand", "start")]
     phred = sum(F.coalesce(f"r{k}.q", F.lit(0)) for k in (1, 2))
     set_bits = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + F.bit_count(x))

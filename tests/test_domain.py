@@ -185,6 +185,24 @@ def test_template_rows(spark):
     assert marks == {1: False, 2: False, 11: True, 12: True}
 
 
+def test_templates_that_differ_late_in_long_reads(spark):
+    def mate(template, second, calls, n=300):
+        xm = "".join(calls.get(i, ".") for i in range(n))
+        return (template, "c", 50 if second else 10, f"{n}M", 0, "OT", second, xm, [9] * n)
+
+    # 1: first of its key; 2: differs at base 290 of mate 1; 3: at base 270 of mate 2; 4: like 1; 5: mate 1 shorter, no call against 1; 6: the same, but mate 2 as in 3; 7, 8: single ends that differ at base 249
+    same = {0: "Z", 290: "Z"}, {1: "z", 270: "H"}
+    rows = [mate(1, False, same[0] | {5: "Z", 6: "Z"}), mate(1, True, same[1]), mate(2, False, {0: "Z", 290: "z"}), mate(2, True, same[1]), mate(3, False, same[0]), mate(3, True, {1: "z", 270: "h"})]
+    rows += [mate(4, False, same[0]), mate(4, True, same[1]), mate(5, False, {0: "Z"}, 100), mate(5, True, same[1]), mate(6, False, {0: "Z"}, 100), mate(6, True, {270: "h"})]
+    rows += [mate(7, False, {3: "Z", 248: "Z"}, 249), mate(8, False, {248: "z"}, 249)]
+    df = spark.createDataFrame(rows, "read_id long, chrom string, pos int, cigar string, flag int, strand string, second_mate boolean, xm string, qual array<int>")
+    for words in (4, 1, 6):
+        t = dedup.pair_rows(df, words=words)
+        assert {r.read_id: r.calls for r in t.collect()} == {1: 6, 2: 4, 3: 4, 4: 4, 5: 3, 6: 2, 7: 2, 8: 1}
+        marks = {r.read_id: r.duplicate for r in dedup.mark_duplicates(t, dedup.PAIR_KEY).collect()}
+        assert marks == {1: False, 2: False, 3: False, 4: True, 5: True, 6: True, 7: False, 8: False}
+
+
 def test_position_numbers(spark):
     rows = [("b", 5000, 1), ("a", 7, 2), ("a", 7, 1), ("a", 3000, 9), ("b", None, 4), ("a", 1023, 3)]
     df = spark.createDataFrame(rows, "chrom string, pos int, read_id int")
