@@ -20,7 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def contigs(spark, sf_dir) -> DataFrame:
     """chrom, ord, length, seq: the letters of each document as bases."""
     seq = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), LETTERS, BASES)
-    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("c"), F.lpad(F.col("doc_id").cast("string"), 6, "0")).alias("chrom"), F.col("doc_id").alias("ord"), seq.alias("seq"))
+    name = F.col("doc_id").cast("string")
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("c"), F.lpad(name, F.greatest(F.lit(6), F.length(name)), F.lit("0"))).alias("chrom"), F.col("doc_id").alias("ord"), seq.alias("seq"))
     return d.withColumn("length", F.length("seq"))
 
 
