@@ -1,12 +1,14 @@
 """Text operators against plain Python on small tables with nulls, empty and long texts, ties and repeats."""
 
 import hashlib
+import os
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from methylspark.llm import bpe, decontaminate, simhash, token_store, toxicity
 from methylspark.llm.common import work_dir
@@ -85,41 +87,95 @@ def test_token_store_round_trip(spark, docs):
     assert chunks.count() == chunks.select("hash").distinct().count()
 
 
-def test_word_encoder_equals_library():
+def test_word_encoder_equals_library(tmp_path):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    tok, enc = Tokenizer.from_file(path), token_store.WordEncoder(path)
-    assert enc.plain and not enc.whole
+    tok, enc = Tokenizer.from_file(path), token_store.WordEncoder(path, limit=500)
+    assert enc.by_word
     r = np.random.default_rng(6)
     signs = list("abzAZ'srtÉéßñÜ×÷ÿİſ019.,!?-_<|>#\u0301\u00a0\u2003\x1c٣中 \n\t  ") + ["<|endoftext|>", "the", "'ll", "ing"]
-    texts = ["".join(r.choice(signs, r.integers(0, 40))) for _ in range(4000)]
-    got = enc.encode([t.encode() for t in texts])
-    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    texts = ["", " "] + ["".join(r.choice(signs, r.integers(0, 40))) for _ in range(4000)]
+    for part in (texts[:3000], texts[3000:], texts[:10], []):
+        ids, bounds = enc.encode([t.encode() for t in part], 2)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [tok.encode(t, add_special_tokens=False).ids + [2] for t in part]
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    enc, tok = token_store.WordEncoder(other), Tokenizer.from_file(other)
+    assert not enc.by_word
+    ids, bounds = enc.encode([t.encode() for t in texts[:50]], 2)
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [tok.encode(t, add_special_tokens=False).ids + [2] for t in texts[:50]]
 
 
 def test_token_store_finds_damage(spark, docs):
     folder = work_dir(spark, "store")
     token_store.write_store(docs, folder, public_tokenizers.path("word_bpe_49k.json"), 2)
-    bad = spark.read.parquet(f"{folder}/parts").collect()
-    other = folder + "-damaged"
-    hurt = [(r.hash, bytes(r.data[:-4]) + b"\x01\x00\x00\x00" if r.kind == "chunk" else r.data, r.n, r.id, r.uid, r.kind) for r in bad]
-    spark.createDataFrame(hurt, "hash binary, data binary, n long, id long, uid long, kind string").write.partitionBy("kind").parquet(f"{other}/parts")
-    for t in ("recipes", "manifest"):
-        spark.read.parquet(f"{folder}/{t}").write.parquet(f"{other}/{t}")
-    with pytest.raises(Exception, match="does not match"):
-        token_store.read_store(spark, other).collect()
+    assert token_store.read_store(spark, folder).count() == docs.count()
+    kinds = {t: spark.read.parquet(f"{folder}/{t}") for t in ("parts", "recipes", "manifest", "root")}
+
+    def damaged(change):
+        other = work_dir(spark, "store")
+        for t, df in kinds.items():
+            w = change(t, df).write
+            (w.partitionBy("kind") if t == "parts" else w).parquet(f"{other}/{t}")
+        return other
+
+    byte = F.concat(F.expr("substring(data, 1, length(data) - 4)"), F.lit(b"\x01\x00\x00\x00"))
+    part = kinds["recipes"].agg(F.max("part")).first()[0]
+    hurt = {
+        "does not match its address": lambda t, d: d.withColumn("data", byte) if t == "parts" else d,
+        "not in the store": lambda t, d: d.orderBy("hash").offset(1) if t == "parts" else d,
+        "do not match the manifest": lambda t, d: d.filter(F.col("part") != part) if t == "recipes" else d,
+        "do not match the manifest ": lambda t, d: d.filter("pos <> 0") if t == "recipes" else d,
+        "do not match the manifest  ": lambda t, d: d.filter(F.col("part") != part) if t == "manifest" else d,
+        "does not match its root": lambda t, d: d.filter(F.col("part") != part) if t in ("manifest", "recipes") else d,
+        "does not match its root ": lambda t, d: d.limit(0) if t == "root" else d,
+    }
+    for told, change in hurt.items():
+        with pytest.raises(Exception, match=told.strip()):
+            token_store.read_store(spark, damaged(change)).collect()
+    import glob
+
+    os.remove(sorted(glob.glob(f"{folder}/recipes/part-*"))[0])
+    with pytest.raises(ValueError, match="do not match the manifest"):
+        token_store.read_store(spark, folder)
+
+
+def test_token_store_of_no_documents(spark, docs):
+    folder = work_dir(spark, "store")
+    token_store.write_store(docs.limit(0), folder, public_tokenizers.path("word_bpe_49k.json"), 2)
+    assert token_store.read_store(spark, folder).count() == token_store.read_documents(spark, folder).count() == 0
+
+
+def plain_merkle(leaves):
+    level = leaves or [token_store.digest(b"")]
+    while len(level) > 1:
+        up = [token_store.digest(b"\x01" + a + b) for a, b in zip(level[::2], level[1::2])]
+        level = up + level[len(up) * 2 :]
+    return level[0]
+
+
+def test_merkle_roots():
+    for n in range(40):
+        leaves = [token_store.digest(bytes([k])) for k in range(n)]
+        assert token_store.merkle(leaves) == plain_merkle(leaves)
 
 
 def test_cuts_follow_content():
     r = np.random.default_rng(3)
     a = r.integers(0, 49000, 20000)
     b = np.concatenate([r.integers(0, 49000, 777), a])
-    pieces = lambda x: {x[s:e].tobytes() for s, e in zip([0, *token_store.cuts(x)], token_store.cuts(x))}
+    ends = lambda x: token_store.cuts(x)[0]
+    pieces = lambda x: {x[s:e].tobytes() for s, e in zip([0, *ends(x)], ends(x))}
     assert len(pieces(a) & pieces(b)) > 0.8 * len(pieces(a))
-    sizes = np.diff([0, *token_store.cuts(a)])
+    sizes = np.diff([0, *ends(a)])
     assert sizes.sum() == len(a) and sizes.max() <= token_store.MOST and sizes[:-1].min() >= token_store.LEAST
-    assert token_store.cuts(a[:0]) == [] and token_store.cuts(a[:5]) == [5]
+    assert ends(a[:0]) == [] and ends(a[:5]) == [5]
+    # streams laid end to end are cut as each one alone is
+    streams = [a[:0], a[:5], b[:64], b[:65], a, np.zeros(9000, np.int64), b, a[:1], b[:3000]]
+    bounds = np.append(0, np.cumsum([len(x) for x in streams]))
+    got, counts = token_store.cuts(np.concatenate(streams), bounds)
+    assert counts == [len(ends(x)) for x in streams]
+    assert got == [e + s for x, s in zip(streams, bounds.tolist()) for e in ends(x)]
 
 
 def test_shift_crc():
