@@ -77,3 +77,21 @@ def named(batch: pa.RecordBatch, name: str) -> pa.Array:
 def crc_bucket(col) -> F.Column:
     """crc32 of a value's text."""
     return F.crc32(F.encode(col.cast("string"), "utf-8"))
+
+
+def attach(rows: DataFrame, values: DataFrame, key: str, value: str, count: str, share: int = 1000) -> DataFrame:
+    """``rows`` with ``value`` of their ``key`` (null without one); ``values`` has one row a key and its number of rows.
+
+    Keys with more than a ``share``-th of all rows, of which there can only be fewer than ``share``, reach
+    the rows by broadcast, and such rows are dealt evenly over the join that serves all other keys. So no
+    task gathers the rows of a hot key.
+    """
+    total = values.agg(F.sum(count)).first()[0] or 0
+    frequent = F.col(count) * share > total
+    hot = values.filter(frequent).select(F.col(key), F.col(value).alias("_hot"))
+    cold = values.filter(~frequent).select(F.col(key).alias("_cold_key"), F.col(value).alias("_cold"))
+    kind = values.schema[key].dataType
+    dealt = F.when(F.col("_hot").isNotNull(), F.xxhash64(F.monotonically_increasing_id()).cast(kind)).otherwise(F.col(key))
+    out = rows.join(F.broadcast(hot), key, "left").withColumn("_dealt", dealt)
+    out = out.join(cold, F.col("_dealt") == F.col("_cold_key"), "left").withColumn(value, F.coalesce("_hot", "_cold"))
+    return out.drop("_hot", "_cold", "_cold_key", "_dealt")

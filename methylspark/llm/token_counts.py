@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import quote
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, work_dir
+from .bpe import Merger
+from .common import attach, materialize, named, slices, table, text_bytes, work_dir
+from .token_store import encoder
 
 DELTA = "source string, lang string, tokenizer string, documents bigint, tokens bigint"
 
@@ -19,6 +26,24 @@ def count_tokens(docs: DataFrame, keep: list[str], tokenizers: dict[str, str] =
     return docs.select(*keep, *[F.regexp_count(t, F.lit(p)).cast("long").alias(name) for name, p in tokenizers.items()])
 
 
+def count_model_tokens(docs: DataFrame, keep: list[str], tokenizers: dict[str, str], text: str = "text") -> DataFrame:
+    """As ``count_tokens``, by vocabulary files: names to paths of tokenizers-library JSON or tiktoken rank files."""
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in keep}
+
+    def run(batches):
+        models = {name: Merger(path) if path.endswith(".tiktoken") else encoder(path) for name, path in tokenizers.items()}
+        for batch in batches:
+            for b in slices(batch, "_b"):
+                texts, out = [t or b"" for t in named(b, "_b").to_pylist()], []
+                for m in models.values():
+                    n = [len(x) // 4 for x in m.encode(texts)] if isinstance(m, Merger) else np.diff(m.encode(texts, 0)[1]) - 1
+                    out.append(pa.array(n, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(named(b, c) for c in keep), *out], names=[*keep, *models])
+
+    shape = ", ".join([*(f"`{c}` {k}" for c, k in kinds.items()), *(f"`{name}` bigint" for name in tokenizers)])
+    return text_bytes(docs, *keep, text=text).mapInArrow(run, shape)
+
+
 def inserts(counts: DataFrame, tokenizer: str, tokens: str) -> DataFrame:
     """Deltas of new documents (source, lang and a count column); null counts are 0 tokens."""
     n = F.coalesce(F.col(tokens), F.lit(0)).cast("long")
@@ -38,38 +63,48 @@ def revisions(counts: DataFrame, tokenizer: str, before: str, after: str) -> Dat
 
 
 class Rollup:
-    """Additive totals in a folder that all executors share: one subfolder for each committed batch.
+    """Additive totals in a folder that all executors share.
 
-    A batch's deltas are summed and written aside, and one rename makes them count. A batch id that is
-    already there is left alone, so replays and retries change nothing. Sums are bounded by the number of
-    (source, language, tokenizer) keys, whatever the batch's size.
+    A batch's deltas are summed, written aside and moved by one rename to a name of their own below the
+    batch. Of a batch's attempts the one with the smallest name counts, so replays, retries and writers
+    that race change nothing: a batch id counts once. Sums are bounded by the number of (source, language,
+    tokenizer) keys, whatever the batch's size. Needs a file system whose rename of a folder is atomic.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(f"{self.path}/batches"))
 
+    def _folder(self, batch: str):
+        return self._path(f"{self.path}/batches/batch={quote(batch, safe='')}")
+
+    def _attempts(self, batch: str) -> list[str]:
+        at = self._folder(batch)
+        return sorted(x.getPath().getName() for x in self._fs.listStatus(at)) if self._fs.exists(at) else []
+
     def committed(self, batch: str) -> bool:
-        return self._fs.exists(self._path(f"{self.path}/batches/{batch}"))
+        return bool(self._attempts(batch))
 
     def commit(self, batch: str, deltas: DataFrame) -> bool:
-        """Add a batch; False if it was there before (or another writer was first)."""
+        """Add a batch; False if it was there before or another writer's attempt counts."""
         if self.committed(batch):
             return False
         sums = deltas.groupBy("source", "lang", "tokenizer").agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-        aside = work_dir(self.spark, f"staged-{batch}")
+        aside = work_dir(self.spark, "staged")
         sums.write.parquet(aside)
-        if self.committed(batch):
-            return False
-        return bool(self._fs.rename(self._path(aside), self._path(f"{self.path}/batches/{batch}")))
+        own = f"attempt={uuid.uuid4().hex}"
+        self._fs.mkdirs(self._folder(batch))
+        if not self._fs.rename(self._path(aside), self._path(self._folder(batch), own)):
+            raise OSError(f"batch {batch} could not be moved into place")
+        return self._attempts(batch)[0] == own
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, documents, tokens over all batches; keys that came down to nothing stay out."""
-        read = self.spark.read.schema(DELTA).option("recursiveFileLookup", "true").parquet(f"{self.path}/batches")
-        sums = read.groupBy("source", "lang", "tokenizer").agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
+        read = self.spark.read.schema(f"{DELTA}, batch string, attempt string").parquet(f"{self.path}/batches")
+        counts = read.groupBy("batch").agg(F.min("attempt").alias("attempt"))
+        sums = read.join(counts, ["batch", "attempt"]).groupBy("source", "lang", "tokenizer").agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
         return sums.filter("documents <> 0 or tokens <> 0")
 
 
@@ -84,8 +119,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = table(spark, sf_dir, "documents").withColumn("key", F.md5(F.encode(F.coalesce("text", F.lit("")), "utf-8")))
     counts = materialize(count_tokens(docs, ["doc_id", "source", "lang", "key"]), "counts")
-    first = counts.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    marked = materialize(counts.join(first, "key", "left").withColumn("copy", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))).drop("key", "first"), "counts")
+    first = materialize(counts.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "counts")
+    marked = attach(counts, first, "key", "first", "n").withColumn("copy", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)))
+    marked = materialize(marked.drop("key", "first"), "counts")
     copies, rest = marked.filter("copy"), marked.filter("not copy")
     rollup = Rollup(spark, work_dir(spark, "rollup"))
     batches = {
@@ -100,9 +136,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+#: Each tokenizer's own count over all documents, whatever deltas lead there.
 OP10_SQL = r"""
-with d as (select *, row_number() over (partition by coalesce(text, '') order by doc_id) = 1 as own from documents),
-c as (select source, lang, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9\x{80}-\x{10FFFF}]+|[^A-Za-z0-9\x{80}-\x{10FFFF}\x09-\x0D\x20]')) as n from d where own)
-select source, lang, t.tokenizer, count(*)::bigint as documents, sum(n)::bigint as tokens
+with c as (select source, lang,
+  len(regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D\x20]+')) as w1,
+  len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9\x{80}-\x{10FFFF}]+|[^A-Za-z0-9\x{80}-\x{10FFFF}\x09-\x0D\x20]')) as w2 from documents)
+select source, lang, t.tokenizer, count(*)::bigint as documents, sum(case when t.tokenizer = 'words-1' then w1 else w2 end)::bigint as tokens
 from c, (values ('words-1'), ('words-2')) t(tokenizer) group by all
 """

@@ -141,6 +141,30 @@ def test_rollup_is_idempotent(spark):
     assert {tuple(r) for r in again.totals().collect()} == {("s", "en", "words-1", 2, 4)}
 
 
+def test_rollup_counts_one_of_two_writers(spark, monkeypatch):
+    docs = spark.createDataFrame([("s", "en", 5), ("s", "en", 7)], "source string, lang string, n long")
+    roll = token_counts.Rollup(spark, work_dir(spark, "rollup"))
+    deltas = token_counts.inserts(docs, "words-1", "n")
+    monkeypatch.setattr(token_counts.Rollup, "committed", lambda *_: False)  # both pass the check before either has moved
+    won = [roll.commit("day 1/a", deltas) for _ in range(4)]
+    assert any(won) and [tuple(r) for r in roll.totals().collect()] == [("s", "en", "words-1", 2, 12)]
+
+
+def test_counts_by_vocabulary_files(spark):
+    import public_tokenizers
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    paths = {"word": public_tokenizers.path("word_bpe_49k.json"), "byte": public_tokenizers.path("byte_bpe_multi_50k.tiktoken")}
+    texts = [None, "", "It's naïve, 12 times!", "x" * 500, "a b\n\nc"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    tok = Tokenizer.from_file(paths["word"])
+    ranks = token_counts.Merger(paths["byte"]).ranks
+    byte = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = [(k, len(tok.encode(t or "", add_special_tokens=False).ids), len(byte.encode_ordinary(t or ""))) for k, t in enumerate(texts)]
+    assert sorted(map(tuple, token_counts.count_model_tokens(docs, ["doc_id"], paths).collect())) == want
+
+
 def test_token_counts_cover_all_documents_by_each_tokenizer(spark, tmp_path):
     rows = [(1, "a b, c", "s", "en"), (2, "a b, c", "s", "en"), (3, "a b, c", "t", "en"), (3, "a b, c", "t", "en"), (4, None, "s", "en"), (5, "", "s", "en"), (6, "ü-x! y", None, None), (None, "a b, c", "s", "de")]
     spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
