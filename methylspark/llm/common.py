@@ -88,10 +88,18 @@ def attach(rows: DataFrame, values: DataFrame, key: str, value: str, count: str,
     """
     total = values.agg(F.sum(count)).first()[0] or 0
     frequent = F.col(count) * share > total
-    hot = values.filter(frequent).select(F.col(key), F.col(value).alias("_hot"))
-    cold = values.filter(~frequent).select(F.col(key).alias("_cold_key"), F.col(value).alias("_cold"))
-    kind = values.schema[key].dataType
-    dealt = F.when(F.col("_hot").isNotNull(), F.xxhash64(F.monotonically_increasing_id()).cast(kind)).otherwise(F.col(key))
+    held = F.struct(F.col(value).alias("v"))
+    hot = values.filter(frequent).select(F.col(key), held.alias("_hot"))
+    cold = values.filter(~frequent).select(F.col(key).alias("_cold_key"), held.alias("_cold"))
+    spread = F.xxhash64(F.monotonically_increasing_id()).cast(values.schema[key].dataType)
+    dealt = F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), spread).otherwise(F.col(key))
     out = rows.join(F.broadcast(hot), key, "left").withColumn("_dealt", dealt)
-    out = out.join(cold, F.col("_dealt") == F.col("_cold_key"), "left").withColumn(value, F.coalesce("_hot", "_cold"))
+    # a row dealt evenly may meet another key's value: its own comes first, and null keys have none
+    cold_value = F.when(F.col(key).isNotNull(), F.col("_cold"))
+    out = out.join(cold, F.col("_dealt") == F.col("_cold_key"), "left").withColumn(value, F.coalesce("_hot", cold_value)["v"])
     return out.drop("_hot", "_cold", "_cold_key", "_dealt")
+
+
+def numbered(docs: DataFrame, label: str) -> DataFrame:
+    """uid and doc (a struct of all columns), written once, so that rows can be told apart by number."""
+    return materialize(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*[docs[c] for c in docs.columns]).alias("doc")), label)

@@ -81,6 +81,23 @@ def test_embeddings_against_brute_force(spark):
     assert len(got) == len(rows) and embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_with_null_ids_and_extreme_norms(spark):
+    a, b = [1.0, 0.01, 0.0], [0.0, 0.01, 1.0]
+    big, tiny = [1e200, 1e198, 0.0], [1e-200, 1e-202, 0.0]
+    rows = [(5, a), (None, [1.0, 0.02, 0.0]), (7, b), (None, [0.0, 0.02, 1.0]), (8, big), (9, tiny), (None, [0.0, 1.0, 0.0]), (10, [1.0, 0.01]), (None, None)]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = sorted(map(repr, map(tuple, embeddings.near_duplicates(df).collect())))
+    want = [(5, 3, 5, True), (None, 3, 5, False), (7, 1, 7, True), (None, 1, 7, False), (8, 3, 5, False), (9, 3, 5, False), (None, 0, None, False), (10, 0, 10, True), (None, 0, None, False)]
+    assert got == sorted(map(repr, want))
+
+
+def test_embedding_plan_keeps_recall():
+    for n in (0, 1, 10**5, 10**9):
+        bits, tables = embeddings.plan(n, 0.98)
+        assert (1 - (1 - np.arccos(0.98) / np.pi) ** bits) ** tables <= 1e-5 and n / 2**bits <= embeddings.BUCKET
+    assert embeddings.plan(50_000, 0.98)[0] == 16
+
+
 def test_licenses(spark):
     mit, gpl = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["GPL-3.0-line"]
     pad = " ".join(f"w{k}" for k in range(500))
