@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, numbered, table
 
 #: Kind, pattern (kinds in the order in which equal starts are listed).
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -101,35 +101,43 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents")).drop("all_spans")
 
 
+def _masked(docs: DataFrame, scope: int, text: str, mask: str) -> DataFrame:
+    """doc (a struct of all columns, spans of its text masked) and whether there were any."""
+    held = numbered(docs, "redact")
+    found = find_secrets(held.select(F.col("uid").alias("row"), F.col("doc")[text].alias("t")), scope, "row", "t")
+    hit = found.filter(F.size("all_spans") > 0).select(F.col("row").alias("uid"), F.col("all_spans").alias("spans"))
+    t = F.col("doc")[text]
+    # sorted spans; one that begins before an earlier one's end is covered, or goes on from there
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<begin:int,start:int>>").alias("cuts"))
+
+    def step(a, s):
+        cut = F.struct(a["at"].alias("begin"), s["start"].alias("start"))
+        cuts = F.when(s["start"] >= a["at"], F.concat(a["cuts"], F.array(cut))).otherwise(a["cuts"])
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), cuts.alias("cuts"))
+
+    def finish(a):
+        kept = F.transform(a["cuts"], lambda c: F.concat(F.substring(t, c["begin"] + 1, c["start"] - c["begin"]), F.lit(mask)))
+        return F.concat(F.array_join(kept, ""), F.substring(t, a["at"] + 1, F.length(t)))
+
+    clean = F.aggregate("spans", start, step, finish)
+    joined = held.join(hit, "uid", "left")
+    changed = F.col("spans").isNotNull()
+    return joined.select(F.when(changed, F.col("doc").withField(text, clean)).otherwise(F.col("doc")).alias("doc"), changed.alias("changed"))
+
+
 def redact(docs: DataFrame, scope: int = SCOPE, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with each text's spans replaced by ``mask``; overlapping spans count as one.
 
     Rows without spans are returned as they are. The text is joined to its spans by a row number that is
     written down once, so repeated rows keep apart.
     """
-    columns = docs.columns
-    held = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "redact")
-    found = find_secrets(held.select(F.col("_row"), F.col(text)), scope, "_row", text)
-    hit = found.filter(F.size("all_spans") > 0).select("_row", F.col("all_spans").alias("_s"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    t = F.col(text)
-
-    def step(a, s):
-        gap = F.when(s["start"] > a["at"], F.substring(t, a["at"] + 1, s["start"] - a["at"])).otherwise(F.lit(""))
-        more = F.when(s["start"] >= a["at"], F.concat(a["out"], gap, F.lit(mask))).otherwise(a["out"])
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), more.alias("out"))
-
-    clean = F.aggregate("_s", start, step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
-    joined = held.join(hit, "_row", "left").withColumn(text, F.when(F.col("_s").isNull(), t).otherwise(clean))
-    return joined.select(columns)
+    return _masked(docs, scope, text, mask).select("doc.*")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets masked, n_chars brought up to date where a text changed."""
-    columns = docs.columns
-    out = redact(docs.withColumn("_before", F.md5(F.encode("text", "utf-8"))))
-    changed = ~F.md5(F.encode("text", "utf-8")).eqNullSafe(F.col("_before"))
-    return out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(columns)
+    n = F.when(F.col("changed"), F.length("doc.text").cast("long")).otherwise(F.col("doc.n_chars"))
+    return _masked(docs, SCOPE, "text", "[SECRET]").select(F.col("doc").withField("n_chars", n).alias("doc")).select("doc.*")
 
 
 def _sql_kind(kind: int, pattern: str, group: int = 0, least: int = 0) -> str:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, named, table, text_bytes
+from .common import attach, materialize, named, numbered, table, text_bytes
 from .components import connected_components
 
 
@@ -106,24 +106,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     stay; an empty table gives an empty result.
     """
     fps = materialize(fingerprints(docs, id_col, text), "simhash")
-    classes = fps.groupBy("fp").agg(F.min(id_col).alias("rep"))
+    classes = materialize(fps.groupBy("fp").agg(F.min(id_col).alias("rep"), F.count("*").alias("rows")), "simhash")
     links = link_fingerprints(classes, max_distance, spare)
     comp = connected_components(links, "a", "b")
     # components are over fingerprints; their name is the smallest id among the classes joined
     linked = comp.join(classes, comp.node == classes.fp, "left").select("node", "component", "rep")
     least = linked.groupBy("component").agg(F.min("rep").alias("low"))
     of = materialize(linked.join(least, "component").select(F.col("node").alias("fp"), "low"), "simhash")
-    named_classes = classes.join(of, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id"))
-    return fps.join(named_classes, "fp").select(
+    named_classes = materialize(classes.join(of, "fp", "left").select("fp", "rows", F.coalesce("low", "rep").alias("component_id")), "simhash")
+    return attach(fps, named_classes, "fp", "component_id", "rows").select(
         id_col, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id of every document; nulls, repeats and empty tables as in ``near_duplicates``."""
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document (the smallest doc_id) of each group of near-duplicates; null ids are kept."""
-    drop = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    """Keep one row of each group of near-duplicates: that of the smallest doc_id, null ids last.
+
+    Rows are told apart by number, so of repeated rows one stays, and a null doc_id saves no copy.
+    """
+    held = numbered(docs, "simhash")
+    groups = near_duplicates(held.select("uid", "doc.text"), "uid").select("uid", "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
+    first = groups.join(held.select("uid", "doc.doc_id"), "uid").groupBy("component_id").agg(F.min(order)["uid"].alias("uid"))
+    return held.join(first, "uid", "left_semi").select("doc.*")
