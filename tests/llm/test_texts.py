@@ -260,7 +260,6 @@ def test_decontamination(spark):
     near = decontaminate.matches(docs, bench)
     want = [(2, 1, 1.0, 1, 40), (3, 0, 1.0, 3, 15), (8, 2, 1.0, 1, 40), (8, 2, 1.0, 1, 40)]
     assert sorted(map(tuple, near.collect())) == want
-    assert sorted(map(tuple, decontaminate.matches(docs, bench, broadcast_seeds=0).collect())) == want
     assert decontaminate.matches(docs, bench.limit(0)).count() == 0
     assert decontaminate.matches(docs.limit(0), bench).count() == 0
 
@@ -285,15 +284,50 @@ def plain_tiles(doc, item, least):
         out.append((d, p, n))
 
 
-def test_tiles_cover_as_brute_force_does():
+def test_tiles_are_those_of_brute_force():
     r = np.random.default_rng(11)
-    for _ in range(150):
-        item = r.integers(0, 6, r.integers(5, 40)).tolist()
-        doc = r.integers(0, 6, r.integers(5, 60)).tolist()
-        got, want = decontaminate.tiles(doc, item, 3), plain_tiles(doc, item, 3)
-        assert sorted(n for *_, n in got)[-1:] == sorted(n for *_, n in want)[-1:]
-        assert all(doc[d : d + n] == item[p : p + n] for d, p, n in got)
-        assert abs(sum(n for *_, n in got) - sum(n for *_, n in want)) <= 6
+    for k in range(2500):
+        signs, least = int(r.integers(2, 7)), int(r.integers(2, 6))
+        item = r.integers(0, signs, r.integers(1, 40)).tolist()
+        doc = r.integers(0, signs, r.integers(1, 60)).tolist()
+        if k % 3 == 0:  # reordered passages
+            parts = np.array_split(np.array(item), int(r.integers(1, 5)))
+            doc = [int(x) for p in r.permutation(len(parts)) for x in parts[p]]
+        assert decontaminate.tiles(doc, item, least) == plain_tiles(doc, item, least)
+    assert sum(n for *_, n in decontaminate.tiles([1] * 20000, [1] * 1000, 5)) == 1000
+
+
+def test_decontamination_against_brute_force(spark):
+    r = np.random.default_rng(12)
+    word = ["a", "b", "c", "d"]
+    items = {k: " ".join(r.choice(word, r.integers(5, 25))) for k in range(12)}
+    texts = []
+    for k in range(300):
+        w = items[int(r.integers(12))].split()
+        at = int(r.integers(len(w)))
+        texts.append(" ".join([*r.choice(word, 3), *w[at:], *r.choice(word, r.integers(0, 3)), *w[:at]]))
+    want = []
+    for d, t in enumerate(texts):
+        for k, i in items.items():
+            got = plain_tiles(t.split(), i.split(), 5)
+            share = sum(n for *_, n in got) / len(i.split())
+            if share >= 0.8:
+                want.append((d, k, share, len(got), max(n for *_, n in got)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    assert sorted(map(tuple, decontaminate.matches(docs, bench).collect())) == sorted(want) and want
+
+
+def test_stages_decide_by_row(spark, tmp_path):
+    item = prose(60, 40)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, item, 1), (None, prose(61, 50), 2), (1, prose(61, 50), 3), (1, prose(61, 50), 4), (2, prose(62, 50), 5), (2, prose(63, 50) + " " + item, 6), (None, None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, uid int")
+    kept = decontaminate.stage(spark, docs, str(tmp_path)).collect()
+    assert sorted(x.uid for x in kept) == [2, 3, 4, 5, 7]
+    kept = simhash.stage(spark, docs, str(tmp_path)).collect()
+    assert len(kept) == 5 and {1, 5, 6, 7} < {x.uid for x in kept}
+    assert len([x for x in kept if x.text == prose(61, 50)]) == 1 and {x.doc_id for x in kept if x.text == prose(61, 50)} == {1}
 
 
 def test_toxicity_learns_from_document_labels(spark):
