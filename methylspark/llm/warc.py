@@ -2,127 +2,153 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, named, table, work_dir
+from .common import attach, materialize, named, slices, table, work_dir
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
+#: Compressed bytes after which an archive file ends (a longer record makes a longer file).
+FILE_BYTES = 32_000_000
 
 
 def sha1_base32(col) -> F.Column:
-    """Bare upper-case base32 SHA-1: eight groups of five hex digits, each four base-32 digits."""
-    h = F.sha1(F.encode(col, "utf-8"))
+    """Bare upper-case base32 SHA-1 of a binary column: eight groups of five hex digits, each four base-32 digits."""
+    h = F.sha1(col)
     groups = [F.lpad(F.conv(F.substring(h, 5 * k + 1, 5), 16, 32), 4, "0") for k in range(8)]
     return F.translate(F.concat(*groups), DIGITS, BASE32)
 
 
 def plan_captures(pages: DataFrame, id_col: str = "page_id", payload: str = "html", url: str = "url", min_bytes: int = 0) -> DataFrame:
-    """page_id, url, html and what the record will say: payload_bytes, payload_digest, record_type, refers_to.
+    """page_id, url, html, uid and what the record will say: payload_bytes, payload_digest, record_type, refers_to, refers_uid.
 
     Of records with equal payloads of ``min_bytes`` or more, the smallest page_id is the response and the
     others revisit it. Null payloads are empty ones. Rows that share the smallest page_id are all
-    responses; a null page_id never serves as the original.
+    responses, and revisits name the first of them; a null page_id never serves as the original.
     """
-    text = F.coalesce(F.col(payload).cast("string"), F.lit(""))
-    p = pages.select(F.col(id_col).alias("page_id"), F.col(url).cast("string").alias("url"), text.alias("html"))
-    p = p.withColumns({"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": sha1_base32(F.col("html"))})
-    shared = (
-        p.filter(F.col("payload_bytes") >= min_bytes)
-        .groupBy(F.col("payload_digest").alias("_d"), F.col("payload_bytes").alias("_n"))
-        .agg(F.count("*").alias("_c"), F.min("page_id").alias("_first"))
-        .filter("_c > 1")
-        .drop("_c")
-    )
-    p = p.join(shared, (p.payload_digest == F.col("_d")) & (p.payload_bytes == F.col("_n")), "left")
-    again = F.col("_first").isNotNull() & ~F.col("_first").eqNullSafe(F.col("page_id"))
-    return p.select(
-        "page_id", "url", "html", "payload_bytes", "payload_digest",
-        F.when(again, "revisit").otherwise("response").alias("record_type"),
-        F.when(again, F.col("_first")).alias("refers_to"),
-    )
+    body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
+    p = pages.select(F.col(id_col).alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("html"))
+    p = p.withColumns({"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": sha1_base32(F.col("html").cast("binary")), "uid": F.monotonically_increasing_id()})
+    p = p.withColumn("_key", F.when(F.col("payload_bytes") >= min_bytes, F.concat_ws(":", "payload_digest", F.col("payload_bytes").cast("string"))))
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "uid")))
+    shared = p.filter("_key is not null").groupBy("_key").agg(F.count("*").alias("_n"), first.alias("_first")).filter("_n > 1 and _first is not null")
+    p = attach(p, materialize(shared, "payloads"), "_key", "_first", "_n")
+    again = F.col("_first").isNotNull() & ~F.col("_first.page_id").eqNullSafe(F.col("page_id"))
+    out = {"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("_first.page_id")), "refers_uid": F.when(again, F.col("_first.uid"))}
+    return p.withColumns(out).drop("_key", "_first")
+
+
+def _urn(kind: str, page, uid) -> str:
+    h = hashlib.md5(f"{kind}:{page}/{uid}".encode()).hexdigest()
+    return f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}>"
 
 
-CRLF = "\r\n"
+def _record(kind: str, headers: list[tuple[str, str | None]], block: bytes) -> bytes:
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", *(f"{k}: {v}" for k, v in headers if v is not None), f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def _urn(kind: str, key) -> F.Column:
-    h = F.md5(F.encode(F.concat(F.lit(f"{kind}:"), F.coalesce(key.cast("string"), F.lit("null"))), "utf-8"))
-    cut = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
+def _member(data: bytes) -> bytes:
+    """A gzip member; short records need no large window."""
+    z = zlib.compressobj(6, zlib.DEFLATED, 31) if len(data) > 8192 else zlib.compressobj(6, zlib.DEFLATED, 29, 6)
+    return z.compress(data) + z.flush()
 
 
-def _record(kind, headers: list[tuple[str, object]], block) -> F.Column:
-    """A record without its very last line end, which the writer's line separator supplies."""
-    lines = [F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), kind)]
-    lines += [F.when(v.isNotNull(), F.concat(F.lit(f"{k}: "), v.cast("string"))) for k, v in headers]
-    lines += [F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string"))]
-    return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF * 2), block, F.lit(CRLF))
+_SIGNS = {k: " " for k in (*range(32), 127)}
+_HTTP = "application/http; msgtype=%s"
 
 
-def _one_line(col) -> F.Column:
-    return F.regexp_replace(F.coalesce(col, F.lit("")), r"[\x00-\x1f\x7f]", " ")
+def _response(uri: str, page, uid, digest: str, date: str, html: bytes, refers: tuple | None = None) -> bytes:
+    """A response, or (with ``refers``) a revisit of the page and row number named there."""
+    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(html)
+    headers = [("WARC-Record-ID", _urn("main", page, uid)), ("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{digest}")]
+    if refers:
+        headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _urn("main", *refers))]
+    headers.append(("Content-Type", _HTTP % "response"))
+    return _record("revisit" if refers else "response", headers, head if refers else head + html)
 
 
-def write_archives(captures: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 6000) -> None:
-    """Write request, response or revisit, and metadata records of each capture as gzipped WARC files.
+def _segments(date: str, file_bytes: int):
+    """Map captures to rows that each hold one archive file, but for its last byte, which is zero."""
 
-    All text is UTF-8, so records are lines for Spark's text writer with CRLF as separator: the committed
-    job output is whole even if executors are lost. Files end after ``records_per_file`` records.
+    def close(held: list[bytes]) -> pa.RecordBatch:
+        data = b"".join(held)
+        if data[-1]:  # only after a record of 16 MB or more: an empty member ends with zeros
+            data += _member(b"")
+        return pa.RecordBatch.from_arrays([pa.array([data[:-1]], pa.binary())], names=["segment"])
+
+    def run(batches):
+        held, size = [], 0
+        names = ("page_id", "uid", "url", "html", "payload_bytes", "payload_digest", "record_type", "refers_to", "refers_uid")
+        for batch in batches:
+            for b in slices(batch, "html"):
+                for page, uid, url, html, n, digest, kind, to, to_uid in zip(*(named(b, c).to_pylist() for c in names)):
+                    uri, main = (url or "").translate(_SIGNS), _urn("main", page, uid)
+                    if not held:
+                        info = [("WARC-Record-ID", _urn("info", page, uid)), ("WARC-Date", date), ("Content-Type", "application/warc-fields")]
+                        held, size = [_member(_record("warcinfo", info, b"format: WARC File Format 1.1\r\n"))], 0
+                    said = lambda kind, form: [("WARC-Record-ID", _urn(kind, page, uid)), ("WARC-Concurrent-To", main), ("WARC-Date", date), ("WARC-Target-URI", uri), ("Content-Type", form)]  # noqa: B023, E731
+                    told = b"page-id: %s\r\npayload-bytes: %d\r\n" % (b"" if page is None else str(page).encode(), n)
+                    refers = (to, to_uid) if kind == "revisit" else None
+                    members = [
+                        _member(_record("request", said("request", _HTTP % "request"), f"GET {uri} HTTP/1.1\r\n\r\n".encode())),
+                        _member(_response(uri, page, uid, digest, date, html, refers)),
+                        _member(_record("metadata", said("metadata", "application/warc-fields"), told)),
+                    ]
+                    held += members
+                    size += sum(map(len, members))
+                    if size >= file_bytes:
+                        yield close(held)
+                        held = []
+        if held:
+            yield close(held)
+
+    return run
+
+
+def write_archives(captures: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", file_bytes: int = FILE_BYTES) -> None:
+    """Write a warcinfo record a file and request, response or revisit, and metadata records of each capture.
+
+    Each record is a gzip member of its own. Files end after ``file_bytes``. Spark's text writer takes
+    each file as one line of bytes with a zero byte, the last one of every short member, as line end; so
+    the committed job output is whole even if executors are lost. Files get their usual ending afterwards.
     """
-    key = F.concat_ws("/", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.monotonically_increasing_id().cast("string"))
-    c = captures.withColumn("_k", key).withColumns({"_main": _urn("main", F.col("_k")), "_uri": _one_line(F.col("url"))})
-    main, uri, when = F.col("_main"), F.col("_uri"), F.lit(date)
-    http = {"Content-Type": "application/http; msgtype=%s"}
-    revisit = F.col("record_type") == "revisit"
-    head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF * 2))
-    response = _record(
-        F.col("record_type"),
-        [
-            ("WARC-Record-ID", main), ("WARC-Date", when), ("WARC-Target-URI", uri),
-            ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-            ("WARC-Profile", F.when(revisit, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
-            ("WARC-Refers-To", F.when(revisit, F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">")))),
-            ("Content-Type", F.lit(http["Content-Type"] % "response")),
-        ],
-        F.concat(head, F.when(revisit, F.lit("")).otherwise(F.col("html"))),
-    )
-    request = _record(
-        F.lit("request"),
-        [("WARC-Record-ID", _urn("request", F.col("_k"))), ("WARC-Concurrent-To", main), ("WARC-Date", when), ("WARC-Target-URI", uri), ("Content-Type", F.lit(http["Content-Type"] % "request"))],
-        F.concat(F.lit("GET "), uri, F.lit(" HTTP/1.1" + CRLF * 2)),
-    )
-    meta = _record(
-        F.lit("metadata"),
-        [("WARC-Record-ID", _urn("metadata", F.col("_k"))), ("WARC-Concurrent-To", main), ("WARC-Date", when), ("WARC-Target-URI", uri), ("Content-Type", F.lit("application/warc-fields"))],
-        F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\npayload-bytes: "), F.col("payload_bytes").cast("string"), F.lit(CRLF)),
-    )
-    # the three records of a row are made from it again, so no wide row is copied
-    lines = c.select(F.explode(F.array(request, response, meta)).alias("value"))
-    lines.write.option("lineSep", CRLF).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    spark = captures.sparkSession
+    names = ["page_id", "uid", "url", "html", "payload_bytes", "payload_digest", "record_type", "refers_to", "refers_uid"]
+    raw = captures.select(*names).withColumn("html", F.col("html").cast("binary"))
+    files = raw.mapInArrow(_segments(date, file_bytes), "segment binary").select(F.col("segment").cast("string").alias("value"))
+    files.write.option("lineSep", "\x00").option("maxRecordsPerFile", 1).text(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for at in [x.getPath() for x in fs.listStatus(hadoop.Path(path))]:  # one call a file of FILE_BYTES
+        name = at.getName()
+        if name.endswith(".txt") and not fs.rename(at, hadoop.Path(at.getParent(), name[:-4] + ".warc.gz")):
+            raise OSError(f"{name} could not be renamed")
 
 
 class _Inflate:
     """Bytes of a gzip file (any number of members) as asked for, without inflating it whole."""
 
+    CHUNK = 65536
+
     def __init__(self, data: bytes):
-        self.data, self.z, self.buf = memoryview(data), zlib.decompressobj(31), bytearray()
-        self.plain = data[:2] != b"\x1f\x8b"
-        if self.plain:
+        self.data, self.at, self.z, self.buf = memoryview(data), 0, zlib.decompressobj(31), bytearray()
+        if data[:2] != b"\x1f\x8b":
             self.buf, self.data = bytearray(data), memoryview(b"")
 
     def fill(self, n: int) -> bool:
-        while len(self.buf) < n:
-            if self.z.eof:  # the next gzip member
-                self.data, self.z = memoryview(self.z.unused_data + bytes(self.data)), zlib.decompressobj(31)
-            if not len(self.data):
-                break
-            chunk, self.data = self.data[:262144], self.data[262144:]
+        while len(self.buf) < n and self.at < len(self.data):
+            if self.z.eof:
+                self.z = zlib.decompressobj(31)
+            chunk = self.data[self.at : self.at + self.CHUNK]
             self.buf += self.z.decompress(chunk)
+            # what follows a member's end is read again by the next one
+            self.at += len(chunk) - len(self.z.unused_data)
         return len(self.buf) >= n
 
     def take(self, n: int) -> bytes:
@@ -134,15 +160,17 @@ class _Inflate:
 
     def head(self) -> bytes | None:
         """Up to and without the next empty line; None at the end."""
-        at, size = -1, 4096
-        while at < 0:
+        size, seen = 1024, 0
+        while True:
             more = self.fill(size)
-            at = self.buf.find(b"\r\n\r\n")
-            if at < 0 and not more:
+            at = self.buf.find(b"\r\n\r\n", max(0, seen - 3))
+            if at >= 0:
+                break
+            if not more:
                 if bytes(self.buf).strip():
                     raise ValueError("an archive ends inside a record's header")
                 return None
-            size *= 2
+            seen, size = len(self.buf), 2 * max(size, len(self.buf))
         out = bytes(self.buf[:at])
         del self.buf[: at + 4]
         return out
@@ -164,85 +192,114 @@ def parse_records(data: bytes):
         yield headers, block
 
 
-RECORD = "record_id string, record_type string, concurrent_to string, refers_to string, uri string, date string, digest string, content_type string, block binary"
+RECORD = "record_id string, record_type string, concurrent_to string, refers_to string, uri string, date string, digest string, content_type string, block binary, body_at int"
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Records of every archive below ``path`` (plain or gzip), one row each."""
+    """Records of every archive below ``path`` (plain or gzip), one row each; a file goes through one task.
+
+    body_at: bytes before the body of an HTTP block (null in other blocks).
+    """
 
     def run(batches):
         names = ("warc-record-id", "warc-type", "warc-concurrent-to", "warc-refers-to", "warc-target-uri", "warc-date", "warc-payload-digest", "content-type")
-        schema = pa.schema([(x.split()[0], pa.binary() if x.endswith("binary") else pa.string()) for x in RECORD.split(", ")])
+        kinds = {"string": pa.string(), "binary": pa.binary(), "int": pa.int32()}
+        schema = pa.schema([(name, kinds[kind]) for name, kind in map(str.split, RECORD.split(", "))])
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
         for b in batches:
-            for data in named(b, "content").to_pylist():
+            for data in named(b, "content"):
                 rows, held = [], 0
-                for headers, block in parse_records(data):
-                    rows.append([*(headers.get(n) for n in names), block])
+                for headers, block in parse_records(data.as_py()):
+                    http = headers.get("content-type", "").startswith("application/http")
+                    end = block.find(b"\r\n\r\n") if http else -1
+                    rows.append([*map(headers.get, names), block, end + 4 if end >= 0 else None])
                     held += len(block)
-                    if held > 8_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+                    if held > 4_000_000 or len(rows) >= 20_000:
+                        yield batch(rows)
                         rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+                    yield batch(rows)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInArrow(run, RECORD)
 
 
-def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: record_id, main, requests, metadata.
+MAIN = ("response", "revisit")
+
+
+def index_of(records: DataFrame) -> DataFrame:
+    """Records without the blocks of responses and revisits, for what needs no payload."""
+    return records.withColumn("block", F.when(~F.col("record_type").isin(*MAIN), F.col("block")))
 
-    A capture is a response or revisit record. Requests and metadata reach it by their concurrent-to
-    identifier, directly or over one other record (metadata that names the request). Records that name no
-    capture are left out; captures without partners have empty arrays. The concurrent-to identifier
-    resolves in two grouped joins of narrow columns; blocks travel once.
+
+def assemble(records: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """One nested row per capture: its record's columns, requests, metadata.
+
+    A capture is a response or revisit record, whole. Requests and metadata reach it by their
+    concurrent-to identifier, directly or over one other record (metadata that names the request). Records
+    that name no capture are left out; captures without partners have empty arrays. Captures that share a
+    record id each get all partners that name it; partners that repeat are listed as often. As a capture is
+    one row, so are all its partners. ``index`` (see ``index_of``) may give the identifiers and partners
+    from a written table; payloads then travel once.
     """
-    main = records.filter("record_type in ('response', 'revisit')")
-    part = records.filter("record_type in ('request', 'metadata') and concurrent_to is not null")
-    ids = main.select(F.col("record_id").alias("concurrent_to"), F.col("record_id").alias("_capture"))
+    index = records if index is None else index
+    part = index.filter("record_type in ('request', 'metadata') and concurrent_to is not null")
+    ids = index.filter(F.col("record_type").isin(*MAIN)).select(F.col("record_id").alias("concurrent_to"), F.col("record_id").alias("_capture")).distinct()
     direct = part.join(ids, "concurrent_to")
-    hop = direct.select(F.col("record_id").alias("concurrent_to"), "_capture")
+    hop = direct.select(F.col("record_id").alias("concurrent_to"), "_capture").distinct()
     indirect = part.join(ids.select("concurrent_to"), "concurrent_to", "left_anti").join(hop, "concurrent_to")
-    return _nest(main, direct.unionByName(indirect))
-
-
-def _nest(main: DataFrame, parts: DataFrame) -> DataFrame:
-    """Group partners by capture and join them to it."""
     item = F.struct("record_id", "uri", "date", "content_type", "block")
-    grouped = parts.groupBy("_capture").agg(
+    grouped = direct.unionByName(indirect).groupBy("_capture").agg(
         F.array_sort(F.collect_list(F.when(F.col("record_type") == "request", item))).alias("requests"),
         F.array_sort(F.collect_list(F.when(F.col("record_type") == "metadata", item))).alias("metadata"),
     )
+    main = records.filter(F.col("record_type").isin(*MAIN))
     out = main.join(grouped, main.record_id == F.col("_capture"), "left").drop("_capture", "concurrent_to")
     return out.withColumns({c: F.coalesce(c, F.array().cast(grouped.schema[c].dataType)) for c in ("requests", "metadata")})
 
 
-def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the pages as archives, read them back, assemble captures, and report each one."""
-    path = work_dir(spark, "warc")
-    write_archives(plan_captures(table(spark, sf_dir, "pages")), path)
-    records = read_archives(spark, path)
-    slim = F.when(F.col("record_type").isin("response", "revisit"), F.expr("substring(block, 1, 200)")).otherwise(F.col("block"))
-    records = records.withColumns({"body_bytes": F.octet_length("block"), "block_sha1": _body_digest(), "block": slim})
-    captures = assemble(materialize(records, "warc-records"))
-    meta = F.decode(F.get(F.col("metadata"), F.lit(0))["block"], "utf-8")
-    page = F.expr("try_cast(nullif(regexp_extract(_m, 'page-id: (-?[0-9]+)', 1), '') as bigint)")
-    size = F.expr("cast(regexp_extract(_m, 'payload-bytes: ([0-9]+)', 1) as bigint)")
+def _page_id(block) -> F.Column:
+    """The page id that a metadata block states, if any."""
+    told = F.regexp_extract(F.decode(block, "utf-8"), r"(?:^|\n)page-id: (-?[0-9]+)", 1)
+    return F.when(told != "", told).cast("long")
+
+
+def report(captures: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, n_requests, n_metadata of each capture."""
+    body = F.expr("substring(block, coalesce(body_at, 0) + 1)")
+    response = F.col("record_type") == "response"
     stated = F.regexp_replace("digest", "^sha1:", "")
-    sound = (F.col("record_type") == "revisit") | (F.col("block_sha1") == stated)
-    return captures.withColumn("_m", meta).select(
-        page.alias("page_id"), size.alias("payload_bytes"),
-        F.when(sound, stated).otherwise(F.raise_error(F.lit("a payload does not match its digest")).cast("string")).alias("payload_digest"),
-        "record_type",
-        F.expr("try_cast(nullif(regexp_extract(refers_to, 'urn:page:(-?[0-9]+)', 1), '') as bigint)").alias("refers_to"),
-        F.size("requests").alias("n_requests"), F.size("metadata").alias("n_metadata"),
+    rows = materialize(
+        captures.select(
+            "record_id", "record_type", F.col("refers_to").alias("names"), stated.alias("stated"), _page_id(F.get(F.col("metadata"), F.lit(0))["block"]).alias("page_id"),
+            F.when(response, F.octet_length(body)).cast("long").alias("bytes"), F.when(response, sha1_base32(body)).alias("sha1"),
+            F.size("requests").alias("n_requests"), F.size("metadata").alias("n_metadata"),
+        ),
+        "warc-captures",
     )
+    # what each response that is referred to holds; very popular ones reach their revisits by broadcast
+    told = F.struct(F.col("page_id").alias("page"), "bytes", "sha1")
+    originals = rows.filter(response).select(F.col("record_id").alias("names"), told.alias("told"))
+    popular = rows.filter("record_type = 'revisit'").groupBy("names").agg(F.count("*").alias("n")).join(originals, "names")
+    out = attach(rows, materialize(popular, "warc-originals"), "names", "told", "n")
+    size, sha1 = F.coalesce("told.bytes", "bytes"), F.coalesce("told.sha1", "sha1")
+    sound = F.when(sha1 == F.col("stated"), sha1).otherwise(F.raise_error(F.lit("a payload is missing or does not match its digest")).cast("string"))
+    return out.select("page_id", size.alias("payload_bytes"), sound.alias("payload_digest"), "record_type", F.col("told.page").alias("refers_to"), "n_requests", "n_metadata")
 
 
-def _body_digest() -> F.Column:
-    """SHA-1 of the HTTP body, that is of a response block after its first empty line."""
-    body = F.expr("substring(decode(block, 'utf-8'), locate('\\r\\n\\r\\n', decode(block, 'utf-8')) + 4)")
-    return F.when(F.col("record_type") == "response", sha1_base32(body))
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the pages as archives, read them back, assemble captures, and report each one.
+
+    One row for each row of pages: null html counts as empty, rows with a null page_id are captures that no
+    other refers to, repeated rows stay, an empty table gives none. Size and digest are those of the payload
+    read back (a revisit's: of the response it refers to); a capture whose payload differs from the digest
+    stated, or a revisit whose response is missing, is an error.
+    """
+    path = work_dir(spark, "warc")
+    write_archives(plan_captures(table(spark, sf_dir, "pages")), path)
+    records = read_archives(spark, path)
+    index = materialize(index_of(records), "warc-index")
+    return report(assemble(records, index))
 
 
 OP2_SQL = """

@@ -1,14 +1,19 @@
 """Archives, embeddings, licenses, secrets, rollups and the pipeline on small tables."""
 
 import base64
+import gzip
 import hashlib
+import os
 import re
+import time
+import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from methylspark.llm import embeddings, licenses, secrets, token_counts, warc
-from methylspark.llm.common import work_dir
+from methylspark.llm.common import materialize, work_dir
 
 
 def test_warc_round_trip(spark):
@@ -16,9 +21,16 @@ def test_warc_round_trip(spark):
     pages = spark.createDataFrame([(k, f"http://h/{k}\r\nX: y", h, "old") for k, h in enumerate(html)] + [(0, "u", "<p>é</p>", "")], "page_id long, url string, html string, record_type string")
     captures = warc.plan_captures(pages)
     folder = work_dir(spark, "warc")
-    warc.write_archives(captures, folder, records_per_file=5)
+    warc.write_archives(captures, folder, file_bytes=900)
+    names = [n for n in os.listdir(folder) if not n.startswith((".", "_"))]
+    assert len(names) > 1 and all(n.endswith(".warc.gz") for n in names)
+    raw = b"".join(gzip.decompress(open(f"{folder}/{n}", "rb").read()) for n in names)
+    assert raw.count(b"WARC-Type: warcinfo") == len(names) and raw.count(b"WARC/1.1\r\nWARC-Type") == 3 * pages.count() + len(names)
     records = warc.read_archives(spark, folder)
-    assert records.count() == 3 * pages.count()
+    assert records.count() == 3 * pages.count() + len(names)
+    mains = {r.record_id: r.record_type for r in records.filter("record_type in ('response', 'revisit')").collect()}
+    assert len(mains) == pages.count()
+    assert all(mains[r.refers_to] == "response" for r in records.filter("record_type = 'revisit'").collect())
     got = warc.assemble(records).collect()
     assert len(got) == pages.count()
     bodies = []
@@ -39,12 +51,37 @@ def test_warc_round_trip(spark):
 
 
 def test_warc_indirect_and_empty(spark):
-    row = ("<r>", "response", None, None, "u", "d", "sha1:x", "t", b"b")
+    row = ("<r>", "response", None, None, "u", "d", "sha1:x", "t", b"b", None)
     parts = [("<q>", "request", "<r>", *row[3:]), ("<m>", "metadata", "<q>", *row[3:]), ("<o>", "metadata", "<gone>", *row[3:])]
     df = spark.createDataFrame([row, *parts], warc.RECORD)
     got = warc.assemble(df).collect()
     assert len(got) == 1 and [x.record_id for x in got[0].requests + got[0].metadata] == ["<q>", "<m>"]
     assert warc.assemble(df.limit(0)).count() == 0
+    twice = warc.assemble(df.unionByName(df.limit(1))).collect()
+    assert len(twice) == 2 and all(len(x.requests) == len(x.metadata) == 1 for x in twice)
+
+
+def test_warc_reports_lost_and_changed_payloads(spark, tmp_path):
+    html = [(k, f"http://h/{k}", h) for k, h in enumerate(["a", "b", "a", None, "\xff\r\n\r\n", "a"])] + [(None, "u", "a"), (0, "u", "a")]
+    spark.createDataFrame(html, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.op2_warc(spark, str(tmp_path)).collect()), key=repr)
+    assert got == sorted([(0, 1, "response", None), (0, 1, "response", None), (1, 1, "response", None), (2, 1, "revisit", 0), (3, 0, "response", None), (4, 6, "response", None), (5, 1, "revisit", 0), (None, 1, "revisit", 0)], key=repr)
+    folder = work_dir(spark, "warc")
+    warc.write_archives(warc.plan_captures(spark.read.parquet(f"{tmp_path}/pages.parquet")), folder)
+    records = materialize(warc.read_archives(spark, folder), "records")
+    for bad in (records.filter("record_type <> 'response'"), records.withColumn("block", F.when(F.col("record_type") == "response", F.lit(b"x")).otherwise(F.col("block")))):
+        with pytest.raises(Exception, match="missing or does not match"):
+            warc.report(warc.assemble(bad)).collect()
+
+
+def test_warc_reader_is_linear_in_members():
+    r = np.random.default_rng(0)
+    block = bytes(r.integers(97, 100, 9500, np.uint8))
+    one = warc._member(warc._record("resource", [("WARC-Record-ID", "<x>")], block))
+    start = time.process_time()
+    assert sum(len(b) for _, b in warc.parse_records(one * 4000)) == 9500 * 4000
+    assert time.process_time() - start < 4
+    assert [b for _, b in warc.parse_records(zlib.decompress(one, 31) * 3)] == [block] * 3
 
 
 def test_embeddings_against_brute_force(spark):
