@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import heapq
 import unicodedata
@@ -23,7 +24,10 @@ WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028,
 
 
 def class_table() -> np.ndarray:
-    """LETTER, NUMBER, SPACE or OTHER of every code point."""
+    """LETTER, NUMBER, SPACE or OTHER of every code point, by the Unicode version of this Python.
+
+    Code points that a library of another Unicode version classes otherwise may be split differently there.
+    """
     out = np.full(0x110000, OTHER, np.uint8)
     category = unicodedata.category
     for cp in range(0x110000):
@@ -134,7 +138,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Merger:
     """Ids of pieces by merge ranks, with a bounded cache of pieces seen."""
 
-    def __init__(self, path: str, limit: int = 900_000):
+    def __init__(self, path: str, limit: int = 600_000):
         self.ranks, self.limit = load_ranks(path), limit
         self.token = [b""] * (max(self.ranks.values()) + 1)
         for t, i in self.ranks.items():
@@ -253,6 +257,12 @@ class Merger:
         return np.cumsum(np.append(0, self.size[np.frombuffer(ids, "<u4")]))[:-1]
 
 
+@functools.lru_cache(maxsize=1)
+def merger(path: str) -> Merger:
+    """The merger of this Python worker, kept with its cache for the next tasks."""
+    return Merger(path)
+
+
 def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """id, ids and offsets (both unsigned 32-bit little-endian: token ids, and the byte where each begins).
 
@@ -262,7 +272,7 @@ def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text: str = "tex
     kinds = {c: docs.schema[c].dataType.simpleString() for c in (id_col, *keep)}
 
     def run(batches):
-        m = Merger(ranks)
+        m = merger(ranks)
         for batch in batches:
             for b in slices(batch, "_b"):
                 ids = m.encode([t or b"" for t in named(b, "_b").to_pylist()])
@@ -277,9 +287,8 @@ def decode(encoded: DataFrame, ranks: str) -> DataFrame:
     """All columns of ``encoded`` and ``decoded``, the bytes its ids stand for (null ids: null)."""
 
     def run(batches):
-        m = None
+        m = merger(ranks)
         for b in batches:
-            m = m or Merger(ranks)
             ids = named(b, "ids").to_pylist()
             out = [None if x is None else d for x, d in zip(ids, m.decode([x or b"" for x in ids]))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "decoded"])
@@ -288,22 +297,29 @@ def decode(encoded: DataFrame, ranks: str) -> DataFrame:
     return encoded.mapInArrow(run, shape + ", decoded binary")
 
 
-def digests(docs: DataFrame, ranks: str, id_col: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256: one pass of encoding, then decoding of the ids."""
+def digests(docs: DataFrame, ranks: str, id_col: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), streams: bool = False) -> DataFrame:
+    """id, n_tokens, ids_sha256, decoded_sha256, offsets_sha256 (and ids, offsets with ``streams``) for each row.
+
+    Ids, and the bytes where they begin, as unsigned 32-bit little-endian streams. A document is decoded
+    from its ids, and the offsets must say where each one's bytes begin there. Null texts count as empty
+    ones; repeated rows stay.
+    """
     kinds = {c: docs.schema[c].dataType.simpleString() for c in (id_col, *keep)}
+    told = ["n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256", *(["ids", "offsets"] if streams else [])]
 
     def run(batches):
-        m = Merger(ranks)
+        m = merger(ranks)
         for batch in batches:
             for b in slices(batch, "_b"):
                 ids = m.encode([t or b"" for t in named(b, "_b").to_pylist()])
-                sha = [hashlib.sha256(x).hexdigest() for x in ids]
-                back = [hashlib.sha256(x).hexdigest() for x in m.decode(ids)]
+                offsets = [m.spans(x).astype("<u4").tobytes() for x in ids]
+                sha = [[hashlib.sha256(x).hexdigest() for x in some] for some in (ids, m.decode(ids), offsets)]
                 n = pa.array([len(x) // 4 for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([*(named(b, c) for c in kinds), n, pa.array(sha), pa.array(back)], names=[*kinds, "n_tokens", "ids_sha256", "decoded_sha256"])
+                cols = [n, *map(pa.array, sha), *([pa.array(ids, pa.binary()), pa.array(offsets, pa.binary())] if streams else [])]
+                yield pa.RecordBatch.from_arrays([*(named(b, c) for c in kinds), *cols], names=[*kinds, *told])
 
-    shape = ", ".join(f"`{c}` {k}" for c, k in kinds.items())
-    return text_bytes(docs, *kinds, text=text).mapInArrow(run, f"{shape}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    shape = ", ".join([*(f"`{c}` {k}" for c, k in kinds.items()), "n_tokens bigint", *(f"{c} string" for c in told[1:4]), *(f"{c} binary" for c in told[4:])])
+    return text_bytes(docs, *kinds, text=text).mapInArrow(run, shape)
 
 
 def _ranks() -> str:
@@ -313,9 +329,10 @@ def _ranks() -> str:
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
+    """doc_id, n_tokens and digests of ids, decoded bytes and offsets of every document, as ``digests`` defines them."""
     return digests(table(spark, sf_dir, "documents"), ranks or _ranks())
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang and the digests of ids and decoded text."""
-    return digests(docs, _ranks(), keep=("lang", "source"))
+    """doc_id, lang, source, the id stream with its offsets, and the digests: the corpus as training data."""
+    return digests(docs, _ranks(), keep=("lang", "source"), streams=True)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Merger
+from .bpe import Merger, merger
 from .common import attach, materialize, named, slices, table, text_bytes, work_dir
 from .token_store import encoder
 
@@ -31,7 +31,7 @@ def count_model_tokens(docs: DataFrame, keep: list[str], tokenizers: dict[str, s
     kinds = {c: docs.schema[c].dataType.simpleString() for c in keep}
 
     def run(batches):
-        models = {name: Merger(path) if path.endswith(".tiktoken") else encoder(path) for name, path in tokenizers.items()}
+        models = {name: merger(path) if path.endswith(".tiktoken") else encoder(path) for name, path in tokenizers.items()}
         for batch in batches:
             for b in slices(batch, "_b"):
                 texts, out = [t or b"" for t in named(b, "_b").to_pylist()], []

@@ -95,6 +95,13 @@ class Model:
         return -math.expm1(clean)
 
 
+    def worst(self, text: str) -> tuple[int, int, float]:
+        """Start, end and score of the sentence that scores most (the first of equals)."""
+        scored = ((self.sentence(text[a:b]), -a, b) for a, b in sentences(text))
+        p, start, end = max(scored, default=(0.0, 0, 0))
+        return -start, end, float(p)
+
+
 def _bag(text: str):
     """Features of each sentence."""
     for s in _SENTENCE.split(text.lower()):
@@ -169,19 +176,25 @@ def train(docs: DataFrame, labels: DataFrame, held_out_mod: int = 5, sample_rows
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, held_out, score, predicted for each row. Null and empty texts score 0; a null id is not held out."""
+    """id, held_out, score, predicted and the place and score of the worst sentence (predicted 1 only) for each row.
+
+    Null and empty texts score 0; a null id is not held out; repeated rows stay. Places are code points.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = held.value
         for b in batches:
-            p = [m.document(t.decode()) if t else 0.0 for t in named(b, "_b").to_pylist()]
-            yield pa.RecordBatch.from_arrays([named(b, id_col), pa.array(p, pa.float64())], names=[id_col, "score"])
+            texts = [t.decode() if t else "" for t in named(b, "_b").to_pylist()]
+            p = [m.document(t) if t else 0.0 for t in texts]
+            worst = [m.worst(t) if x >= 0.5 else (None, None, None) for t, x in zip(texts, p)]
+            cols = [pa.array(c, k) for c, k in zip(zip(*worst) if worst else [()] * 3, (pa.int32(), pa.int32(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([named(b, id_col), pa.array(p, pa.float64()), *cols], names=[id_col, "score", "worst_start", "worst_end", "worst_score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = text_bytes(docs, id_col, text=text).mapInArrow(run, f"`{id_col}` {kind}, score double")
+    out = text_bytes(docs, id_col, text=text).mapInArrow(run, f"`{id_col}` {kind}, score double, worst_start int, worst_end int, worst_score double")
     held_out = F.coalesce(crc_bucket(F.col(id_col)) % 5 == 0, F.lit(False))
-    return out.select(id_col, held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select(id_col, held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "worst_start", "worst_end", "worst_score")
 
 
 def offending(docs: DataFrame, model: Model, least: float = 0.5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -206,6 +219,10 @@ def offending(docs: DataFrame, model: Model, least: float = 0.5, id_col: str = "
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted and the worst sentence of every document, by a model of the labels not held out.
+
+    Nulls, repeats and empty tables as in ``train`` and ``score``.
+    """
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
 

@@ -147,14 +147,15 @@ def test_licenses(spark):
     assert licenses.find_licenses(df, {}).count() == 0
 
 
-KINDS = [("assign", secrets.ASSIGN), ("access", secrets.ACCESS), ("hex", secrets.HEX)]
+#: The contract's patterns and least lengths (of group 2, or of the match), stated here on their own.
+KINDS = [("assign", r"""(?ia:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6), ("access", r"AKIA[A-Z0-9]+", 20), ("hex", r"[0-9a-f]+", 24)]
 
 
 def plain_base(t):
     out = []
-    for k, (name, p) in enumerate(KINDS):
+    for k, (name, p, least) in enumerate(KINDS):
         for m in re.finditer(p, t or ""):
-            if name != "assign" or len(m[2]) >= 6:
+            if len(m[2] if name == "assign" else m[0]) >= least:
                 out.append((m.start(), k, m.end(), name))
     return sorted(out)
 
@@ -251,6 +252,7 @@ def test_pipeline_on_small_tables(spark, tmp_path):
     assert sorted(got) == [k for k in range(200) if k % 9] + [302, 303]
     masked = re.sub(r"token = \w+", "[SECRET]", rows[202][1])
     assert got[302].decoded_sha256 == hashlib.sha256(masked.encode()).hexdigest()
+    assert all(len(x.ids) == len(x.offsets) == 4 * x.n_tokens and x.ids_sha256 == hashlib.sha256(x.ids).hexdigest() for x in got.values())
     for name, stage in pipeline.STAGES[:-1]:
         docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name

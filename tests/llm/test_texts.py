@@ -42,7 +42,13 @@ def test_bpe_equals_tiktoken(spark, docs):
         ids = np.array(enc.encode_ordinary(t or ""), "<u4").tobytes()
         return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()
 
-    got = bpe.digests(docs, path, keep=("lang",)).collect()
+    got = bpe.digests(docs, path, keep=("lang",)).drop("offsets_sha256").collect()
+    full = bpe.digests(docs, path, streams=True).collect()
+    m = bpe.Merger(path)
+    for x in full:
+        size = [len(m.token[i]) for i in np.frombuffer(x.ids, "<u4")]
+        assert np.frombuffer(x.offsets, "<u4").tolist() == [sum(size[:k]) for k in range(len(size))][: len(size)] or len(size) > 500
+        assert x.ids_sha256 == hashlib.sha256(x.ids).hexdigest() and x.offsets_sha256 == hashlib.sha256(x.offsets).hexdigest()
     src = [(r.doc_id, r.lang, *want(r.text)) for r in docs.collect()]
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, src))
     r = np.random.default_rng(5)
@@ -358,6 +364,33 @@ def test_toxicity_learns_from_document_labels(spark):
     assert toxicity.score(docs, none).filter("predicted = 1").count() == 0
 
 
+def test_toxicity_scores_are_those_of_plain_noisy_or(spark):
+    import math
+    import re
+
+    r = np.random.default_rng(13)
+    word = [f"{a}{b}x" for a in "abcdefgh" for b in "stuvwz"]
+    weights = {f: float(r.uniform(0, 9)) for w in word[::2] for f in (w + "$", w[:3])}
+    texts = [". ".join(" ".join(r.choice(word, r.integers(1, 6))) for _ in range(r.integers(1, 60))) for _ in range(200)] + [None, "", "...", "\n"]
+    docs = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)], "doc_id long, text string, score string")
+    got = {x.doc_id: x for x in toxicity.score(docs, toxicity.Model(weights)).collect()}
+    for k, t in enumerate(texts):
+        p = []
+        for s in re.split(r"[.!?\n|]", t or ""):
+            own = {f for w in re.findall(r"\w+", s.lower()) for f in (w + "$", *(w[:n] for n in (3, 4, 5, 6) if len(w) >= n)) for f in [(w, f)]}
+            z = sum(weights.get(f, 0.0) for _, f in own)
+            if z:
+                p.append((1 / (1 + math.exp(12.0 - z)), s))
+        want = 1 - math.prod(1 - x for x, _ in p)
+        assert abs(got[k].score - want) < 1e-9 and got[k].predicted == int(got[k].score >= 0.5)
+        if got[k].predicted:
+            assert abs(got[k].worst_score - max(p)[0]) < 1e-9
+            assert t[got[k].worst_start : got[k].worst_end].strip(" .") in [s.strip() for x, s in p if abs(x - got[k].worst_score) < 1e-9]
+        else:
+            assert got[k].worst_start is None
+    assert len({x.predicted for x in got.values()}) == 2
+
+
 def test_toxicity_of_long_clean_texts(spark):
     model = toxicity.Model({"slurx$": 20.0, "mild$": 3.0, "odd$": 8.0})
     numbers = "0.12\n" * 500_000
