@@ -10,7 +10,9 @@ from methylspark.operators.genome import TILE, cpg_positions, tiles
 
 
 def with_base(sites: DataFrame, contigs: DataFrame) -> DataFrame:
-    """Add ``base``, the genome's base at start, by an equi-join on (chrom, tile)."""
+    """Add ``base``, the genome's base at start: from the strand that ``sign`` tells, else by an equi-join on (chrom, tile)."""
+    if "sign" in sites.columns:
+        return sites.withColumn("base", F.when(F.col("sign") == "+", "C").otherwise("G"))
     t = tiles(contigs, overlap=0)
     s = sites.withColumn("tile", F.floor(F.col("start") / TILE).cast("int"))
     j = s.join(t.withColumnRenamed("start", "_from"), ["chrom", "tile"])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from methylspark.functions.seq import cigar_positions, has_flag, letters, permille
+from methylspark.functions.seq import cigar_positions, has_flag, letters, permille, reference_span
 
 CONTEXT = {"z": "CpG", "x": "CHG", "h": "CHH"}
 
@@ -57,9 +57,10 @@ def calls(aln: DataFrame, min_phred: int = 5, contexts: tuple[str, ...] = ("CpG"
     return e.select(*columns, *extra, "chrom", F.col("s.p").alias("site"), F.col("i").alias("index"), sign.alias("sign"), context.alias("context"), (F.col("s.c") != kind).alias("methylated"))
 
 
-def site_counts(called: DataFrame) -> DataFrame:
-    """context, chrom, start, n_meth, n_unmeth: one partially aggregated shuffle."""
-    return called.groupBy("context", "chrom", F.col("site").alias("start")).agg(F.count_if("methylated").alias("n_meth"), F.count_if(~F.col("methylated")).alias("n_unmeth"))
+def site_counts(called: DataFrame, sign: bool = False) -> DataFrame:
+    """context, chrom, start, n_meth, n_unmeth (with ``sign`` also the strand, + or -): one partially aggregated shuffle."""
+    also = ["sign"] if sign else []
+    return called.groupBy("context", "chrom", F.col("site").alias("start"), *also).agg(F.count_if("methylated").alias("n_meth"), F.count_if(~F.col("methylated")).alias("n_unmeth"))
 
 
 def bedgraph(sites: DataFrame, width: int = 1) -> DataFrame:
@@ -67,30 +68,83 @@ def bedgraph(sites: DataFrame, width: int = 1) -> DataFrame:
 
 
 def route_pairs(pairs: DataFrame, min_mapq: int = 10) -> DataFrame:
-    """Add pair_class: overlap where both mates pass, agree in contig and xg, and meet; else apart."""
-    one, two = F.col("mapq1") >= min_mapq, F.col("mapq2") >= min_mapq
-    meet = (F.col("end1") >= F.col("pos2")) & (F.col("end2") >= F.col("pos1"))
+    """Add pair_class: overlap where both mates pass, agree in contig and xg, and share a place; else apart.
+
+    first or second where one mate alone passes; none where neither does, or where mate 1 is marked as a
+    duplicate (flag1, if given). Ends are exclusive, so mates that only touch are apart. A missing mate has nulls.
+    """
+    passes = lambda k: F.coalesce(F.col(f"mapq{k}") >= min_mapq, F.lit(False))
+    one, two = passes(1), passes(2)
+    if "flag1" in pairs.columns:
+        kept = ~F.coalesce(has_flag(F.col("flag1"), 1024), F.lit(False))
+        one, two = one & kept, two & kept
+    meet = (F.col("end1") > F.col("pos2")) & (F.col("end2") > F.col("pos1"))
     same = (F.col("chrom1") == F.col("chrom2")) & (F.col("xg1") == F.col("xg2"))
     cls = F.when(one & two & same & meet, "overlap").when(one & two, "apart").when(one, "first").when(two, "second").otherwise("none")
     return pairs.withColumn("pair_class", cls)
 
 
-def resolve_overlaps(bases: DataFrame, min_phred: int = 5) -> DataFrame:
-    """pair_id, chrom, site, call from (pair_id, chrom, site, mate, call, q): one call a position and pair.
+def resolve_overlaps(bases: DataFrame, min_phred: int = 5, by: tuple[str, ...] = ("pair_id",)) -> DataFrame:
+    """``by``, chrom, site, call from (``by``, chrom, site, mate, call, q): one call a position and pair.
 
     One mate alone: its call if good enough. Both with the same call: once, if 1.2 times the better quality
     is enough. Different: the better one, if qualities differ by ``min_phred`` or more; a dot is a call too.
     """
-    pick = lambda m: F.max(F.when(F.col("mate") == m, F.struct("call", "q")))
-    g = bases.groupBy("pair_id", "chrom", "site").agg(pick(1).alias("a"), pick(2).alias("b"))
-    ca, cb, qa, qb = (F.col(x) for x in ("a.call", "b.call", "a.q", "b.q"))
-    alone = F.coalesce(ca, cb)
+    # call and quality in one number, so that the aggregate is hashed and combined before the shuffle
+    code = F.col("q").cast("long") * 256 + F.ascii("call")
+    pick = lambda m: F.max(F.when(F.col("mate") == m, code))
+    g = bases.groupBy(*by, "chrom", "site").agg(pick(1).alias("a"), pick(2).alias("b"))
+    ca, cb, qa, qb = F.col("a") % 256, F.col("b") % 256, F.floor(F.col("a") / 256), F.floor(F.col("b") / 256)
     call = (
-        F.when(F.col("a").isNull() | F.col("b").isNull(), F.when(F.coalesce(qa, qb) >= min_phred, alone))
+        F.when(F.col("a").isNull() | F.col("b").isNull(), F.when(F.coalesce(qa, qb) >= min_phred, F.coalesce(ca, cb)))
         .when(ca == cb, F.when(F.greatest(qa, qb) * 1.2 >= min_phred, ca))
         .when((F.abs(qa - qb) >= min_phred) & (qa != qb), F.when(qa > qb, ca).otherwise(cb))
     )
-    return g.select("pair_id", "chrom", "site", call.alias("call")).filter("call is not null and call != '.'")
+    return g.select(*by, "chrom", "site", F.char(call).alias("call")).filter("call is not null and call != '.'")
+
+
+def paired_calls(aln: DataFrame, min_mapq: int = 10, min_phred: int = 5, contexts: tuple[str, ...] = ("CpG", "CHG", "CHH"), bounds: dict | None = None, read_id: str = "read_id") -> DataFrame:
+    """read_id, chrom, site, sign, context, methylated: calls of templates, bases under both mates counted once.
+
+    Needs read_id, second_mate, chrom, pos, cigar, flag, mapq, xg, xm, qual (array), and strand with
+    ``bounds``. Mates are found by a shuffle on the read's name, which also serves ``resolve_overlaps``;
+    bases that both mates cover reach it all, of others only calls of good quality. A template whose first mate (or only read) is marked
+    as a duplicate is left out, unmapped reads count as missing mates. Names must be unique to a template.
+    """
+    mapped = aln.filter(~has_flag(F.col("flag"), 4) & F.col("chrom").isNotNull() & F.col("pos").isNotNull())
+    end = F.col("pos") + reference_span(F.col("cigar"))
+    own = mapped.withColumn("_mate", F.when(F.col("second_mate"), 2).otherwise(1)).withColumn("_told", F.struct("chrom", "xg", "mapq", "flag", "pos", end.alias("end")))
+    template = Window.partitionBy(read_id)
+    both = own.withColumns({f"_m{k}": F.max(F.when(F.col("_mate") == k, F.col("_told"))).over(template) for k in (1, 2)})
+    names = ("chrom", "xg", "mapq", "pos", "end")
+    wide = both.withColumns({f"{c}{k}": F.col(f"_m{k}.{c}") for k in (1, 2) for c in names} | {"flag1": F.coalesce("_m1.flag", "_m2.flag")})
+    routed = route_pairs(wide, min_mapq)
+    used = {1: ("overlap", "apart", "first"), 2: ("overlap", "apart", "second")}
+    mine = (F.col("_mate") == 1) & F.col("pair_class").isin(*used[1]) | (F.col("_mate") == 2) & F.col("pair_class").isin(*used[2])
+    wanted = [c for c, k in CONTEXT.items() if k in contexts]
+    good = wanted + [c.upper() for c in wanted]
+    items = F.arrays_zip(cigar_positions(F.col("cigar"), F.col("pos")).alias("p"), letters("xm").alias("c"), F.col("qual").alias("q"))
+    strand = ["strand"] if bounds else []
+    e = routed.filter(mine).select(read_id, "_mate", "second_mate", *strand, "chrom", "xg", "pair_class", "pos1", "pos2", "end1", "end2", F.posexplode(items).alias("i", "s")).filter("s.p is not null")
+    if bounds:
+        e = e.filter(in_bounds(F.col("i"), F.col("strand"), F.col("second_mate"), bounds))
+    # only places between both mates' ends can have two bases
+    inside = (F.col("s.p") >= F.greatest("pos1", "pos2")) & (F.col("s.p") < F.least("end1", "end2"))
+    met = (F.col("pair_class") == "overlap") & inside
+    e = e.select(read_id, "_mate", "chrom", "xg", met.alias("met"), F.col("s.p").alias("site"), F.col("s.c").alias("call"), F.col("s.q").alias("q"))
+    # a base that no other can meet needs to travel no further than its own quality allows; mates of
+    # different contigs or strands differ in the key, so the rule for one base alone serves them
+    e = e.filter(F.col("met") | F.col("call").isin(*good) & (F.col("q") >= min_phred)).withColumnRenamed("_mate", "mate")
+    once = resolve_overlaps(e, min_phred, (read_id, "xg")).filter(F.col("call").isin(*good))
+    kind = F.lower("call")
+    context = F.when(kind == "z", "CpG").when(kind == "x", "CHG").otherwise("CHH")
+    sign = F.when(F.col("xg") == "CT", "+").otherwise("-")
+    return once.select(read_id, "chrom", "site", sign.alias("sign"), context.alias("context"), (F.col("call") != kind).alias("methylated"))
+
+
+def paired_site_counts(aln: DataFrame, min_mapq: int = 10, min_phred: int = 5, contexts: tuple[str, ...] = ("CpG", "CHG", "CHH"), bounds: dict | None = None, read_id: str = "read_id") -> DataFrame:
+    """context, chrom, start, n_meth, n_unmeth of paired (or mixed) alignments; see ``paired_calls``."""
+    return site_counts(paired_calls(aln, min_mapq, min_phred, contexts, bounds, read_id))
 
 
 def rrbs_trim(xm, xg, at_site) -> Column:

@@ -6,18 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from methylspark.functions.seq import cigar_positions, reference_span
+from methylspark.functions.seq import cigar_positions, has_flag, reference_span
 
 TILE, OVERLAP = 8192, 1024
 
 
 def tiles(contigs: DataFrame, tile: int = TILE, overlap: int = OVERLAP) -> DataFrame:
-    """chrom, tile, start, tile_seq: pieces of contigs with ``overlap`` more bases on both sides."""
-    n = F.greatest(F.ceil(F.length("seq") / tile).cast("int"), F.lit(1))
-    t = contigs.select("chrom", "seq", F.explode(F.sequence(F.lit(0), n - 1)).alias("tile"))
+    """chrom, tile, start, tile_seq: pieces of contigs with ``overlap`` more bases on both sides.
+
+    Bases are ASCII, so tiles are cut from the contig's bytes: each costs its own length, wherever it lies.
+    """
+    raw = contigs.select("chrom", F.col("seq").cast("binary").alias("_b"))
+    n = F.greatest(F.ceil(F.octet_length("_b") / tile).cast("int"), F.lit(1))
+    t = raw.select("chrom", "_b", F.explode(F.sequence(F.lit(0), n - 1)).alias("tile"))
     start = F.greatest(F.col("tile") * tile - overlap, F.lit(0))
     end = F.col("tile") * tile + tile + overlap
-    return t.select("chrom", "tile", start.alias("start"), F.substring(F.col("seq"), start + 1, end - start).alias("tile_seq"))
+    return t.select("chrom", "tile", start.alias("start"), F.substring(F.col("_b"), start + 1, end - start).cast("string").alias("tile_seq"))
+
+
+def _is_mapped(aln: DataFrame) -> Column:
+    placed = F.col("chrom").isNotNull() & F.col("pos").isNotNull()
+    return placed & ~F.coalesce(has_flag(F.col("flag"), 4), F.lit(False)) if "flag" in aln.columns else placed
 
 
 def with_reference(aln: DataFrame, contigs: DataFrame, tile: int = TILE, overlap: int = OVERLAP, max_span: int | None = None) -> DataFrame:
@@ -26,16 +35,20 @@ def with_reference(aln: DataFrame, contigs: DataFrame, tile: int = TILE, overlap
     An equi-join on (chrom, tile); alignments that reach over a tile's margin are joined to whole contigs.
     ``max_span`` says that no alignment covers more reference bases: the alignments are then read once and
     not joined to whole contigs, and a longer one raises an error. It may be ``overlap - 4`` at most.
+    Unmapped reads (flag 4, or no contig or position) stay, with ``ref`` null; a mapped read whose place is
+    not in the genome raises an error.
     """
     if max_span is not None and max_span > overlap - 4:
         raise ValueError("max_span must be at most overlap - 4")
     span = F.when(F.col("cigar").rlike(r"^\d+M$"), F.length("seq")).otherwise(reference_span(F.col("cigar")))
-    a = aln.withColumns({"_span": span, "tile": F.floor(F.col("pos") / tile).cast("int")})
+    on = F.col("_on")
+    a = aln.withColumn("_on", _is_mapped(aln)).withColumns({"_span": F.when(on, span).otherwise(0), "tile": F.when(on, F.floor(F.col("pos") / tile).cast("int"))})
     cut = lambda s, at: F.substring(F.concat(F.lit("NN"), s, F.lit("NN")), F.greatest(at + 1, F.lit(1)), F.col("_span") + 4)
+    lost = F.raise_error(F.concat(F.lit("an alignment lies outside the genome: "), F.col("chrom"), F.lit(":"), F.col("pos").cast("string"))).cast("string")
 
     def window(s, offset):
         at = F.col("pos") - offset  # index of pos in s; two N before s shift it by two
-        return F.rpad(cut(s, at), F.col("_span") + 4, "N")
+        return F.when(on, F.when(s.isNull(), lost).otherwise(F.rpad(cut(s, at), F.col("_span") + 4, "N")))
 
     t = tiles(contigs, tile, overlap)
     if max_span is None:
@@ -43,12 +56,12 @@ def with_reference(aln: DataFrame, contigs: DataFrame, tile: int = TILE, overlap
     else:
         too_long = F.raise_error(F.concat(F.lit(f"an alignment covers more than {max_span} bases: "), F.col("_span").cast("string")))
         short = a.withColumn("_span", F.when(F.col("_span") > max_span, too_long.cast("int")).otherwise(F.col("_span")))
-    near = short.join(t, ["chrom", "tile"]).withColumn("ref", window(F.col("tile_seq"), F.col("start"))).drop("tile_seq", "start")
+    near = short.join(t, ["chrom", "tile"], "left").withColumn("ref", window(F.col("tile_seq"), F.col("start"))).drop("tile_seq", "start")
     if max_span is not None:
-        return near.drop("tile", "_span")
+        return near.drop("tile", "_span", "_on")
     whole = contigs.select("chrom", F.col("seq").alias("_contig"))
-    far = a.filter(F.col("_span") > overlap - 4).join(whole, "chrom").withColumn("ref", window(F.col("_contig"), F.lit(0))).drop("_contig")
-    return near.unionByName(far).drop("tile", "_span")
+    far = a.filter(F.col("_span") > overlap - 4).join(whole, "chrom", "left").withColumn("ref", window(F.col("_contig"), F.lit(0))).drop("_contig")
+    return near.unionByName(far).drop("tile", "_span", "_on")
 
 
 def read_positions() -> Column:
@@ -56,12 +69,15 @@ def read_positions() -> Column:
 
 
 def cpg_positions(contigs: DataFrame) -> DataFrame:
-    """chrom, start of every CG of the genome."""
-    c = contigs.select("chrom", F.split(F.upper("seq"), "CG").alias("p"))
-    sizes = F.transform(F.slice("p", 1, F.size("p") - 1), lambda x: F.length(x))
-    c = c.select("chrom", F.posexplode(sizes).alias("k", "gap"))
-    w = Window.partitionBy("chrom").orderBy("k")
-    return c.select("chrom", (F.sum("gap").over(w) + 2 * F.col("k")).cast("int").alias("start"))
+    """chrom, start of every CG of the genome, found inside tiles that share one base with the next."""
+    t = tiles(contigs, overlap=1)
+    own = F.col("tile") * TILE
+    # bytes are indexed in one step each; a CG on the border belongs to the tile of its C
+    seq = F.upper("tile_seq").cast("binary")
+    places = F.sequence(F.lit(1), F.least(F.octet_length("_b") - 1, F.lit(TILE)))
+    found = F.filter(places, lambda i: F.substring(F.col("_b"), i, F.lit(2)) == F.lit(b"CG"))
+    bytes_ = t.select("chrom", own.alias("own"), F.substring(seq, own - F.col("start") + 1, F.lit(TILE + 1)).alias("_b")).filter(F.octet_length("_b") > 1)
+    return bytes_.select("chrom", "own", F.explode(found).alias("k")).select("chrom", (F.col("own") + F.col("k") - 1).cast("int").alias("start"))
 
 
 SITES = {"MspI": "(?<=C)(?=CGG)", "TaqI": "(?<=T)(?=CGA)"}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from methylspark.functions.seq import letters, strand
+from methylspark.functions.seq import cigar_positions, letters, strand
 from methylspark.operators.calling import call_xm
 from methylspark.operators.genome import with_reference
 
@@ -25,8 +25,8 @@ def contigs(spark, sf_dir) -> DataFrame:
     return d.withColumn("length", F.length("seq"))
 
 
-def reads(spark, sf_dir) -> DataFrame:
-    """read_id, chrom, pos, xg, mapq, flag, second_mate, strand, seq, qual (array), cigar."""
+def placed(spark, sf_dir) -> DataFrame:
+    """read_id, chrom, pos, xg, mapq and the contig of each read."""
     c = contigs(spark, sf_dir)
     top = table(spark, sf_dir, "documents").agg((F.max("doc_id") + 1).alias("m"))
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("k"))
@@ -37,7 +37,40 @@ def reads(spark, sf_dir) -> DataFrame:
     )
     r = o.join(c.filter("length >= 100"), "ord")
     pos = (2 + (F.col("read_id") * 31 + F.col("o_custkey") * 17) % (F.col("length") - 64)).cast("int")
-    r = r.select("read_id", "chrom", pos.alias("pos"), "xg", "mapq", F.substring(F.col("seq"), pos + 1, F.lit(READ)).alias("g"))
+    return r.select("read_id", "chrom", pos.alias("pos"), "xg", "mapq", F.col("seq").alias("contig"), "length")
+
+
+#: Cigars of second mates, each of 60 read bases.
+MATE_CIGARS = ["60M", "5S55M", "30M3D30M", "20M2I38M"]
+
+
+def pairs(spark, sf_dir) -> DataFrame:
+    """Templates of two mates: read_id, second_mate, chrom, pos, cigar, flag, mapq, xg, seq, qual (array).
+
+    Mate 1 is the read of ``reads``. Mate 2 begins up to 79 bases later, has gaps, inserts and clips,
+    qualities and conversions of its own, and in one of 13 templates the other strand.
+    """
+    p = placed(spark, sf_dir)
+    k = F.col("read_id")
+    at = F.sequence(F.lit(0), F.lit(READ - 1))
+    pos2 = F.least(F.col("pos") + k % 80, F.col("length") - 64).cast("int")
+    cigar = F.element_at(F.array(*[F.lit(c) for c in MATE_CIGARS]), (k % 4 + 1).cast("int"))
+    xg2 = F.when(k % 13 == 0, F.when(F.col("xg") == "CT", "GA").otherwise("CT")).otherwise(F.col("xg"))
+    m = p.select("read_id", "chrom", pos2.alias("pos"), cigar.alias("cigar"), xg2.alias("xg"), (F.col("mapq") * 7 % 43).cast("int").alias("mapq"), F.substring("contig", pos2 + 1, F.lit(64)).alias("g"))
+
+    def base(site):
+        g = F.substring("g", site - F.col("pos") + 1, F.lit(1))
+        conv = (k * 3 + site * 7) % 10 >= 6
+        return F.when(site.isNull(), "N").when(conv & (F.col("xg") == "CT") & (g == "C"), "T").when(conv & (F.col("xg") == "GA") & (g == "G"), "A").otherwise(g)
+
+    two = m.select("read_id", F.lit(True).alias("second_mate"), "chrom", "pos", "cigar", F.lit(0).alias("flag"), "mapq", "xg", F.array_join(F.transform(cigar_positions(F.col("cigar"), F.col("pos")), base), "").alias("seq"), F.transform(at, lambda i: ((k * 3 + i * 7) % 40).cast("int")).alias("qual"))
+    one = reads(spark, sf_dir).select("read_id", F.lit(False).alias("second_mate"), "chrom", "pos", "cigar", "flag", "mapq", "xg", "seq", "qual")
+    return one.unionByName(two)
+
+
+def reads(spark, sf_dir) -> DataFrame:
+    """read_id, chrom, pos, xg, mapq, flag, second_mate, strand, seq, qual (array), cigar."""
+    r = placed(spark, sf_dir).select("read_id", "chrom", "pos", "xg", "mapq", F.substring("contig", F.col("pos") + 1, F.lit(READ)).alias("g"))
 
     def base(g, i):
         conv = (F.col("read_id") * 7 + (F.col("pos") + i) * 3) % 10 >= 6
@@ -90,6 +123,17 @@ B_SQL = """b as (select *, case when g = 'N' then '.' when xg = 'CT' and g = 'C'
     case when (read_id + i) % 41 = 0 then 'N' when conv and xg = 'CT' and g = 'C' then 'T' when conv and xg = 'GA' and g = 'G' then 'A' else g end as base
   from (select r.* exclude (seq), i::int as i, (pos + i)::int as site, ((read_id * 5 + i * 11) % 40 + 2)::int as q, (read_id * 7 + (pos + i) * 3) % 10 >= 6 as conv,
       substr('NN' || seq || 'NN', (pos + i + 1)::int, 5) as ref5, substr(seq, (pos + i + 1)::int, 1) as g from r, range(60) t(i))))"""
+#: Bases of second mates as ``pairs`` derives them: read_id, chrom, xg2, mapq2, pos2, end2, site, call, q.
+P_SQL = """p2 as (select *, case when site is null then null when xg2 = 'CT' and g = 'C' then case when (read_id * 3 + site * 7) % 10 >= 6 then kind else upper(kind) end
+    when xg2 = 'GA' and g = 'G' then case when (read_id * 3 + site * 7) % 10 >= 6 then kind else upper(kind) end else '.' end as call
+  from (select *, case when xg2 = 'CT' then case when ref5[4] = 'G' then 'z' when ref5[5] = 'G' then 'x' else 'h' end
+      else case when ref5[2] = 'C' then 'z' when ref5[1] = 'C' then 'x' else 'h' end end as kind
+  from (select *, substr('NN' || seq || 'NN', (site + 1)::int, 5) as ref5, substr(seq, (site + 1)::int, 1) as g
+  from (select *, (read_id * 3 + i * 7) % 40 as q, pos2 + case read_id % 4 when 0 then 60 when 1 then 55 when 2 then 63 else 58 end as end2,
+      case read_id % 4 when 0 then pos2 + i when 1 then case when i >= 5 then pos2 + i - 5 end when 2 then case when i < 30 then pos2 + i else pos2 + i + 3 end
+        else case when i < 20 then pos2 + i when i >= 22 then pos2 + i - 2 end end as site
+  from (select read_id, chrom, seq, pos, xg, mapq, flag, i::int as i, least(pos + read_id % 80, length(seq) - 64) as pos2, mapq * 7 % 43 as mapq2,
+      case when read_id % 13 = 0 then case when xg = 'CT' then 'GA' else 'CT' end else xg end as xg2 from r, range(60) t(i))))))"""
 G_SQL = "g as (select context, chrom, site as start, count(*) filter (m) as n_meth, count(*) filter (not m) as n_unmeth from (select *, case lower(call) when 'z' then 'CpG' when 'x' then 'CHG' else 'CHH' end as context, call = upper(call) as m from b where call <> '.' and q >= 5 and mapq >= 10 and flag = 0) group by all)"
 S_SQL = "s as (select l_linestatus || l_returnflag as sample, 'chr' || (l_suppkey % 7 + 1) as chrom, l_partkey::int as start, sum(l_linenumber)::bigint as n_meth, sum(l_quantity)::bigint as n_unmeth from lineitem group by all)"
 K_SQL = """k as (select o_orderkey as read_id, src_strand::int as src_strand, mate, case when (o_custkey + src_strand + o_orderkey + mate) % 5 = 0 then 4 else 0 end + case when (o_custkey + src_strand) % 3 = 0 then 2 else 0 end + case when (o_custkey * 3 + src_strand * 7 + o_orderkey + mate * 5) % 7 = 0 then 8 else 0 end + case when (o_custkey * 3 + src_strand * 7 + o_orderkey + mate * 5) % 4 = 1 then 16 else 0 end as flag,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from methylspark.functions import seq
 from methylspark.operators import bedgraph, calling, dedup, extract, genome, select
 from methylspark.plans import derive
-from methylspark.plans.derive import B_SQL, C_SQL, G_SQL, K_SQL, R_SQL, S_SQL
+from methylspark.plans.derive import B_SQL, C_SQL, G_SQL, K_SQL, P_SQL, R_SQL, S_SQL
 
 FLAGSHIP = "/root/testdata/sf0.001"
 BOUNDS = {"OT": (4, 50, 3, 55), "OB": (0, 52, 6, 0), "CTOT": (2, 0, 2, 0), "CTOB": (0, 40, 0, 58)}
@@ -88,8 +88,8 @@ def context_totals(spark, d):
     return calling.context_totals(derive.called(spark, d))
 
 
-def _sites(spark, d):
-    return extract.site_counts(extract.calls(extract.keep(derive.called(spark, d))))
+def _sites(spark, d, sign=False):
+    return extract.site_counts(extract.calls(extract.keep(derive.called(spark, d))), sign)
 
 
 @query(f"select context, chrom, start, start + 1 as \"end\", {PERMILLE} as permille, n_meth, n_unmeth from g", *RG)
@@ -137,13 +137,30 @@ def _pairs(spark, d):
     return r.withColumns({"pos2": F.least(F.col("pos") + F.col("read_id") % 80, F.lit(1 << 30)).cast("int"), "mapq2": (F.col("mapq") * 7 % 43).cast("int")})
 
 
-@query("select read_id, case when mapq >= 10 and mapq * 7 % 43 >= 10 then case when pos + 60 >= pos + read_id % 80 then 'overlap' else 'apart' end when mapq >= 10 then 'first' when mapq * 7 % 43 >= 10 then 'second' else 'none' end as pair_class from r", C_SQL, R_SQL)
+@query("select read_id, case when mapq >= 10 and mapq * 7 % 43 >= 10 then case when pos + 60 > pos + read_id % 80 then 'overlap' else 'apart' end when mapq >= 10 then 'first' when mapq * 7 % 43 >= 10 then 'second' else 'none' end as pair_class from r", C_SQL, R_SQL)
 def pair_routing(spark, d):
     p = _pairs(spark, d)
     p = p.select("read_id", F.col("chrom").alias("chrom1"), F.col("chrom").alias("chrom2"), F.col("xg").alias("xg1"), F.col("xg").alias("xg2"), F.col("mapq").alias("mapq1"), "mapq2", F.col("pos").alias("pos1"), "pos2", (F.col("pos") + 60).alias("end1"), (F.col("pos2") + 60).alias("end2"))
     return extract.route_pairs(p).select("read_id", "pair_class")
 
 
+_TEMPLATES = """t as (select distinct read_id, case when flag = 1024 then 'none' when mapq >= 10 and mapq2 >= 10 then case when xg = xg2 and pos + 60 > pos2 and end2 > pos then 'overlap' else 'apart' end
+    when mapq >= 10 then 'first' when mapq2 >= 10 then 'second' else 'none' end as cls from p2)"""
+_USED = """u as (select read_id, cls, 1 as mate, chrom, site, call, q from b join t using (read_id) where cls in ('overlap', 'apart', 'first')
+  union all select read_id, cls, 2, chrom, site, call, q from p2 join t using (read_id) where cls in ('overlap', 'apart', 'second') and site is not null)"""
+_ONCE = """o as (select chrom, site, call from u where cls <> 'overlap' and q >= 5
+  union all select chrom, site, case when c1 is null or c2 is null then case when coalesce(q1, q2) >= 5 then coalesce(c1, c2) end when c1 = c2 then case when greatest(q1, q2) * 1.2 >= 5 then c1 end
+      when abs(q1 - q2) >= 5 then case when q1 > q2 then c1 else c2 end end as call
+    from (select read_id, chrom, site, max(case when mate = 1 then call end) as c1, max(case when mate = 2 then call end) as c2, max(case when mate = 1 then q end) as q1, max(case when mate = 2 then q end) as q2
+      from u where cls = 'overlap' group by all))"""
+
+
+@query("select case lower(call) when 'z' then 'CpG' when 'x' then 'CHG' else 'CHH' end as context, chrom, site as start, count(*) filter (call = upper(call)) as n_meth, count(*) filter (call <> upper(call)) as n_unmeth from o where call <> '.' group by all", C_SQL, R_SQL, B_SQL, P_SQL, _TEMPLATES, _USED, _ONCE)
+def paired_site_counts(spark, d):
+    aln = genome.with_reference(derive.pairs(spark, d), derive.contigs(spark, d), max_span=64).withColumn("xm", calling.call_xm())
+    return extract.paired_site_counts(aln)
+
+
 @query("""select read_id as pair_id, chrom, site, case when c2 is null then case when q >= 5 then call end when call = c2 then case when greatest(q, q2) * 1.2 >= 5 then call end when abs(q - q2) >= 5 then case when q > q2 then call else c2 end end as call
   from (select *, case when i >= read_id % 80 then case when (read_id * 3 + site * 7) % 10 < 6 or call = '.' then call else case when call = upper(call) then lower(call) else upper(call) end end end as c2, (read_id * 3 + i * 7) % 40 as q2 from b)
   where case when c2 is null then case when q >= 5 then call end when call = c2 then case when greatest(q, q2) * 1.2 >= 5 then call end when abs(q - q2) >= 5 then case when q > q2 then call else c2 end end not in ('.')""", *RB)
@@ -311,7 +328,7 @@ def strand_label(spark, d):
 
 
 def _cpg(spark, d):
-    return _sites(spark, d).filter("context = 'CpG'").drop("context")
+    return _sites(spark, d, sign=True).filter("context = 'CpG'").drop("context")
 
 
 @query(f"select chrom, start, start + 2 as \"end\", {PERMILLE} as permille, n_meth, n_unmeth from (select chrom, case when base = 'C' then start else start - 1 end as start, sum(n_meth)::bigint as n_meth, sum(n_unmeth)::bigint as n_unmeth from {BASE} group by all)", *RG)

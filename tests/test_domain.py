@@ -330,3 +330,52 @@ def test_streamed_counts_equal_batch(spark, tmp_path):
 def test_registry():
     q = entry.queries()
     assert set(entry.oracle_sql()) <= set(q) and len(q) > 35
+
+
+def test_reference_join_keeps_unmapped_and_refuses_unknown(spark):
+    contigs = spark.createDataFrame([("c", "ACGTACGTAC" * 5)], "chrom string, seq string")
+    shape = "read_id int, chrom string, pos int, cigar string, seq string, flag int"
+    rows = [(1, "c", 0, "4M", "ACGT", 0), (2, None, None, None, "ACGT", 4), (3, "c", 3, "4M", "TACG", 4)]
+    for span in (None, 60):
+        got = {r.read_id: r.ref for r in genome.with_reference(spark.createDataFrame(rows, shape), contigs, max_span=span).collect()}
+        assert got == {1: "NNACGTAC", 2: None, 3: None}
+        for bad in ((4, "other", 0, "4M", "ACGT", 0), (5, "c", 900_000, "4M", "ACGT", 0)):
+            with pytest.raises(Exception, match="outside the genome"):
+                genome.with_reference(spark.createDataFrame([*rows, bad], shape), contigs, max_span=span).collect()
+
+
+def test_tiles_and_cpgs_of_long_contigs(spark):
+    import random
+
+    r = random.Random(3)
+    seq = {"a": "".join(r.choice("ACGTn") for _ in range(3 * genome.TILE + 77)), "b": "CG" * (genome.TILE // 2 + 3), "c": "G" + "CG" * genome.TILE, "d": "C", "e": ""}
+    contigs = spark.createDataFrame(list(seq.items()), "chrom string, seq string")
+    for t in genome.tiles(contigs).collect():
+        assert t.tile_seq == seq[t.chrom][t.start : (t.tile + 1) * genome.TILE + genome.OVERLAP]
+    got = sorted(tuple(x) for x in genome.cpg_positions(contigs).collect())
+    assert got == sorted((k, i) for k, s in seq.items() for i in range(len(s) - 1) if s[i : i + 2].upper() == "CG")
+
+
+def test_paired_calls_count_shared_bases_once(spark):
+    shape = "read_id int, second_mate boolean, chrom string, pos int, cigar string, flag int, mapq int, xg string, xm string, qual array<int>, strand string"
+    q = [30] * 4
+    rows = [
+        (1, False, "c", 10, "4M", 0, 40, "CT", "Z..z", q, "OT"), (1, True, "c", 12, "4M", 0, 40, "CT", ".zz.", [30, 30, 30, 30], "OT"),
+        (2, False, "c", 20, "4M", 0, 40, "CT", "ZZZZ", q, "OT"), (2, True, "c", 24, "4M", 0, 40, "CT", "zzzz", q, "OT"),
+        (3, False, "c", 30, "4M", 1024, 40, "CT", "ZZZZ", q, "OT"), (3, True, "c", 30, "4M", 0, 40, "CT", "ZZZZ", q, "OT"),
+        (4, False, "c", 40, "4M", 0, 5, "CT", "ZZZZ", q, "OT"), (4, True, "c", 40, "4M", 0, 40, "CT", "zzzz", q, "OT"),
+        (5, False, "c", 50, "2M1D2M", 0, 40, "CT", "ZZZZ", q, "OT"), (5, True, "c", 51, "4M", 0, 40, "CT", "zzzz", [20] * 4, "OT"),
+        (6, False, "c", 60, "4M", 4, 40, "CT", "ZZZZ", q, "OT"), (7, False, "c", 70, "4M", 0, 40, "GA", "ZZ.Z", [30, 2, 30, 30], "OB"),
+        (8, False, "c", 80, "4M", 0, 40, "CT", "ZZZZ", q, "OT"), (8, True, "c", 80, "4M", 0, 40, "GA", "zzzz", q, "OB"),
+    ]
+    aln = spark.createDataFrame(rows, shape)
+    got = {(r.read_id, r.site, r.sign): r.methylated for r in extract.paired_calls(aln).collect()}
+    want = {(1, 10, "+"): True, (1, 13, "+"): False, (1, 14, "+"): False}
+    want |= {(2, p, "+"): p < 24 for p in range(20, 28)} | {(4, p, "+"): False for p in range(40, 44)}
+    want |= {(5, p, "+"): p != 52 for p in (50, 51, 52, 53, 54)} | {(7, 70, "-"): True, (7, 73, "-"): True}
+    want |= {(8, p, s): s == "+" for p in range(80, 84) for s in "+-"}
+    assert got == want
+    bounded = extract.paired_calls(aln.filter("read_id = 2"), bounds={"OT": (1, 0, 0, 2), "OB": (0, 0, 0, 0)}).collect()
+    assert sorted(r.site for r in bounded) == [21, 22, 23, 24, 25]
+    counts = {(r.start, r.n_meth, r.n_unmeth) for r in extract.paired_site_counts(aln.filter("read_id = 8")).collect()}
+    assert counts == {(p, 1, 1) for p in range(80, 84)}
