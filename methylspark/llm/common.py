@@ -34,7 +34,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared work folder and read it again (cuts lineage durably)."""
     spark = df.sparkSession
     path = work_dir(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

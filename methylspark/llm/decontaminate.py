@@ -223,4 +223,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no benchmark item, decided by row number, so that null ids and repeats are judged too."""
     held = numbered(docs, "decontamination")
     found = matches(held.select("uid", "doc.text"), table(spark, sf_dir, "benchmark"), id_col="uid").select("uid").distinct()
+    # written down, so that Spark knows its size when it chooses how to leave these rows out
+    found = materialize(found, "decontamination")
     return held.join(found, "uid", "left_anti").select("doc.*")

@@ -105,7 +105,8 @@ def _masked(docs: DataFrame, scope: int, text: str, mask: str) -> DataFrame:
     """doc (a struct of all columns, spans of its text masked) and whether there were any."""
     held = numbered(docs, "redact")
     found = find_secrets(held.select(F.col("uid").alias("row"), F.col("doc")[text].alias("t")), scope, "row", "t")
-    hit = found.filter(F.size("all_spans") > 0).select(F.col("row").alias("uid"), F.col("all_spans").alias("spans"))
+    # written down, so that Spark knows the spans' size when it chooses how to bring them to the texts
+    hit = materialize(found.filter(F.size("all_spans") > 0).select(F.col("row").alias("uid"), F.col("all_spans").alias("spans")), "redact")
     t = F.col("doc")[text]
     # sorted spans; one that begins before an earlier one's end is covered, or goes on from there
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<begin:int,start:int>>").alias("cuts"))

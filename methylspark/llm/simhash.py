@@ -132,5 +132,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     held = numbered(docs, "simhash")
     groups = near_duplicates(held.select("uid", "doc.text"), "uid").select("uid", "component_id")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
-    first = groups.join(held.select("uid", "doc.doc_id"), "uid").groupBy("component_id").agg(F.min(order)["uid"].alias("uid"))
-    return held.join(first, "uid", "left_semi").select("doc.*")
+    groups = materialize(groups.join(held.select("uid", "doc.doc_id"), "uid"), "simhash")
+    first = groups.groupBy("component_id").agg(F.min(order)["uid"].alias("first"), F.count("*").alias("n")).filter("n > 1")
+    marked = attach(groups, materialize(first, "simhash"), "component_id", "first", "n")
+    # written down, so that Spark knows its size when it chooses how to leave these rows out
+    gone = materialize(marked.filter("uid <> first").select("uid"), "simhash")
+    return held.join(gone, "uid", "left_anti").select("doc.*")
