@@ -91,6 +91,12 @@ def strand(xr, xg, second_mate) -> Column:
     return F.when(~first, F.when(xg == "CT", "OT").otherwise("OB")).otherwise(F.when(xg == "CT", "CTOT").otherwise("CTOB"))
 
 
+def conversions(src_strand) -> tuple[Column, Column]:
+    """(XR, XG) labels of strands 0 to 3 (OT, OB, CTOT, CTOB); null without a strand."""
+    of = lambda label, strands: F.when(src_strand.isin(*strands), label)
+    return F.coalesce(of("CT", (0, 1)), of("GA", (2, 3))), F.coalesce(of("CT", (0, 2)), of("GA", (1, 3)))
+
+
 def score_min(length, kind: str = "L", a: float = -0.6, b: float = -0.6) -> Column:
     """Least score of an alignment as a function of read length (L, S, G or C), in single precision, cut to int."""
     f = lambda x: x.cast("float")

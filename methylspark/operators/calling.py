@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from methylspark.functions.seq import cigar_positions, letters
+from methylspark.functions.seq import cigar_positions, conversions, has_flag, letters, stored_sequence
+from methylspark.operators.genome import with_reference
 
 
 def _on_read(ref, blank: str) -> Column:
@@ -49,6 +50,27 @@ def call_xx() -> Column:
     return F.struct(F.concat(lead, text).alias("xx"), F.length(F.translate(line, "=", "")).alias("nm"))
 
 
+def call_winners(winners: DataFrame, originals: DataFrame, contigs: DataFrame, max_span: int | None = None) -> DataFrame:
+    """Chosen alignments with their unconverted reads and calls: adds seq, qual, xr, xg, ref, xm, xx and nm.
+
+    ``winners`` has read_id, mate, src_strand (null: unmapped), chrom, pos, flag and cigar; ``originals`` has
+    read_id, mate, seq and qual (array) as sequenced. Reads on the reverse strand are turned and their qualities
+    reversed. One join on (read_id, mate). Unmapped reads keep their sequence and have no calls or labels;
+    a winner without its read is an error, reads without a winner row are left out.
+    """
+    key = ["read_id", "mate"]
+    j = winners.join(originals.select(*key, F.col("seq").alias("_seq"), F.col("qual").alias("_qual")), key, "left")
+    lost = F.raise_error(F.concat(F.lit("no original read for "), F.col("read_id").cast("string"))).cast("string")
+    xr, xg = conversions(F.col("src_strand"))
+    turned = F.when(has_flag(F.col("flag"), 16), F.reverse("_qual")).otherwise(F.col("_qual"))
+    seq = F.when(F.col("_seq").isNull(), lost).otherwise(stored_sequence(F.col("_seq"), F.col("flag")))
+    aln = j.withColumns({"seq": seq, "qual": turned, "xr": xr, "xg": xg}).drop("_seq", "_qual")
+    r = with_reference(aln, contigs, max_span=max_span)
+    on = F.col("ref").isNotNull() & F.col("xg").isNotNull()
+    r = r.withColumn("xm", F.when(on, call_xm())).withColumn("_x", F.when(on, call_xx()))
+    return r.withColumns({"xx": F.col("_x.xx"), "nm": F.col("_x.nm")}).drop("_x")
+
+
 def context_totals(aln: DataFrame) -> DataFrame:
     """One row: methylated calls and all calls of each context over the call strings."""
     n = lambda chars: F.sum(F.length("xm") - F.length(F.translate("xm", chars, ""))).cast("long")

@@ -71,13 +71,14 @@ def pair_rows(aln: DataFrame, read_id: str = "read_id", words: int = 4, min_phre
     return g.select(read_id, *key, *maps, phred.alias("phred")).withColumn("calls", set_bits("meth") + set_bits("unmeth"))
 
 
-def mark_duplicates(reads: DataFrame, key: list[str], read_id: str = "read_id") -> DataFrame:
+def mark_duplicates(reads: DataFrame, key: list[str], read_id: str = "read_id", ids: DataFrame | None = None) -> DataFrame:
     """read_id, duplicate. Inside a key, reads in the order (calls desc, phred desc, read_id): a read is a
     duplicate if an earlier kept one is at distance 0.
 
     Needs meth and unmeth (arrays of longs), calls and phred. Reads of one key with the same maps are
     settled before: only the first of them can be kept, so a pile of identical copies reaches the
-    order-dependent step as one row.
+    order-dependent step as one row. ``ids`` are the same reads' ids from a cheaper source than ``reads``, where
+    the maps have been derived and should not be so twice.
     """
     first = reads.groupBy(*key, "meth", "unmeth").agg(F.max(F.struct("calls", "phred", (-F.col(read_id)).alias("neg"))).alias("top"))
     item = F.struct((-F.col("top.calls")).alias("c"), (-F.col("top.phred")).alias("p"), (-F.col("top.neg")).alias("id"), "meth", "unmeth")
@@ -89,7 +90,14 @@ def mark_duplicates(reads: DataFrame, key: list[str], read_id: str = "read_id")
         return F.when(near, kept).otherwise(F.concat(kept, F.array(x)))
 
     kept = bins.select(F.explode(F.aggregate("items", none, step)).alias("k")).select(F.col("k.id").alias(read_id), F.lit(False).alias("_dup"))
-    return reads.select(read_id).join(kept, read_id, "left").select(read_id, F.coalesce("_dup", F.lit(True)).alias("duplicate"))
+    return (reads if ids is None else ids).select(read_id).join(kept, read_id, "left").select(read_id, F.coalesce("_dup", F.lit(True)).alias("duplicate"))
+
+
+def duplicate_totals(marks: DataFrame) -> DataFrame:
+    """One row: reads, duplicates and their percentage (nan of none)."""
+    n = F.count_if("duplicate")
+    share = F.when(F.count("*") > 0, F.format_string("%6.2f%%", F.try_divide(F.lit(100.0) * n, F.count("*")))).otherwise("nan")
+    return marks.agg(F.count("*").alias("reads"), n.alias("duplicates"), share.alias("duplicate_percent"))
 
 
 def flag_duplicates(aln: DataFrame, marks: DataFrame, read_id: str = "read_id") -> DataFrame:

@@ -108,7 +108,7 @@ def candidates(spark, sf_dir) -> DataFrame:
 
 
 #: The same tables for DuckDB.
-C_SQL = f"""c as (select 'c' || lpad(doc_id::varchar, 6, '0') as chrom, doc_id as ord, seq, length(seq)::int as length from
+C_SQL = f"""c as (select 'c' || lpad(doc_id::varchar, greatest(6, length(doc_id::varchar))::int, '0') as chrom, doc_id as ord, seq, length(seq)::int as length from
   (select doc_id, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{LETTERS}', '{BASES}') as seq from documents))"""
 R_SQL = """r as (select read_id, chrom, pos, xg, mapq, flag, second_mate, seq,
   case when (second_mate <> (read_id % 5 = 0)) = second_mate then case when xg = 'CT' then 'OT' else 'OB' end else case when xg = 'CT' then 'CTOT' else 'CTOB' end end as strand

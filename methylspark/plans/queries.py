@@ -8,6 +8,7 @@ from methylspark.functions import seq
 from methylspark.operators import bedgraph, calling, dedup, extract, genome, select
 from methylspark.plans import derive
 from methylspark.plans.derive import B_SQL, C_SQL, G_SQL, K_SQL, P_SQL, R_SQL, S_SQL
+from methylspark.sources import text
 
 FLAGSHIP = "/root/testdata/sf0.001"
 BOUNDS = {"OT": (4, 50, 3, 55), "OB": (0, 52, 6, 0), "CTOT": (2, 0, 2, 0), "CTOB": (0, 40, 0, 58)}
@@ -131,6 +132,20 @@ def mbias_cutoffs(spark, d):
     return extract.mbias_cutoffs(extract.mbias_intervals(mbias_matrix(spark, d))).select("strand", "read", F.col("five").cast("int").alias("five"), F.col("three").cast("int").alias("three"))
 
 
+_MB = "mb as (select strand, read, position, case when position <= 3 or position >= 58 then a + u - 1 else a end as a, case when position <= 3 or position >= 58 then 1 else u end as u from m where a + u > 1)"
+_IB = _I.replace("i as", "ib as", 1).replace("from m)", "from mb)")
+
+
+@query(SQL["mbias_cutoffs"].split(_I)[1].strip().replace("read) as last from i)", "read) as last from ib)"), *RB, _M, _MB, _IB)
+def mbias_cutoffs_biased(spark, d):
+    """Cutoffs where three bases at both ends are read as methylated, as after end repair."""
+    end = (F.col("position") <= 3) | (F.col("position") >= 58)
+    total = F.col("n_meth") + F.col("n_unmeth")
+    m = mbias_matrix(spark, d).filter(total > 1)
+    m = m.select("strand", "read", "position", F.when(end, total - 1).otherwise(F.col("n_meth")).alias("n_meth"), F.when(end, 1).otherwise(F.col("n_unmeth")).alias("n_unmeth"))
+    return extract.mbias_cutoffs(extract.mbias_intervals(m)).select("strand", "read", F.col("five").cast("int").alias("five"), F.col("three").cast("int").alias("three"))
+
+
 def _pairs(spark, d):
     """Mate 1 is a derived read, mate 2 begins up to 79 bases later."""
     r = derive.called(spark, d)
@@ -200,7 +215,7 @@ def dup_keys(spark, d):
 
 
 def dup_greedy(spark, d):
-    return dedup.mark_duplicates(_dup_reads(spark, d), ["key"])
+    return dedup.mark_duplicates(_dup_reads(spark, d), ["key"], ids=derive.reads(spark, d).filter("pos is not null"))
 
 
 QUERIES["dup_greedy"] = dup_greedy
@@ -221,6 +236,14 @@ QUERIES["dup_flags"] = dup_flags
 SQL["dup_flags"] = SQL["dup_greedy"].replace("select read_id, dup as duplicate from w", "select w.read_id, (r.flag | case when dup then 1024 else 0 end)::int as flag from w join r using (read_id)")
 
 
+def duplicate_totals(spark, d):
+    return dedup.duplicate_totals(dup_greedy(spark, d))
+
+
+QUERIES["duplicate_totals"] = duplicate_totals
+SQL["duplicate_totals"] = SQL["dup_greedy"].replace("select read_id, dup as duplicate from w", "select count(*) as reads, count(*) filter (dup) as duplicates, printf('%6.2f%%', 100.0 * count(*) filter (dup) / count(*)) as duplicate_percent from w")
+
+
 def _templates(spark, d):
     """Reads 2t and 2t + 1 are the mates of template t; every third mate has a clip."""
     r = derive.called(spark, d).withColumns({"second_mate": F.col("read_id") % 2 == 1, "read_id": F.floor(F.col("read_id") / 2)})
@@ -310,6 +333,36 @@ def multimapper_first(spark, d):
     return select.first_alignment(derive.candidates(spark, d)).select("read_id", "mate", "src_strand", "flag", "as_score", F.col("as_score").alias("first_score"))
 
 
+#: Two more alignments of each candidate, worse and later ones, mixed among the first.
+_KR = "kr as (select k.* replace ((as_score - r)::int as as_score), r as rank from k, range(3) x(r))"
+
+
+@query("select read_id, mate, src_strand, flag, as_score, rank from (select *, row_number() over (partition by read_id, mate, src_strand order by rank) as n from kr) where n = 1", K_SQL, _KR)
+def multimapper_ranked(spark, d):
+    c = derive.candidates(spark, d).drop("rank").select("*", F.explode(F.array(*[F.lit(r).cast("long") for r in (2, 0, 1)])).alias("rank"))
+    c = c.withColumn("as_score", (F.col("as_score") - F.col("rank")).cast("int"))
+    return select.first_alignment(c).select("read_id", "mate", "src_strand", "flag", "as_score", "rank")
+
+
+@query("select read_id % 4 as file, count(*) as reads from r group by all", C_SQL, R_SQL)
+def reads_per_file(spark, d):
+    return text.reads_per_file(derive.reads(spark, d).withColumn("file", F.col("read_id") % 4))
+
+
+@query("select read_id, case when xg = 'CT' then 'CT' else 'GA' end as xg, case when read_id % 3 = 0 then 'GA' else 'CT' end as xr, string_agg(base, '' order by i) as seq, string_agg(chr(q + 33), '' order by i) as qual, string_agg(call, '' order by i) as xm from b group by read_id, xg", *RB)
+def winner_calls(spark, d):
+    """Reads as sequenced (turned where flag 16 says so) meet their winning strands."""
+    r = derive.reads(spark, d)
+    back = F.when(F.col("read_id") % 3 == 0, 2).otherwise(0)
+    st = back + F.when(F.col("xg") == "GA", 1).otherwise(0)
+    flag = F.when(F.col("read_id") % 2 == 0, 16).otherwise(0)
+    winners = r.select("read_id", F.lit(1).alias("mate"), st.alias("src_strand"), "chrom", "pos", flag.alias("flag"), "cigar")
+    turned = F.col("read_id") % 2 == 0
+    raw = r.select("read_id", F.lit(1).alias("mate"), F.when(turned, seq.reverse_complement(F.col("seq"))).otherwise(F.col("seq")).alias("seq"), F.when(turned, F.reverse("qual")).otherwise(F.col("qual")).alias("qual"))
+    c = calling.call_winners(winners, raw, derive.contigs(spark, d), max_span=derive.READ)
+    return c.select("read_id", "xg", "xr", "seq", seq.encode_phred("qual").alias("qual"), "xm")
+
+
 @query("select count(*) as reads, " + ", ".join(f"count(*) filter (won and st = {k}) as strand{k}" for k in range(4)) + ", count(*) filter (not won or won is null) as unmapped, printf('%6.2f%%', 100.0 * count(*) filter (won) / count(*)) as mapped_percent from w", K_SQL, _X, _W)
 def align_metrics(spark, d):
     return select.metrics(best_strand_se(spark, d))

@@ -91,7 +91,9 @@ def write_fasta(contigs: DataFrame, path: str, width: int = 60) -> None:
 
 
 def report_lines(chosen: DataFrame, totals: DataFrame) -> DataFrame:
-    """n, value: the run's report from the one row of ``metrics`` and the one row of ``context_totals``.
+    """n, value: the run's report from the one row of ``metrics`` or ``pair_metrics`` and the one row of ``context_totals``.
+
+    A run of pairs has lines for concordant and discordant pairs, as shares of pairs, and for singletons.
 
     Shares of nothing are written as nan.
     """
@@ -103,7 +105,12 @@ def report_lines(chosen: DataFrame, totals: DataFrame) -> DataFrame:
 
     strands = [(name, f"strand{k}", "reads") for k, name in enumerate(("OT", "OB", "CTOT", "CTOB"))]
     contexts = [(f"methylated {c}", f"m_{c.lower()}", f"t_{c.lower()}") for c in ("CpG", "CHG", "CHH")]
-    return lines(chosen, 0, [("reads", "reads", "reads"), *strands, ("unmapped", "unmapped", "reads")]).unionByName(lines(totals, 100, contexts))
+    if "concordant" in chosen.columns:
+        chosen = chosen.withColumns({"pairs": F.floor(F.col("reads") / 2), "unmapped": F.col("reads") - sum(F.col(f"strand{k}") for k in range(4))})
+        kinds = [("pairs", "pairs", "pairs"), ("concordant pairs", "concordant", "pairs"), ("discordant pairs", "discordant", "pairs"), ("singletons", "singletons", "reads")]
+    else:
+        kinds = []
+    return lines(chosen, 0, [("reads", "reads", "reads"), *kinds, *strands, ("unmapped", "unmapped", "reads")]).unionByName(lines(totals, 100, contexts))
 
 
 def write_report(chosen: DataFrame, totals: DataFrame, path: str) -> None:

@@ -2,37 +2,113 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def numbered_lines(spark: SparkSession, path: str, mark: str = ">", **options) -> DataFrame:
+    """file, block, line, head, value of every line: its number in its split, and that of the last line there that
+    begins with ``mark`` (-1 before the first).
+
+    A split is a stretch of a file that one task reads; ``block`` is its place in the file, so (block, line) is the
+    order of lines. Lines are numbered batch by batch, with no Python for each of them.
+    """
+    t = spark.read.text(path, **options)
+    t = t.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+    def run(batches):
+        split, line, head = None, 0, -1
+        for b in batches:
+            if not b.num_rows:
+                continue
+            files, blocks = b.column(0).dictionary_encode(), b.column(1).to_numpy()
+            codes = files.indices.to_numpy()
+            fresh = np.r_[True, (codes[1:] != codes[:-1]) | (blocks[1:] != blocks[:-1])]
+            starts = np.flatnonzero(fresh)
+            at, lines, heads = np.arange(b.num_rows), [], []
+            begins = pc.starts_with(b.column(2), mark).to_numpy(zero_copy_only=False)
+            for lo, hi in zip(starts, np.r_[starts[1:], b.num_rows]):  # one step for each split in the batch
+                now = (files.dictionary[codes[lo]].as_py(), blocks[lo])
+                if now != split:
+                    split, line, head = now, 0, -1
+                own = at[lo:hi] - lo + line
+                lines.append(own)
+                heads.append(np.maximum.accumulate(np.r_[head, np.where(begins[lo:hi], own, -1)])[1:])
+                line, head = own[-1] + 1, heads[-1][-1]
+            numbers = [pa.array(np.concatenate(x), pa.int64()) for x in (lines, heads)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *numbers, b.column(2)], ["file", "block", "line", "head", "value"])
+
+    return t.mapInArrow(run, "file string, block long, line long, head long, value string")
+
+
 def read_fasta(spark: SparkSession, folder: str) -> DataFrame:
-    """chrom, ord, length, seq of every .fa and .fasta file below ``folder``, in the order of file names."""
-    t = spark.read.text(folder, wholetext=True, pathGlobFilter="*.{fa,fasta}").select(F.input_file_name().alias("file"), "value")
-    records = t.select("file", F.posexplode(F.split("value", "(?:^|\\n)>")).alias("k", "r")).filter("k > 0")
-    name = F.regexp_extract("r", r"^([^\s]*)", 1)
-    seq = F.upper(F.regexp_replace(F.regexp_replace("r", r"^[^\n]*\n?", ""), r"\s", ""))
-    c = records.select("file", "k", name.alias("chrom"), seq.alias("seq"))
-    # one row a contig: the narrow order is numbered apart from the sequences
-    order = c.select("file", "k").withColumn("ord", F.row_number().over(Window.orderBy("file", "k")) - 1)
+    """chrom, ord, length, seq of every .fa and .fasta file below ``folder``, in the order of file names.
+
+    Files are read in splits, so a genome may be one file of any size; a contig is one row and may have up to 2 GB.
+    Lines before the first header of a file belong to no contig.
+    """
+    lines = numbered_lines(spark, folder, pathGlobFilter="*.{fa,fasta}")
+    own = F.col("line") == F.col("head")
+    text = F.sort_array(F.collect_list(F.when(~own, F.struct("line", "value"))))
+    pieces = lines.groupBy("file", "block", "head").agg(F.max(F.when(own, F.col("value"))).alias("title"), F.array_join(F.transform(text, lambda x: x["value"]), "").alias("text"))
+    # one narrow row for each contig of each split: a piece without a header goes on with the contig before
+    places = lines.select("file", "block", "head").distinct()
+    before = Window.partitionBy("file").orderBy("block", "head")
+    places = places.withColumn("k", F.sum(F.when(F.col("head") >= 0, 1).otherwise(0)).over(before)).filter("k > 0")
+    part = F.struct("block", "head", "text")
+    c = pieces.join(places, ["file", "block", "head"]).groupBy("file", "k").agg(F.max("title").alias("title"), F.sort_array(F.collect_list(part)).alias("parts"))
+    seq = F.upper(F.regexp_replace(F.array_join(F.transform("parts", lambda x: x["text"]), ""), r"\s", ""))
+    c = c.select("file", "k", F.regexp_extract("title", r"^>(\S*)", 1).alias("chrom"), seq.alias("seq"))
+    order = places.filter("head >= 0").select("file", "k", (F.row_number().over(Window.orderBy("file", "k")) - 1).alias("ord"))
     return c.join(order, ["file", "k"]).select("chrom", "ord", F.length("seq").alias("length"), "seq")
 
 
-def read_fastq(spark: SparkSession, paths: list[str], mate: int = 1, upto: int | None = None) -> DataFrame:
-    """file (index in ``paths``), ordinal, mate, name, seq, qual of plain or compressed FASTQ files.
+def read_fastq(spark: SparkSession, paths: str | list[str], mate: int = 1, upto: int | None = None) -> DataFrame:
+    """file, ordinal, mate, name, seq, qual of plain or compressed FASTQ files.
 
-    Lines get their number from the sizes of the partitions before, so large plain files are read in
-    parallel. ``upto`` keeps the first reads of each file.
+    ``paths`` is a list, or names with commas between them; each may be a folder or a pattern, whose files come in
+    the order of their names. ``file`` counts files in that order. Large plain files are read in splits: lines get
+    their number from the sizes of the splits before. ``upto`` keeps the first reads of each file. A file that
+    ends inside a record is an error; empty lines after the last record are passed over.
+    """
+    paths = [p.strip() for p in paths.split(",")] if isinstance(paths, str) else paths
+    each = [numbered_lines(spark, p, mark="@").select(F.lit(k).alias("entry"), "file", "block", "line", "value") for k, p in enumerate(paths)]
+    lines = reduce(DataFrame.unionByName, each)
+    counts = [spark.read.text(p).select(F.lit(k).alias("entry"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")) for k, p in enumerate(paths)]
+    sizes = reduce(DataFrame.unionByName, counts).groupBy("entry", "file", "block").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("entry", "file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each split
+    splits = sizes.select("entry", "file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), (F.dense_rank().over(Window.orderBy("entry", "file")) - 1).alias("k"))
+    n = F.col("before") + F.col("line")
+    at = lines.join(splits, ["entry", "file", "block"]).select(F.col("k").alias("file"), F.floor(n / 4).alias("ordinal"), (n % 4).alias("part"), "value")
+    if upto is not None:
+        at = at.filter(F.col("ordinal") < upto)
+    g = at.groupBy("file", "ordinal").agg(*[F.max(F.when(F.col("part") == p, F.col("value"))).alias(c) for p, c in enumerate(("name", "seq", "plus", "qual"))])
+    g = g.filter(F.concat_ws("", "name", "seq", "plus", "qual") != "")
+    whole = F.when(F.col("qual").isNull(), F.raise_error(F.lit("a FASTQ file ends inside a record")).cast("string")).otherwise(F.col("qual"))
+    return g.select("file", "ordinal", F.lit(mate).alias("mate"), F.regexp_extract("name", r"^@(\S*)", 1).alias("name"), "seq", whole.alias("qual"))
+
+
+def read_fastq_pairs(spark: SparkSession, first: str | list[str], second: str | list[str], upto: int | None = None) -> DataFrame:
+    """file, ordinal, name, seq1, qual1, seq2, qual2: read n of file k of ``first`` with read n of file k of ``second``.
+
+    The name is that of mate 1. A read without its mate is an error.
     """
-    out = None
-    for k, path in enumerate(paths):
-        lines = spark.read.text(path).rdd.map(lambda r: r[0]).zipWithIndex()  # no relational form numbers lines
-        df = lines.map(lambda x: (x[1] // 4, x[1] % 4, x[0])).toDF("ordinal long, part long, value string")
-        g = df.groupBy("ordinal").agg(*[F.max(F.when(F.col("part") == p, F.col("value"))).alias(n) for p, n in ((0, "name"), (1, "seq"), (3, "qual"))])
-        g = g.select(F.lit(k).alias("file"), "ordinal", F.lit(mate).alias("mate"), F.regexp_extract("name", r"^@(\S*)", 1).alias("name"), "seq", "qual")
-        out = g if out is None else out.unionByName(g)
-    return out.filter(F.col("ordinal") < upto) if upto is not None else out
+    a, b = [read_fastq(spark, p, m, upto).select("file", "ordinal", *[F.col(c).alias(f"{c}{m}") for c in ("name", "seq", "qual")]) for m, p in ((1, first), (2, second))]
+    lost = F.col("name1").isNull() | F.col("name2").isNull()
+    name = F.when(lost, F.raise_error(F.lit("a read has no mate in the other file")).cast("string")).otherwise(F.col("name1"))
+    return a.join(b, ["file", "ordinal"], "full").select("file", "ordinal", name.alias("name"), "seq1", "qual1", "seq2", "qual2")
+
+
+def reads_per_file(reads: DataFrame) -> DataFrame:
+    """file, reads: how many reads each FASTQ file gave."""
+    return reads.groupBy("file").agg(F.count("*").alias("reads"))
 
 
 SAM = ["qname", "flag", "chrom", "pos", "mapq", "cigar", "mate_chrom", "mate_pos", "tlen", "seq", "qual"]

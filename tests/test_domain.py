@@ -379,3 +379,58 @@ def test_paired_calls_count_shared_bases_once(spark):
     assert sorted(r.site for r in bounded) == [21, 22, 23, 24, 25]
     counts = {(r.start, r.n_meth, r.n_unmeth) for r in extract.paired_site_counts(aln.filter("read_id = 8")).collect()}
     assert counts == {(p, 1, 1) for p in range(80, 84)}
+
+
+def test_genome_and_reads_in_many_splits(spark, tmp_path):
+    rng = random.Random(4)
+    contigs = [(f"c{k}", "".join(rng.choice("ACGTN") for _ in range(rng.choice((0, 1, 59, 60, 700, 3000))))) for k in range(12)]
+    (tmp_path / "g").mkdir()
+    wrap = lambda s: "".join(s[i : i + 60] + "\n" for i in range(0, len(s), 60))
+    for name, some in (("b.fasta", contigs[7:]), ("a.fa", contigs[:7])):
+        (tmp_path / "g" / name).write_text("no contig yet\n" + "".join(f">{n} about it\n{wrap(s.lower())}" for n, s in some))
+    for f, n in (("r_1.fq", 230), ("r_2.fq", 90)):
+        (tmp_path / f).write_text("".join(f"@r{k}/{f} x\n{'ACGT' * (1 + k % 9)}\n+\n{'@I!I' * (1 + k % 9)}\n" for k in range(n)))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1000")
+    try:
+        got = text.read_fasta(spark, str(tmp_path / "g"))
+        assert [tuple(r) for r in got.orderBy("ord").collect()] == [(n, k, len(s), s) for k, (n, s) in enumerate(contigs)]
+        want = sorted((f, k, f"r{k}/r_{f + 1}.fq", "ACGT" * (1 + k % 9), "@I!I" * (1 + k % 9)) for f, n in ((0, 230), (1, 90)) for k in range(n))
+        for paths in (f"{tmp_path}/r_1.fq, {tmp_path}/r_2.fq", [str(tmp_path / "r_*.fq")]):
+            r = text.read_fastq(spark, paths)
+            assert sorted((x.file, x.ordinal, x.name, x.seq, x.qual) for x in r.collect()) == want
+        assert {x.file: x.reads for x in text.reads_per_file(r).collect()} == {0: 230, 1: 90}
+        pairs = text.read_fastq_pairs(spark, str(tmp_path / "r_1.fq"), str(tmp_path / "r_1.fq")).collect()
+        assert len(pairs) == 230 and all(p.seq1 == p.seq2 for p in pairs)
+        with pytest.raises(Exception, match="no mate"):
+            text.read_fastq_pairs(spark, str(tmp_path / "r_1.fq"), str(tmp_path / "r_2.fq")).collect()
+    finally:
+        spark.conf.set(key, before)
+    (tmp_path / "cut.fq").write_text("@a\nAC\n+\nII\n@b\nAC\n")
+    with pytest.raises(Exception, match="inside a record"):
+        text.read_fastq(spark, [str(tmp_path / "cut.fq")]).collect()
+
+
+def test_winners_meet_their_reads(spark):
+    c = spark.createDataFrame([("c", 0, 8, "AACGTTCG")], "chrom string, ord int, length int, seq string")
+    w = spark.createDataFrame([(1, 1, 0, "c", 1, 0, "4M"), (2, 1, 1, "c", 1, 16, "4M"), (3, 1, None, None, None, 4, None)], "read_id long, mate int, src_strand int, chrom string, pos int, flag int, cigar string")
+    o = spark.createDataFrame([(1, 1, "atgt", [1, 2, 3, 4]), (2, 1, "ATGT", [1, 2, 3, 4]), (3, 1, "GGGG", [9] * 4), (4, 1, "TT", [1, 1])], "read_id long, mate int, seq string, qual array<int>")
+    got = {r.read_id: (r.seq, r.qual, r.xr, r.xg, r.xm, r.nm) for r in calling.call_winners(w, o, c).collect()}
+    assert got == {
+        1: ("ATGT", [1, 2, 3, 4], "CT", "CT", ".z..", 0),
+        2: ("ACAT", [4, 3, 2, 1], "CT", "GA", "..z.", 0),
+        3: ("GGGG", [9] * 4, None, None, None, None),
+    }
+    with pytest.raises(Exception, match="no original read"):
+        calling.call_winners(w, o.filter("read_id <> 2"), c).collect()
+
+
+def test_report_of_pairs_and_duplicate_totals(spark):
+    m = spark.createDataFrame([(8, 2, 1, 1, 3, 2, 1, 0)], "reads long, concordant long, discordant long, singletons long, strand0 long, strand1 long, strand2 long, strand3 long")
+    t = spark.createDataFrame([(1, 0, 2, 3, 0, 2)], "m_cpg long, m_chg long, m_chh long, t_cpg long, t_chg long, t_chh long")
+    lines = [r.value for r in sinks.report_lines(m, t).orderBy("n").collect()]
+    assert lines[1:5] == ["pairs\t4\t100.00%", "concordant pairs\t2\t 50.00%", "discordant pairs\t1\t 25.00%", "singletons\t1\t 12.50%"] and lines[9] == "unmapped\t2\t 25.00%"
+    marks = spark.createDataFrame([(1, True), (2, False), (3, False)], "read_id long, duplicate boolean")
+    assert tuple(dedup.duplicate_totals(marks).first()) == (3, 1, " 33.33%")
+    assert tuple(dedup.duplicate_totals(marks.limit(0)).first()) == (0, 0, "nan")
