@@ -69,7 +69,13 @@ def pairs(spark, sf_dir) -> DataFrame:
 
 
 def reads(spark, sf_dir) -> DataFrame:
-    """read_id, chrom, pos, xg, mapq, flag, second_mate, strand, seq, qual (array), cigar."""
+    """read_id, chrom, pos, xg, mapq, flag, second_mate, strand, seq, qual (array), cigar.
+
+    Where the session's setting ``methylspark.reads.<sf_dir>`` names a table of these rows (see ``prepare_reads``), that is read.
+    """
+    written = spark.conf.get(f"methylspark.reads.{sf_dir}", "")
+    if written:
+        return spark.read.parquet(written)
     r = placed(spark, sf_dir).select("read_id", "chrom", "pos", "xg", "mapq", F.substring("contig", F.col("pos") + 1, F.lit(READ)).alias("g"))
 
     def base(g, i):
@@ -83,6 +89,12 @@ def reads(spark, sf_dir) -> DataFrame:
     return r.withColumn("strand", strand(F.col("xr"), F.col("xg"), F.col("second_mate"))).drop("g", "xr")
 
 
+def prepare_reads(spark, sf_dir, path: str) -> None:
+    """Write ``reads`` to ``path`` and let the session's later queries over ``sf_dir`` read them there."""
+    reads(spark, sf_dir).write.mode("overwrite").parquet(path)
+    spark.conf.set(f"methylspark.reads.{sf_dir}", path)
+
+
 def called(spark, sf_dir) -> DataFrame:
     """reads with ref and call string xm."""
     return with_reference(reads(spark, sf_dir), contigs(spark, sf_dir), max_span=READ).withColumn("xm", call_xm())
