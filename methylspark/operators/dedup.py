@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from methylspark.functions.seq import has_flag, letters, total_phred, unclipped_start
+from methylspark.operators.staging import written
 
 
 def edit_distance(m1, u1, m2, u2) -> Column:
@@ -71,7 +73,7 @@ def pair_rows(aln: DataFrame, read_id: str = "read_id", words: int = 4, min_phre
     return g.select(read_id, *key, *maps, phred.alias("phred")).withColumn("calls", set_bits("meth") + set_bits("unmeth"))
 
 
-def mark_duplicates(reads: DataFrame, key: list[str], read_id: str = "read_id", ids: DataFrame | None = None) -> DataFrame:
+def mark_duplicates(reads: DataFrame, key: list[str], read_id: str = "read_id", ids: DataFrame | None = None, block: int = 1024) -> DataFrame:
     """read_id, duplicate. Inside a key, reads in the order (calls desc, phred desc, read_id): a read is a
     duplicate if an earlier kept one is at distance 0.
 
@@ -79,17 +81,45 @@ def mark_duplicates(reads: DataFrame, key: list[str], read_id: str = "read_id",
     settled before: only the first of them can be kept, so a pile of identical copies reaches the
     order-dependent step as one row. ``ids`` are the same reads' ids from a cheaper source than ``reads``, where
     the maps have been derived and should not be so twice.
+
+    Maps are sorted by key and order over all tasks and cut into blocks, so a row holds at most ``block`` of them,
+    whatever key they have. Round r settles the r-th block of each key: its kept maps go to every later block of
+    that key, a row each, and drop the maps there that are near them. Most keys have one block and end in round
+    0. There are as many rounds as the longest key has blocks, each with written tables, so a lost executor costs
+    no earlier round. Null keys are equal to each other.
     """
-    first = reads.groupBy(*key, "meth", "unmeth").agg(F.max(F.struct("calls", "phred", (-F.col(read_id)).alias("neg"))).alias("top"))
-    item = F.struct((-F.col("top.calls")).alias("c"), (-F.col("top.phred")).alias("p"), (-F.col("top.neg")).alias("id"), "meth", "unmeth")
-    bins = first.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    none = F.slice("items", 1, 0)
+    spark = reads.sparkSession
+    first = reads.groupBy(F.struct(*key).alias("_key"), "meth", "unmeth").agg(F.max(F.struct("calls", "phred", (-F.col(read_id)).alias("neg"))).alias("top"))
+    order = [(-F.col("top.calls")).alias("c"), (-F.col("top.phred")).alias("p"), (-F.col("top.neg")).alias("id")]
+    first = first.select("_key", *order, "meth", "unmeth")
+    # every id is there once, so the order is total and a task that runs again numbers its rows alike
+    by = ["_key", "c", "p", "id"]
+    sorted_ = first.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by)
+    cut = sorted_.withColumn("_n", F.monotonically_increasing_id()).select("_key", F.expr(f"_n div {block}").alias("_block"), F.struct("c", "p", "id", "meth", "unmeth").alias("item"))
+    state = written(cut.groupBy("_key", "_block").agg(F.array_sort(F.collect_list("item")).alias("items")), "duplicates")
+    # a narrow row for each block of the keys that have several
+    own = Window.partitionBy("_key")
+    places = state.select("_key", "_block", (F.row_number().over(own.orderBy("_block")) - 1).alias("k"), (F.count("*").over(own) - 1).cast("int").alias("last")).filter("last > 0")
+    state = state.join(places, ["_key", "_block"], "left").select("_key", F.coalesce("k", F.lit(0)).alias("k"), F.coalesce("last", F.lit(0)).alias("last"), "items")
+    rounds = places.agg(F.max("last")).first()[0] or 0
+
+    def near(kept, x):
+        return F.exists(kept, lambda k: edit_distance(k["meth"], k["unmeth"], x["meth"], x["unmeth"]) == 0)
 
     def step(kept, x):
-        near = F.exists(kept, lambda k: edit_distance(k["meth"], k["unmeth"], x["meth"], x["unmeth"]) == 0)
-        return F.when(near, kept).otherwise(F.concat(kept, F.array(x)))
-
-    kept = bins.select(F.explode(F.aggregate("items", none, step)).alias("k")).select(F.col("k.id").alias(read_id), F.lit(False).alias("_dup"))
+        return F.when(near(kept, x), kept).otherwise(F.concat(kept, F.array(x)))
+
+    done = None
+    for r in range(rounds + 1):
+        settled = F.aggregate("items", F.slice("items", 1, 0), step)
+        kept = written(state.filter(F.col("k") == r).select("_key", "last", settled.alias("kept")), "duplicates-kept")
+        now = kept.select(F.explode("kept.id").alias(read_id))
+        done = now if done is None else done.unionByName(now)
+        if r < rounds:
+            reach = kept.filter(F.col("last") > r).select("_key", F.explode(F.sequence(F.lit(r + 1), F.col("last"))).alias("k"), "kept")
+            rest = state.filter(F.col("k") > r).join(reach, ["_key", "k"])
+            state = written(rest.select("_key", "k", "last", F.filter("items", lambda x: ~near(F.col("kept"), x)).alias("items")), "duplicates")
+    kept = done.withColumn("_dup", F.lit(False))
     return (reads if ids is None else ids).select(read_id).join(kept, read_id, "left").select(read_id, F.coalesce("_dup", F.lit(True)).alias("duplicate"))
 
 

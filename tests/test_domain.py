@@ -55,6 +55,26 @@ def test_duplicates_follow_order(spark):
     assert dedup.mark_duplicates(hurt, ["key"]).filter("duplicate").count() == 0
 
 
+def test_duplicates_of_long_bins_in_blocks(spark):
+    rng = random.Random(5)
+    rows = []
+    for n in range(400):
+        m = rng.getrandbits(4)
+        u = rng.getrandbits(4) & ~m
+        rows.append((n, rng.choice(["a", "a", "a", "b", None]), [m], [u], m.bit_count() + u.bit_count(), rng.randrange(3)))
+    want = {}
+    for key in {r[1] for r in rows}:
+        kept = []
+        for n, _, (m,), (u,), *_ in sorted((r for r in rows if r[1] == key), key=lambda r: (-r[4], -r[5], r[0])):
+            want[n] = any(((m ^ a) & (u ^ b)) == 0 for a, b in kept)
+            if not want[n]:
+                kept.append((m, u))
+    df = spark.createDataFrame(rows, "read_id long, key string, meth array<long>, unmeth array<long>, calls int, phred int")
+    for block in (16, 1024):
+        assert {r.read_id: r.duplicate for r in dedup.mark_duplicates(df, ["key"], block=block).collect()} == want
+    assert dedup.mark_duplicates(df.limit(0), ["key"]).count() == 0
+
+
 LOW = -(1 << 30)
 
 
