@@ -1,40 +1,59 @@
-"""Reader of BAM files, one task for each file."""
+"""Reader of BAM files, in splits."""
 
 from __future__ import annotations
 
 import struct
 import zlib
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from methylspark.operators.staging import written
 
 SHAPE = (
     "qname string, flag int, chrom string, pos int, mapq int, cigar string, mate_chrom string, mate_pos int, tlen int, seq string, "
     "qual array<int>, as_score int, xs_score int, nm int, xm string, xx string, xr string, xg string"
 )
 TAGS = ["AS", "XS", "NM", "XM", "XX", "XR", "XG"]
-#: Fixed values of the format: base codes, CIGAR codes, sizes of tag values.
+#: Names of contigs that together take more bytes are joined without broadcast.
+NAMES_BROADCAST = 32 << 20
+#: Records in a row that have to look right where a task begins in the middle of a file.
+CHAIN = 4
+#: Fixed values of the format: mark of a block, base codes, CIGAR codes, sizes of tag values.
+MARK = b"\x1f\x8b\x08\x04"
 BASES, OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
 NUMBERS = {"A": "c", "c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
 _PAIRS = [a + b for a in BASES for b in BASES]
 _FIXED = struct.Struct("<iiBBHHHiiii")
 
 
-def blocks(data: bytes):
-    """Contents of the gzip blocks of a file; each one's header tells its size."""
-    at = 0
-    while at < len(data):
-        (extra,) = struct.unpack_from("<H", data, at + 10)
-        k, size = at + 12, None
-        while k < at + 12 + extra:
-            mark, (n,) = data[k : k + 2], struct.unpack_from("<H", data, k + 2)
-            if mark == b"BC":
-                size = struct.unpack_from("<H", data, k + 4)[0] + 1
+def blocks(parts):
+    """Contents of the gzip blocks whose bytes, each without its mark, are ``parts``; a block tells its own size.
+
+    A mark that stands inside a block by chance has cut it into several parts, which are put together again.
+    """
+    held = b""
+    for part in parts:
+        held += MARK + part
+        if len(held) < 18:
+            continue
+        (extra,) = struct.unpack_from("<H", held, 10)
+        k, size = 12, None
+        while k + 6 <= min(12 + extra, len(held)):
+            (n,) = struct.unpack_from("<H", held, k + 2)
+            if held[k : k + 2] == b"BC":
+                size = struct.unpack_from("<H", held, k + 4)[0] + 1
             k += 4 + n
-        if size is None:
+        if size is None or len(held) > size:
             raise ValueError("a gzip block does not tell its size")
-        yield zlib.decompress(data[at + 12 + extra : at + size - 8], -15)
-        at += size
+        if len(held) == size:
+            yield zlib.decompress(held[12 + extra : size - 8], -15)
+            held = b""
+    if held:
+        raise ValueError("a file, or one of its splits, ends inside a gzip block")
 
 
 def tag_values(raw: bytes) -> dict[str, object]:
@@ -55,8 +74,8 @@ def tag_values(raw: bytes) -> dict[str, object]:
     return out
 
 
-def record(raw: bytes, names: list[str]) -> tuple:
-    """One alignment as a row of SHAPE."""
+def record(raw: bytes) -> tuple:
+    """One alignment: the places of its contig and its mate's in the header (-1: none), then SHAPE without their names."""
     ref, pos, n_name, mapq, _, n_cigar, flag, n_seq, mate_ref, mate_pos, tlen = _FIXED.unpack_from(raw)
     at = _FIXED.size
     qname = raw[at : at + n_name - 1].decode()
@@ -67,69 +86,174 @@ def record(raw: bytes, names: list[str]) -> tuple:
     at += len(packed)
     qual = raw[at : at + n_seq]
     tags = tag_values(raw[at + n_seq :])
-    chrom = names[ref] if ref >= 0 else "*"
-    mate = "*" if mate_ref < 0 else "=" if mate_ref == ref else names[mate_ref]
     seq = "".join(_PAIRS[b] for b in packed)[:n_seq] or "*"
     cigar = "".join(f"{s >> 4}{OPS[s & 15]}" for s in steps) or "*"
     none = not n_seq or qual[0] == 255
-    return qname, flag, chrom, pos, mapq, cigar, mate, mate_pos, tlen, seq, None if none else list(qual), *(tags.get(t) for t in TAGS)
+    return ref, mate_ref, qname, flag, pos, mapq, cigar, mate_pos, tlen, seq, None if none else list(qual), *(tags.get(t) for t in TAGS)
 
 
-def records(data: bytes):
-    """Alignments of one file; only a block and a part of a record are held beside the file."""
-    buf, names, stream = bytearray(), None, blocks(data)
+def whole_records(buf: bytearray):
+    """Takes the whole records from the front of ``buf``; the rest stays there."""
+    at = 0
+    while len(buf) - at >= 4:
+        (size,) = struct.unpack_from("<i", buf, at)
+        if size < _FIXED.size:
+            raise ValueError("a record is shorter than its fixed part")
+        if len(buf) - at < 4 + size:
+            break
+        yield record(bytes(buf[at + 4 : at + 4 + size]))
+        at += 4 + size
+    del buf[:at]
 
-    def need(n: int) -> bool:
-        while len(buf) < n:
-            more = next(stream, None)
-            if more is None:
-                return False
-            buf.extend(more)
-        return True
-
-    def take(n: int) -> bytes:
-        if not need(n):
-            raise ValueError("a file ends inside a record")
-        out = bytes(buf[:n])
-        del buf[:n]
-        return out
-
-    number = lambda: struct.unpack("<i", take(4))[0]
-    if take(4) != b"BAM\1":
+
+def header(buf: bytearray) -> list[str] | None:
+    """Takes the header from the front of ``buf``: names of contigs, or None if some of it is still to come."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        (n,) = struct.unpack_from("<i", buf, at)
+        at += 4
+        return n
+
+    if len(buf) >= 4 and buf[:4] != b"BAM\1":
         raise ValueError("not a BAM file")
-    take(number())
-    names = []
-    for _ in range(number()):
-        names.append(take(number())[:-1].decode())
-        number()
-    while need(1):
-        yield record(take(number()), names)
+    try:
+        at = 4
+        remark = number()
+        at += remark
+        names = []
+        for _ in range(number()):
+            n = number()
+            if at + n > len(buf):
+                return None
+            names.append(buf[at : at + n - 1].decode())
+            at += n
+            number()
+    except struct.error:
+        return None
+    del buf[:at]
+    return names
+
+
+def first_record(buf: bytearray) -> int | None:
+    """Where records begin in the middle of a file: the first place from which all of several records look right.
+
+    None where fewer are held. Too late a place, or none, costs only that more bytes are passed on.
+    """
+
+    def right(at: int) -> bool:
+        """Does one record, and all after it as far as they are held, fit the format?"""
+        seen = 0
+        while at + 4 + _FIXED.size <= len(buf):
+            (size,) = struct.unpack_from("<i", buf, at)
+            ref, pos, n_name, _, _, n_cigar, _, n_seq, mate_ref, mate_pos, _ = _FIXED.unpack_from(buf, at + 4)
+            least = _FIXED.size + n_name + 4 * n_cigar + (n_seq + 1) // 2 + n_seq
+            if min(ref, pos, mate_ref, mate_pos) < -1 or n_name < 2 or n_seq < 0 or size < least:
+                return False
+            name = buf[at + 4 + _FIXED.size : at + 4 + _FIXED.size + n_name]
+            if len(name) == n_name and (name[-1] or min(name[:-1]) < 33 or max(name[:-1]) > 126):
+                return False
+            at, seen = at + 4 + size, seen + 1
+        return seen >= CHAIN
+
+    return next((k for k in range(len(buf)) if right(k)), None)
 
 
-def read_bam(spark: SparkSession, path: str, rows: int = 4096) -> DataFrame:
+def read_bam(spark: SparkSession, path: str, rows: int = 4096, window: int = 1 << 18) -> DataFrame:
     """Alignments of every BAM file below ``path``, with the columns of the SAM text reader.
 
-    A file is read by one task, which holds it compressed, so files may have up to 2 GB: many smaller files
-    are read in parallel. Unset reference and mate positions are -1, absent qualities and tags null.
+    Files of any size are read in splits: Spark's text reader deals out their bytes, with the mark of a gzip block
+    as the end of a line. Inside a file a task looks for the first place from which records fit the format (within
+    ``window`` bytes, or more if there is none), and passes on the bytes before it and those of its last, incomplete
+    record. Such bytes of neighbouring splits are put together and have to make up whole records, so a wrong place
+    or a file that ends too early is an error and never a wrong row. The decoded rows are written once
+    (``staging.written``). A header has to fit into one split. Unset reference and mate positions are -1, absent
+    qualities and tags null.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bam").load(path).select("content")
-    kinds = {"string": pa.string(), "int": pa.int32(), "array<int>": pa.list_(pa.int32())}
-    fields = [f.split(" ") for f in SHAPE.split(", ")]
-    schema = pa.schema([(name, kinds[kind]) for name, kind in fields])
+    t = spark.read.option("lineSep", MARK.decode("latin-1")).option("encoding", "ISO-8859-1").option("pathGlobFilter", "*.bam").text(path)
+    t = t.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("part"))
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
+    fields = [f.split(" ") for f in SHAPE.split(", ") if f.split(" ")[0] not in ("chrom", "mate_chrom")]
+    ours = "file string, block long, kind string, piece binary, ref int, mate_ref int"
+    shape = f"{ours}, " + ", ".join(map(" ".join, fields))
+    schema = pa.schema([(n, kinds[k]) for n, k in (f.split(" ") for f in shape.split(", "))])
+    blank = (None,) * (len(schema) - 6)
 
-    def table(held):
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+    def tables(out):
+        """Rows as batches of ``rows``."""
+        held = []
+        for r in out:
+            held.append(r)
+            if len(held) == rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+    def split(file, block, parts):
+        """Rows of one split: names of the header (n), whole records (r), bytes before (h) and after them (t)."""
+        buf, begun, enough = bytearray(), False, window
+        if block == 0:
+            next(parts, None)  # what stands before the first mark: nothing
+        for data in blocks(parts):
+            buf += data
+            if not begun and block == 0:
+                names = header(buf)
+                begun = names is not None
+                for k, n in enumerate(names or []):
+                    yield file, block, "n", n.encode(), k, None, *blank
+            elif not begun and len(buf) >= enough:
+                at = first_record(buf)
+                enough = 2 * len(buf)
+                if at is not None:
+                    yield file, block, "h", bytes(buf[:at]), None, None, *blank
+                    del buf[:at]
+                    begun = True
+            if begun:
+                for r in whole_records(buf):
+                    yield file, block, "r", None, *r
+        if not begun:
+            if block == 0:
+                raise ValueError("a BAM file or its first split ends inside the header")
+            at = first_record(buf)
+            yield file, block, "h", bytes(buf[:at]), None, None, *blank
+            if at is None:
+                return
+            del buf[:at]
+            for r in whole_records(buf):
+                yield file, block, "r", None, *r
+        yield file, block, "t", bytes(buf), None, None, *blank
 
     def run(batches):
-        for b in batches:
-            for data in b.column(0):
-                held = []
-                for r in records(data.as_py()):
-                    held.append(r)
-                    if len(held) == rows:
-                        yield table(held)
-                        held = []
-                if held:
-                    yield table(held)
-
-    return files.mapInArrow(run, SHAPE)
+        lines = ((f, b, p) for batch in batches for f, b, p in zip(*(batch.column(k).to_pylist() for k in range(3))))
+        yield from tables(r for (f, b), own in groupby(lines, lambda x: x[:2]) for r in split(f, b, (p for _, _, p in own)))
+
+    def mend(batches):
+        def out():
+            for batch in batches:
+                for file, joined in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    buf = bytearray(joined)
+                    for r in whole_records(buf):
+                        yield file, None, "r", None, *r
+                    if buf:
+                        raise ValueError("a BAM file ends inside a record, or records were not found in one of its splits")
+
+        yield from tables(out())
+
+    read = written(t.mapInArrow(run, shape), "bam")
+    # two short pieces a split: a tail goes on with the heads after it
+    pieces = read.filter("kind in ('h', 't')").select("file", "block", "kind", "piece")
+    g = F.count_if(F.col("kind") == "t").over(Window.partitionBy("file").orderBy("block", "kind"))
+    parts = F.array_sort(F.collect_list(F.struct("block", "kind", "piece")))
+    joined = pieces.withColumn("g", g).groupBy("file", "g").agg(F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x["piece"])).alias("joined"))
+    records = read.filter("kind = 'r'").unionByName(joined.select("file", "joined").mapInArrow(mend, shape))
+    names = read.filter("kind = 'n'").select("file", F.col("ref").alias("_k"), F.col("piece").cast("string").alias("_name"))
+    size = names.agg(F.sum(F.length("_name") + F.length("file") + 16)).first()[0] or 0
+    hint = F.broadcast if size <= NAMES_BROADCAST else lambda x: x
+    for k, c in (("ref", "chrom"), ("mate_ref", "mate_chrom")):
+        own = names.select("file", F.col("_k").alias(k), F.col("_name").alias(c))
+        records = records.join(hint(own), ["file", k], "left")
+    mate = F.when(F.col("mate_ref") < 0, "*").when(F.col("mate_ref") == F.col("ref"), "=").otherwise(F.col("mate_chrom"))
+    out = records.withColumns({"chrom": F.coalesce("chrom", F.lit("*")), "mate_chrom": mate})
+    return out.select(*[f.split(" ")[0] for f in SHAPE.split(", ")])

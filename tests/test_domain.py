@@ -311,8 +311,35 @@ def test_bam_and_sam(spark, tmp_path):
     back = text.read_sam(spark, str(tmp_path / "s" / "records")).collect()
     assert [r[:10] + r[11:] for r in map(tuple, back)] == [r[:10] + r[11:] for r in SAM_ROWS]
     assert [r.qual for r in back[:2]] == [r[10] for r in SAM_ROWS[:2]]
-    with pytest.raises(ValueError, match="ends inside"):
-        list(bam.records(blocked(bam_bytes(SAM_ROWS, ["c1", "c2"])[:-5], 23)))
+    for name, data in (("record", blocked(bam_bytes(SAM_ROWS, ["c1", "c2"])[:-5], 23)), ("block", blocked(bam_bytes(SAM_ROWS, ["c1", "c2"]), 23)[:-40])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.bam").write_bytes(data)
+        with pytest.raises(Exception, match=f"ends inside a (gzip )?{name}"):
+            bam.read_bam(spark, str(tmp_path / name)).collect()
+
+
+def test_bam_in_splits(spark, tmp_path):
+    rng = random.Random(3)
+    rows = []
+    for k in range(3000):
+        n = rng.randrange(1, 200)
+        s, qual = "".join(rng.choices("ACGTN", k=n)), [rng.randrange(42) for _ in range(n)]
+        mate = rng.choice(["=", "c2", "c1", "*"])
+        rows.append((f"read{k}", rng.choice([0, 16, 99]), "c3", rng.randrange(900), 40, f"{n}M", mate, rng.randrange(900), rng.randrange(-300, 300), s, qual, -3, None, 1, "z" * n, None, "CT", "GA"))
+    data = blocked(bam_bytes(rows, ["c1", "c2", "c3"]), 4001)
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "one.bam").write_bytes(data)
+    (tmp_path / "b" / "two.bam").write_bytes(blocked(bam_bytes(rows[:7], ["c2", "c1", "c3"]), 300))
+    want = sorted(map(repr, rows + rows[:7]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (6000, 30_000, 1 << 27):  # splits of about two blocks, of some, and whole files
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            got = bam.read_bam(spark, str(tmp_path / "b"), window=20_000)
+            assert sorted(map(repr, map(tuple, got.collect()))) == want
+        assert len(data) > 200_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_fasta_report_and_bounds(spark, tmp_path):
