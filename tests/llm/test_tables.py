@@ -147,6 +147,31 @@ def test_licenses(spark):
     assert licenses.find_licenses(df, {}).count() == 0
 
 
+def test_license_recall_is_that_of_exact_containment(spark):
+    rng = np.random.default_rng(11)
+    split = lambda t: [w for w in re.split("[^a-z0-9]+", t.lower()) if w]
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    texts = []
+    for body in licenses.TEMPLATES.values():
+        for changed in (0, 1, 2, 4, 8):
+            words = split(body)
+            for k in rng.integers(0, len(words), changed):
+                words[k] = f"x{k}"
+            noise = [f"n{k}" for k in rng.integers(0, 500, 60)]
+            at = rng.integers(0, 60)
+            texts.append(" ".join(noise[:at] + words + noise[at:]))
+    want = set()
+    for n, t in enumerate(texts):
+        g = grams(split(t))
+        for name, body in licenses.TEMPLATES.items():
+            own = grams(split(body))
+            if own and len(own & g) >= licenses.CONTAINMENT * len(own):
+                want.add((n, name, len(own & g)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.license, r.n_shared) for r in licenses.find_licenses(df).collect()}
+    assert got == want and {"MIT-text", "BSD-3-Clause-text", "ISC-text", "Zlib-text"} <= {x[1] for x in want}
+
+
 #: The contract's patterns and least lengths (of group 2, or of the match), stated here on their own.
 KINDS = [("assign", r"""(?ia:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6), ("access", r"AKIA[A-Z0-9]+", 20), ("hex", r"[0-9a-f]+", 24)]
 
