@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, embeddings, licenses, secrets, simhash, token_counts, token_store, toxicity, warc
+from . import bpe, decontaminate, embeddings, licenses, secrets, sharding, simhash, token_counts, token_store, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_secrets": secrets.op8_secrets,
         "op9_simhash": simhash.op9_simhash,
         "op10_token_counts": token_counts.op10_token_counts,
+        "op13_sharding": sharding.op13_sharding,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_embedding_dedup": embeddings.OP4_SQL,
         "op8_secrets": secrets.OP8_SQL,
         "op10_token_counts": token_counts.OP10_SQL,
+        "op13_sharding": sharding.OP13_SQL,
     }
