@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, conversations, decontaminate, embeddings, licenses, secrets, sharding, simhash, token_counts, token_store, toxicity, warc
+from . import bpe, conversations, decontaminate, embeddings, licenses, secrets, sharding, simhash, spelling, token_counts, token_store, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_secrets": secrets.op8_secrets,
         "op9_simhash": simhash.op9_simhash,
         "op10_token_counts": token_counts.op10_token_counts,
+        "op11_spelling": spelling.op11_spelling,
         "op12_conversation_repair": conversations.op12_conversation_repair,
         "op13_sharding": sharding.op13_sharding,
     }
@@ -29,6 +30,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_embedding_dedup": embeddings.OP4_SQL,
         "op8_secrets": secrets.OP8_SQL,
         "op10_token_counts": token_counts.OP10_SQL,
+        "op11_spelling": spelling.OP11_SQL,
         "op12_conversation_repair": conversations.OP12_SQL,
         "op13_sharding": sharding.OP13_SQL,
     }
