@@ -19,8 +19,6 @@ from .common import crc_bucket, named, table, text_bytes
 SAMPLE_ROWS, SAMPLE_CHARS = 2500, 20_000
 #: Log odds that a sentence's evidence starts from. Sentences without evidence add nothing to a document's score.
 PRIOR = -12.0
-#: In texts of more sentences than this, weak evidence counts by its share: as much as in a text of so many with the same mix.
-SENTENCES = 1000
 PREFIXES = (3, 4, 5, 6)
 LEAST_DOCS = 4
 
@@ -46,13 +44,17 @@ def features(word: str) -> list[str]:
 
 
 class Model:
-    """Weights of features; a sentence's log odds are PRIOR plus the evidence of its distinct words."""
+    """Weights of features; a sentence's log odds are PRIOR plus the evidence of its distinct words.
 
-    def __init__(self, weights: dict[str, float], limit: int = 500_000):
-        self.weights, self.limit, self.cache = weights, limit, {}
+    Log odds up to ``floor``, which is fitted with the weights, are those that clean sentences have too: such a
+    sentence's probability is 0, in a text of any length.
+    """
+
+    def __init__(self, weights: dict[str, float], floor: float = PRIOR, limit: int = 500_000):
+        self.weights, self.floor, self.limit, self.cache = weights, floor, limit, {}
 
     def __getstate__(self):
-        return {"weights": self.weights, "limit": self.limit, "cache": {}}
+        return {"weights": self.weights, "floor": self.floor, "limit": self.limit, "cache": {}}
 
     def word(self, w: str) -> float:
         got = self.cache.get(w)
@@ -66,35 +68,24 @@ class Model:
     def sentence(self, text: str) -> float:
         """Probability that a sentence is toxic."""
         z = PRIOR + sum(self.word(w) for w in set(_WORD.findall(text.lower())))
-        return 1.0 / (1.0 + math.exp(-min(z, 40.0)))
+        return 1.0 / (1.0 + math.exp(-min(z, 40.0))) if z > self.floor else 0.0
 
     def document(self, text: str) -> float:
-        """Noisy-or over the sentences with evidence, as in fitting; length alone does not raise it.
-
-        A sentence that is likelier toxic than not counts in full in a text of any length. Weaker ones
-        share the prior of SENTENCES sentences in longer texts.
-        """
-        low = text.lower()
-        cache, word = self.cache, self.word
-        weak = strong = 0.0
-        n = 0
-        for s in _SENTENCE.split(low):
+        """Noisy-or over all sentences: the probability that not all of them are clean."""
+        cache, word, floor = self.cache, self.word, self.floor
+        clean = 0.0
+        for s in _SENTENCE.split(text.lower()):
             ws = _WORD.findall(s)
             if not ws:
                 continue
-            n += 1
-            z = 0.0
+            z = PRIOR
             for w in set(ws):
                 v = cache.get(w)
                 z += word(w) if v is None else v
-            if PRIOR + z >= 0.0:
-                strong -= math.log1p(math.exp(min(PRIOR + z, 40.0)))
-            elif z != 0.0:
-                weak -= math.log1p(math.exp(PRIOR + z))
-        clean = strong + weak * min(1.0, SENTENCES / max(n, 1))
+            if z > floor:
+                clean -= math.log1p(math.exp(min(z, 40.0)))
         return -math.expm1(clean)
 
-
     def worst(self, text: str) -> tuple[int, int, float]:
         """Start, end and score of the sentence that scores most (the first of equals)."""
         scored = ((self.sentence(text[a:b]), -a, b) for a, b in sentences(text))
@@ -147,9 +138,17 @@ def fit(rows: list[tuple[str, int]], rounds: int = 300, rate: float = 0.5, spars
     g2 = np.full(len(vocab), 1e-8)
     balance = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     n, m = len(rows), len(owner)
-    for _ in range(rounds):
-        z = PRIOR + np.bincount(sent, w[feat], m)
-        p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    clean_row = (y == 0)[owner]
+    floor = PRIOR
+
+    def odds_of(w):
+        return PRIOR + np.bincount(sent, w[feat], m)
+
+    for step in range(rounds):
+        z = odds_of(w)
+        if step == rounds // 2:
+            floor = highest_clean(z[clean_row])
+        p = np.where(z > floor, 1 / (1 + np.exp(-np.clip(z, -40, 40))), 0.0)
         clean = np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-12)), n)
         doc = np.clip(1 - np.exp(clean), 1e-9, 1 - 1e-9)
         # d log-likelihood / d z of a sentence: p * (y - P) / P
@@ -157,7 +156,17 @@ def fit(rows: list[tuple[str, int]], rounds: int = 300, rate: float = 0.5, spars
         grad = np.bincount(feat, up[sent], len(vocab)) - sparse * balance.min()
         g2 += grad * grad
         w = np.maximum(0.0, w + rate * grad / np.sqrt(g2))
-    return Model({f: round(float(v), 6) for f, v in zip(vocab, w) if v > 1e-3})
+    w = np.where(w > 1e-3, np.round(w, 6), 0.0)
+    return Model({f: float(v) for f, v in zip(vocab, w) if v}, highest_clean(odds_of(w)[clean_row]))
+
+
+def highest_clean(z: np.ndarray) -> float:
+    """The highest log odds below even that a sentence of a clean text has.
+
+    Texts may hold any number of sentences like those of clean ones, so such odds must not add up; odds above even
+    count in any text.
+    """
+    return float(max(z[z < 0.0], default=PRIOR))
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out_mod: int = 5, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:

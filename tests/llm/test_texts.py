@@ -1,6 +1,7 @@
 """Text operators against plain Python on small tables with nulls, empty and long texts, ties and repeats."""
 
 import hashlib
+import math
 import os
 import zlib
 
@@ -391,8 +392,34 @@ def test_toxicity_scores_are_those_of_plain_noisy_or(spark):
     assert len({x.predicted for x in got.values()}) == 2
 
 
+@pytest.mark.parametrize("n", [10, 1000, 1001, 20_000, 100_000])
+def test_toxicity_is_one_noisy_or_at_every_length(n):
+    """Strong and weak evidence and none, in texts of up to 10^5 sentences: the product over all sentences, nothing else."""
+    r = np.random.default_rng(n)
+    model = toxicity.Model({"slurx$": 20.0, "half$": 11.8, "mild$": 6.0, "faint$": 2.0, "odd$": 4.5}, floor=-9.5)
+    words = np.array(["plain", "faint", "odd", "mild", "half"])
+    for share in (0.0, 1e-5, 1e-3, 0.05, 0.5):
+        picks = np.where(r.random(n) < share, r.integers(1, 5, n), 0)
+        text = ". ".join(f"a {w}" for w in words[picks])
+        clean = sum(math.log1p(-model.sentence(f"a {w}")) for w in words[picks])
+        assert abs(model.document(text) - (1 - math.exp(clean))) < 1e-9
+    five = "half. " * 5
+    for more in (900, 5000, n):
+        assert abs(model.document(five + "plain. " * more) - (1 - (1 - model.sentence("half")) ** 5)) < 1e-9
+    assert model.sentence("faint") == 0.0 < model.sentence("odd") < model.sentence("half") < 0.5
+
+
 def test_toxicity_of_long_clean_texts(spark):
-    model = toxicity.Model({"slurx$": 20.0, "mild$": 3.0, "odd$": 8.0})
+    """A model fitted on short texts leaves long clean ones alone, and finds one toxic sentence in them."""
+    r = np.random.default_rng(21)
+    rows = []
+    for k in range(600):
+        s = [" ".join(r.choice(WORDS, 7)) + (" mild word" if r.random() < 0.02 else "") for _ in range(int(r.integers(1, 25)))]
+        if k % 3 == 0:
+            s[int(r.integers(len(s)))] += " slurx" + (" mild" if k % 2 else "")
+        rows.append((". ".join(s), int(k % 3 == 0)))
+    model = toxicity.fit(rows)
+    assert model.weights and toxicity.PRIOR <= model.floor < 0
     numbers = "0.12\n" * 500_000
     clean = {
         "numbers": numbers,
@@ -403,8 +430,9 @@ def test_toxicity_of_long_clean_texts(spark):
     for name, t in clean.items():
         assert model.document(t) < 0.5, name
     assert model.document(numbers) == 0.0
-    # one toxic sentence counts in full, however long the text; weak evidence adds up in short ones
     assert model.document(numbers + "a slurx here") >= 0.5 and model.document("a slurx here\n" + clean["weak"]) >= 0.5
-    assert model.document("odd. " * 60) >= 0.5 > model.document("odd. " * 20) > model.document("odd. ") > 0
-    docs = spark.createDataFrame([(1, numbers), (2, numbers + "a slurx here")], "doc_id long, text string")
-    assert {r.doc_id: r.predicted for r in toxicity.score(docs, model).collect()} == {1: 0, 2: 1}
+    docs = spark.createDataFrame([(1, numbers), (2, numbers + "a slurx here"), (2, numbers + "a slurx here"), (3, "slurx. slurx. fine")], "doc_id long, text string")
+    got = toxicity.score(docs, model).collect()
+    assert sorted((x.doc_id, x.predicted) for x in got) == [(1, 0), (2, 1), (2, 1), (3, 1)]
+    # of sentences with equal scores the first is the worst
+    assert [(x.worst_start, x.worst_end) for x in got if x.doc_id == 3] == [(0, 6)]
