@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Merger, merger
-from .common import attach, materialize, named, slices, table, text_bytes, work_dir
+from .common import attach, delete, materialize, named, slices, table, text_bytes, work_dir
 from .token_store import encoder
 
 DELTA = "source string, lang string, tokenizer string, documents bigint, tokens bigint"
@@ -65,46 +67,78 @@ def revisions(counts: DataFrame, tokenizer: str, before: str, after: str) -> Dat
 class Rollup:
     """Additive totals in a folder that all executors share.
 
-    A batch's deltas are summed, written aside and moved by one rename to a name of their own below the
-    batch. Of a batch's attempts the one with the smallest name counts, so replays, retries and writers
-    that race change nothing: a batch id counts once. Sums are bounded by the number of (source, language,
-    tokenizer) keys, whatever the batch's size. Needs a file system whose rename of a folder is atomic.
+    A batch's deltas are summed and written aside. Then the writer claims the batch: it creates the batch's owner file,
+    which fails for all but the first, and writes the name of its sums there. Only the owner's sums are moved into
+    place, by one rename. So replays, retries and writers that race change nothing, whatever their deltas: the claim
+    decides once. Where a writer is lost between claim and rename, the next attempt at that batch moves its sums.
+    Sums are bounded by the number of (source, language, tokenizer) keys, whatever the batch's size. Needs a file
+    system that creates a file for one writer only and renames folders as a whole.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(f"{self.path}/batches"))
+        for name in ("batches", "owners", "staged"):
+            self._fs.mkdirs(self._path(f"{self.path}/{name}"))
 
-    def _folder(self, batch: str):
-        return self._path(f"{self.path}/batches/batch={quote(batch, safe='')}")
+    def _at(self, kind: str, name: str):
+        return self._path(f"{self.path}/{kind}/{name}")
 
-    def _attempts(self, batch: str) -> list[str]:
-        at = self._folder(batch)
-        return sorted(x.getPath().getName() for x in self._fs.listStatus(at)) if self._fs.exists(at) else []
+    def _folder(self, batch: str):
+        return self._at("batches", f"batch={quote(batch, safe='')}")
 
     def committed(self, batch: str) -> bool:
-        return bool(self._attempts(batch))
+        return self._fs.exists(self._folder(batch))
+
+    def stage(self, deltas: DataFrame) -> str:
+        """Write a batch's sums aside; their name."""
+        sums = deltas.groupBy("source", "lang", "tokenizer").agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
+        own = uuid.uuid4().hex
+        sums.write.parquet(self._at("staged", own).toString())
+        return own
+
+    def claim(self, batch: str, own: str) -> bool:
+        """Make ``own`` the sums of a batch; False where another attempt has claimed it."""
+        at = self._at("owners", quote(batch, safe=""))
+        try:
+            out = self._fs.create(at, False)
+        except Py4JJavaError as e:
+            if not self._fs.exists(at):
+                raise
+            if e.java_exception.getClass().getSimpleName() not in ("FileAlreadyExistsException", "AlreadyBeingCreatedException", "RemoteException"):
+                raise
+            return False
+        out.writeBytes(own)
+        out.close()
+        return True
+
+    def _owner(self, batch: str) -> str:
+        with contextlib.closing(self._fs.open(self._at("owners", quote(batch, safe="")))) as f:
+            return "".join(chr(c) for c in iter(f.read, -1))
+
+    def _place(self, batch: str) -> None:
+        """Move the owner's sums into place, if they are not there yet."""
+        own = self._owner(batch)
+        if not self._fs.rename(self._at("staged", own), self._folder(batch)) and not self.committed(batch):
+            raise OSError(f"the sums of batch {batch} could not be moved into place")
 
     def commit(self, batch: str, deltas: DataFrame) -> bool:
-        """Add a batch; False if it was there before or another writer's attempt counts."""
+        """Add a batch; False if another attempt at it came first, whose sums then are in place."""
         if self.committed(batch):
             return False
-        sums = deltas.groupBy("source", "lang", "tokenizer").agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-        aside = work_dir(self.spark, "staged")
-        sums.write.parquet(aside)
-        own = f"attempt={uuid.uuid4().hex}"
-        self._fs.mkdirs(self._folder(batch))
-        if not self._fs.rename(self._path(aside), self._path(self._folder(batch), own)):
-            raise OSError(f"batch {batch} could not be moved into place")
-        return self._attempts(batch)[0] == own
+        own = self.stage(deltas)
+        first = self.claim(batch, own)
+        if not first:
+            delete(self.spark, self._at("staged", own).toString())
+        if not self.committed(batch):
+            self._place(batch)
+        return first
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, documents, tokens over all batches; keys that came down to nothing stay out."""
-        read = self.spark.read.schema(f"{DELTA}, batch string, attempt string").parquet(f"{self.path}/batches")
-        counts = read.groupBy("batch").agg(F.min("attempt").alias("attempt"))
-        sums = read.join(counts, ["batch", "attempt"]).groupBy("source", "lang", "tokenizer").agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
+        read = self.spark.read.schema(f"{DELTA}, batch string").parquet(f"{self.path}/batches")
+        sums = read.groupBy("source", "lang", "tokenizer").agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
         return sums.filter("documents <> 0 or tokens <> 0")
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import delete, named, partitions, slices, table, text_bytes, work_dir
+from .common import delete, materialize, named, partitions, slices, table, text_bytes, work_dir
 
 #: Words, and runs of letters or signs, whose ids one worker keeps before it starts anew.
 CACHE_WORDS = 1_000_000
@@ -512,6 +512,39 @@ def _open_recipes(batches):
         )
 
 
+#: A chunk with more than one of so many of all recipes' steps is brought to them by broadcast; fewer than that can be so.
+FREQUENT = 2000
+
+
+def _often(batches):
+    """(hash, n) of chunks with at least one of FREQUENT of a batch's steps: what is so frequent overall is so in some batch."""
+    for b in batches:
+        steps = np.frombuffer(b"".join(named(b, "hashes").to_pylist()), "V16")
+        names, n = np.unique(steps, return_counts=True)
+        often = n * FREQUENT >= len(steps)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in names[often]], pa.binary()), pa.array(n[often], pa.int64())], names=["hash", "n"])
+
+
+def _with_chunks(recipes: DataFrame, chunks: DataFrame) -> DataFrame:
+    """uid, seq and the columns of ``chunks`` (one row a hash) for each step of the recipes; null for a hash that is missing.
+
+    Steps of frequent chunks, such as those of empty texts and of many copies, get them by broadcast and are dealt
+    evenly over the join that serves all others. A chunk frequent overall has at least half of its steps in batches
+    where it is at half that rate, so none is overlooked.
+    """
+    steps = recipes.select("part", "uid", "hashes", "root").mapInArrow(_open_recipes, "uid bigint, seq bigint, hash binary")
+    total = recipes.agg(F.sum(F.octet_length("hashes")).alias("n")).first()[0] or 0
+    often = recipes.select("hashes").mapInArrow(_often, "hash binary, n bigint").groupBy("hash").agg(F.sum("n").alias("k"))
+    often = F.broadcast(often.filter(F.col("k") * FREQUENT * 16 > total).select("hash"))
+    values = [c for c in chunks.columns if c != "hash"]
+    held = F.struct(*values)
+    hot = F.broadcast(chunks.join(often, "hash", "left_semi").select("hash", held.alias("_hot")))
+    cold = chunks.select(F.col("hash").alias("_hash"), F.xxhash64("hash").alias("_at"), held.alias("_cold"))
+    dealt = F.when(F.col("_hot").isNotNull(), F.xxhash64("uid", "seq")).otherwise(F.xxhash64("hash"))
+    out = steps.join(hot, "hash", "left").withColumn("_k", dealt).join(cold, (F.col("_k") == F.col("_at")) & (F.col("hash") == F.col("_hash")), "left")
+    return out.select("uid", "seq", *[F.coalesce("_hot", "_cold")[c].alias(c) for c in values])
+
+
 def _contribution(batches):
     for b in batches:
         crc, after = (np.array(named(b, c).to_pylist(), np.int64) for c in ("crc", "after"))
@@ -528,9 +561,8 @@ def read_store(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFr
     verify(spark, path)
     chunks = _parts(spark, path).filter("kind = 'chunk'").select("hash", "data").mapInArrow(_check_chunks, "hash binary, n bigint, crc bigint")
     recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes")
-    steps = recipes.select("part", "uid", "hashes", "root").mapInArrow(_open_recipes, "uid bigint, seq bigint, hash binary")
-    # a hash missing from the store keeps its step with null checksum, and fails below
-    got = steps.join(chunks, "hash", "left")
+    # written, as it is read twice: a few bytes a chunk. A hash missing from the store keeps its step with null checksum, and fails below
+    got = _with_chunks(recipes, materialize(chunks, "chunks"))
     order = Window.partitionBy("uid").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
     got = got.select("uid", "n", "crc", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("after"))
     got = got.withColumn("crc", F.coalesce("crc", F.raise_error(F.lit("a chunk of a recipe is not in the store")).cast("bigint")))
@@ -546,9 +578,8 @@ def read_documents(spark: SparkSession, path: str, id_col: str = "doc_id") -> Da
     verify(spark, path)
     chunks = _parts(spark, path).filter("kind = 'chunk'").select("hash", "data")
     recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes")
-    steps = recipes.select("part", "uid", "hashes", "root").mapInArrow(_open_recipes, "uid bigint, seq bigint, hash binary")
     data = F.coalesce("data", F.raise_error(F.lit("a chunk of a recipe is not in the store")).cast("binary"))
-    joined = steps.join(chunks, "hash", "left").select("uid", "seq", data.alias("data"))
+    joined = _with_chunks(recipes, chunks).select("uid", "seq", data.alias("data"))
     joined = joined.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("seq", "data"))).alias("c"))
     # binary chunks joined as one array of parts: linear in the document
     whole = joined.mapInArrow(_whole, "uid bigint, ids binary")

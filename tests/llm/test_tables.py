@@ -1,5 +1,6 @@
 """Archives, embeddings, licenses, secrets, rollups and the pipeline on small tables."""
 
+from concurrent.futures import ThreadPoolExecutor
 import base64
 import gzip
 import hashlib
@@ -221,13 +222,27 @@ def test_rollup_is_idempotent(spark):
     assert {tuple(r) for r in again.totals().collect()} == {("s", "en", "words-1", 2, 4)}
 
 
-def test_rollup_counts_one_of_two_writers(spark, monkeypatch):
-    docs = spark.createDataFrame([("s", "en", 5), ("s", "en", 7)], "source string, lang string, n long")
+def test_rollup_counts_the_first_of_two_writers(spark):
+    """Writers of one batch with different deltas, in every order in which their steps can meet."""
+    one, two = [token_counts.inserts(spark.createDataFrame([("s", "en", n)], "source string, lang string, n long"), "words-1", "n") for n in (5, 50)]
     roll = token_counts.Rollup(spark, work_dir(spark, "rollup"))
-    deltas = token_counts.inserts(docs, "words-1", "n")
-    monkeypatch.setattr(token_counts.Rollup, "committed", lambda *_: False)  # both pass the check before either has moved
-    won = [roll.commit("day 1/a", deltas) for _ in range(4)]
-    assert any(won) and [tuple(r) for r in roll.totals().collect()] == [("s", "en", "words-1", 2, 12)]
+    tokens = lambda: [r.tokens for r in roll.totals().collect()]
+    late = roll.stage(two)
+    assert roll.commit("day 1/a", one) and tokens() == [5]
+    assert not roll.claim("day 1/a", late) and not roll.commit("day 1/a", two) and tokens() == [5]
+    # a writer that is lost after its claim: the next one's attempt moves what was claimed
+    lost = roll.stage(two)
+    assert roll.claim("b", lost) and not roll.committed("b")
+    assert not roll.commit("b", one) and tokens() == [55]
+    with ThreadPoolExecutor(4) as pool:
+        won = list(pool.map(lambda n: roll.commit("c", token_counts.inserts(spark.range(1).selectExpr("'s' as source", "'en' as lang", f"{n} as n"), "words-1", "n")), (100, 200, 300, 400)))
+    assert won.count(True) == 1 and tokens() == [55 + (100, 200, 300, 400)[won.index(True)]]
+
+
+def test_token_counts_of_long_texts(spark):
+    docs = spark.createDataFrame([(1, "word " * 400_000), (2, "x" * 2_000_000), (3, "ñ." * 300_000)], "doc_id long, text string")
+    got = {r.doc_id: (r["words-1"], r["words-2"]) for r in token_counts.count_tokens(docs, ["doc_id"]).collect()}
+    assert got == {1: (400_000, 400_000), 2: (1, 1), 3: (1, 600_000)}
 
 
 def test_counts_by_vocabulary_files(spark):

@@ -436,3 +436,27 @@ def test_toxicity_of_long_clean_texts(spark):
     assert sorted((x.doc_id, x.predicted) for x in got) == [(1, 0), (2, 1), (2, 1), (3, 1)]
     # of sentences with equal scores the first is the worst
     assert [(x.worst_start, x.worst_end) for x in got if x.doc_id == 3] == [(0, 6)]
+
+
+def test_token_store_brings_hot_chunks_by_broadcast(spark):
+    """Half of the documents are empty and many are copies: their chunks' steps are dealt over all tasks, and nothing is lost."""
+    rows = [(k, None if k % 2 else prose(k, 30) if k % 3 else prose(7, 2000), k) for k in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hash int")
+    folder = work_dir(spark, "store")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    token_store.write_store(docs, folder, path, 2)
+    recipes = spark.read.schema(token_store.RECIPES).parquet(f"{folder}/recipes")
+    chunks = spark.read.parquet(f"{folder}/parts").filter("kind = 'chunk'").select("hash", F.lit(1).alias("n"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        met = token_store._with_chunks(recipes, chunks)
+        sizes = sorted(r.n for r in met.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect())
+        assert sizes[-1] < 1.5 * sizes[0] and met.filter("n is null").count() == 0
+        assert {(r.doc_id, r.n_tokens) for r in token_store.read_store(spark, folder).collect()} >= {(1, 1), (3, 1)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old[0])
+        spark.conf.set("spark.sql.adaptive.enabled", old[1])
+    ids = {r.doc_id: bytes(r.ids) for r in token_store.read_documents(spark, folder).collect()}
+    assert len(ids) == 6000 and ids[1] == np.array([2], "<u4").tobytes() and ids[0] == ids[6] != ids[2]
