@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from methylspark.functions.seq import cigar_positions, has_flag, letters, permille, reference_span
+from methylspark.operators.genome import CUTS, with_reference
 
 CONTEXT = {"z": "CpG", "x": "CHG", "h": "CHH"}
 
@@ -147,11 +148,33 @@ def paired_site_counts(aln: DataFrame, min_mapq: int = 10, min_phred: int = 5, c
     return site_counts(paired_calls(aln, min_mapq, min_phred, contexts, bounds, read_id))
 
 
-def rrbs_trim(xm, xg, at_site) -> Column:
-    """Blank the filled-in cytosine of a read that ends at a restriction site: third base (GA) or third last (CT)."""
-    n = F.length(xm)
-    k = F.when(xg == "GA", F.lit(3)).otherwise(n - 2)
-    return F.when(at_site & (n >= 3), F.overlay(xm, F.lit("."), k)).otherwise(xm)
+def rrbs_trim(aln: DataFrame, contigs: DataFrame | None = None, enzymes: tuple[str, ...] = ("MspI", "TaqI"), read_id: str | None = None, max_span: int | None = None) -> DataFrame:
+    """``aln`` with the call blanked that end repair filled in at a restriction site.
+
+    Needs xm, xg, and ref as ``with_reference`` makes it; without it the genome's ``contigs`` are joined first (chrom, pos,
+    cigar and seq are needed then). Reads of genome conversion GA that begin at a site's first or second base lose
+    their third or second call; others that end with its second or third base lose their second or third last. So
+    one call at most goes, the one at the site's third base or its first. With ``read_id`` both mates of a template
+    follow the conversion of the first mate, where there is one. Unmapped reads and reads without calls stay as they are.
+    """
+    rows = aln if "ref" in aln.columns else with_reference(aln, contigs, max_span=max_span)
+    xg = F.col("xg")
+    if read_id:
+        own = Window.partitionBy(read_id)
+        rows = rows.withColumn("_xg", F.coalesce(F.max(F.when(~F.col("second_mate"), xg)).over(own), xg))
+        xg = F.col("_xg")
+    ref, n = F.upper("ref"), F.length("xm")
+    size = F.length("ref")
+    # ref begins two bases before the read and ends two after it
+    begins = lambda k: F.substring(ref, 3 - k, 4)
+    ends = lambda k: F.substring(ref, size - 3 - k, F.lit(4))
+    cut = lambda four: four.isin(*(CUTS[e] for e in enzymes))
+    five = F.when(cut(begins(0)), 3).when(cut(begins(1)), 2)
+    three = F.when(cut(ends(0)), n - 1).when(cut(ends(1)), n - 2)
+    at = F.when(xg == "GA", five).otherwise(three)
+    trimmed = F.when((at >= 1) & (at <= n), F.overlay("xm", F.lit("."), at)).otherwise(F.col("xm"))
+    rows = rows.withColumn("xm", trimmed).drop("_xg")
+    return rows if "ref" in aln.columns else rows.drop("ref")
 
 
 def mbias(called: DataFrame) -> DataFrame:

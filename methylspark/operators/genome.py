@@ -68,18 +68,33 @@ def read_positions() -> Column:
     return cigar_positions(F.col("cigar"), F.col("pos"))
 
 
-def cpg_positions(contigs: DataFrame) -> DataFrame:
-    """chrom, start of every CG of the genome, found inside tiles that share one base with the next."""
-    t = tiles(contigs, overlap=1)
-    own = F.col("tile") * TILE
-    # bytes are indexed in one step each; a CG on the border belongs to the tile of its C
+def motif_positions(contigs: DataFrame, motifs: list[str], tile: int = TILE) -> DataFrame:
+    """chrom, start of every place of ``motifs`` (all of one length), found inside tiles that share its letters with the next."""
+    width = len(motifs[0])
+    t = tiles(contigs, tile, width - 1)
+    own = F.col("tile") * tile
+    # bytes are indexed in one step each; a place on the border belongs to the tile of its first base
     seq = F.upper("tile_seq").cast("binary")
-    places = F.sequence(F.lit(1), F.least(F.octet_length("_b") - 1, F.lit(TILE)))
-    found = F.filter(places, lambda i: F.substring(F.col("_b"), i, F.lit(2)) == F.lit(b"CG"))
-    bytes_ = t.select("chrom", own.alias("own"), F.substring(seq, own - F.col("start") + 1, F.lit(TILE + 1)).alias("_b")).filter(F.octet_length("_b") > 1)
+    places = F.sequence(F.lit(1), F.least(F.octet_length("_b") - (width - 1), F.lit(tile)))
+    found = F.filter(places, lambda i: F.substring(F.col("_b"), i, F.lit(width)).isin(*(F.lit(m.encode()) for m in motifs)))
+    bytes_ = t.select("chrom", own.alias("own"), F.substring(seq, own - F.col("start") + 1, F.lit(tile + width - 1)).alias("_b")).filter(F.octet_length("_b") >= width)
     return bytes_.select("chrom", "own", F.explode(found).alias("k")).select("chrom", (F.col("own") + F.col("k") - 1).cast("int").alias("start"))
 
 
+def cpg_positions(contigs: DataFrame) -> DataFrame:
+    """chrom, start of every CG of the genome."""
+    return motif_positions(contigs, ["CG"])
+
+
+#: What each enzyme recognises.
+CUTS = {"MspI": "CCGG", "TaqI": "TCGA"}
+
+
+def restriction_sites(contigs: DataFrame, enzymes: tuple[str, ...] = ("MspI", "TaqI")) -> DataFrame:
+    """chrom, start of every place where one of the enzymes cuts."""
+    return motif_positions(contigs, [CUTS[e] for e in enzymes])
+
+
 SITES = {"MspI": "(?<=C)(?=CGG)", "TaqI": "(?<=T)(?=CGA)"}
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from methylspark.functions.seq import cigar_positions, letters, strand
 from methylspark.operators.calling import call_xm
-from methylspark.operators.genome import with_reference
+from methylspark.operators.genome import restriction_sites, with_reference
 
 LETTERS, BASES = "BDEFHIJKLMNOPQRSUVWXYZ", "CGTACGTACGTACGTACGTACG"
 READ = 60
@@ -74,9 +75,11 @@ def reads(spark, sf_dir) -> DataFrame:
     Where the session's setting ``methylspark.reads.<sf_dir>`` names a table of these rows (see ``prepare_reads``), that is read.
     """
     written = spark.conf.get(f"methylspark.reads.{sf_dir}", "")
-    if written:
-        return spark.read.parquet(written)
-    r = placed(spark, sf_dir).select("read_id", "chrom", "pos", "xg", "mapq", F.substring("contig", F.col("pos") + 1, F.lit(READ)).alias("g"))
+    return spark.read.parquet(written) if written else _sequenced(placed(spark, sf_dir))
+
+
+def _sequenced(placed_reads: DataFrame) -> DataFrame:
+    r = placed_reads.select("read_id", "chrom", "pos", "xg", "mapq", F.substring("contig", F.col("pos") + 1, F.lit(READ)).alias("g"))
 
     def base(g, i):
         conv = (F.col("read_id") * 7 + (F.col("pos") + i) * 3) % 10 >= 6
@@ -89,6 +92,29 @@ def reads(spark, sf_dir) -> DataFrame:
     return r.withColumn("strand", strand(F.col("xr"), F.col("xg"), F.col("second_mate"))).drop("g", "xr")
 
 
+def rrbs_reads(spark, sf_dir) -> DataFrame:
+    """Columns of ``reads``, for reads that begin or end at a restriction site of their contig.
+
+    Read k goes to the site of number k mod the contig's sites, and by k mod 4 begins with its first or second base or
+    ends with its second or third; where that would leave the contig, and in contigs without sites, it stays.
+    """
+    sites = restriction_sites(contigs(spark, sf_dir))
+    # sites of one contig, whose sequence is one row of the genome table
+    own = Window.partitionBy("chrom")
+    sites = sites.select("chrom", "start", (F.row_number().over(own.orderBy("start")) - 1).alias("_k"), F.count("*").over(own).alias("_n"))
+    many = sites.groupBy("chrom").agg(F.max("_n").alias("_n"))
+    p = placed(spark, sf_dir).join(many, "chrom", "left").withColumn("_k", F.col("read_id") % F.col("_n"))
+    p = p.join(sites.select("chrom", F.col("_k").cast("long").alias("_k"), "start"), ["chrom", "_k"], "left")
+    shift = F.element_at(F.array(*[F.lit(x) for x in (0, 1, 2 - READ, 3 - READ)]), (F.floor(F.col("read_id") / _SPREAD) % 4 + 1).cast("int"))
+    to = F.col("start") + shift
+    fits = (to >= 2) & (to + READ <= F.col("length"))
+    return _sequenced(p.withColumn("pos", F.when(fits, to).otherwise(F.col("pos")).cast("int")))
+
+
+#: Reads in a row that meet a site in the same way.
+_SPREAD = 3
+
+
 def prepare_reads(spark, sf_dir, path: str) -> None:
     """Write ``reads`` to ``path`` and let the session's later queries over ``sf_dir`` read them there."""
     reads(spark, sf_dir).write.mode("overwrite").parquet(path)
@@ -128,6 +154,11 @@ R_SQL = """r as (select read_id, chrom, pos, xg, mapq, flag, second_mate, seq,
     case when (o_orderkey + k) % 2 = 1 then 'GA' else 'CT' end as xg, ((o_custkey * 3 + k * 11 + o_orderkey) % 43)::int as mapq,
     case when (o_orderkey * 4 + k) % 29 = 0 then 1024 else 0 end as flag, o_orderkey % 2 = 1 as second_mate
     from orders, (values (0), (1), (2), (3)) ks(k), (select max(doc_id) + 1 as m from documents) t join c on length >= 100 and ord = (o_orderkey * 13 + o_custkey + k * 7) % m))"""
+#: Reads at restriction sites: ``r`` as above, moved.
+S4_SQL = "s4 as (select chrom, p - 1 as start, row_number() over (partition by chrom order by p) - 1 as k, count(*) over (partition by chrom) as n from (select chrom, seq, unnest(range(1, length + 1)) as p from c) where substr(seq, p::int, 4) in ('CCGG', 'TCGA'))"
+RR_SQL = R_SQL.replace("r as (select", "r0 as (select", 1) + f""", r as (select r0.* exclude (site, shift) replace (case when site + shift >= 2 and site + shift + {READ} <= length(seq) then site + shift else pos end::int as pos)
+  from (select r0.*, s4.start as site, case (r0.read_id // {_SPREAD}) % 4 when 0 then 0 when 1 then 1 when 2 then {2 - READ} else {3 - READ} end as shift
+    from r0 left join (select chrom, max(n) as n from s4 group by chrom) m using (chrom) left join s4 on s4.chrom = r0.chrom and s4.k = r0.read_id % m.n) r0)"""
 B_SQL = """b as (select *, case when g = 'N' then '.' when xg = 'CT' and g = 'C' and base = 'C' then upper(kind) when xg = 'CT' and g = 'C' and base = 'T' then kind
     when xg = 'GA' and g = 'G' and base = 'G' then upper(kind) when xg = 'GA' and g = 'G' and base = 'A' then kind else '.' end as call
   from (select *, case when xg = 'CT' then case when ref5[4] = 'G' then 'z' when ref5[5] = 'G' then 'x' else 'h' end

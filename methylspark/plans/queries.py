@@ -192,10 +192,31 @@ def overlap_resolved(spark, d):
     return extract.resolve_overlaps(one.unionByName(two))
 
 
-@query("""select read_id, case when exists_site and xg = 'GA' then substr(xm, 1, 2) || '.' || substr(xm, 4) when exists_site then substr(xm, 1, 57) || '.' || substr(xm, 59) else xm end as xm from (
-  select read_id, xg, read_id % 3 = 0 as exists_site, string_agg(call, '' order by i) as xm from b group by all)""", *RB)
+_AT = """case when xg = 'GA' then case when substr(seq, pos + 1, 4) in ('CCGG', 'TCGA') then 3 when substr(seq, pos, 4) in ('CCGG', 'TCGA') then 2 end
+  else case when substr(seq, pos + 59, 4) in ('CCGG', 'TCGA') then 59 when substr(seq, pos + 58, 4) in ('CCGG', 'TCGA') then 58 end end"""
+
+
+@query(f"""select read_id, case when k is null then xm else substr(xm, 1, k - 1) || '.' || substr(xm, k + 1) end as xm, k is not null as at_site
+  from (select read_id, {_AT} as k from r) join (select read_id, string_agg(call, '' order by i) as xm from b group by read_id) using (read_id)""", C_SQL, derive.S4_SQL, derive.RR_SQL, B_SQL)
 def rrbs_trim(spark, d):
-    return derive.called(spark, d).select("read_id", extract.rrbs_trim(F.col("xm"), F.col("xg"), F.col("read_id") % 3 == 0).alias("xm"))
+    """Calls of reads at restriction sites, filled-in ones blanked, and whether the read stands at a site in the way that counts."""
+    aln = genome.with_reference(derive.rrbs_reads(spark, d), derive.contigs(spark, d), max_span=derive.READ).withColumn("xm", calling.call_xm())
+    marked = extract.rrbs_trim(aln.withColumns({"kept": F.col("xm"), "xm": F.repeat(F.lit("?"), F.length("xm"))}))
+    at_site = F.col("xm").contains(".")
+    return extract.rrbs_trim(marked.withColumns({"at_site": at_site, "xm": F.col("kept")})).select("read_id", "xm", "at_site")
+
+
+@query("select context, chrom, site as start, count(*) filter (m) as n_meth, count(*) filter (not m) as n_unmeth from (select case lower(call) when 'z' then 'CpG' when 'x' then 'CHG' else 'CHH' end as context, chrom, site, call = upper(call) as m from (select b.*, "
+       + f"(select {_AT} from (select b.xg, b.pos) x, c where c.chrom = b.chrom) as k from b) b where i + 1 is distinct from k and call <> '.' and q >= 5 and mapq >= 10 and flag = 0) group by all", C_SQL, derive.S4_SQL, derive.RR_SQL, B_SQL)
+def rrbs_site_counts(spark, d):
+    """Site counts of an RRBS library, from reads whose calls were made before and whose genome windows were not kept."""
+    aln = genome.with_reference(derive.rrbs_reads(spark, d), derive.contigs(spark, d), max_span=derive.READ).withColumn("xm", calling.call_xm()).drop("ref")
+    return extract.site_counts(extract.calls(extract.keep(extract.rrbs_trim(aln, derive.contigs(spark, d), max_span=derive.READ))))
+
+
+@query("select chrom, start::int as start from s4", C_SQL, derive.S4_SQL)
+def restriction_sites(spark, d):
+    return genome.restriction_sites(derive.contigs(spark, d))
 
 
 def _dup_reads(spark, d):
