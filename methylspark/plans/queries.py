@@ -8,7 +8,8 @@ from methylspark.functions import seq
 from methylspark.operators import bedgraph, calling, dedup, extract, genome, select
 from methylspark.plans import derive
 from methylspark.plans.derive import B_SQL, C_SQL, G_SQL, K_SQL, P_SQL, R_SQL, S_SQL
-from methylspark.sources import text
+from methylspark.operators.staging import stage_path
+from methylspark.sources import fastq, sinks
 
 FLAGSHIP = "/root/testdata/sf0.001"
 BOUNDS = {"OT": (4, 50, 3, 55), "OB": (0, 52, 6, 0), "CTOT": (2, 0, 2, 0), "CTOB": (0, 40, 0, 58)}
@@ -367,7 +368,31 @@ def multimapper_ranked(spark, d):
 
 @query("select read_id % 4 as file, count(*) as reads from r group by all", C_SQL, R_SQL)
 def reads_per_file(spark, d):
-    return text.reads_per_file(derive.reads(spark, d).withColumn("file", F.col("read_id") % 4))
+    return fastq.reads_per_file(derive.reads(spark, d).withColumn("file", F.col("read_id") % 4))
+
+
+#: Bases and qualities of both mates of each read; second mates as ``winner_calls`` turns reads.
+_FQ = """f as (select read_id, string_agg(base, '' order by i) as seq1, string_agg(chr(q + 33), '' order by i) as qual1,
+  string_agg(translate(base, 'ACGT', 'TGCA'), '' order by i desc) as seq2, string_agg(chr(q + 33), '' order by i desc) as qual2 from b group by read_id)"""
+
+
+@query("select read_id::varchar as name, seq1 as seq, qual1 as qual from f", *RB, _FQ)
+def fastq_round_trip(spark, d):
+    """Reads written as FASTQ files and read back from their splits."""
+    path = stage_path(spark, "fastq")
+    sinks.write_fastq(derive.reads(spark, d).withColumnRenamed("read_id", "name"), path)
+    return fastq.read_fastq(spark, path).select("name", "seq", "qual")
+
+
+@query("select 'r' || read_id as name, seq1, qual1, seq2, qual2 from f", *RB, _FQ)
+def fastq_pairs(spark, d):
+    """Mates in plain and in compressed files, brought together by file and place."""
+    r = derive.reads(spark, d).withColumn("name", F.concat(F.lit("r"), "read_id"))
+    r = r.repartitionByRange(8, "read_id").sortWithinPartitions("read_id")
+    one, two = stage_path(spark, "fastq"), stage_path(spark, "fastq")
+    sinks.write_fastq(r, one)
+    sinks.write_fastq(r.withColumns({"seq": seq.reverse_complement(F.col("seq")), "qual": F.reverse("qual")}), two, "gzip")
+    return fastq.read_fastq_pairs(spark, one, two).drop("file", "ordinal")
 
 
 @query("select read_id, case when xg = 'CT' then 'CT' else 'GA' end as xg, case when read_id % 3 = 0 then 'GA' else 'CT' end as xr, string_agg(base, '' order by i) as seq, string_agg(chr(q + 33), '' order by i) as qual, string_agg(call, '' order by i) as xm from b group by read_id, xg", *RB)

@@ -50,6 +50,13 @@ def fastq_records(aln: DataFrame) -> DataFrame:
     return aln.filter(has_flag(F.col("flag"), 4)).select(F.concat_ws("\n", F.concat(F.lit("@"), "qname"), seq, F.lit("+"), qual).alias("value"))
 
 
+def write_fastq(reads: DataFrame, path: str, compression: str | None = None) -> None:
+    """Reads (name, seq, qual as numbers) as FASTQ, a file for each partition, in their order."""
+    record = F.concat_ws("\n", F.concat(F.lit("@"), F.col("name").cast("string")), "seq", F.lit("+"), encode_phred(F.col("qual")))
+    w = reads.select(record.alias("value")).write
+    (w.option("compression", compression) if compression else w).text(path)
+
+
 def write_unmapped(aln: DataFrame, path: str) -> None:
     fastq_records(aln).write.option("compression", "gzip").text(path)
 

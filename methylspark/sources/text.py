@@ -1,9 +1,7 @@
-"""Readers of FASTA, FASTQ, SAM, bedGraph and M-bias text, all splittable or one record a file."""
+"""Readers of FASTA, SAM, bedGraph and M-bias text, all splittable or one record a file."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -69,48 +67,6 @@ def read_fasta(spark: SparkSession, folder: str) -> DataFrame:
     return c.join(order, ["file", "k"]).select("chrom", "ord", F.length("seq").alias("length"), "seq")
 
 
-def read_fastq(spark: SparkSession, paths: str | list[str], mate: int = 1, upto: int | None = None) -> DataFrame:
-    """file, ordinal, mate, name, seq, qual of plain or compressed FASTQ files.
-
-    ``paths`` is a list, or names with commas between them; each may be a folder or a pattern, whose files come in
-    the order of their names. ``file`` counts files in that order. Large plain files are read in splits: lines get
-    their number from the sizes of the splits before. ``upto`` keeps the first reads of each file. A file that
-    ends inside a record is an error; empty lines after the last record are passed over.
-    """
-    paths = [p.strip() for p in paths.split(",")] if isinstance(paths, str) else paths
-    each = [numbered_lines(spark, p, mark="@").select(F.lit(k).alias("entry"), "file", "block", "line", "value") for k, p in enumerate(paths)]
-    lines = reduce(DataFrame.unionByName, each)
-    counts = [spark.read.text(p).select(F.lit(k).alias("entry"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")) for k, p in enumerate(paths)]
-    sizes = reduce(DataFrame.unionByName, counts).groupBy("entry", "file", "block").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("entry", "file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    # one row for each split
-    splits = sizes.select("entry", "file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), (F.dense_rank().over(Window.orderBy("entry", "file")) - 1).alias("k"))
-    n = F.col("before") + F.col("line")
-    at = lines.join(splits, ["entry", "file", "block"]).select(F.col("k").alias("file"), F.floor(n / 4).alias("ordinal"), (n % 4).alias("part"), "value")
-    if upto is not None:
-        at = at.filter(F.col("ordinal") < upto)
-    g = at.groupBy("file", "ordinal").agg(*[F.max(F.when(F.col("part") == p, F.col("value"))).alias(c) for p, c in enumerate(("name", "seq", "plus", "qual"))])
-    g = g.filter(F.concat_ws("", "name", "seq", "plus", "qual") != "")
-    whole = F.when(F.col("qual").isNull(), F.raise_error(F.lit("a FASTQ file ends inside a record")).cast("string")).otherwise(F.col("qual"))
-    return g.select("file", "ordinal", F.lit(mate).alias("mate"), F.regexp_extract("name", r"^@(\S*)", 1).alias("name"), "seq", whole.alias("qual"))
-
-
-def read_fastq_pairs(spark: SparkSession, first: str | list[str], second: str | list[str], upto: int | None = None) -> DataFrame:
-    """file, ordinal, name, seq1, qual1, seq2, qual2: read n of file k of ``first`` with read n of file k of ``second``.
-
-    The name is that of mate 1. A read without its mate is an error.
-    """
-    a, b = [read_fastq(spark, p, m, upto).select("file", "ordinal", *[F.col(c).alias(f"{c}{m}") for c in ("name", "seq", "qual")]) for m, p in ((1, first), (2, second))]
-    lost = F.col("name1").isNull() | F.col("name2").isNull()
-    name = F.when(lost, F.raise_error(F.lit("a read has no mate in the other file")).cast("string")).otherwise(F.col("name1"))
-    return a.join(b, ["file", "ordinal"], "full").select("file", "ordinal", name.alias("name"), "seq1", "qual1", "seq2", "qual2")
-
-
-def reads_per_file(reads: DataFrame) -> DataFrame:
-    """file, reads: how many reads each FASTQ file gave."""
-    return reads.groupBy("file").agg(F.count("*").alias("reads"))
-
-
 SAM = ["qname", "flag", "chrom", "pos", "mapq", "cigar", "mate_chrom", "mate_pos", "tlen", "seq", "qual"]
 
 

@@ -1,5 +1,7 @@
 """Hand-made fixtures for the domain operators and text formats."""
 
+import bz2
+import gzip
 import random
 import re
 import struct
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from methylspark.functions import seq
 from methylspark.operators import bedgraph, calling, dedup, extract, genome, select
-from methylspark.sources import bam, sinks, text
+from methylspark.sources import bam, fastq, sinks, text
 from methylspark.streaming import site_counts
 
 
@@ -242,7 +244,7 @@ def test_text_formats(spark, tmp_path):
     (tmp_path / "g" / "b.txt").write_text(">no\nAA\n")
     assert [tuple(r) for r in text.read_fasta(spark, str(tmp_path / "g")).orderBy("ord").collect()] == [("c2", 0, 6, "ACGTNN"), ("c1", 1, 2, "CG")]
     (tmp_path / "r.fq").write_text("".join(f"@r{k} x\nACGT\n+\nII!I\n" for k in range(5)))
-    got = text.read_fastq(spark, [str(tmp_path / "r.fq")], upto=3)
+    got = fastq.read_fastq(spark, [str(tmp_path / "r.fq")], upto=3)
     assert sorted((r.ordinal, r.name, r.seq, r.qual) for r in got.collect()) == [(k, f"r{k}", "ACGT", "II!I") for k in range(3)]
     (tmp_path / "a.sam").write_text("@HD\tVN:1\nr1\t16\tc1\t5\t30\t4M\t*\t0\t0\tACGT\tIIII\tAS:i:-3\tXM:Z:z..Z\tXG:Z:CT\n")
     r = text.read_sam(spark, str(tmp_path / "a.sam")).first()
@@ -445,18 +447,51 @@ def test_genome_and_reads_in_many_splits(spark, tmp_path):
         assert [tuple(r) for r in got.orderBy("ord").collect()] == [(n, k, len(s), s) for k, (n, s) in enumerate(contigs)]
         want = sorted((f, k, f"r{k}/r_{f + 1}.fq", "ACGT" * (1 + k % 9), "@I!I" * (1 + k % 9)) for f, n in ((0, 230), (1, 90)) for k in range(n))
         for paths in (f"{tmp_path}/r_1.fq, {tmp_path}/r_2.fq", [str(tmp_path / "r_*.fq")]):
-            r = text.read_fastq(spark, paths)
+            r = fastq.read_fastq(spark, paths)
             assert sorted((x.file, x.ordinal, x.name, x.seq, x.qual) for x in r.collect()) == want
-        assert {x.file: x.reads for x in text.reads_per_file(r).collect()} == {0: 230, 1: 90}
-        pairs = text.read_fastq_pairs(spark, str(tmp_path / "r_1.fq"), str(tmp_path / "r_1.fq")).collect()
+        assert {x.file: x.reads for x in fastq.reads_per_file(r).collect()} == {0: 230, 1: 90}
+        pairs = fastq.read_fastq_pairs(spark, str(tmp_path / "r_1.fq"), str(tmp_path / "r_1.fq")).collect()
         assert len(pairs) == 230 and all(p.seq1 == p.seq2 for p in pairs)
         with pytest.raises(Exception, match="no mate"):
-            text.read_fastq_pairs(spark, str(tmp_path / "r_1.fq"), str(tmp_path / "r_2.fq")).collect()
+            fastq.read_fastq_pairs(spark, str(tmp_path / "r_1.fq"), str(tmp_path / "r_2.fq")).collect()
     finally:
         spark.conf.set(key, before)
     (tmp_path / "cut.fq").write_text("@a\nAC\n+\nII\n@b\nAC\n")
     with pytest.raises(Exception, match="inside a record"):
-        text.read_fastq(spark, [str(tmp_path / "cut.fq")]).collect()
+        fastq.read_fastq(spark, [str(tmp_path / "cut.fq")]).collect()
+
+
+def test_fastq_is_framed_in_splits_of_any_size(spark, tmp_path):
+    rng = random.Random(11)
+    reads = []
+    for k in range(40):
+        n = rng.choice((0, 1, 5, 30))
+        # qualities that look like names or third lines
+        reads.append((f"r{k}", "".join(rng.choice("ACGTN") for _ in range(n)), "".join(rng.choice("@+@I!") for _ in range(n))))
+    body = "".join(f"@{a} more\n{s}\n+{a if k % 3 else ''}\n{q}\n" for k, (a, s, q) in enumerate(reads))
+    (tmp_path / "a.fq").write_text(body + "\n\n\n\n\n")
+    (tmp_path / "b.fq").write_text(body.rstrip("\n") if reads[-1][1] else body)
+    (tmp_path / "c.fq.gz").write_bytes(gzip.compress(body.encode()))
+    (tmp_path / "d.fq.bz2").write_bytes(bz2.compress(body.encode(), 1))
+    (tmp_path / "e.fq").write_text("")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    want = sorted((f, k, *r) for f in range(4) for k, r in enumerate(reads))
+    try:
+        for size in ("64", "700", before):
+            spark.conf.set(key, size)
+            got = fastq.read_fastq(spark, [str(tmp_path / n) for n in ("a.fq", "b.fq", "c.fq.gz", "d.fq.bz2", "e.fq")])
+            assert sorted((r.file, r.ordinal, r.name, r.seq, r.qual) for r in got.collect()) == want, size
+            plan = got._jdf.queryExecution().executedPlan().toString().split("Union")[1]
+            assert "Exchange" not in plan[: plan.index("kind#")].replace("BroadcastExchange", "")
+        assert fastq.read_fastq(spark, str(tmp_path / "?.fq*"), upto=2).count() == 8
+        spark.conf.set(key, "200")
+        for name, text_ in (("cut", body[: len(body) // 2].rsplit("\n", 1)[0]), ("other", "line\n" * 60), ("late", body + "@x\nAC\nII\n+\n" * 5)):
+            (tmp_path / f"{name}.txt").write_text(text_)
+            with pytest.raises(Exception, match="FASTQ"):
+                fastq.read_fastq(spark, str(tmp_path / f"{name}.txt")).collect()
+    finally:
+        spark.conf.set(key, before)
 
 
 def test_winners_meet_their_reads(spark):
