@@ -388,7 +388,7 @@ def fastq_round_trip(spark, d):
 def fastq_pairs(spark, d):
     """Mates in plain and in compressed files, brought together by file and place."""
     r = derive.reads(spark, d).withColumn("name", F.concat(F.lit("r"), "read_id"))
-    r = r.repartitionByRange(8, "read_id").sortWithinPartitions("read_id")
+    r = r.repartition(8, "read_id").sortWithinPartitions("read_id")  # both writes deal reads alike
     one, two = stage_path(spark, "fastq"), stage_path(spark, "fastq")
     sinks.write_fastq(r, one)
     sinks.write_fastq(r.withColumns({"seq": seq.reverse_complement(F.col("seq")), "qual": F.reverse("qual")}), two, "gzip")
