@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from methylspark.functions.seq import has_flag, letters, total_phred, unclipped_start
-from methylspark.operators.staging import written
+from methylspark.operators.staging import remove, stage_path, written
 
 
 def edit_distance(m1, u1, m2, u2) -> Column:
@@ -73,53 +73,113 @@ def pair_rows(aln: DataFrame, read_id: str = "read_id", words: int = 4, min_phre
     return g.select(read_id, *key, *maps, phred.alias("phred")).withColumn("calls", set_bits("meth") + set_bits("unmeth"))
 
 
-def mark_duplicates(reads: DataFrame, key: list[str], read_id: str = "read_id", ids: DataFrame | None = None, block: int = 1024) -> DataFrame:
+#: Keys with more distinct maps are settled in rounds over tables, others inside one row.
+ROW_MAPS = 256
+#: Most positions that maps of such a key are dealt out by, and how many maps a cell should come down to.
+CELL_BITS, CELL_MAPS = 16, 32
+
+
+def _differ(a: str, b: str) -> Column:
+    """Do two rows (aliases) have a position that one has methylated and the other unmethylated?"""
+    none = F.lit(0).cast("long")
+    x = lambda c: F.zip_with(f"{a}.{c}", f"{b}.{c}", lambda m, n: F.coalesce(m, none).bitwiseXOR(F.coalesce(n, none)))
+    return F.exists(F.zip_with(x("meth"), x("unmeth"), lambda m, u: m.bitwiseAND(u) != 0), lambda both: both)
+
+
+def _bit(c: str, place) -> Column:
+    """Bit ``place`` of a map's words; 0 beyond them."""
+    word = F.coalesce(F.get(F.col(c), F.floor(place / 62).cast("int")), F.lit(0).cast("long"))
+    return F.call_function("shiftrightunsigned", word, (place % 62).cast("int")).bitwiseAND(F.lit(1))
+
+
+def _cells(maps: DataFrame) -> DataFrame:
+    """Add ``cell``: a row for each cell that a map may share with a compatible one.
+
+    For each key, positions are chosen at which most maps have a call and both calls are frequent. A cell is a choice of
+    calls at these; a map is in all cells that do not contradict its own calls. Compatible maps contradict each
+    other nowhere, so they share a cell. More positions are chosen as a key has more maps.
+    """
+    n = F.size("meth")
+    place = F.explode(F.sequence(F.lit(0), n * 62 - 1))
+    each = maps.select("_key", "meth", "unmeth", place.alias("place"))
+    at = each.groupBy("_key", "place").agg(F.sum(_bit("meth", F.col("place"))).alias("m"), F.sum(_bit("unmeth", F.col("place"))).alias("u"), F.count("*").alias("n")).filter("m > 0 and u > 0")
+    # a map without a call at a position is in twice as many cells, so such positions count for less
+    score = F.least("m", "u") - (F.col("n") - F.col("m") - F.col("u"))
+    order = Window.partitionBy("_key").orderBy(score.desc(), "place")
+    wanted = F.ceil(F.log2(F.greatest(F.col("n") / CELL_MAPS, F.lit(1.0))))
+    chosen = at.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= F.least(wanted, F.lit(CELL_BITS)))
+    chosen = chosen.groupBy("_key").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    none = F.array(F.lit(0).cast("long"))
+
+    def split(cells, p):
+        m, u = _bit("meth", p), _bit("unmeth", p)
+        one, zero = F.transform(cells, lambda c: c * 2 + 1), F.transform(cells, lambda c: c * 2)
+        return F.when(m == 1, one).when(u == 1, zero).otherwise(F.concat(zero, one))
+
+    cells = F.aggregate(F.coalesce("places", F.array().cast("array<int>")), none, split)
+    return maps.join(chosen, "_key", "left").withColumn("cell", F.explode(cells)).drop("places")
+
+
+def _first_independent(maps: DataFrame) -> DataFrame:
+    """id of the maps that are kept, for keys with many maps, in as many rounds as decisions hang on each other.
+
+    In a round a map is kept if no earlier undecided map is compatible with it, and then undecided maps compatible with
+    one of these go. Both are existence joins by (key, cell), so compatible pairs are never listed. What is left is
+    written; tables of rounds that are over are removed.
+    """
+    spark = maps.sparkSession
+    path = stage_path(spark, "duplicates")
+    left = written(_cells(maps).select("_key", "cell", F.struct("c", "p", "id").alias("o"), "id", "meth", "unmeth"), "duplicates", path)
+    done = None
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    while not left.isEmpty():
+        # little data, much to compare: all tasks get cells, and the joins of a round share this shuffle
+        left = left.repartition(tasks, "_key", "cell")
+        same = (F.col("a._key") == F.col("b._key")) & (F.col("a.cell") == F.col("b.cell")) & ~_differ("a", "b")
+        held = left.alias("b").join(left.alias("a"), same & (F.col("a.o") < F.col("b.o")), "left_semi").select("id").distinct()
+        kept = written(left.join(held, "id", "left_anti"), "duplicates-kept")
+        ids = kept.select("id").distinct()
+        rest = left.join(ids, "id", "left_anti")
+        gone = rest.alias("b").join(kept.alias("a"), same, "left_semi").select("id").distinct()
+        after = stage_path(spark, "duplicates")
+        now = written(rest.join(gone, "id", "left_anti").select(*left.columns), "duplicates", after)
+        remove(spark, path)
+        left, path = now, after
+        done = ids if done is None else done.unionByName(ids)
+    return done if done is not None else maps.select("id")
+
+
+def mark_duplicates(reads: DataFrame, key: list[str], read_id: str = "read_id", ids: DataFrame | None = None, row_maps: int = ROW_MAPS) -> DataFrame:
     """read_id, duplicate. Inside a key, reads in the order (calls desc, phred desc, read_id): a read is a
     duplicate if an earlier kept one is at distance 0.
 
     Needs meth and unmeth (arrays of longs), calls and phred. Reads of one key with the same maps are
     settled before: only the first of them can be kept, so a pile of identical copies reaches the
     order-dependent step as one row. ``ids`` are the same reads' ids from a cheaper source than ``reads``, where
-    the maps have been derived and should not be so twice.
+    the maps have been derived and should not be so twice. Null keys are equal to each other.
 
-    Maps are sorted by key and order over all tasks and cut into blocks, so a row holds at most ``block`` of them,
-    whatever key they have. Round r settles the r-th block of each key: its kept maps go to every later block of
-    that key, a row each, and drop the maps there that are near them. Most keys have one block and end in round
-    0. There are as many rounds as the longest key has blocks, each with written tables, so a lost executor costs
-    no earlier round. Null keys are equal to each other.
+    Keys of up to ``row_maps`` distinct maps are settled in one row each. Keys with more go through rounds: the
+    first maps that nothing earlier can drop are kept together, drop what they are compatible with, and so on. A
+    round needs no more than a join inside small cells of a key (see ``_cells``), so no row or task holds a whole
+    key, and there are as many rounds as the longest chain of decisions that wait for each other.
     """
-    spark = reads.sparkSession
     first = reads.groupBy(F.struct(*key).alias("_key"), "meth", "unmeth").agg(F.max(F.struct("calls", "phred", (-F.col(read_id)).alias("neg"))).alias("top"))
     order = [(-F.col("top.calls")).alias("c"), (-F.col("top.phred")).alias("p"), (-F.col("top.neg")).alias("id")]
-    first = first.select("_key", *order, "meth", "unmeth")
-    # every id is there once, so the order is total and a task that runs again numbers its rows alike
-    by = ["_key", "c", "p", "id"]
-    sorted_ = first.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by)
-    cut = sorted_.withColumn("_n", F.monotonically_increasing_id()).select("_key", F.expr(f"_n div {block}").alias("_block"), F.struct("c", "p", "id", "meth", "unmeth").alias("item"))
-    state = written(cut.groupBy("_key", "_block").agg(F.array_sort(F.collect_list("item")).alias("items")), "duplicates")
-    # a narrow row for each block of the keys that have several
-    own = Window.partitionBy("_key")
-    places = state.select("_key", "_block", (F.row_number().over(own.orderBy("_block")) - 1).alias("k"), (F.count("*").over(own) - 1).cast("int").alias("last")).filter("last > 0")
-    state = state.join(places, ["_key", "_block"], "left").select("_key", F.coalesce("k", F.lit(0)).alias("k"), F.coalesce("last", F.lit(0)).alias("last"), "items")
-    rounds = places.agg(F.max("last")).first()[0] or 0
-
-    def near(kept, x):
-        return F.exists(kept, lambda k: edit_distance(k["meth"], k["unmeth"], x["meth"], x["unmeth"]) == 0)
+    first = written(first.select("_key", *order, "meth", "unmeth"), "duplicates")
+    long = written(first.groupBy("_key").agg(F.count("*").alias("n")).filter(F.col("n") > row_maps).select("_key"), "duplicates")
+    some = not long.isEmpty()
+    short = first.join(long, "_key", "left_anti") if some else first
+    items = short.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("c", "p", "id", "meth", "unmeth"))).alias("items"))
 
     def step(kept, x):
-        return F.when(near(kept, x), kept).otherwise(F.concat(kept, F.array(x)))
-
-    done = None
-    for r in range(rounds + 1):
-        settled = F.aggregate("items", F.slice("items", 1, 0), step)
-        kept = written(state.filter(F.col("k") == r).select("_key", "last", settled.alias("kept")), "duplicates-kept")
-        now = kept.select(F.explode("kept.id").alias(read_id))
-        done = now if done is None else done.unionByName(now)
-        if r < rounds:
-            reach = kept.filter(F.col("last") > r).select("_key", F.explode(F.sequence(F.lit(r + 1), F.col("last"))).alias("k"), "kept")
-            rest = state.filter(F.col("k") > r).join(reach, ["_key", "k"])
-            state = written(rest.select("_key", "k", "last", F.filter("items", lambda x: ~near(F.col("kept"), x)).alias("items")), "duplicates")
-    kept = done.withColumn("_dup", F.lit(False))
+        near = F.exists(kept, lambda k: edit_distance(k["meth"], k["unmeth"], x["meth"], x["unmeth"]) == 0)
+        return F.when(near, kept).otherwise(F.concat(kept, F.array(x)))
+
+    settled = F.when(F.size("items") > 1, F.aggregate("items", F.slice("items", 1, 0), step)).otherwise(F.col("items"))
+    kept = items.select(F.explode(settled).alias("x")).select(F.col("x.id").alias(read_id))
+    if some:
+        kept = kept.unionByName(_first_independent(first.join(long, "_key", "left_semi")).select(F.col("id").alias(read_id)))
+    kept = kept.withColumn("_dup", F.lit(False))
     return (reads if ids is None else ids).select(read_id).join(kept, read_id, "left").select(read_id, F.coalesce("_dup", F.lit(True)).alias("duplicate"))
 
 

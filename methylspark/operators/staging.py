@@ -18,8 +18,14 @@ def stage_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as Parquet in a new stage folder, read again."""
-    path = stage_path(df.sparkSession, label)
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a stage folder that no table reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """``df`` as Parquet in a new stage folder (``path``, if the caller means to remove it), read again."""
+    path = path or stage_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

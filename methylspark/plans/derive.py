@@ -111,6 +111,14 @@ def rrbs_reads(spark, sf_dir) -> DataFrame:
     return _sequenced(p.withColumn("pos", F.when(fits, to).otherwise(F.col("pos")).cast("int")))
 
 
+def piled_reads(spark, sf_dir) -> DataFrame:
+    """Columns of ``reads``, in piles: even and odd reads of 16 in a row stand where the first of them stands, on its strand."""
+    p = placed(spark, sf_dir)
+    first = p.select(F.col("read_id").alias("_first"), *[F.col(c).alias(f"_{c}") for c in ("chrom", "pos", "xg", "contig")])
+    p = p.withColumn("_first", F.col("read_id") - F.col("read_id") % 16 + F.col("read_id") % 2).join(first, "_first", "left")
+    return _sequenced(p.select("read_id", "mapq", "length", *[F.coalesce(f"_{c}", c).alias(c) for c in ("chrom", "pos", "xg", "contig")]))
+
+
 #: Reads in a row that meet a site in the same way.
 _SPREAD = 3
 
@@ -159,6 +167,9 @@ S4_SQL = "s4 as (select chrom, p - 1 as start, row_number() over (partition by c
 RR_SQL = R_SQL.replace("r as (select", "r0 as (select", 1) + f""", r as (select r0.* exclude (site, shift) replace (case when site + shift >= 2 and site + shift + {READ} <= length(seq) then site + shift else pos end::int as pos)
   from (select r0.*, s4.start as site, case (r0.read_id // {_SPREAD}) % 4 when 0 then 0 when 1 then 1 when 2 then {2 - READ} else {3 - READ} end as shift
     from r0 left join (select chrom, max(n) as n from s4 group by chrom) m using (chrom) left join s4 on s4.chrom = r0.chrom and s4.k = r0.read_id % m.n) r0)"""
+PILE_SQL = R_SQL.replace("r as (select", "r0 as (select", 1) + """, r as (select r0.* replace (coalesce(l.chrom, r0.chrom) as chrom, coalesce(l.pos, r0.pos) as pos, coalesce(l.xg, r0.xg) as xg, coalesce(l.seq, r0.seq) as seq,
+  case when (r0.second_mate <> (r0.read_id % 5 = 0)) = r0.second_mate then case when coalesce(l.xg, r0.xg) = 'CT' then 'OT' else 'OB' end else case when coalesce(l.xg, r0.xg) = 'CT' then 'CTOT' else 'CTOB' end end as strand)
+  from r0 left join r0 l on l.read_id = r0.read_id - r0.read_id % 16 + r0.read_id % 2)"""
 B_SQL = """b as (select *, case when g = 'N' then '.' when xg = 'CT' and g = 'C' and base = 'C' then upper(kind) when xg = 'CT' and g = 'C' and base = 'T' then kind
     when xg = 'GA' and g = 'G' and base = 'G' then upper(kind) when xg = 'GA' and g = 'G' and base = 'A' then kind else '.' end as call
   from (select *, case when xg = 'CT' then case when ref5[4] = 'G' then 'z' when ref5[5] = 'G' then 'x' else 'h' end

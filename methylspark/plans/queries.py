@@ -266,9 +266,10 @@ QUERIES["duplicate_totals"] = duplicate_totals
 SQL["duplicate_totals"] = SQL["dup_greedy"].replace("select read_id, dup as duplicate from w", "select count(*) as reads, count(*) filter (dup) as duplicates, printf('%6.2f%%', 100.0 * count(*) filter (dup) / count(*)) as duplicate_percent from w")
 
 
-def _templates(spark, d):
+def _templates(spark, d, reads=derive.reads):
     """Reads 2t and 2t + 1 are the mates of template t; every third mate has a clip."""
-    r = derive.called(spark, d).withColumns({"second_mate": F.col("read_id") % 2 == 1, "read_id": F.floor(F.col("read_id") / 2)})
+    r = genome.with_reference(reads(spark, d), derive.contigs(spark, d), max_span=derive.READ).withColumn("xm", calling.call_xm())
+    r = r.withColumns({"second_mate": F.col("read_id") % 2 == 1, "read_id": F.floor(F.col("read_id") / 2)})
     return r.withColumn("cigar", F.when(F.col("pos") % 3 == 0, "4S56M").otherwise(F.col("cigar")))
 
 
@@ -279,6 +280,23 @@ def dup_templates(spark, d):
     return t.select("read_id", *dedup.PAIR_KEY, "phred", "calls", *[F.col(c)[k].alias(f"{c}{k + 1}") for c in ("meth", "unmeth") for k in (0, 1)])
 
 
+def dup_pairs(spark, d):
+    """Templates of two mates in piles, marked by both mates' contigs, strands and starts, with their summed qualities."""
+    t = dedup.pair_rows(_templates(spark, d, derive.piled_reads), words=1)
+    return dedup.mark_duplicates(t, dedup.PAIR_KEY)
+
+
+QUERIES["dup_pairs"] = dup_pairs
+_PAIR = SQL["dup_templates"].split(B_SQL)[1].strip()
+SQL["dup_pairs"] = "with recursive " + ", ".join((C_SQL, derive.PILE_SQL, B_SQL)) + f""", t as ({_PAIR}),
+  n as materialized (select *, concat_ws(':', coalesce(chrom1, '-'), coalesce(strand1, '-'), coalesce(start1, -1), coalesce(chrom2, '-'), coalesce(strand2, '-'), coalesce(start2, -1)) as key,
+    row_number() over (partition by chrom1, strand1, start1, chrom2, strand2, start2 order by calls desc, phred desc, read_id) as k from t),
+  w as (select key, k, [{{'a': meth1, 'b': meth2, 'c': unmeth1, 'd': unmeth2}}] as kept, false as dup, read_id from n where k = 1
+    union all select key, k, case when near then kept else list_append(kept, {{'a': meth1, 'b': meth2, 'c': unmeth1, 'd': unmeth2}}) end, near, read_id from (
+      select n.*, w.kept, list_bool_or(list_transform(w.kept, lambda x: (xor(x.a, n.meth1) & xor(x.c, n.unmeth1)) = 0 and (xor(x.b, n.meth2) & xor(x.d, n.unmeth2)) = 0)) as near from w join n on n.key = w.key and n.k = w.k + 1))
+  select read_id, dup as duplicate from w"""
+
+
 _X = "x as (select *, case when flag & 4 = 0 then as_score end as s from k where mate = 1)"
 _W = f"""w as (select read_id, n = 1 and top is not null as won, st, top as s, greatest(coalesce(xs, -1073741824), coalesce(second, -1073741824)) as xs, score_min as least, mapq as q from (
   select read_id, arg_max(src_strand, coalesce(s, -1073741824)::bigint * 10 - src_strand) as st, max(s) as top, count(*) filter (s = mx) as n, arg_max(xs_score, coalesce(s, -1073741824)::bigint * 10 - src_strand) as xs,

@@ -57,7 +57,7 @@ def test_duplicates_follow_order(spark):
     assert dedup.mark_duplicates(hurt, ["key"]).filter("duplicate").count() == 0
 
 
-def test_duplicates_of_long_bins_in_blocks(spark):
+def test_duplicates_of_long_bins_in_rounds(spark):
     rng = random.Random(5)
     rows = []
     for n in range(400):
@@ -72,8 +72,8 @@ def test_duplicates_of_long_bins_in_blocks(spark):
             if not want[n]:
                 kept.append((m, u))
     df = spark.createDataFrame(rows, "read_id long, key string, meth array<long>, unmeth array<long>, calls int, phred int")
-    for block in (16, 1024):
-        assert {r.read_id: r.duplicate for r in dedup.mark_duplicates(df, ["key"], block=block).collect()} == want
+    for rows_ in (8, 1024):
+        assert {r.read_id: r.duplicate for r in dedup.mark_duplicates(df, ["key"], row_maps=rows_).collect()} == want
     assert dedup.mark_duplicates(df.limit(0), ["key"]).count() == 0
 
 
@@ -304,7 +304,7 @@ def test_bam_and_sam(spark, tmp_path):
     (tmp_path / "b").mkdir()
     (tmp_path / "b" / "one.bam").write_bytes(blocked(bam_bytes(SAM_ROWS, ["c1", "c2"]), 23))
     (tmp_path / "b" / "none.bam").write_bytes(blocked(bam_bytes([], ["c1"]), 500))
-    got = bam.read_bam(spark, str(tmp_path / "b"), rows=2)
+    got = bam.read_bam(spark, str(tmp_path / "b"))
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, SAM_ROWS))
     contigs = spark.createDataFrame([("c1", 0, 1000), ("c2", 1, 1000)], "chrom string, ord int, length long")
     sinks.write_sam(got, contigs, str(tmp_path / "s"), by_position=True)
