@@ -29,6 +29,20 @@ def _is_mapped(aln: DataFrame) -> Column:
     return placed & ~F.coalesce(has_flag(F.col("flag"), 4), F.lit(False)) if "flag" in aln.columns else placed
 
 
+def _span(on) -> Column:
+    """Reference bases that an alignment covers, 0 for unmapped reads."""
+    simple = F.col("cigar").rlike(r"^\d+M$")
+    return F.when(on, F.when(simple, F.length("seq")).otherwise(reference_span(F.col("cigar")))).otherwise(0)
+
+
+def _window(s, offset, on) -> Column:
+    """From a stretch ``s`` of the genome that begins at ``offset``: two bases before ``pos`` to two after ``_span`` bases."""
+    lost = F.raise_error(F.concat(F.lit("an alignment lies outside the genome: "), F.col("chrom"), F.lit(":"), F.col("pos").cast("string"))).cast("string")
+    at = F.col("pos") - offset  # index of pos in s; two N before s shift it by two
+    cut = F.substring(F.concat(F.lit("NN"), s, F.lit("NN")), F.greatest(at + 1, F.lit(1)), F.col("_span") + 4)
+    return F.when(on, F.when(s.isNull(), lost).otherwise(F.rpad(cut, F.col("_span") + 4, "N")))
+
+
 def with_reference(aln: DataFrame, contigs: DataFrame, tile: int = TILE, overlap: int = OVERLAP, max_span: int | None = None) -> DataFrame:
     """Add ``ref``: reference bases from two before ``pos`` to two after the alignment, N beyond the contig.
 
@@ -40,16 +54,9 @@ def with_reference(aln: DataFrame, contigs: DataFrame, tile: int = TILE, overlap
     """
     if max_span is not None and max_span > overlap - 4:
         raise ValueError("max_span must be at most overlap - 4")
-    span = F.when(F.col("cigar").rlike(r"^\d+M$"), F.length("seq")).otherwise(reference_span(F.col("cigar")))
     on = F.col("_on")
-    a = aln.withColumn("_on", _is_mapped(aln)).withColumns({"_span": F.when(on, span).otherwise(0), "tile": F.when(on, F.floor(F.col("pos") / tile).cast("int"))})
-    cut = lambda s, at: F.substring(F.concat(F.lit("NN"), s, F.lit("NN")), F.greatest(at + 1, F.lit(1)), F.col("_span") + 4)
-    lost = F.raise_error(F.concat(F.lit("an alignment lies outside the genome: "), F.col("chrom"), F.lit(":"), F.col("pos").cast("string"))).cast("string")
-
-    def window(s, offset):
-        at = F.col("pos") - offset  # index of pos in s; two N before s shift it by two
-        return F.when(on, F.when(s.isNull(), lost).otherwise(F.rpad(cut(s, at), F.col("_span") + 4, "N")))
-
+    a = aln.withColumn("_on", _is_mapped(aln)).withColumns({"_span": _span(on), "tile": F.when(on, F.floor(F.col("pos") / tile).cast("int"))})
+    window = lambda s, offset: _window(s, offset, on)
     t = tiles(contigs, tile, overlap)
     if max_span is None:
         short = a.filter(F.col("_span") <= overlap - 4)

@@ -9,7 +9,7 @@ from methylspark.operators import bedgraph, calling, dedup, extract, genome, sel
 from methylspark.plans import derive
 from methylspark.plans.derive import B_SQL, C_SQL, G_SQL, K_SQL, P_SQL, R_SQL, S_SQL
 from methylspark.operators.staging import stage_path
-from methylspark.sources import fastq, sinks
+from methylspark.sources import fastq, sinks, store
 
 FLAGSHIP = "/root/testdata/sf0.001"
 BOUNDS = {"OT": (4, 50, 3, 55), "OB": (0, 52, 6, 0), "CTOT": (2, 0, 2, 0), "CTOB": (0, 40, 0, 58)}
@@ -99,6 +99,25 @@ def site_counts(spark, d):
     return extract.bedgraph(_sites(spark, d))
 
 
+def _store(spark, d):
+    path = stage_path(spark, "store")
+    store.write_store(derive.reads(spark, d), derive.contigs(spark, d), path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return store.open_store(spark, path)
+
+
+@query("select context, chrom, start, n_meth, n_unmeth from g", *RG)
+def stored_site_counts(spark, d):
+    """Site counts over alignments and genome stored by place."""
+    aln = store.referenced(_store(spark, d)).withColumn("xm", calling.call_xm())
+    return extract.site_counts(extract.calls(extract.keep(aln)))
+
+
+@query("select read_id, pos from r where chrom = 'c000003' and pos < 900 and pos + 60 > 200", C_SQL, R_SQL)
+def stored_region(spark, d):
+    """Alignments over a stretch of one contig."""
+    return store.region(_store(spark, d), "c000003", 200, 900).select("read_id", "pos")
+
+
 _IN = " and ".join(f"(strand <> '{s}' or second_mate <> {m} or (i >= {lo} and ({hi} = 0 or i < {hi})))" for s, (a, b, c, e) in BOUNDS.items() for m, lo, hi in (("false", a, b), ("true", c, e)))
 
 
