@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from methylspark.functions import seq
-from methylspark.operators import bedgraph, calling, dedup, extract, genome, select
+from methylspark.operators import accumulate, bedgraph, calling, dedup, extract, genome, select
 from methylspark.plans import derive
 from methylspark.plans.derive import B_SQL, C_SQL, G_SQL, K_SQL, P_SQL, R_SQL, S_SQL
 from methylspark.operators.staging import stage_path
@@ -90,8 +90,13 @@ def context_totals(spark, d):
     return calling.context_totals(derive.called(spark, d))
 
 
+def _placed(spark, d):
+    """Reads with their stretch of the genome; counts are made from both, without call strings."""
+    return genome.with_reference(derive.reads(spark, d), derive.contigs(spark, d), max_span=derive.READ)
+
+
 def _sites(spark, d, sign=False):
-    return extract.site_counts(extract.calls(extract.keep(derive.called(spark, d))), sign)
+    return accumulate.count_sites(extract.keep(_placed(spark, d)), sign=sign)
 
 
 @query(f"select context, chrom, start, start + 1 as \"end\", {PERMILLE} as permille, n_meth, n_unmeth from g", *RG)
@@ -124,13 +129,12 @@ _IN = " and ".join(f"(strand <> '{s}' or second_mate <> {m} or (i >= {lo} and ({
 @query(f"select chrom, site as start, count(*) filter (call = 'Z') as n_meth, count(*) filter (call = 'z') as n_unmeth from b where lower(call) = 'z' and q >= 20 and mapq >= 20 and {_IN} group by all", *RB)
 def site_counts_bounds(spark, d):
     aln = extract.keep(derive.called(spark, d), 20, drop_duplicates=False)
-    return extract.site_counts(extract.calls(aln, 20, ("CpG",), BOUNDS)).drop("context")
+    return accumulate.count_sites(aln, 20, ("CpG",), BOUNDS).drop("context")
 
 
 @query("select strand, case when second_mate then 2 else 1 end as read, i + 1 as position, count(*) filter (call = 'Z') as n_meth, count(*) filter (call = 'z') as n_unmeth from b where lower(call) = 'z' and q >= 5 and mapq >= 10 group by all", *RB)
 def mbias_matrix(spark, d):
-    aln = extract.keep(derive.called(spark, d), 10, drop_duplicates=False)
-    return extract.mbias(extract.calls(aln, contexts=("CpG",), columns=("read_id", "strand", "second_mate")))
+    return accumulate.count_mbias(extract.keep(_placed(spark, d), 10, drop_duplicates=False))
 
 
 Z = 3.2905267314919255
@@ -240,11 +244,10 @@ def restriction_sites(spark, d):
 
 
 def _dup_reads(spark, d):
-    r = derive.called(spark, d).filter("pos is not null")
-    m, u = dedup.call_maps(F.col("xm"), F.col("qual"), words=1)
+    r = _placed(spark, d).filter("pos is not null")
     key = F.concat_ws(":", "chrom", (F.floor(F.col("pos") / 400)).cast("string"))
-    r = r.select("read_id", key.alias("key"), m.alias("meth"), u.alias("unmeth"), F.col("mapq").alias("phred"))
-    return r.withColumn("calls", F.bit_count(F.col("meth")[0]) + F.bit_count(F.col("unmeth")[0]))
+    r = r.withColumns({"key": key, "phred": F.col("mapq")})
+    return accumulate.call_maps(r, ["read_id", "key", "phred"], words=1)
 
 
 _DUP = "u as (select read_id, chrom || ':' || (pos // 400) as key, mapq as phred, bit_or(case when q >= 5 and call in ('Z', 'X', 'H') then (1::bigint << i) else 0 end) as m, bit_or(case when q >= 5 and call in ('z', 'x', 'h') then (1::bigint << i) else 0 end) as u, count(*) filter (q >= 5 and call <> '.') as calls from b group by all)"
