@@ -2,32 +2,64 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from methylspark.functions.seq import encode_phred, has_flag, reference_span, reverse_complement
+from methylspark.operators.staging import remove, stage_path, written
+
+
+TRACK = "track type=bedGraph"
 
 
 def write_bedgraph(sites: DataFrame, path: str) -> None:
-    """Sorted rows with the track line at the head of each file, one folder for each context."""
+    """One sorted file ``path``_<context>.bedGraph for each of the three contexts, which begins with the track line.
+
+    ``sites`` are evaluated once, into a stage table that the sort takes its ranges from. All contexts are sorted
+    and written together, a part file for each range and context, and then put together in the order of ranges
+    by the file system.
+    """
+    spark = sites.sparkSession
     cols = ["chrom", "start", "end", "permille", "n_meth", "n_unmeth"]
-    rows = sites.select("context", "chrom", "start", F.concat_ws("\t", *[F.col(c).cast("string") for c in cols]).alias("value"))
-    # range partitions hold whole stretches, so sorting them sorts the folder; every file gets its own track line
-    parts = rows.repartitionByRange("context", "chrom", "start").sortWithinPartitions("context", "chrom", "start")
+    stage, parts = stage_path(spark, "bedgraph"), stage_path(spark, "bedgraph")
+    rows = written(sites.select("context", "chrom", "start", F.concat_ws("\t", *[F.col(c).cast("string") for c in cols]).alias("value")), "bedgraph", stage)
+    by = ["context", "chrom", "start"]
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartitionByRange(ranges, *by).sortWithinPartitions(*by).select("context", "value").write.partitionBy("context").text(parts)
     for context in ("CpG", "CHG", "CHH"):
-        own = parts.filter(F.col("context") == context).select("value")
-        own.mapInPandas(_with_track, "value string").write.text(f"{path}_{context}.bedGraph")
+        join_files(spark, f"{parts}/context={context}", f"{path}_{context}.bedGraph", TRACK)
+    for folder in (stage, parts):
+        remove(spark, folder)
 
 
-def _with_track(batches):
-    first = True
-    for b in batches:
-        if len(b):
-            if first:
-                b = pd.concat([pd.DataFrame({"value": ["track type=bedGraph"]}), b])
-                first = False
-            yield b
+def join_files(spark: SparkSession, folder: str, target: str, first_line: str) -> None:
+    """Make ``target`` of a line and then the part files of ``folder`` (which may be absent), in the order of their names.
+
+    The file system appends the files where it can (HDFS); elsewhere their bytes are copied one file after the other.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    at, to = hadoop.fs.Path(folder), hadoop.fs.Path(target)
+    fs = to.getFileSystem(conf)
+    names = sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+    files = [hadoop.fs.Path(at, n) for n in names if n.startswith("part-")]
+    out = fs.create(to, False)
+    try:
+        out.write(bytearray(f"{first_line}\n".encode()))
+        if fs.getScheme() != "hdfs":
+            for f in files:
+                source = fs.open(f)
+                try:
+                    hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+                finally:
+                    source.close()
+    finally:
+        out.close()
+    if fs.getScheme() == "hdfs" and files:
+        own = spark.sparkContext._gateway.new_array(hadoop.fs.Path, len(files))
+        for k, f in enumerate(files):
+            own[k] = f
+        fs.concat(to, own)
 
 
 def write_table(df: DataFrame, path: str, sep: str = "\t", header: bool = True) -> None:
@@ -57,8 +89,13 @@ def write_fastq(reads: DataFrame, path: str, compression: str | None = None) ->
     (w.option("compression", compression) if compression else w).text(path)
 
 
-def write_unmapped(aln: DataFrame, path: str) -> None:
-    fastq_records(aln).write.option("compression", "gzip").text(path)
+def write_unmapped(aln: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """Unmapped reads as compressed FASTQ; with ``order`` (see ``write_sam``) in the order of input."""
+    fastq_records(aln.orderBy(*order) if order else aln).write.option("compression", "gzip").text(path)
+
+
+#: Columns that the FASTQ reader gives a read and that tell its place in the input.
+INPUT_ORDER = ["file", "ordinal", "mate"]
 
 
 #: Column, tag and type of each tag that is written.
@@ -74,19 +111,23 @@ def sam_lines(aln: DataFrame) -> DataFrame:
     return aln.select(F.concat_ws("\t", *[f.cast("string") for f in fields], qual, *tags).alias("value"))
 
 
-def write_sam(aln: DataFrame, contigs: DataFrame, path: str, program: str = "methylspark", by_position: bool = False) -> None:
+def write_sam(aln: DataFrame, contigs: DataFrame, path: str, program: str = "methylspark", by_position: bool = False, order: list[str] | None = None) -> None:
     """Header lines in ``path``/header, alignments in ``path``/records: one after the other they are a SAM text.
 
-    ``by_position`` sorts by contig order, position, end and mate, unplaced reads last.
+    ``by_position`` sorts by contig order, position, end and mate, unplaced reads last. ``order`` names columns that
+    carry the order of input, such as INPUT_ORDER. Either way rows are sorted by ranges over all tasks, and the
+    part files in the order of their names are in that order.
     """
-    order = "coordinate" if by_position else "unsorted"
-    ends = contigs.sparkSession.createDataFrame([(0, 0, f"@HD\tVN:1.6\tSO:{order}"), (2, 0, f"@PG\tID:{program}\tPN:{program}")], "k int, ord int, value string")
+    sorted_by = "coordinate" if by_position else "unsorted"
+    ends = contigs.sparkSession.createDataFrame([(0, 0, f"@HD\tVN:1.6\tSO:{sorted_by}"), (2, 0, f"@PG\tID:{program}\tPN:{program}")], "k int, ord int, value string")
     sq = F.concat(F.lit("@SQ\tSN:"), "chrom", F.lit("\tLN:"), F.col("length").cast("string"))
     head = contigs.select(F.lit(1).alias("k"), F.col("ord").cast("int").alias("ord"), sq.alias("value")).unionByName(ends)
     head.orderBy("k", "ord").select("value").write.text(f"{path}/header")
     if by_position:
         placed = aln.join(contigs.select("chrom", F.col("ord").alias("_ord")), "chrom", "left")
         aln = placed.orderBy(F.asc_nulls_last("_ord"), "pos", F.col("pos") + reference_span(F.col("cigar")), has_flag(F.col("flag"), 128))
+    elif order:
+        aln = aln.orderBy(*order)
     sam_lines(aln).write.text(f"{path}/records")
 
 
