@@ -10,6 +10,7 @@ from methylspark.plans import derive
 from methylspark.plans.derive import B_SQL, C_SQL, G_SQL, K_SQL, P_SQL, R_SQL, S_SQL
 from methylspark.operators.staging import stage_path
 from methylspark.sources import fastq, sinks, store
+from methylspark.streaming import site_counts as site_stream
 
 FLAGSHIP = "/root/testdata/sf0.001"
 BOUNDS = {"OT": (4, 50, 3, 55), "OB": (0, 52, 6, 0), "CTOT": (2, 0, 2, 0), "CTOB": (0, 40, 0, 58)}
@@ -104,6 +105,29 @@ def site_counts(spark, d):
     return extract.bedgraph(_sites(spark, d))
 
 
+def _streamed(spark, d):
+    """Alignments that arrive in twelve files, two a batch, counted with a compaction after every three batches."""
+    arrived, path = stage_path(spark, "arrived"), stage_path(spark, "stream")
+    aln = _placed(spark, d).withColumn("file", F.col("read_id") % 4)
+    aln.repartition(12, "read_id").write.parquet(arrived)
+    sites = site_stream.Sums(spark, f"{path}/sites", every=3)
+    files = site_stream.Sums(spark, f"{path}/files", ["file", "strand"], ["reads", "kept"], every=3)
+    stream = site_stream.stream_tables(spark, arrived, spark.read.parquet(arrived), files=2)
+    sinks_ = [(sites, lambda b: accumulate.count_sites(extract.keep(b))), (files, site_stream.file_metrics)]
+    site_stream.run(stream, sinks_, f"{path}/checkpoint").awaitTermination()
+    return sites.totals(), files.totals()
+
+
+@query("select context, chrom, start, n_meth, n_unmeth from g", *RG)
+def streamed_site_counts(spark, d):
+    return _streamed(spark, d)[0]
+
+
+@query("select read_id % 4 as file, strand, count(*) as reads, count(*) filter (mapq >= 10) as kept from r group by all", C_SQL, R_SQL)
+def streamed_file_metrics(spark, d):
+    return _streamed(spark, d)[1]
+
+
 def _store(spark, d):
     path = stage_path(spark, "store")
     store.write_store(derive.reads(spark, d), derive.contigs(spark, d), path, int(spark.conf.get("spark.sql.shuffle.partitions")))

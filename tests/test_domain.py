@@ -376,6 +376,31 @@ def test_streamed_counts_equal_batch(spark, tmp_path):
     assert got == sorted(tuple(r) for r in extract.site_counts(df).collect())
 
 
+def test_sums_are_compacted_and_replays_count_once(spark, tmp_path):
+    batch = lambda *rows: spark.createDataFrame([("CpG", "c", p, m, u) for p, m, u in rows], "context string, chrom string, start int, n_meth long, n_unmeth long")
+    sums = site_counts.Sums(spark, str(tmp_path / "s"), every=3)
+    assert sums.totals() is None and sums.watermark() == -1
+    want = {}
+    for n in range(8):
+        rows = [(p, n + p, 1) for p in range(n % 3, 4)]
+        sums.add(batch(*rows), n)
+        if n in (1, 5, 7):  # before and right after a compaction
+            sums.add(batch(*rows), n)
+        for p, m, u in rows:
+            want[p] = (want.get(p, (0, 0))[0] + m, want.get(p, (0, 0))[1] + u)
+        assert {r.start: (r.n_meth, r.n_unmeth) for r in sums.totals().collect()} == want
+        assert len(sums.pending()) < 3
+    assert sums.watermark() == 5 and sums.pending() == [6, 7]
+    assert sorted(p.name for p in (tmp_path / "s" / "snapshots").glob("upto=*")) == ["upto=5"]
+    assert sorted(p.name for p in (tmp_path / "s" / "deltas").glob("batch=*")) == ["batch=6", "batch=7"]
+    # a task lost between the snapshot's rename and the clearing up: deltas that it holds are not added again
+    stray = site_counts.Sums(spark, str(tmp_path / "s"), every=100)
+    stray._put(batch((0, 1000, 0)), "deltas/batch=2")
+    assert {r.start: (r.n_meth, r.n_unmeth) for r in stray.totals().collect()} == want
+    stray.compact()
+    assert stray.watermark() == 7 and stray.pending() == [] and {r.start: (r.n_meth, r.n_unmeth) for r in stray.totals().collect()} == want
+
+
 def test_registry():
     q = entry.queries()
     assert set(entry.oracle_sql()) <= set(q) and len(q) > 35
