@@ -196,8 +196,8 @@ def decode(data, starts: list[int]) -> list[pa.Array]:
     return [own("ref"), own("mate_ref"), qname, own("flag"), own("pos"), own("mapq"), cigar, own("mate_pos"), own("tlen"), seq, qual, *tags(buf, data, at_tags, end)]
 
 
-def header(buf: bytearray) -> list[str] | None:
-    """Takes the header from the front of ``buf``: names of contigs, or None if some of it is still to come."""
+def header(buf: bytearray) -> tuple[str, list[tuple[str, int]]] | None:
+    """Takes the header from the front of ``buf``: its text, and names and lengths of contigs; None if some of it is still to come."""
     at = 0
 
     def number() -> int:
@@ -210,20 +210,21 @@ def header(buf: bytearray) -> list[str] | None:
         raise ValueError("not a BAM file")
     try:
         at = 4
-        remark = number()
-        at += remark
-        names = []
+        size = number()
+        text = bytes(buf[at : at + size])
+        at += size
+        contigs = []
         for _ in range(number()):
             n = number()
             if at + n > len(buf):
                 return None
-            names.append(buf[at : at + n - 1].decode())
+            name = buf[at : at + n - 1].decode()
             at += n
-            number()
+            contigs.append((name, number()))
     except struct.error:
         return None
     del buf[:at]
-    return names
+    return text.rstrip(b"\0").decode(), contigs
 
 
 def first_record(buf: bytearray) -> int | None:
@@ -275,10 +276,10 @@ def _split(file: str, block: int, parts, records: bool, window: int):
     for data in blocks(parts):
         buf += data
         if not begun and block == 0:
-            names = header(buf)
-            begun = names is not None
-            if not records:
-                yield from ((file, block, "n", n.encode(), k) for k, n in enumerate(names or []))
+            found = header(buf)
+            begun = found is not None
+            if begun and not records:
+                yield from ((file, block, "n", n.encode(), k) for k, (n, _) in enumerate(found[1]))
         elif not begun and len(buf) >= enough:
             enough, at = 2 * len(buf), first_record(buf)
             if at is not None:

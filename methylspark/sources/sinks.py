@@ -111,18 +111,20 @@ def sam_lines(aln: DataFrame) -> DataFrame:
     return aln.select(F.concat_ws("\t", *[f.cast("string") for f in fields], qual, *tags).alias("value"))
 
 
-def write_sam(aln: DataFrame, contigs: DataFrame, path: str, program: str = "methylspark", by_position: bool = False, order: list[str] | None = None) -> None:
+def write_sam(aln: DataFrame, contigs: DataFrame, path: str, program: str = "methylspark", by_position: bool = False, order: list[str] | None = None, header: DataFrame | None = None) -> None:
     """Header lines in ``path``/header, alignments in ``path``/records: one after the other they are a SAM text.
 
     ``by_position`` sorts by contig order, position, end and mate, unplaced reads last. ``order`` names columns that
     carry the order of input, such as INPUT_ORDER. Either way rows are sorted by ranges over all tasks, and the
-    part files in the order of their names are in that order.
+    part files in the order of their names are in that order. ``header`` (n, value), such as ``headers.merge_headers``
+    makes it, stands in place of lines made from ``contigs``.
     """
     sorted_by = "coordinate" if by_position else "unsorted"
     ends = contigs.sparkSession.createDataFrame([(0, 0, f"@HD\tVN:1.6\tSO:{sorted_by}"), (2, 0, f"@PG\tID:{program}\tPN:{program}")], "k int, ord int, value string")
     sq = F.concat(F.lit("@SQ\tSN:"), "chrom", F.lit("\tLN:"), F.col("length").cast("string"))
     head = contigs.select(F.lit(1).alias("k"), F.col("ord").cast("int").alias("ord"), sq.alias("value")).unionByName(ends)
-    head.orderBy("k", "ord").select("value").write.text(f"{path}/header")
+    head = head.orderBy("k", "ord") if header is None else header.orderBy("n")
+    head.select("value").write.text(f"{path}/header")
     if by_position:
         placed = aln.join(contigs.select("chrom", F.col("ord").alias("_ord")), "chrom", "left")
         aln = placed.orderBy(F.asc_nulls_last("_ord"), "pos", F.col("pos") + reference_span(F.col("cigar")), has_flag(F.col("flag"), 128))
