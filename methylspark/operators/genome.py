@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from methylspark.functions.seq import cigar_positions, has_flag, reference_span
 
 TILE, OVERLAP = 8192, 1024
+#: A tile with more than one of so many reads is hot.
+HOT_TILES = 1000
 
 
 def tiles(contigs: DataFrame, tile: int = TILE, overlap: int = OVERLAP) -> DataFrame:
@@ -43,14 +45,16 @@ def _window(s, offset, on) -> Column:
     return F.when(on, F.when(s.isNull(), lost).otherwise(F.rpad(cut, F.col("_span") + 4, "N")))
 
 
-def with_reference(aln: DataFrame, contigs: DataFrame, tile: int = TILE, overlap: int = OVERLAP, max_span: int | None = None) -> DataFrame:
+def with_reference(aln: DataFrame, contigs: DataFrame, tile: int = TILE, overlap: int = OVERLAP, max_span: int | None = None, spread: bool = False) -> DataFrame:
     """Add ``ref``: reference bases from two before ``pos`` to two after the alignment, N beyond the contig.
 
     An equi-join on (chrom, tile); alignments that reach over a tile's margin are joined to whole contigs.
     ``max_span`` says that no alignment covers more reference bases: the alignments are then read once and
     not joined to whole contigs, and a longer one raises an error. It may be ``overlap - 4`` at most.
     Unmapped reads (flag 4, or no contig or position) stay, with ``ref`` null; a mapped read whose place is
-    not in the genome raises an error.
+    not in the genome raises an error. ``spread`` is for libraries that pile up on few tiles, such as amplicons: reads are
+    counted first, tiles with more than one of HOT_TILES of all reads (fewer than that, 10 KB each) reach theirs by
+    broadcast, and these reads are dealt evenly over the join that serves all others.
     """
     if max_span is not None and max_span > overlap - 4:
         raise ValueError("max_span must be at most overlap - 4")
@@ -63,7 +67,19 @@ def with_reference(aln: DataFrame, contigs: DataFrame, tile: int = TILE, overlap
     else:
         too_long = F.raise_error(F.concat(F.lit(f"an alignment covers more than {max_span} bases: "), F.col("_span").cast("string")))
         short = a.withColumn("_span", F.when(F.col("_span") > max_span, too_long.cast("int")).otherwise(F.col("_span")))
-    near = short.join(t, ["chrom", "tile"], "left").withColumn("ref", window(F.col("tile_seq"), F.col("start"))).drop("tile_seq", "start")
+    if spread:
+        sizes = a.filter(on).groupBy("chrom", "tile").agg(F.count("*").alias("_n"))
+        total = sizes.agg(F.sum("_n")).first()[0] or 0
+        piled = F.broadcast(sizes.filter(F.col("_n") * HOT_TILES > total).select("chrom", "tile"))
+        hot = F.broadcast(t.join(piled, ["chrom", "tile"]).select("chrom", "tile", F.struct("start", "tile_seq").alias("_hot")))
+        cold = t.select(F.col("chrom").alias("_chrom"), F.col("tile").alias("_tile"), F.struct("start", "tile_seq").alias("_cold"))
+        own = F.when(on & F.col("_hot").isNull(), F.col("tile")).otherwise(-1 - F.abs(F.xxhash64(F.monotonically_increasing_id()) % (1 << 20)).cast("int"))
+        met = short.join(hot, ["chrom", "tile"], "left").withColumn("_own", own)
+        met = met.join(cold, (F.col("chrom") == F.col("_chrom")) & (F.col("_own") == F.col("_tile")), "left")
+        found = met.withColumn("_at", F.coalesce("_hot", "_cold")).drop("_hot", "_cold", "_own", "_chrom", "_tile")
+        near = found.withColumn("ref", window(F.col("_at.tile_seq"), F.col("_at.start"))).drop("_at")
+    else:
+        near = short.join(t, ["chrom", "tile"], "left").withColumn("ref", window(F.col("tile_seq"), F.col("start"))).drop("tile_seq", "start")
     if max_span is not None:
         return near.drop("tile", "_span", "_on")
     whole = contigs.select("chrom", F.col("seq").alias("_contig"))

@@ -75,3 +75,32 @@ def test_store_refuses_alignments_over_a_margin(spark, tables, tmp_path):
         store.write_store(far, contigs, str(tmp_path / "s"), buckets=2)
     store.write_store(far.limit(0), contigs, str(tmp_path / "none"), buckets=2)
     assert store.referenced(store.open_store(spark, str(tmp_path / "none"))).count() == 0
+
+
+@pytest.mark.parametrize("max_span", [None, 60])
+def test_piles_are_spread_over_the_join(spark, max_span):
+    """Half of the reads stand on one tile, some are unmapped: no task gets many more than the others, and windows are the same."""
+    rng = random.Random(8)
+    contigs = [(f"c{k}", "".join(rng.choice("ACGT") for _ in range(60_000))) for k in range(40)]
+    rows = []
+    for k in range(6000):
+        c, s = contigs[0 if k % 2 else rng.randrange(40)]
+        pos = rng.randrange(8192, 8300) if k % 2 else rng.randrange(59_000)
+        rows.append((k, c, pos, "20M3D30M" if k % 9 == 0 else "50M", 4 if k % 100 == 0 else 0, 40, "CT", s[pos : pos + 50], [30] * 50))
+    aln, genome_ = spark.createDataFrame(rows, SHAPE).repartition(4), spark.createDataFrame(contigs, "chrom string, seq string")
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        want = {r.read_id: r.ref for r in genome.with_reference(aln, genome_, max_span=max_span).collect()}
+        got = genome.with_reference(aln, genome_, max_span=max_span, spread=True)
+        assert {r.read_id: r.ref for r in got.collect()} == want and set(got.columns) == {*aln.columns, "ref"}
+        sizes = sorted(r.n for r in genome.with_reference(aln, genome_, max_span=60, spread=True).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect())
+        assert sizes[-1] < 2 * sizes[len(sizes) // 2]
+        lost = aln.filter("read_id = 3").withColumn("chrom", F.lit("nowhere"))
+        with pytest.raises(Exception, match="outside the genome"):
+            genome.with_reference(lost, genome_, max_span=max_span, spread=True).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
