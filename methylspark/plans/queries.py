@@ -9,10 +9,9 @@ from methylspark.operators import accumulate, bedgraph, calling, dedup, extract,
 from methylspark.plans import derive
 from methylspark.plans.derive import B_SQL, C_SQL, G_SQL, K_SQL, P_SQL, R_SQL, S_SQL
 from methylspark.operators.staging import stage_path
-from methylspark.sources import fastq, sinks, store
+from methylspark.sources import fastq, sinks, store, text
 from methylspark.streaming import site_counts as site_stream
 
-FLAGSHIP = "/root/testdata/sf0.001"
 BOUNDS = {"OT": (4, 50, 3, 55), "OB": (0, 52, 6, 0), "CTOT": (2, 0, 2, 0), "CTOB": (0, 40, 0, 58)}
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -55,7 +54,7 @@ def phred_sum(spark, d):
 CIGARS = ["60M", "2S3M1I2M2D52M", "3H2S58M", "20M30N40M", "10=1X49M"]
 
 
-@query(f"""select read_id, string_agg(coalesce(p::varchar, '-'), ',' order by k, j) as positions, 1::int as one from (
+@query(f"""select read_id, string_agg(coalesce(p::varchar, '-'), ',' order by k, j) as positions from (
   select read_id, k, j, case when op in ('M', '=', 'X') then pos + coalesce(before, 0) + j end as p from (
     select read_id, pos, k, n, op, sum(case when op in ('M', '=', 'X', 'D', 'N') then n else 0 end) over (partition by read_id order by k rows between unbounded preceding and 1 preceding) as before from (
       select read_id, pos, k, ns[k]::int as n, ops[k] as op from (
@@ -64,7 +63,7 @@ def cigar_positions(spark, d):
     r = derive.reads(spark, d)
     cigar = F.element_at(F.array(*[F.lit(c) for c in CIGARS]), (F.col("read_id") % 5 + 1).cast("int"))
     p = seq.cigar_positions(F.col("cg"), F.col("pos"))
-    return r.select("read_id", "pos", cigar.alias("cg")).select("read_id", F.array_join(p.cast("array<string>"), ",", "-").alias("positions"), F.lit(1).alias("one"))
+    return r.select("read_id", "pos", cigar.alias("cg")).select("read_id", F.array_join(p.cast("array<string>"), ",", "-").alias("positions"))
 
 
 @query("select read_id, case when xg = 'CT' then substr('NN' || seq || 'NN', pos + 3, 3) else substr('NN' || seq || 'NN', pos + 1, 3) end as context from r", C_SQL, R_SQL)
@@ -414,9 +413,9 @@ def pair_metrics(spark, d):
     return select.pair_metrics(best_pairs(spark, d))
 
 
-@query("select read_id, mate, src_strand, flag, as_score, ((as_score)) as first_score from (select *, row_number() over (partition by read_id, mate, src_strand) as n from k) where n = 1", K_SQL)
+@query("select read_id, mate, src_strand, flag, as_score from (select *, row_number() over (partition by read_id, mate, src_strand) as n from k) where n = 1", K_SQL)
 def multimapper_first(spark, d):
-    return select.first_alignment(derive.candidates(spark, d)).select("read_id", "mate", "src_strand", "flag", "as_score", F.col("as_score").alias("first_score"))
+    return select.first_alignment(derive.candidates(spark, d)).select("read_id", "mate", "src_strand", "flag", "as_score")
 
 
 #: Two more alignments of each candidate, worse and later ones, mixed among the first.
@@ -576,9 +575,71 @@ def reduced_genome(spark, d):
     return genome.reduced_genome(derive.contigs(spark, d)).select("chrom", F.md5("seq").alias("seq"))
 
 
-def entry(spark):
-    """CpG site counts of the smallest tables."""
-    return site_counts(spark, FLAGSHIP).filter("context = 'CpG'")
+@query("select chrom, row_number() over (order by ord) - 1 as ord, length, md5(seq) as digest from c", C_SQL)
+def fasta_round_trip(spark, d):
+    """Contigs written as FASTA in lines of 60, put together in one file and read back from its splits."""
+    parts, path = stage_path(spark, "fasta"), stage_path(spark, "genome")
+    sinks.write_fasta(derive.contigs(spark, d), parts)
+    sinks.join_files(spark, parts, f"{path}/all.fa")
+    return text.read_fasta(spark, path).select("chrom", F.col("ord").cast("long").alias("ord"), "length", F.md5("seq").alias("digest"))
+
+
+@query(SQL["site_counts"].split(G_SQL)[1].strip(), *RG)
+def bedgraph_round_trip(spark, d):
+    """Site counts as one sorted bedGraph file a context, read back."""
+    path = stage_path(spark, "sites")
+    sinks.write_bedgraph(site_counts(spark, d), path)
+    each = [text.read_bedgraph(spark, f"{path}_{c}.bedGraph").withColumn("context", F.lit(c)) for c in ("CpG", "CHG", "CHH")]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+@query(SQL["mbias_matrix"].split(B_SQL)[1].strip(), *RB)
+def mbias_round_trip(spark, d):
+    path = stage_path(spark, "mbias")
+    sinks.write_mbias(mbias_matrix(spark, d), path)
+    return text.read_mbias(spark, path)
+
+
+_TURNED = """t as (select read_id, string_agg(base, '' order by i) as seq, string_agg(chr(q + 33), '' order by i) as qual, string_agg(translate(base, 'ACGT', 'TGCA'), '' order by i desc) as rseq,
+  string_agg(chr(q + 33), '' order by i desc) as rqual, string_agg(call, '' order by i) as xm from b group by read_id)"""
+
+
+@query("select read_id::varchar as name, case when read_id % 2 = 0 then rseq else seq end as seq, case when read_id % 2 = 0 then rqual else qual end as qual from t where read_id % 3 = 0", *RB, _TURNED)
+def unmapped_round_trip(spark, d):
+    """Reads of which every third is unmapped, those turned back that stand reversed, as compressed FASTQ, read back."""
+    flag = F.when(F.col("read_id") % 3 == 0, 4).otherwise(0) + F.when(F.col("read_id") % 2 == 0, 16).otherwise(0)
+    path = stage_path(spark, "unmapped")
+    sinks.write_unmapped(derive.reads(spark, d).withColumns({"qname": F.col("read_id").cast("string"), "flag": flag}), path)
+    return fastq.read_fastq(spark, path).select("name", "seq", "qual")
+
+
+@query("select read_id::varchar as qname, flag, chrom, pos, mapq, '60M' as cigar, t.seq, qual, xm, xg, pos % 7 as nm from r join t using (read_id)", *RB, _TURNED)
+def sam_round_trip(spark, d):
+    """Alignments with their calls as SAM text in the order of contigs and places, read back."""
+    aln = derive.called(spark, d).withColumns({"qname": F.col("read_id").cast("string"), "mate_chrom": F.lit("*"), "mate_pos": F.lit(-1), "tlen": F.lit(0), "nm": F.col("pos") % 7})
+    path = stage_path(spark, "sam")
+    sinks.write_sam(aln, derive.contigs(spark, d), path, by_position=True)
+    back = text.read_sam(spark, f"{path}/records")
+    return back.select("qname", "flag", "chrom", "pos", "mapq", "cigar", "seq", seq.encode_phred("qual").alias("qual"), "xm", "xg", "nm")
+
+
+def _line(n, label, count, of, table_):
+    return f"select {n} as n, '{label}' || chr(9) || {count} || chr(9) || case when {of} > 0 then printf('%6.2f%%', 100.0 * {count} / {of}) else 'nan' end as value from {table_}"
+
+
+_STRAND_LINES = [("reads", "reads"), ("OT", "strand0"), ("OB", "strand1"), ("CTOT", "strand2"), ("CTOB", "strand3"), ("unmapped", "unmapped")]
+_REPORT = [_line(k, n, c, "reads", "met") for k, (n, c) in enumerate(_STRAND_LINES)] + [_line(100 + k, f"methylated {c}", f"m_{c.lower()}", f"t_{c.lower()}", "tot") for k, c in enumerate(("CpG", "CHG", "CHH"))]
+
+
+@query(" union all ".join(_REPORT), *RB, K_SQL, _X, _W, f"met as ({SQL['align_metrics'].split(_W)[1].strip()})", f"tot as ({SQL['context_totals'].split(B_SQL)[1].strip()})")
+def run_report(spark, d):
+    """Lines of the run's report: reads by strand and methylation by context, with their shares."""
+    return sinks.report_lines(align_metrics(spark, d), context_totals(spark, d))
+
+
+def entry(spark, d):
+    """CpG site counts."""
+    return site_counts(spark, d).filter("context = 'CpG'")
 
 
 def queries():

@@ -32,8 +32,8 @@ def write_bedgraph(sites: DataFrame, path: str) -> None:
         remove(spark, folder)
 
 
-def join_files(spark: SparkSession, folder: str, target: str, first_line: str) -> None:
-    """Make ``target`` of a line and then the part files of ``folder`` (which may be absent), in the order of their names.
+def join_files(spark: SparkSession, folder: str, target: str, first_line: str | None = None) -> None:
+    """Make ``target`` of a line, if one is given, and the part files of ``folder`` (which may be absent), in the order of their names.
 
     The file system appends the files where it can (HDFS); elsewhere their bytes are copied one file after the other.
     """
@@ -45,7 +45,8 @@ def join_files(spark: SparkSession, folder: str, target: str, first_line: str) -
     files = [hadoop.fs.Path(at, n) for n in names if n.startswith("part-")]
     out = fs.create(to, False)
     try:
-        out.write(bytearray(f"{first_line}\n".encode()))
+        if first_line is not None:
+            out.write(bytearray(f"{first_line}\n".encode()))
         if fs.getScheme() != "hdfs":
             for f in files:
                 source = fs.open(f)
