@@ -137,6 +137,11 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contai
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, license, containment, n_shared, n_shingles of each license text that a document holds to the least share.
+
+    Null and empty texts, and documents without such a text, have no rows; a null doc_id keeps its rows; each repeated row
+    is scanned by itself. An empty table gives no rows. Other columns of the table are not read.
+    """
     return find_licenses(table(spark, sf_dir, "documents"))
 
 

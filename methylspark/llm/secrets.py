@@ -86,7 +86,11 @@ def _joined(spans):
 
 
 def find_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n_assign, n_access, n_hex, base_sha256, spans and the sorted array ``all_spans`` for each row."""
+    """id, n_assign, n_access, n_hex, base_sha256, spans and the sorted array ``all_spans`` for each row.
+
+    Null and empty texts have no spans; null ids and repeated rows keep a row each, told apart by number; an empty table
+    gives no rows.
+    """
     scanned = materialize(scan(docs, id_col, text), "secrets")
     has_weak = scanned.filter(F.size("weak") > 0)
     # a document's own candidates come together again, never more than one text holds
@@ -98,6 +102,7 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", te
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every document; nulls, repeats and empty tables as in ``find_secrets``."""
     return find_secrets(table(spark, sf_dir, "documents")).drop("all_spans")
 
 

@@ -206,6 +206,16 @@ def test_secrets(spark):
     assert clean[3].text == "😀 [SECRET] then [SECRET]" and clean[4].text == texts[4] and clean[3].base == "c"
 
 
+def test_secrets_of_a_text_with_very_many(spark):
+    """Thousands of secrets in one text, and one that is as long as the text."""
+    many = " ".join(f"token={k:06d} user=u{k:05d}" for k in range(3000))
+    df = spark.createDataFrame([(1, many, "c"), (2, "a" * 500_000, "c"), (3, None, "c")], "doc_id long, text string, spans string")
+    got = {r.doc_id: r for r in secrets.find_secrets(df).collect()}
+    assert got[1].n_assign == 3000 and len(got[1].all_spans) == 6000 and got[2].n_hex == 1 and got[3].n_hex == 0
+    starts = [m.start() for m in re.finditer("token=", many)]
+    assert [s.start for s in got[1].all_spans if s.kind == 0] == starts
+
+
 def test_rollup_is_idempotent(spark):
     docs = spark.createDataFrame([(1, "a b, c", "s", "en"), (2, None, "s", "en"), (3, "x", None, None)], "doc_id long, text string, source string, lang string")
     counts = token_counts.count_tokens(docs, ["source", "lang"])
