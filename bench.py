@@ -18,6 +18,9 @@ NAMES = ["site_counts", "mbias_matrix", "dup_greedy", "best_strand_pe", "merge_c
 
 
 def main() -> None:
+    # Python workers find the package from whatever folder the bench is started in
+    here = os.path.dirname(os.path.abspath(__file__))
+    os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, (here, os.environ.get("PYTHONPATH", ""))))
     sf, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", str(2 * int(cpus)))

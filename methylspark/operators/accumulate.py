@@ -181,7 +181,7 @@ def count_sites(aln: DataFrame, min_phred: int = 5, contexts: tuple[str, ...] =
         yield from rows()
 
     shape = "context string, chrom string, start int, top boolean, n_meth long, n_unmeth long"
-    counted = aln.select(_needed(aln, "chrom", *(("strand", "second_mate") if bounds else ()))).mapInArrow(run, shape)
+    counted = aln.filter(F.col("chrom").isNotNull()).select(_needed(aln, "chrom", *(("strand", "second_mate") if bounds else ()))).mapInArrow(run, shape)
     also = [F.when(F.col("top"), "+").otherwise("-").alias("sign")] if sign else []
     return counted.groupBy("context", "chrom", "start", *also).agg(F.sum("n_meth").alias("n_meth"), F.sum("n_unmeth").alias("n_unmeth"))
 
