@@ -363,6 +363,10 @@ def test_cpg_tools(spark):
     assert sorted(tuple(r) for r in bedgraph.merge_cpgs(s, c).collect()) == [("c", 1, 3, 666, 4, 2), ("c", 3, 5, 0, 0, 260)]
     hist = {r.bin: r.n for r in bedgraph.coverage_histogram(s, c).collect()}
     assert len(hist) == 252 and hist[6] == 1 and hist[251] == 1 and sum(hist.values()) == 2
+    merged = bedgraph.merge_cpgs(s, c)
+    assert sorted(tuple(r) for r in bedgraph.methylseekr(merged).collect()) == [("c", 2, 6, 4), ("c", 4, 260, 0)]
+    with pytest.raises(Exception, match="two bases wide"):
+        bedgraph.methylseekr(merged.withColumn("end", F.col("end") - 1)).collect()
 
 
 def test_streamed_counts_equal_batch(spark, tmp_path):
