@@ -100,6 +100,24 @@ def attach(rows: DataFrame, values: DataFrame, key: str, value: str, count: str,
     return out.drop("_hot", "_cold", "_cold_key", "_dealt")
 
 
+def salted_join(rows: DataFrame, values: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """Inner join of ``rows`` with ``values`` on ``key``, with hot keys of ``rows`` dealt over several tasks.
+
+    A key with more than a ``share``-th of all rows gets a salt for each such part. Its rows are dealt over the
+    salts, its values are copied to each. Fewer than ``share`` keys are hot and all their salts together number
+    fewer than twice ``share``, so only this list is broadcast, never a value. ``rows`` is read twice:
+    give a written table. Null keys join with nothing.
+    """
+    counted = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    total = rows.count()
+    hot = counted.filter(F.col("_n") * share > total).select(key, F.ceil(F.col("_n") * share / F.lit(max(total, 1))).cast("int").alias("_salts"))
+    dealt = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_salts")).cast("int"))
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", dealt).drop("_salts")
+    salts = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+    right = values.join(F.broadcast(hot), key, "left").withColumn("_salt", salts).drop("_salts")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def numbered(docs: DataFrame, label: str) -> DataFrame:
     """uid and doc (a struct of all columns), written once, so that rows can be told apart by number."""
     return materialize(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*[docs[c] for c in docs.columns]).alias("doc")), label)

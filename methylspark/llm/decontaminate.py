@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, named, numbered, table, text_bytes
+from .common import materialize, named, numbered, salted_join, table, text_bytes
 
 SEED_WORDS, COVERAGE = 5, 0.8
 #: Bits of the filter of seed hashes that every task holds, whatever the benchmark's size (2 MB).
@@ -145,7 +145,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, s
     benchmark's seeds goes to every task first, so that hardly any seed travels that no item has; the
     filter's size is fixed, and a benchmark that fills it costs shuffle, not results. The join gives one row
     for each (document, item, seed hash), with all places of that seed in the document in one list, so a
-    seed that repeats on both sides multiplies nothing.
+    seed that repeats on both sides multiplies nothing. Seeds that very many documents have, and items that
+    very many documents hold, are dealt over several tasks (``common.salted_join``).
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").cast("binary").alias("_b")).distinct()
@@ -194,9 +195,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, s
     kind = docs.schema[id_col].dataType.simpleString()
     src = text_bytes(docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")), "id", text="t")
     src = src.select("id", F.monotonically_increasing_id().alias("uid"), "_b")
-    found = src.mapInArrow(doc_rows, f"id {kind}, uid bigint, seed bigint, places array<int>")
-    hits = found.join(seeds, "seed").groupBy("uid", "id", "item_row").agg(F.collect_list(F.struct("seed", "places")).alias("hits"))
-    wide = hits.join(held, "item_row").select("id", "item", "ids", "hashes", "hits")
+    found = materialize(src.mapInArrow(doc_rows, f"id {kind}, uid bigint, seed bigint, places array<int>"), "decontamination")
+    hits = salted_join(found, seeds, "seed").groupBy("uid", "id", "item_row").agg(F.collect_list(F.struct("seed", "places")).alias("hits"))
+    wide = salted_join(materialize(hits, "decontamination"), held, "item_row").select("id", "item", "ids", "hashes", "hits")
     names = [id_col, item_col, "coverage", "n_tiles", "longest_tile"]
     kinds = [pa.int64(), pa.float64(), pa.int32(), pa.int32()]
 

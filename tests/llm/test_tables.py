@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from methylspark.llm import embeddings, licenses, secrets, token_counts, warc
-from methylspark.llm.common import materialize, work_dir
+from methylspark.llm.common import materialize, salted_join, work_dir
 
 
 def test_warc_round_trip(spark):
@@ -136,6 +136,33 @@ def test_embedding_plan_keeps_recall():
     assert embeddings.plan(50_000, 0.98)[0] == 16
 
 
+def test_embeddings_in_growing_blocks_and_labels_of_any_type(spark):
+    """3,000 distinct vectors of one bucket, more than the blocks of least size hold; labels keep their type."""
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal(16)
+    near = base + rng.standard_normal((3000, 16)) * 0.09
+    rows = [(k, near[k].tolist(), 1.2 if k % 3 else 1.7) for k in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label double")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df, bits=1, tables=24).collect()}
+    unit = near / np.linalg.norm(near, axis=1)[:, None]
+    label = np.arange(3000) % 3 > 0
+    link = (unit @ unit.T >= 0.98) & (label[:, None] == label[None, :]) & ~np.eye(3000, dtype=bool)
+    assert {k: n for k, (n, _) in got.items()} == dict(enumerate(link.sum(1).tolist()))
+    low = np.arange(3000)
+    for _ in range(100):
+        low = np.minimum(low, np.where(link, low[None, :], 3000).min(1))
+    assert {k: c for k, (_, c) in got.items()} == dict(enumerate(low.tolist()))
+
+
+def test_salted_join_deals_hot_keys(spark):
+    keys = [7] * 6000 + list(range(100, 3100)) + [None] * 50
+    rows = spark.createDataFrame([(k, n) for n, k in enumerate(keys)], "key long, n long")
+    values = spark.createDataFrame([(7, "a"), (7, "b"), (100, "c"), (None, "d"), (5, "e")], "key long, v string")
+    joined = salted_join(rows, values, "key")
+    assert sorted((r.key, r.n, r.v) for r in joined.collect()) == sorted([(7, n, v) for n in range(6000) for v in "ab"] + [(100, 6000, "c")])
+    assert salted_join(rows.limit(0), values, "key").count() == salted_join(rows, values.limit(0), "key").count() == 0
+
+
 def test_licenses(spark):
     mit, gpl = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["GPL-3.0-line"]
     pad = " ".join(f"w{k}" for k in range(500))

@@ -247,6 +247,18 @@ def test_simhash_grid_loses_no_link(spark):
     assert got == want and want
 
 
+def test_simhash_grid_follows_the_number_of_rows(spark):
+    assert [simhash.spare_groups(n, 2) for n in (0, 1, 10**6, 10**9)] == [3, 3, 3, 3]
+    assert simhash.spare_groups(10**11, 2) > 3 and simhash.spare_groups(2**63, 2) <= 30
+    rng = np.random.default_rng(8)
+    fps = [int(x) for x in rng.integers(0, 2**63, 150)]
+    fps += [f ^ (1 << int(a)) ^ (1 << int(b)) for f, a, b in zip(fps, rng.integers(0, 63, 150), rng.integers(0, 63, 150))]
+    df = spark.createDataFrame([(f,) for f in set(fps)], "fp long")
+    want = {(a, b) for a in set(fps) for b in set(fps) if a < b and (a ^ b).bit_count() <= 2}
+    for spare in (3, 5, 9):
+        assert {(r.a, r.b) for r in simhash.link_fingerprints(df, 2, spare).collect()} == want
+
+
 def test_components(spark):
     r = np.random.default_rng(9)
     edges = r.integers(0, 400, (300, 2)).tolist() + [[1000 + k, 1001 + k] for k in range(60)] + [[5, 5], [None, 3]]
