@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -76,12 +77,29 @@ def grid_masks(max_distance: int, spare: int) -> list[int]:
     return [_signed(sum(c)) for c in combinations(group, spare)]
 
 
-def link_fingerprints(fps: DataFrame, max_distance: int = 2, spare: int = 3) -> DataFrame:
+#: Bits that the 32 segment counts of a random fingerprint tell: 0, 1, 2 with odds 1:2:1 are 1.5 bits each.
+CODE_BITS = 48
+
+
+def spare_groups(rows: int, max_distance: int) -> int:
+    """Groups a cell keeps, so that about four random fingerprints of so many share it; 3 at least.
+
+    A cell keeps ``spare`` of ``max_distance + spare`` groups, that is this share of CODE_BITS. More groups
+    mean more cells a fingerprint and fewer candidates a cell; the links found are the same with any number.
+    """
+    spare, wanted = 3, min(math.log2(max(rows, 1)) - 2, CODE_BITS * 0.9)
+    while CODE_BITS * spare / (spare + max_distance) < wanted and spare + max_distance < 32:
+        spare += 1
+    return spare
+
+
+def link_fingerprints(fps: DataFrame, max_distance: int = 2, spare: int | None = None) -> DataFrame:
     """(a, b): every pair of distinct fingerprints a < b in ``fps`` at ``max_distance`` bits or fewer.
 
-    ``spare`` sets the cell's size: larger inputs want more groups (more rows a fingerprint, fewer
-    candidates a row). Pairs may repeat.
+    ``spare`` sets the cell's size; by default it follows from the number of rows (``spare_groups``). Pairs may repeat.
     """
+    if spare is None:
+        spare = spare_groups(fps.count(), max_distance)
     fp = fps.select("fp").distinct().withColumn("code", embed(F.col("fp")))
     masks = F.array(*[F.lit(m) for m in grid_masks(max_distance, spare)])
     cells = fp.select("fp", "code", F.posexplode(masks).alias("grid", "mask")).select(
@@ -98,7 +116,7 @@ def link_fingerprints(fps: DataFrame, max_distance: int = 2, spare: int = 3) ->
     return a.join(b, near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", max_distance: int = 2, spare: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", max_distance: int = 2, spare: int | None = None) -> DataFrame:
     """id, fp, fingerprint (16 hex digits) and component_id (smallest id reachable over links) for each row.
 
     Rows with one fingerprint are one class, so copies never meet pairwise. Null or empty texts share
