@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from .common import attach, materialize, named, partitions, table
 from .components import connected_components
 
-#: Least bits of a table, rows that a bucket should hold at most on average, members of a block, seed.
-BITS, BUCKET, BLOCK, SEED = 16, 16, 256, 7
+#: Least bits of a table, rows that a bucket should hold at most on average, seed.
+BITS, BUCKET, SEED = 16, 16, 7
+#: Members of a block: at least, at most, and blocks that a bucket has before its blocks grow beyond the least.
+BLOCK, BLOCK_MOST, BLOCKS = 256, 1024, 4
 #: Probability that all tables miss a pair whose cosine is the threshold.
 MISS = 1e-5
 #: Runs of up to so many members are evaluated together.
@@ -201,7 +203,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     or hold null or non-finite components link with nothing, and neither do rows with null labels.
     Identical vectors of a label form one class that is compared once; its rows link with each other.
     Buckets that several tables share with the same members are evaluated once. A large bucket is cut into
-    blocks of about ``block`` members and each pair of blocks is one matrix product, which returns counts
+    blocks of about ``block`` members (up to BLOCK_MOST in very large buckets) and each pair of blocks is one matrix product, which returns counts
     and stars: no pair of vectors is ever a row. Repeated rows count as vectors of their own. Rows with null
     ids count as vectors too; component_id is the smallest id that is not null (null if there is none), and
     such rows are never kept. ``bits`` and ``tables`` follow from the number of rows (``plan``) if not given.
@@ -209,9 +211,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     spark = vectors.sparkSession
     if bits is None or tables is None:
         bits, tables = plan(vectors.count(), cosine)
-    src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("label"), F.col(vec).alias(vec))
+    src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label).alias("label"), F.col(vec).alias(vec))
     kind = vectors.schema[vec].dataType.simpleString()
-    shape = f"id bigint, label int, digest binary, embedding {kind}, dim int, sigs array<bigint>"
+    shape = f"id bigint, label {vectors.schema[label].dataType.simpleString()}, digest binary, embedding {kind}, dim int, sigs array<bigint>"
     rows = src.mapInArrow(_signatures(vec, bits, tables, seed), shape)
     name = F.when(F.col("label").isNotNull(), F.concat_ws(":", F.col("label").cast("string"), F.hex("digest")))
     rows = materialize(rows.withColumn("key", F.when(F.col("digest").isNotNull(), name)).drop("digest"), "vectors")
@@ -222,6 +224,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     # classes get numbers of their own, as ids may be null or repeat
     classes = materialize(first.join(narrow, "key").withColumn("num", F.monotonically_increasing_id()), "vectors")
 
+    # a member is copied once for each block of its bucket: blocks of large buckets grow before their number does
+    members_of_block = F.greatest(F.lit(block), F.least(F.lit(max(block, BLOCK_MOST)), F.ceil(F.col("m") / BLOCKS)))
     h = F.xxhash64("key")
     members = classes.select("label", "dim", "num", h.alias("h"), F.posexplode("sigs").alias("t", "sig"))
     buckets = (
@@ -230,7 +234,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
         .filter("m > 1")
         .groupBy("label", "dim", "m", "x1", "x2")
         .agg(F.min_by(F.struct("t", "sig"), "t").alias("b"))
-        .select("label", "dim", "b.t", "b.sig", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+        .select("label", "dim", "b.t", "b.sig", F.ceil(F.col("m") / members_of_block).cast("int").alias("blocks"))
     )
     placed = members.join(buckets, ["label", "dim", "t", "sig"]).withColumn("k", F.pmod("h", "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
