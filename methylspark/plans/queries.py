@@ -349,17 +349,40 @@ _W = f"""w as (select read_id, n = 1 and top is not null as won, st, top as s, g
   from (select *, max(s) over (partition by read_id) as mx from x) group by read_id))"""
 
 
+#: Fixed values of the quality table, stated here on their own, apart from the library's: mode, share g of the score
+#: gap (9: no second alignment, 0: some gap, -1: none), share s of the score range (2: all of it, -1: any), quality.
+_QUALITY = """quality(mode, g, s, q) as (values
+  ('end', 9, 0.8, 42), ('end', 9, 0.7, 40), ('end', 9, 0.6, 24), ('end', 9, 0.5, 23), ('end', 9, 0.4, 8), ('end', 9, 0.3, 3), ('end', 9, -1, 0),
+  ('end', 0.9, 2, 39), ('end', 0.9, -1, 33), ('end', 0.8, 2, 38), ('end', 0.8, -1, 27), ('end', 0.7, 2, 37), ('end', 0.7, -1, 26), ('end', 0.6, 2, 36), ('end', 0.6, -1, 22),
+  ('end', 0.5, 2, 35), ('end', 0.5, 0.84, 25), ('end', 0.5, 0.68, 16), ('end', 0.5, -1, 5), ('end', 0.4, 2, 34), ('end', 0.4, 0.84, 21), ('end', 0.4, 0.68, 14), ('end', 0.4, -1, 4),
+  ('end', 0.3, 2, 32), ('end', 0.3, 0.88, 18), ('end', 0.3, 0.67, 15), ('end', 0.3, -1, 3), ('end', 0.2, 2, 31), ('end', 0.2, 0.88, 17), ('end', 0.2, 0.67, 11), ('end', 0.2, -1, 0),
+  ('end', 0.1, 2, 30), ('end', 0.1, 0.88, 12), ('end', 0.1, 0.67, 7), ('end', 0.1, -1, 0), ('end', 0, 0.67, 6), ('end', 0, -1, 2), ('end', -1, 0.67, 1), ('end', -1, -1, 0),
+  ('local', 9, 0.8, 44), ('local', 9, 0.7, 42), ('local', 9, 0.6, 41), ('local', 9, 0.5, 36), ('local', 9, 0.4, 28), ('local', 9, 0.3, 24), ('local', 9, -1, 22),
+  ('local', 0.9, -1, 40), ('local', 0.8, -1, 39), ('local', 0.7, -1, 38), ('local', 0.6, -1, 37), ('local', 0.5, 2, 35), ('local', 0.5, 0.5, 25), ('local', 0.5, -1, 20),
+  ('local', 0.4, 2, 34), ('local', 0.4, 0.5, 21), ('local', 0.4, -1, 19), ('local', 0.3, 2, 33), ('local', 0.3, 0.5, 18), ('local', 0.3, -1, 16), ('local', 0.2, 2, 32), ('local', 0.2, 0.5, 17), ('local', 0.2, -1, 12),
+  ('local', 0.1, 2, 31), ('local', 0.1, 0.5, 14), ('local', 0.1, -1, 9), ('local', 0, 0.5, 11), ('local', 0, -1, 2), ('local', -1, 0.5, 1), ('local', -1, -1, 0))"""
+
+
+def _quality(mode, score, second, least):
+    """DuckDB: the quality of the row of ``quality`` with the largest share of the gap, then of the range, that is reached."""
+    over, gap = f"{score} - ({least})", f"abs(abs({score}) - abs({second}))"
+    on = lambda share, of: f"{of} >= abs({least}) * z.{share}::float::double"
+    return f"""(select arg_max(z.q, z.g * 100 + z.s) from quality z where z.mode = '{mode}'
+      and case when coalesce({second} < {least}, false) then z.g = 9 when z.g = 9 then false when z.g = -1 then true when z.g = 0 then {gap} > 0 else {on('g', gap)} end
+      and case when z.s = -1 then true when z.s = 2 then {over} = abs({least}) else {on('s', over)} end)"""
+
+
 def _best(mode):
-    q = seq.mapq_sql("s", "xs", "least", mode, lambda v: f"{v}::float::double")
+    q = _quality(mode, "w.s", "w.xs", "w.least")
     return f"select read_id, case when won then st end as src_strand, case when won then s end as as_score, case when won and xs >= least then xs end as xs_score, case when won then least({q}, q) else 0 end as mapq from w"
 
 
-@query(_best("end"), K_SQL, _X, _W)
+@query(_best("end"), K_SQL, _QUALITY, _X, _W)
 def best_strand_se(spark, d):
     return select.best_single(derive.candidates(spark, d).filter("mate = 1"))
 
 
-@query(_best("local"), K_SQL, _X, _W)
+@query(_best("local"), K_SQL, _QUALITY, _X, _W)
 def best_strand_local(spark, d):
     return select.best_single(derive.candidates(spark, d).filter("mate = 1"), "local")
 
@@ -388,11 +411,11 @@ _Y = """y as (select read_id, min(low) as low, min(t1) as t1, min(t2) as t2, """
 _N = "coalesce({}, -1073741824)"
 _E = f"""e as (select *, case when low < 3 then case when rs > {_N.format('x1')} + {_N.format('x2')} then ra else {_N.format('x1')} end else greatest({_N.format('x1')}, o1) end as y1,
   case when low < 3 then case when rs > {_N.format('x1')} + {_N.format('x2')} then rb else {_N.format('x2')} end else greatest({_N.format('x2')}, o2) end as y2 from y)"""
-_PAIRS = (K_SQL, _T, _U, _V, _Y, _E)
+_PAIRS = (K_SQL, _QUALITY, _T, _U, _V, _Y, _E)
 
 
 def _mate(m, o, lost):
-    q = seq.mapq_sql("qs", "qx", "ql", "end", lambda v: f"{v}::float::double")
+    q = _quality("end", "qs", "qx", "ql")
     turned = f"case when t{o} is null then 8 when f{o} & 16 <> 0 then 32 else 0 end"
     score = lambda c: f"case when low < 3 then {c}1 + {c}2 else {c}{m} end"
     return f"""select read_id, {m} as mate, low as tier, t{m}::int as src_strand, c{m} as chrom, p{m} as pos, (case when t{m} is null then {lost} | {turned} else (f{m} & ~8) | {turned} end)::int as flag, s{m} as as_score,
