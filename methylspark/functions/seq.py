@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 
 def convert_ct(seq) -> Column:
@@ -28,15 +32,54 @@ def stored_sequence(original, flag) -> Column:
 
 def decode_phred(qual) -> Column:
     """Quality characters (offset 33) to numbers."""
-    return F.transform(F.filter(F.split(qual, ""), lambda c: c != ""), lambda c: F.ascii(c) - 33)
+    return F.arrow_udf(_decoded, ArrayType(IntegerType()))(qual)
 
 
 def encode_phred(values) -> Column:
-    return F.array_join(F.transform(values, lambda q: F.char(q.cast("long") + 33)), "")
+    """Numbers to quality characters (offset 33)."""
+    return F.arrow_udf(_encoded, StringType())(values)
 
 
 def total_phred(values) -> Column:
-    return F.aggregate(values, F.lit(0), lambda a, x: a + x)
+    """Sum of each read's qualities; null with a null among them."""
+    return F.arrow_udf(_summed, IntegerType())(values)
+
+
+def _lists(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Bounds of a column's lists, from 0, and their items; nulls are empty."""
+    sizes = pc.fill_null(pc.list_value_length(values), 0).to_numpy()
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), values.flatten()
+
+
+def _decoded(qual: pa.Array) -> pa.Array:
+    if not pc.all(pc.string_is_ascii(qual)).as_py():
+        return pa.array([None if q is None else [ord(c) - 33 for c in q] for q in qual.to_pylist()], pa.list_(pa.int32()))
+    sizes = pc.fill_null(pc.binary_length(qual), 0).to_numpy()
+    raw = np.frombuffer("".join(pc.fill_null(qual, "").to_pylist()).encode(), np.uint8).astype(np.int32) - 33
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(raw))
+    return pc.if_else(pc.is_valid(qual), lists, pa.scalar(None, lists.type)) if qual.null_count else lists
+
+
+def _encoded(values: pa.Array) -> pa.Array:
+    bounds, items = _lists(values)
+    plain = not items.null_count
+    if plain:
+        raw = items.to_numpy(zero_copy_only=False).astype(np.int64) + 33
+        plain = not len(raw) or 0 <= raw.min() and raw.max() < 128
+    if not plain:
+        char = lambda q: "" if q < -33 else chr((q + 33) % 256)
+        return pa.array([None if v is None else "".join(char(q) for q in v if q is not None) for v in values.to_pylist()], pa.string())
+    text = pa.StringArray.from_buffers(len(values), pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(raw.astype(np.uint8)))
+    return pc.if_else(pc.is_valid(values), text, pa.scalar(None, pa.string()))
+
+
+def _summed(values: pa.Array) -> pa.Array:
+    bounds, items = _lists(values)
+    if items.null_count:
+        return pa.array([None if v is None or None in v else sum(v) for v in values.to_pylist()], pa.int32())
+    upto = np.concatenate([[0], np.cumsum(items.to_numpy(zero_copy_only=False), dtype=np.int64)])
+    total = pa.array((upto[bounds[1:]] - upto[bounds[:-1]]).astype(np.int32))
+    return pc.if_else(pc.is_valid(values), total, pa.scalar(None, pa.int32()))
 
 
 def has_flag(flag, bit: int) -> Column:

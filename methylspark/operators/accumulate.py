@@ -19,8 +19,11 @@ CONTEXTS = ("CpG", "CHG", "CHH")
 STRANDS = ("OT", "OB", "CTOT", "CTOB")
 #: Bases that are looked at together, and sites that a task holds before it passes them on.
 BASES, SITES = 1 << 20, 1 << 21
+#: Sites are dealt to tasks by stretches of two to so many positions.
+STRETCH = 13
 #: Longest position that fits a key.
 _SPAN = 1 << 31
+_RUN = re.compile("=+")
 _UPPER = np.arange(256, dtype=np.uint8)
 _UPPER[97:123] -= 32
 #: Context of each letter of a call string, -1 for others; upper case is methylated.
@@ -76,18 +79,9 @@ def base_calls(batch: pa.RecordBatch, min_phred: int, contexts: tuple[str, ...],
         window, at_window = _text(col("ref"))
         usable &= pc.is_valid(col("ref")).to_numpy(zero_copy_only=False)
     sizes = np.where(usable, np.minimum(np.diff(at_letter), np.diff(at_qual)), 0)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    index = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     # places from the start: the index itself, but for alignments with more than matches
-    place = index.copy()
-    cigar = pc.fill_null(col("cigar"), "")
-    plain = pc.match_substring_regex(cigar, r"^\d+M$").to_numpy(zero_copy_only=False)
-    if not plain.all():
-        first = np.cumsum(sizes) - sizes
-        for k in np.flatnonzero(~plain):
-            own = _walk(cigar[k].as_py())[: sizes[k]]
-            place[first[k] : first[k] + sizes[k]] = -1
-            place[first[k] : first[k] + len(own)] = own
+    row, place = _laid(col("cigar"), sizes)
+    index = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     good = (place >= 0) & (quals[at_qual[row] + index] >= min_phred)
     top = pc.fill_null(pc.equal(col("xg"), "CT"), False).to_numpy(zero_copy_only=False)
     if made:
@@ -118,6 +112,60 @@ def base_calls(batch: pa.RecordBatch, min_phred: int, contexts: tuple[str, ...],
     return row[keep], index[keep], (pos[row] + place)[keep], kind[keep], methylated[keep]
 
 
+def _laid(cigar: pa.Array, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of each base of reads of ``sizes`` bases: places from the alignment's start, -1 without one."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(len(row)) - first[row] if len(row) else np.zeros(0, np.int64)
+    cigar = pc.fill_null(cigar, "")
+    plain = pc.match_substring_regex(cigar, r"^\d+M$").to_numpy(zero_copy_only=False)
+    for k in np.flatnonzero(~plain):
+        own = _walk(cigar[k].as_py())[: sizes[k]]
+        place[first[k] : first[k] + sizes[k]] = -1
+        place[first[k] : first[k] + len(own)] = own
+    return row, place
+
+
+def _strings(sizes: np.ndarray, raw: np.ndarray, valid: pa.Array) -> pa.Array:
+    """Texts of ``sizes`` bytes from the bytes of all, null where not ``valid``."""
+    bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pc.if_else(valid, pa.StringArray.from_buffers(len(sizes), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(raw))), pa.scalar(None, pa.string()))
+
+
+def call_strings(seq: pa.Array, cigar: pa.Array, xg: pa.Array, ref: pa.Array) -> pa.Array:
+    """Call string of each read, a dot at bases without a call; null without seq, cigar or ref."""
+    valid = pc.and_(pc.and_(pc.is_valid(seq), pc.is_valid(cigar)), pc.is_valid(ref))
+    letters, at = _text(seq)
+    sizes = np.diff(at)
+    qual = pa.ListArray.from_arrays(pa.array((at - at[0]).astype(np.int32)), pa.array(np.zeros(int(sizes.sum()), np.int32)))
+    batch = pa.RecordBatch.from_arrays([seq, cigar, xg, ref, qual, pa.array(np.zeros(len(seq), np.int64))], ["seq", "cigar", "xg", "ref", "qual", "pos"])
+    row, index, _, kind, methylated = base_calls(batch, 0, CONTEXTS, None)
+    out = np.full(int(sizes.sum()), ord("."), np.uint8)
+    out[at[row] - at[0] + index] = np.frombuffer(b"zxh", np.uint8)[kind] - np.where(methylated, 32, 0).astype(np.uint8)
+    return _strings(sizes, out, valid)
+
+
+def mismatch_lines(seq: pa.Array, cigar: pa.Array, xm: pa.Array, ref: pa.Array) -> pa.Array:
+    """For each read the runs of matches and mismatching genome bases, a tab, and the number of mismatches."""
+    valid = pc.and_(pc.and_(pc.is_valid(seq), pc.is_valid(cigar)), pc.and_(pc.is_valid(ref), pc.is_valid(xm)))
+    (base, at), (call, at_call), (window, at_window) = (_text(pc.if_else(valid, c, pa.scalar(None, pa.string()))) for c in (seq, xm, ref))
+    sizes = np.minimum(np.diff(at), np.diff(at_call))
+    row, place = _laid(cigar, sizes)
+    index = np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row] if len(row) else row
+    on = (place >= 0) & (at_window[row] + 2 + place < at_window[row + 1])
+    genome = np.full(len(row), ord("N"), np.uint8)
+    genome[on] = window[at_window[row[on]] + 2 + place[on]]
+    same = (call[at_call[row] + index] != ord(".")) | on & (base[at[row] + index] == genome)
+    marks = np.where(same, ord("="), genome).astype(np.uint8).tobytes()
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    out = []
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        line = marks[a:b].decode()
+        lead = "" if line[:1] in ("=", "") else "0"
+        out.append(f"{lead}{_RUN.sub(lambda m: str(len(m[0])), line)}\t{len(line) - line.count('=')}")
+    return pc.if_else(valid, pa.array(out, pa.string()), pa.scalar(None, pa.string()))
+
+
 def _needed(aln: DataFrame, *more: str) -> list[str]:
     calls = ["xm"] if "xm" in aln.columns else ["seq", "ref"]
     return [*dict.fromkeys(["pos", "cigar", "qual", "xg", *calls, *more])]
@@ -129,6 +177,95 @@ def _parts(batches, together: int = BASES):
         yield from _slices(b, pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(name))), 0).to_numpy().astype(np.int64), together)
 
 
+def _mate_bases(mate: pa.StructArray, used: np.ndarray, bounds: dict | None):
+    """(row, site, letter, quality) of the bases of mates that are ``used``, inside ``bounds``."""
+    col = lambda c: pc.struct_field(mate, c)
+    letters, at = _text(col("xm"))
+    qual = col("qual")
+    ok = used & pc.and_(pc.is_valid(col("pos")), pc.is_valid(qual)).to_numpy(zero_copy_only=False)
+    at_qual = np.frombuffer(qual.buffers()[1], np.int32)[qual.offset : qual.offset + len(qual) + 1].astype(np.int64)
+    quals = qual.values.to_numpy(zero_copy_only=False)
+    sizes = np.where(ok, np.minimum(np.diff(at), np.diff(at_qual)), 0)
+    row, place = _laid(col("cigar"), sizes)
+    index = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    on = place >= 0
+    if bounds:
+        second = pc.fill_null(col("second_mate"), False).to_numpy(zero_copy_only=False)
+        limits = np.array([(bounds.get(s, (0, 0, 0, 0))[2 * m : 2 * m + 2]) for s, m in zip(col("strand").to_pylist(), second.astype(int))], np.int64).reshape(-1, 2)
+        low, high = limits[row, 0], limits[row, 1]
+        on &= (index >= low) & ((high == 0) | (index < high))
+    row, index, place = row[on], index[on], place[on]
+    pos = pc.fill_null(col("pos"), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return row, pos[row] + place, letters[at[row] + index], quals[at_qual[row] + index].astype(np.int64)
+
+
+def _span_end(mate: pa.StructArray) -> np.ndarray:
+    """Where each mate ends, one beyond its last reference base."""
+    cigar = pc.fill_null(pc.struct_field(mate, "cigar"), "").dictionary_encode()
+    spans = np.array([sum(int(n) for n, op in re.findall(r"(\d+)([MIDNSHP=X])", c) if op in "MDN=X") for c in cigar.dictionary.to_pylist()] or [0], np.int64)
+    return pc.fill_null(pc.struct_field(mate, "pos"), 0).to_numpy(zero_copy_only=False).astype(np.int64) + spans[cigar.indices.to_numpy()]
+
+
+def template_calls(cls: pa.Array, one: pa.StructArray, two: pa.StructArray, min_phred: int, bounds: dict | None = None):
+    """(row, mate, site, letter) of the calls of templates, a place under both mates once; by the rules of ``extract.resolve_overlaps``."""
+    named = lambda *names: pc.fill_null(pc.is_in(cls, pa.array(names)), False).to_numpy(zero_copy_only=False)
+    both = named("overlap")
+    start = np.maximum(*(pc.fill_null(pc.struct_field(m, "pos"), 0).to_numpy(zero_copy_only=False).astype(np.int64) for m in (one, two)))
+    end = np.minimum(_span_end(one), _span_end(two))
+    out, met = [], []
+    for k, (mate, name) in enumerate(((one, "first"), (two, "second"))):
+        row, site, letter, q = _mate_bases(mate, named("overlap", "apart", name), bounds)
+        shared = both[row] & (site >= start[row]) & (site < end[row])
+        met.append((row[shared] * _SPAN + site[shared], letter[shared], q[shared]))
+        alone = ~shared & (letter != ord(".")) & (q >= min_phred)
+        out.append((row[alone], np.full(int(alone.sum()), k), site[alone], letter[alone]))
+    keys = np.union1d(met[0][0], met[1][0])
+    letter, q = np.zeros((2, len(keys)), np.int64), np.full((2, len(keys)), -1, np.int64)
+    held = np.zeros((2, len(keys)), bool)
+    for k, (key, letters, quals) in enumerate(met):
+        at = np.searchsorted(keys, key)
+        letter[k, at], q[k, at], held[k, at] = letters, quals, True
+    lone = held[0] != held[1]
+    best = np.where(held[0] & (~held[1] | (q[0] >= q[1])), 0, 1)
+    own, high = np.where(best == 0, letter[0], letter[1]), np.where(best == 0, q[0], q[1])
+    same = letter[0] == letter[1]
+    good = np.where(lone, high >= min_phred, np.where(same, high * 1.2 >= min_phred, (np.abs(q[0] - q[1]) >= min_phred) & (q[0] != q[1]))) & (own != ord("."))
+    out.append((keys[good] // _SPAN, np.where(held[0], 0, 1)[good], keys[good] % _SPAN, own[good].astype(np.uint8)))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def resolved_calls(templates: DataFrame, keep: list[str], min_phred: int = 5, bounds: dict | None = None) -> DataFrame:
+    """``keep`` columns, mate (0 or 1), site and call of each call of templates, a place under both mates once.
+
+    Templates have pair_class and the structs ``one`` and ``two`` with pos, cigar, xm and qual (array; with ``bounds`` also
+    strand and second_mate) of their mates, null where there is none. Both mates are in one row, so nothing is shuffled.
+    """
+    source = templates.select(*keep, "pair_class", "one", "two")
+    letters = pa.array([chr(c) for c in range(128)])
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                b = whole.slice(at, 2048)
+                row, mate, site, letter = template_calls(*(b.column(len(keep) + k) for k in range(3)), min_phred, bounds)
+                order = np.argsort(row, kind="stable")
+                of = pa.array(row[order])
+                columns = [*(b.column(k).take(of) for k in range(len(keep))), pa.array(mate[order].astype(np.int32)), pa.array(site[order].astype(np.int32)), letters.take(pa.array(letter[order]))]
+                yield pa.RecordBatch.from_arrays(columns, [*keep, "mate", "site", "call"])
+
+    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema), "mate int, site int, call string"])
+    return source.mapInArrow(run, shape)
+
+
+def summed_sites(counted: DataFrame, key: list[str], sums: list[str]) -> DataFrame:
+    """Sums by ``key`` (with chrom and start), dealt by stretches of ``STRETCH`` positions.
+
+    Rows of one stretch go to one task in the order they came in, so that what is shuffled are runs of rows that differ little.
+    """
+    dealt = counted.withColumn("_stretch", F.shiftright("start", STRETCH)).repartition("chrom", "_stretch")
+    return dealt.groupBy("_stretch", *key).agg(*[F.sum(c).alias(c) for c in sums]).drop("_stretch")
+
+
 def count_sites(aln: DataFrame, min_phred: int = 5, contexts: tuple[str, ...] = CONTEXTS, bounds: dict | None = None, sign: bool = False, together: int = BASES, most: int = SITES) -> DataFrame:
     """context, chrom, start, n_meth, n_unmeth (with ``sign`` also the strand): as ``extract.site_counts`` of ``extract.calls``.
 
@@ -137,7 +274,36 @@ def count_sites(aln: DataFrame, min_phred: int = 5, contexts: tuple[str, ...] =
     at ``together`` bases at once and passes on what it has when that are more than ``most`` sites.
     """
     contexts = tuple(contexts)
+    return _counted(aln.filter(F.col("chrom").isNotNull()).select(_needed(aln, "chrom", *(("strand", "second_mate") if bounds else ()))), lambda b: _read_calls(b, min_phred, contexts, bounds), _parts, sign, together, most)
+
+
+def _read_calls(b: pa.RecordBatch, min_phred: int, contexts: tuple[str, ...], bounds: dict | None):
+    row, _, site, kind, methylated = base_calls(b, min_phred, contexts, bounds)
+    chrom, xg = (b.column(b.schema.get_field_index(c)) for c in ("chrom", "xg"))
+    return row, site, kind, methylated, chrom, xg
+
+
+def count_template_sites(templates: DataFrame, min_phred: int = 5, contexts: tuple[str, ...] = CONTEXTS, bounds: dict | None = None, together: int = BASES, most: int = SITES) -> DataFrame:
+    """context, chrom, start, n_meth, n_unmeth over templates as in ``resolved_calls``, whose mates also have chrom and xg."""
+    wanted = [CONTEXTS.index(c) for c in contexts]
+
+    def calls(b):
+        one, two = b.column(1), b.column(2)
+        row, mate, site, letter = template_calls(b.column(0), one, two, min_phred, bounds)
+        kind = _KIND[letter]
+        on = np.isin(kind, wanted)
+        at = row[on] + mate[on] * b.num_rows
+        chrom, xg = (pa.concat_arrays([pc.struct_field(one, c), pc.struct_field(two, c)]) for c in ("chrom", "xg"))
+        return at, site[on], kind[on].astype(np.int64), letter[on] < 97, chrom, xg
+
+    def parts(batches, _):
+        for b in batches:
+            yield from (b.slice(at, 4096) for at in range(0, b.num_rows, 4096))
+
+    return _counted(templates.select("pair_class", "one", "two"), calls, parts, False, together, most)
+
 
+def _counted(source: DataFrame, calls, parts, sign: bool, together: int, most: int) -> DataFrame:
     def run(batches):
         codes, keys, counts = {}, np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
         waiting, held = [], 0
@@ -156,13 +322,13 @@ def count_sites(aln: DataFrame, min_phred: int = 5, contexts: tuple[str, ...] =
                 columns = [pa.array(CONTEXTS).take(pa.array(k % 6 // 2)), names.take(pa.array(place // _SPAN)), pa.array((place % _SPAN).astype(np.int32)), pa.array(k % 2 == 0), pa.array(n[:, 0]), pa.array(n[:, 1])]
                 yield pa.RecordBatch.from_arrays(columns, ["context", "chrom", "start", "top", "n_meth", "n_unmeth"])
 
-        for b in _parts(batches, together):
-            row, _, site, kind, methylated = base_calls(b, min_phred, contexts, bounds)
+        for b in parts(batches, together):
+            row, site, kind, methylated, chrom, xg = calls(b)
             if not len(row):
                 continue
-            chrom = b.column(b.schema.get_field_index("chrom")).dictionary_encode()
+            chrom = chrom.dictionary_encode()
             code = np.array([codes.setdefault(c, len(codes)) for c in chrom.dictionary.to_pylist()], np.int64)
-            low = pc.equal(b.column(b.schema.get_field_index("xg")), "CT")
+            low = pc.equal(xg, "CT")
             low = ~pc.fill_null(low, False).to_numpy(zero_copy_only=False)
             at = code[pc.fill_null(chrom.indices, 0).to_numpy()]
             key = ((at[row] * _SPAN + site) * 3 + kind) * 2 + (low[row] if sign else 0)
@@ -181,9 +347,10 @@ def count_sites(aln: DataFrame, min_phred: int = 5, contexts: tuple[str, ...] =
         yield from rows()
 
     shape = "context string, chrom string, start int, top boolean, n_meth long, n_unmeth long"
-    counted = aln.filter(F.col("chrom").isNotNull()).select(_needed(aln, "chrom", *(("strand", "second_mate") if bounds else ()))).mapInArrow(run, shape)
-    also = [F.when(F.col("top"), "+").otherwise("-").alias("sign")] if sign else []
-    return counted.groupBy("context", "chrom", "start", *also).agg(F.sum("n_meth").alias("n_meth"), F.sum("n_unmeth").alias("n_unmeth"))
+    counted = source.mapInArrow(run, shape)
+    if not sign:
+        return summed_sites(counted, ["context", "chrom", "start"], ["n_meth", "n_unmeth"])
+    return summed_sites(counted.withColumn("sign", F.when(F.col("top"), "+").otherwise("-")), ["context", "chrom", "start", "sign"], ["n_meth", "n_unmeth"])
 
 
 def count_mbias(aln: DataFrame, min_phred: int = 5, bounds: dict | None = None) -> DataFrame:

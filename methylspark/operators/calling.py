@@ -4,36 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from methylspark.functions.seq import cigar_positions, conversions, has_flag, letters, stored_sequence
+from methylspark.functions.seq import cigar_positions, conversions, has_flag, stored_sequence
+from methylspark.operators.accumulate import call_strings, mismatch_lines
 from methylspark.operators.genome import with_reference
 
 
-def _on_read(ref, blank: str) -> Column:
-    """``ref`` (which begins two bases before pos) laid along the read: one character a base, ``blank`` where it has no place."""
-    simple = F.col("cigar").rlike(r"^\d+M$")
-    at = lambda p: F.coalesce(F.substring(ref, p - F.col("pos") + 3, F.lit(1)), F.lit(blank))
-    walked = F.array_join(F.transform(cigar_positions(F.col("cigar"), F.col("pos")), at), "")
-    return F.when(simple, F.substring(ref, F.lit(3), F.length("seq"))).otherwise(walked)
-
-
-def context_kinds(ref, xg) -> Column:
-    """``ref`` with z, x or h at each cytosine of the strand that ``xg`` names and a dot elsewhere."""
-    ref = F.upper(ref)
-    top = F.regexp_replace(F.regexp_replace(F.regexp_replace(ref, "C(?=G)", "z"), "C(?=.G)", "x"), "C", "h")
-    low = F.regexp_replace(F.regexp_replace(F.regexp_replace(ref, "(?<=C)G", "z"), "(?<=C.)G", "x"), "G", "h")
-    return F.regexp_replace(F.when(xg == "CT", top).otherwise(low), "[^zxh]", ".")
-
-
 def call_xm() -> Column:
     """Call string of a row with seq, cigar, pos, xg and ref: Z/z CpG, X/x CHG, H/h CHH, upper if methylated.
 
-    Contexts are found by patterns over the whole reference window, so a base costs two comparisons.
+    Made in arrays over the reads of a batch. Null without seq, cigar or ref.
     """
-    kind = _on_read(context_kinds(F.col("ref"), F.col("xg")), ".")
-    base = F.when(F.col("xg") == "CT", F.translate("seq", "CT", "10")).otherwise(F.translate("seq", "GA", "10"))
-    call = lambda k, b: F.when(b == "1", F.upper(k)).when(b == "0", k).otherwise(".")
-    return F.array_join(F.zip_with(letters(kind), letters(base), call), "")
+    return F.arrow_udf(call_strings, StringType())("seq", "cigar", "xg", "ref")
 
 
 def call_xx() -> Column:
@@ -41,13 +24,10 @@ def call_xx() -> Column:
 
     Inserted and clipped bases are mismatches written as N.
     """
-    read = F.zip_with(letters("seq"), letters("xm"), lambda b, c: F.when(c == ".", b).otherwise("="))
-    marks = F.zip_with(letters(_on_read(F.col("ref"), "?")), read, lambda g, b: F.when((b == "=") | (b == g), "=").when(g == "?", "N").otherwise(g))
-    line = F.array_join(marks, "")
-    runs = F.regexp_extract_all(line, F.lit("(=+|[^=])"), F.lit(1))
-    text = F.array_join(F.transform(runs, lambda r: F.when(r.startswith("="), F.length(r).cast("string")).otherwise(r)), "")
-    lead = F.when(line.startswith("=") | (line == ""), "").otherwise("0")
-    return F.struct(F.concat(lead, text).alias("xx"), F.length(F.translate(line, "=", "")).alias("nm"))
+    line = F.arrow_udf(mismatch_lines, StringType())("seq", "cigar", "xm", "ref")
+    # the runs of matches are written as numbers in the same task that laid the letters out
+    parts = F.split(line, "\t")
+    return F.struct(parts[0].alias("xx"), parts[1].cast("int").alias("nm"))
 
 
 def call_winners(winners: DataFrame, originals: DataFrame, contigs: DataFrame, max_span: int | None = None) -> DataFrame:
@@ -59,13 +39,14 @@ def call_winners(winners: DataFrame, originals: DataFrame, contigs: DataFrame, m
     a winner without its read is an error, reads without a winner row are left out.
     """
     key = ["read_id", "mate"]
-    j = winners.join(originals.select(*key, F.col("seq").alias("_seq"), F.col("qual").alias("_qual")), key, "left")
+    # winners are narrow, so they are brought to the genome before their reads are brought to them
+    placed = with_reference(winners, contigs, max_span=max_span)
+    j = placed.join(originals.select(*key, F.col("seq").alias("_seq"), F.col("qual").alias("_qual")), key, "left")
     lost = F.raise_error(F.concat(F.lit("no original read for "), F.col("read_id").cast("string"))).cast("string")
     xr, xg = conversions(F.col("src_strand"))
     turned = F.when(has_flag(F.col("flag"), 16), F.reverse("_qual")).otherwise(F.col("_qual"))
     seq = F.when(F.col("_seq").isNull(), lost).otherwise(stored_sequence(F.col("_seq"), F.col("flag")))
-    aln = j.withColumns({"seq": seq, "qual": turned, "xr": xr, "xg": xg}).drop("_seq", "_qual")
-    r = with_reference(aln, contigs, max_span=max_span)
+    r = j.withColumns({"seq": seq, "qual": turned, "xr": xr, "xg": xg}).drop("_seq", "_qual")
     on = F.col("ref").isNotNull() & F.col("xg").isNotNull()
     r = r.withColumn("xm", F.when(on, call_xm())).withColumn("_x", F.when(on, call_xx()))
     return r.withColumns({"xx": F.col("_x.xx"), "nm": F.col("_x.nm")}).drop("_x")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from methylspark.functions.seq import has_flag, letters, total_phred, unclipped_start
+from methylspark.operators import accumulate
 from methylspark.operators.staging import remove, stage_path, written
 
 
@@ -54,9 +55,13 @@ def pair_rows(aln: DataFrame, read_id: str = "read_id", words: int = 4, min_phre
     longer mates have beyond them. Templates without a mapped mate are left out.
     """
     start = unclipped_start(F.col("cigar"), F.col("pos"))
-    m, u = call_maps(F.col("xm"), F.col("qual"), min_phred, words)
     mapped = aln.filter(~has_flag(F.col("flag"), 4) & F.col("pos").isNotNull())
-    one = mapped.select(read_id, F.when(F.col("second_mate"), 2).otherwise(1).alias("_mate"), F.struct("chrom", "strand", start.cast("int").alias("start"), m.alias("m"), u.alias("u"), total_phred(F.col("qual")).alias("q")).alias("r"))
+    told = mapped.withColumns({"_mate": F.when(F.col("second_mate"), 2).otherwise(1), "_start": start.cast("int"), "_q": total_phred(F.col("qual"))})
+    # maps are made in arrays, so only words and keys travel to the template
+    # (by their letters' own places: a clip takes none away)
+    told = told.select(read_id, "_mate", "chrom", "strand", "_start", "_q", "pos", F.concat(F.length("xm").cast("string"), F.lit("M")).alias("cigar"), "xm", "qual", F.lit("CT").alias("xg"))
+    own = accumulate.call_maps(told, [read_id, "_mate", "chrom", "strand", "_start", "_q"], min_phred, words)
+    one = own.select(read_id, "_mate", F.struct("chrom", "strand", F.col("_start").alias("start"), F.col("meth").alias("m"), F.col("unmeth").alias("u"), F.col("_q").alias("q")).alias("r"))
     g = one.groupBy(read_id).agg(*[F.max(F.when(F.col("_mate") == k, F.col("r"))).alias(f"r{k}") for k in (1, 2)])
     none = F.array_repeat(F.lit(0).cast("long"), words)
     zero = lambda x: F.coalesce(x, F.lit(0).cast("long"))

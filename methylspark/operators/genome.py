@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 from pyspark.sql.window import Window
 
 from methylspark.functions.seq import cigar_positions, has_flag, reference_span
@@ -11,6 +14,8 @@ from methylspark.functions.seq import cigar_positions, has_flag, reference_span
 TILE, OVERLAP = 8192, 1024
 #: A tile with more than one of so many reads is hot.
 HOT_TILES = 1000
+_UPPER = np.arange(256, dtype=np.uint8)
+_UPPER[97:123] -= 32
 
 
 def tiles(contigs: DataFrame, tile: int = TILE, overlap: int = OVERLAP) -> DataFrame:
@@ -33,15 +38,17 @@ def _is_mapped(aln: DataFrame) -> Column:
 
 def _span(on) -> Column:
     """Reference bases that an alignment covers, 0 for unmapped reads."""
-    simple = F.col("cigar").rlike(r"^\d+M$")
-    return F.when(on, F.when(simple, F.length("seq")).otherwise(reference_span(F.col("cigar")))).otherwise(0)
+    simple = F.regexp_extract("cigar", r"^(\d+)M$", 1)
+    return F.when(on, F.when(simple != "", F.expr("try_cast(regexp_extract(cigar, '^([0-9]+)M$', 1) as int)")).otherwise(reference_span(F.col("cigar")))).otherwise(0)
 
 
 def _window(s, offset, on) -> Column:
     """From a stretch ``s`` of the genome that begins at ``offset``: two bases before ``pos`` to two after ``_span`` bases."""
     lost = F.raise_error(F.concat(F.lit("an alignment lies outside the genome: "), F.col("chrom"), F.lit(":"), F.col("pos").cast("string"))).cast("string")
-    at = F.col("pos") - offset  # index of pos in s; two N before s shift it by two
-    cut = F.substring(F.concat(F.lit("NN"), s, F.lit("NN")), F.greatest(at + 1, F.lit(1)), F.col("_span") + 4)
+    at = F.col("pos") - offset  # index of pos in s
+    # bytes are cut at their own cost, wherever they lie; a window that begins before s is filled up with N
+    cut = F.substring(s.cast("binary"), F.greatest(at - 1, F.lit(1)), F.col("_span") + 4 - F.greatest(2 - at, F.lit(0))).cast("string")
+    cut = F.when(at >= 2, cut).otherwise(F.concat(F.repeat(F.lit("N"), F.least(2 - at, F.lit(2))), cut))
     return F.when(on, F.when(s.isNull(), lost).otherwise(F.rpad(cut, F.col("_span") + 4, "N")))
 
 
@@ -96,12 +103,23 @@ def motif_positions(contigs: DataFrame, motifs: list[str], tile: int = TILE) ->
     width = len(motifs[0])
     t = tiles(contigs, tile, width - 1)
     own = F.col("tile") * tile
-    # bytes are indexed in one step each; a place on the border belongs to the tile of its first base
-    seq = F.upper("tile_seq").cast("binary")
-    places = F.sequence(F.lit(1), F.least(F.octet_length("_b") - (width - 1), F.lit(tile)))
-    found = F.filter(places, lambda i: F.substring(F.col("_b"), i, F.lit(width)).isin(*(F.lit(m.encode()) for m in motifs)))
-    bytes_ = t.select("chrom", own.alias("own"), F.substring(seq, own - F.col("start") + 1, F.lit(tile + width - 1)).alias("_b")).filter(F.octet_length("_b") >= width)
-    return bytes_.select("chrom", "own", F.explode(found).alias("k")).select("chrom", (F.col("own") + F.col("k") - 1).cast("int").alias("start"))
+
+    def places(pieces: pa.Array) -> pa.Array:
+        out = []
+        for raw in pieces:
+            b = raw.as_buffer()
+            letters = _UPPER[np.frombuffer(b, np.uint8)] if b is not None else _UPPER[:0]
+            n = min(len(letters) - (width - 1), tile)
+            on = np.zeros(max(n, 0), bool)
+            for m in motifs if n > 0 else ():
+                on |= np.logical_and.reduce([letters[k : k + n] == ord(c) for k, c in enumerate(m)])
+            out.append(np.flatnonzero(on).astype(np.int32))
+        return pa.array(out, pa.list_(pa.int32()))
+
+    # a place on the border belongs to the tile of its first base
+    bytes_ = t.select("chrom", own.alias("own"), F.substring(F.col("tile_seq").cast("binary"), own - F.col("start") + 1, F.lit(tile + width - 1)).alias("_b")).filter(F.octet_length("_b") >= width)
+    found = F.arrow_udf(places, ArrayType(IntegerType()))
+    return bytes_.select("chrom", "own", F.explode(found("_b")).alias("k")).select("chrom", (F.col("own") + F.col("k")).cast("int").alias("start"))
 
 
 def cpg_positions(contigs: DataFrame) -> DataFrame:

@@ -103,22 +103,23 @@ INPUT_ORDER = ["file", "ordinal", "mate"]
 TAGS = [("as_score", "AS", "i"), ("xs_score", "XS", "i"), ("nm", "NM", "i"), ("xm", "XM", "Z"), ("xx", "XX", "Z"), ("xr", "XR", "Z"), ("xg", "XG", "Z")]
 
 
-def sam_lines(aln: DataFrame) -> DataFrame:
-    """SAM text of alignments: positions from 1, without tags that are null."""
+def sam_lines(aln: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """SAM text of alignments (and ``keep`` columns): positions from 1, without tags that are null."""
     qual = F.when(F.size("qual") > 0, encode_phred(F.col("qual"))).otherwise("*")
     before, after = ["qname", "flag", "chrom", "pos", "mapq", "cigar"], ["mate_chrom", "mate_pos", "tlen", "seq"]
     fields = [F.col(c) + 1 if c in ("pos", "mate_pos") else F.col(c) for c in before + after]
     tags = [F.concat(F.lit(f"{t}:{k}:"), F.col(c).cast("string")) for c, t, k in TAGS if c in aln.columns]
-    return aln.select(F.concat_ws("\t", *[f.cast("string") for f in fields], qual, *tags).alias("value"))
+    return aln.select(*keep, F.concat_ws("\t", *[f.cast("string") for f in fields], qual, *tags).alias("value"))
 
 
-def write_sam(aln: DataFrame, contigs: DataFrame, path: str, program: str = "methylspark", by_position: bool = False, order: list[str] | None = None, header: DataFrame | None = None) -> None:
+def write_sam(aln: DataFrame, contigs: DataFrame, path: str, program: str = "methylspark", by_position: bool = False, order: list[str] | None = None, header: DataFrame | None = None, compression: str | None = None) -> None:
     """Header lines in ``path``/header, alignments in ``path``/records: one after the other they are a SAM text.
 
     ``by_position`` sorts by contig order, position, end and mate, unplaced reads last. ``order`` names columns that
     carry the order of input, such as INPUT_ORDER. Either way rows are sorted by ranges over all tasks, and the
     part files in the order of their names are in that order. ``header`` (n, value), such as ``headers.merge_headers``
-    makes it, stands in place of lines made from ``contigs``.
+    makes it, stands in place of lines made from ``contigs``. Alignments that bring their contig's ``ord`` are not joined to ``contigs``.
+    What is sorted are lines, so a quality takes one byte. ``compression`` (such as gzip) is that of the records' files.
     """
     sorted_by = "coordinate" if by_position else "unsorted"
     ends = contigs.sparkSession.createDataFrame([(0, 0, f"@HD\tVN:1.6\tSO:{sorted_by}"), (2, 0, f"@PG\tID:{program}\tPN:{program}")], "k int, ord int, value string")
@@ -127,11 +128,15 @@ def write_sam(aln: DataFrame, contigs: DataFrame, path: str, program: str = "met
     head = head.orderBy("k", "ord") if header is None else header.orderBy("n")
     head.select("value").write.text(f"{path}/header")
     if by_position:
-        placed = aln.join(contigs.select("chrom", F.col("ord").alias("_ord")), "chrom", "left")
-        aln = placed.orderBy(F.asc_nulls_last("_ord"), "pos", F.col("pos") + reference_span(F.col("cigar")), has_flag(F.col("flag"), 128))
+        placed = aln.withColumn("_ord", F.col("ord")) if "ord" in aln.columns else aln.join(contigs.select("chrom", F.col("ord").alias("_ord")), "chrom", "left")
+        placed = placed.withColumns({"_pos": F.col("pos"), "_end": F.col("pos") + reference_span(F.col("cigar")), "_two": has_flag(F.col("flag"), 128)})
+        lines = sam_lines(placed, ["_ord", "_pos", "_end", "_two"]).orderBy(F.asc_nulls_last("_ord"), "_pos", "_end", "_two")
     elif order:
-        aln = aln.orderBy(*order)
-    sam_lines(aln).write.text(f"{path}/records")
+        lines = sam_lines(aln, order).orderBy(*order)
+    else:
+        lines = sam_lines(aln)
+    w = lines.select("value").write
+    (w.option("compression", compression) if compression else w).text(f"{path}/records")
 
 
 def write_fasta(contigs: DataFrame, path: str, width: int = 60) -> None:

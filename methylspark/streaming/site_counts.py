@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from methylspark.operators.accumulate import summed_sites
+
 KEY, SUMS = ["context", "chrom", "start"], ["n_meth", "n_unmeth"]
 
 
@@ -61,12 +63,14 @@ class Sums:
             raise OSError(f"{name} could not be moved into place")
 
     def _summed(self, rows: DataFrame) -> DataFrame:
+        if {"chrom", "start"} <= set(self.key):
+            return summed_sites(rows, self.key, self.sums)
         return rows.groupBy(*self.key).agg(*[F.sum(c).alias(c) for c in self.sums])
 
     def _read(self) -> DataFrame | None:
         done = self.watermark()
         parts = [f"{self.path}/deltas/batch={n}" for n in self.pending()] + ([f"{self.path}/snapshots/upto={done}"] if done >= 0 else [])
-        return self.spark.read.parquet(*parts) if parts else None
+        return self.spark.read.parquet(*parts).select(*self.key, *self.sums) if parts else None
 
     def add(self, counts: DataFrame, batch: int) -> None:
         """The counts of one micro-batch; compacts when ``every`` deltas have come together."""
@@ -91,7 +95,9 @@ class Sums:
     def totals(self) -> DataFrame | None:
         """Sums over all batches; None before the first."""
         rows = self._read()
-        return None if rows is None else self._summed(rows)
+        # one snapshot or delta has a row a key already
+        one = len(self.pending()) + (self.watermark() >= 0) == 1
+        return rows if rows is None or one else self._summed(rows)
 
 
 def stream_tables(spark: SparkSession, path: str, like: DataFrame, files: int = 8) -> DataFrame:
