@@ -36,17 +36,24 @@ def decode_phred(qual) -> Column:
 
 
 def encode_phred(values) -> Column:
-    """Numbers to quality characters (offset 33)."""
+    """Numbers to quality characters (offset 33); characters stay as they are."""
     return F.arrow_udf(_encoded, StringType())(values)
 
 
 def total_phred(values) -> Column:
-    """Sum of each read's qualities; null with a null among them."""
+    """Sum of each read's qualities, numbers or characters; null with a null among them."""
     return F.arrow_udf(_summed, IntegerType())(values)
 
 
-def _lists(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """Bounds of a column's lists, from 0, and their items; nulls are empty."""
+def phred_items(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Bounds of each read's qualities, from 0, and the numbers; nulls are empty. Qualities are lists of numbers or characters (offset 33)."""
+    if pa.types.is_string(values.type):
+        sizes = pc.fill_null(pc.binary_length(values), 0).to_numpy()
+        at = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1] if len(values) else [0, 0]
+        raw = np.frombuffer(values.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+        if int(sizes.sum()) == len(raw) and (not len(raw) or raw.max() < 128 and raw.min() >= 33):
+            return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), pa.array(raw - np.uint8(33))
+        values = _decoded(values)
     sizes = pc.fill_null(pc.list_value_length(values), 0).to_numpy()
     return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), values.flatten()
 
@@ -61,7 +68,9 @@ def _decoded(qual: pa.Array) -> pa.Array:
 
 
 def _encoded(values: pa.Array) -> pa.Array:
-    bounds, items = _lists(values)
+    if pa.types.is_string(values.type):
+        return values
+    bounds, items = phred_items(values)
     plain = not items.null_count
     if plain:
         raw = items.to_numpy(zero_copy_only=False).astype(np.int64) + 33
@@ -74,7 +83,7 @@ def _encoded(values: pa.Array) -> pa.Array:
 
 
 def _summed(values: pa.Array) -> pa.Array:
-    bounds, items = _lists(values)
+    bounds, items = phred_items(values)
     if items.null_count:
         return pa.array([None if v is None or None in v else sum(v) for v in values.to_pylist()], pa.int32())
     upto = np.concatenate([[0], np.cumsum(items.to_numpy(zero_copy_only=False), dtype=np.int64)])

@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from methylspark.functions.seq import phred_items
+
 CONTEXTS = ("CpG", "CHG", "CHH")
 STRANDS = ("OT", "OB", "CTOT", "CTOB")
 #: Bases that are looked at together, and sites that a task holds before it passes them on.
@@ -24,6 +26,7 @@ STRETCH = 13
 #: Longest position that fits a key.
 _SPAN = 1 << 31
 _RUN = re.compile("=+")
+_PLAIN = re.compile(r"\d+M$")
 _UPPER = np.arange(256, dtype=np.uint8)
 _UPPER[97:123] -= 32
 #: Context of each letter of a call string, -1 for others; upper case is methylated.
@@ -71,9 +74,13 @@ def base_calls(batch: pa.RecordBatch, min_phred: int, contexts: tuple[str, ...],
     made = "xm" in batch.schema.names
     letters, at_letter = _text(col("xm" if made else "seq"))
     qual = col("qual")
-    at_qual = np.frombuffer(qual.buffers()[1], np.int32)[qual.offset : qual.offset + len(qual) + 1].astype(np.int64)
-    quals = qual.values.to_numpy(zero_copy_only=False)
+    at_qual, quals = phred_items(qual)
+    quals = quals.to_numpy(zero_copy_only=False)
     pos = pc.fill_null(col("pos"), 0).to_numpy().astype(np.int64)
+    if (found := _dense(batch, letters, at_letter, at_qual, quals, min_phred)) is not None:
+        row, index, place, kind, methylated = found
+        keep = _wanted(batch, row, index, kind, contexts, bounds)
+        return row[keep], index[keep], (pos[row] + place)[keep], kind[keep], methylated[keep]
     usable = pc.and_(pc.is_valid(col("pos")), pc.is_valid(qual)).to_numpy(zero_copy_only=False)
     if not made:
         window, at_window = _text(col("ref"))
@@ -102,14 +109,77 @@ def base_calls(batch: pa.RecordBatch, min_phred: int, contexts: tuple[str, ...],
         other = np.where(way > 0, ord("G"), ord("C"))
         kind = np.where(window[at[on] + way] == other, 0, np.where(window[at[on] + 2 * way] == other, 1, 2))
     row, index, place = row[on], index[on], place[on]
-    keep = np.isin(kind, [CONTEXTS.index(c) for c in contexts])
+    keep = _wanted(batch, row, index, kind, contexts, bounds)
+    return row[keep], index[keep], (pos[row] + place)[keep], kind[keep], methylated[keep]
+
+
+def _wanted(batch: pa.RecordBatch, row: np.ndarray, index: np.ndarray, kind: np.ndarray, contexts: tuple[str, ...], bounds: dict | None) -> np.ndarray:
+    """Which calls are of ``contexts`` and inside ``bounds``."""
+    keep = np.array([c in contexts for c in CONTEXTS])[kind]
     if bounds:
-        strand = col("strand").to_pylist()
-        second = pc.fill_null(col("second_mate"), False).to_numpy(zero_copy_only=False)
-        limits = np.array([(bounds.get(s, (0, 0, 0, 0))[2 * m : 2 * m + 2]) for s, m in zip(strand, second.astype(int))], np.int64).reshape(-1, 2)
+        strand, second = (batch.column(batch.schema.get_field_index(c)) for c in ("strand", "second_mate"))
+        second = pc.fill_null(second, False).to_numpy(zero_copy_only=False)
+        limits = np.array([(bounds.get(s, (0, 0, 0, 0))[2 * m : 2 * m + 2]) for s, m in zip(strand.to_pylist(), second.astype(int))], np.int64).reshape(-1, 2)
         low, high = limits[row, 0], limits[row, 1]
         keep &= (index >= low) & ((high == 0) | (index < high))
-    return row[keep], index[keep], (pos[row] + place)[keep], kind[keep], methylated[keep]
+    return keep
+
+
+def _dense(batch: pa.RecordBatch, letters: np.ndarray, at_letter: np.ndarray, at_qual: np.ndarray, quals: np.ndarray, min_phred: int):
+    """(row, index, place, kind, methylated) of the calls of whole reads with a quality for each base, None where other reads are among them.
+
+    Letters and qualities then lie side by side, and places are worked out for bases with a call alone.
+    """
+    col = lambda c: batch.column(batch.schema.get_field_index(c))
+    sizes = np.diff(at_letter)
+    if any(col(c).null_count for c in ("pos", "qual", "cigar")) or not np.array_equal(sizes, np.diff(at_qual)) or not len(sizes):
+        return None
+    if "xm" in batch.schema.names:
+        call = letters[at_letter[0] : at_letter[-1]]
+    elif (call := _call_rows(col("seq"), col("cigar"), col("xg"), col("ref"))) is None:
+        return None
+    call = call.ravel()
+    on = np.flatnonzero((_KIND >= 0)[call] & (quals[at_qual[0] : at_qual[-1]] >= min_phred))
+    row = np.repeat(np.arange(len(sizes)), sizes)[on]
+    index = on - (at_letter[:-1] - at_letter[0])[row]
+    place = index
+    cigar = col("cigar").dictionary_encode()
+    gaps = [k for k, c in enumerate(cigar.dictionary.to_pylist()) if not _PLAIN.match(c)]
+    if gaps:
+        place, of = index.copy(), cigar.indices.to_numpy()[row]
+        for k in gaps:
+            own, walk = np.flatnonzero(of == k), _walk(cigar.dictionary[k].as_py())
+            inside = index[own] < len(walk)
+            place[own] = -1
+            place[own[inside]] = walk[index[own[inside]]]
+        laid = place >= 0
+        row, index, place, on = row[laid], index[laid], place[laid], on[laid]
+    letter = call[on]
+    return row, index, place, _KIND[letter].astype(np.int64), letter < 97
+
+
+def _call_rows(seq: pa.Array, cigar: pa.Array, xg: pa.Array, ref: pa.Array) -> np.ndarray | None:
+    """Call strings as rows of bytes, of reads of one length that are all matches; None where others are among them."""
+    n = len(seq)
+    if not n or seq.null_count or cigar.null_count or xg.null_count or ref.null_count:
+        return None
+    (base, at), (window, at_window) = _text(seq), _text(ref)
+    width = int(at[1] - at[0])
+    if not width or (np.diff(at) != width).any() or (np.diff(at_window) != width + 4).any() or not all(_PLAIN.match(c) for c in cigar.unique().to_pylist()):
+        return None
+    base = base[at[0] : at[-1]].reshape(n, width)
+    window = _UPPER[window[at_window[0] : at_window[-1]]].reshape(n, width + 4)
+    out = np.full((n, width), ord("."), np.uint8)
+    top = pc.equal(xg, "CT").to_numpy(zero_copy_only=False)
+    for rows, own, changed, other, way in ((top, "C", "T", "G", 1), (~top, "G", "A", "C", -1)):
+        b, w = (base[rows], window[rows]) if not rows.all() else (base, window)
+        far = w == ord(other)
+        near, next_ = far[:, 2 + way : 2 + way + width], far[:, 2 + 2 * way : 2 + 2 * way + width]
+        letter = np.where(near, np.uint8(ord("z")), np.where(next_, np.uint8(ord("x")), np.uint8(ord("h"))))
+        same = b == ord(own)
+        letter -= same.view(np.uint8) << 5
+        out[rows] = np.where((w[:, 2:-2] == ord(own)) & (same | (b == ord(changed))), letter, np.uint8(ord(".")))
+    return out
 
 
 def _laid(cigar: pa.Array, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,6 +204,8 @@ def _strings(sizes: np.ndarray, raw: np.ndarray, valid: pa.Array) -> pa.Array:
 
 def call_strings(seq: pa.Array, cigar: pa.Array, xg: pa.Array, ref: pa.Array) -> pa.Array:
     """Call string of each read, a dot at bases without a call; null without seq, cigar or ref."""
+    if (rows := _call_rows(seq, cigar, xg, ref)) is not None:
+        return pa.StringArray.from_buffers(len(rows), pa.py_buffer(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)), pa.py_buffer(rows))
     valid = pc.and_(pc.and_(pc.is_valid(seq), pc.is_valid(cigar)), pc.is_valid(ref))
     letters, at = _text(seq)
     sizes = np.diff(at)
@@ -183,8 +255,8 @@ def _mate_bases(mate: pa.StructArray, used: np.ndarray, bounds: dict | None):
     letters, at = _text(col("xm"))
     qual = col("qual")
     ok = used & pc.and_(pc.is_valid(col("pos")), pc.is_valid(qual)).to_numpy(zero_copy_only=False)
-    at_qual = np.frombuffer(qual.buffers()[1], np.int32)[qual.offset : qual.offset + len(qual) + 1].astype(np.int64)
-    quals = qual.values.to_numpy(zero_copy_only=False)
+    at_qual, quals = phred_items(qual)
+    quals = quals.to_numpy(zero_copy_only=False)
     sizes = np.where(ok, np.minimum(np.diff(at), np.diff(at_qual)), 0)
     row, place = _laid(col("cigar"), sizes)
     index = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)

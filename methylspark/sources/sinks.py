@@ -83,9 +83,14 @@ def fastq_records(aln: DataFrame) -> DataFrame:
     return aln.filter(has_flag(F.col("flag"), 4)).select(F.concat_ws("\n", F.concat(F.lit("@"), "qname"), seq, F.lit("+"), qual).alias("value"))
 
 
+def _characters(rows: DataFrame):
+    """The column ``qual`` as characters: as it is, or encoded from numbers."""
+    return F.col("qual") if rows.schema["qual"].dataType.typeName() == "string" else encode_phred(F.col("qual"))
+
+
 def write_fastq(reads: DataFrame, path: str, compression: str | None = None) -> None:
-    """Reads (name, seq, qual as numbers) as FASTQ, a file for each partition, in their order."""
-    record = F.concat_ws("\n", F.concat(F.lit("@"), F.col("name").cast("string")), "seq", F.lit("+"), encode_phred(F.col("qual")))
+    """Reads (name, seq, qual as numbers or characters) as FASTQ, a file for each partition, in their order."""
+    record = F.concat_ws("\n", F.concat(F.lit("@"), F.col("name").cast("string")), "seq", F.lit("+"), _characters(reads))
     w = reads.select(record.alias("value")).write
     (w.option("compression", compression) if compression else w).text(path)
 
@@ -105,7 +110,8 @@ TAGS = [("as_score", "AS", "i"), ("xs_score", "XS", "i"), ("nm", "NM", "i"), ("x
 
 def sam_lines(aln: DataFrame, keep: list[str] = ()) -> DataFrame:
     """SAM text of alignments (and ``keep`` columns): positions from 1, without tags that are null."""
-    qual = F.when(F.size("qual") > 0, encode_phred(F.col("qual"))).otherwise("*")
+    size = F.length if aln.schema["qual"].dataType.typeName() == "string" else F.size
+    qual = F.when(size("qual") > 0, _characters(aln)).otherwise("*")
     before, after = ["qname", "flag", "chrom", "pos", "mapq", "cigar"], ["mate_chrom", "mate_pos", "tlen", "seq"]
     fields = [F.col(c) + 1 if c in ("pos", "mate_pos") else F.col(c) for c in before + after]
     tags = [F.concat(F.lit(f"{t}:{k}:"), F.col(c).cast("string")) for c, t, k in TAGS if c in aln.columns]
