@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -78,8 +81,10 @@ def pair_rows(aln: DataFrame, read_id: str = "read_id", words: int = 4, min_phre
     return g.select(read_id, *key, *maps, phred.alias("phred")).withColumn("calls", set_bits("meth") + set_bits("unmeth"))
 
 
-#: Keys with more distinct maps are settled in rounds over tables, others inside one row.
-ROW_MAPS = 256
+#: Keys with more distinct maps are settled in rounds over tables, others in arrays inside one task.
+ROW_MAPS = 1 << 16
+#: Maps of whole keys that a task settles together.
+MAPS = 1 << 16
 #: Most positions that maps of such a key are dealt out by, and how many maps a cell should come down to.
 CELL_BITS, CELL_MAPS = 16, 32
 
@@ -154,6 +159,63 @@ def _first_independent(maps: DataFrame) -> DataFrame:
     return done if done is not None else maps.select("id")
 
 
+def _words(maps: pa.Array, width: int) -> np.ndarray:
+    """Maps as rows of ``width`` words; words that one lacks hold no calls."""
+    sizes = pc.list_value_length(maps).to_numpy()
+    out = np.zeros((len(maps), width), np.int64)
+    row = np.repeat(np.arange(len(maps)), sizes)
+    out[row, np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]] = maps.flatten().to_numpy()
+    return out
+
+
+def _first_of_each(key: np.ndarray, meth: np.ndarray, unmeth: np.ndarray) -> np.ndarray:
+    """Rows that are kept, of rows sorted by key and order: the first left of every key is kept and drops what it is compatible with, until none is left."""
+    left, kept = np.arange(len(key)), []
+    while len(left):
+        k = key[left]
+        first = np.r_[True, k[1:] != k[:-1]]
+        kept.append(left[first])
+        head = left[first][np.cumsum(first) - 1]
+        left = left[(((meth[head] ^ meth[left]) & (unmeth[head] ^ unmeth[left])) != 0).any(1)]
+    return np.concatenate(kept) if kept else left
+
+
+def _settled(first: DataFrame, together: int = MAPS) -> DataFrame:
+    """id of the maps that are kept, for keys whose maps fit into a task: these are brought together, in order, and settled in arrays."""
+    rows = first.select(F.xxhash64("_key").alias("_hash"), F.to_json("_key", {"ignoreNullFields": "false"}).alias("_key"), "c", "p", "id", "meth", "unmeth")
+    # the hash decides the order of most keys, so that texts are compared where two keys share one only
+    rows = rows.repartition("_hash").sortWithinPartitions("_hash", "_key", "c", "p", "id").select("_key", "id", "meth", "unmeth")
+
+    def settle(t: pa.Table) -> pa.RecordBatch:
+        key, ids, *maps = (c.combine_chunks() for c in t.columns)
+        maps = [m.combine_chunks() if isinstance(m, pa.ChunkedArray) else m for m in maps]
+        width = max(pc.max(pc.list_value_length(m)).as_py() or 0 for m in maps)
+        code = key.dictionary_encode()
+        code = code.combine_chunks() if isinstance(code, pa.ChunkedArray) else code
+        kept = _first_of_each(code.indices.to_numpy(), *(_words(m, width) for m in maps))
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(kept))], ["id"])
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            n += b.num_rows
+            if n < together:
+                continue
+            t = pa.Table.from_batches(held)
+            # the last key may go on in the next batch
+            last = pc.index(t.column(0), t.column(0)[-1]).as_py()
+            if last:
+                yield settle(t.slice(0, last))
+            held, n = t.slice(last).combine_chunks().to_batches(), t.num_rows - last
+        if held:
+            yield settle(pa.Table.from_batches(held))
+
+    return rows.mapInArrow(run, f"id {first.schema['id'].dataType.simpleString()}")
+
+
 def mark_duplicates(reads: DataFrame, key: list[str], read_id: str = "read_id", ids: DataFrame | None = None, row_maps: int = ROW_MAPS) -> DataFrame:
     """read_id, duplicate. Inside a key, reads in the order (calls desc, phred desc, read_id): a read is a
     duplicate if an earlier kept one is at distance 0.
@@ -163,7 +225,7 @@ def mark_duplicates(reads: DataFrame, key: list[str], read_id: str = "read_id",
     order-dependent step as one row. ``ids`` are the same reads' ids from a cheaper source than ``reads``, where
     the maps have been derived and should not be so twice. Null keys are equal to each other.
 
-    Keys of up to ``row_maps`` distinct maps are settled in one row each. Keys with more go through rounds: the
+    Keys of up to ``row_maps`` distinct maps are settled in arrays, many keys together in a task. Keys with more go through rounds: the
     first maps that nothing earlier can drop are kept together, drop what they are compatible with, and so on. A
     round needs no more than a join inside small cells of a key (see ``_cells``), so no row or task holds a whole
     key, and there are as many rounds as the longest chain of decisions that wait for each other.
@@ -174,14 +236,7 @@ def mark_duplicates(reads: DataFrame, key: list[str], read_id: str = "read_id",
     long = written(first.groupBy("_key").agg(F.count("*").alias("n")).filter(F.col("n") > row_maps).select("_key"), "duplicates")
     some = not long.isEmpty()
     short = first.join(long, "_key", "left_anti") if some else first
-    items = short.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("c", "p", "id", "meth", "unmeth"))).alias("items"))
-
-    def step(kept, x):
-        near = F.exists(kept, lambda k: edit_distance(k["meth"], k["unmeth"], x["meth"], x["unmeth"]) == 0)
-        return F.when(near, kept).otherwise(F.concat(kept, F.array(x)))
-
-    settled = F.when(F.size("items") > 1, F.aggregate("items", F.slice("items", 1, 0), step)).otherwise(F.col("items"))
-    kept = items.select(F.explode(settled).alias("x")).select(F.col("x.id").alias(read_id))
+    kept = _settled(short).select(F.col("id").alias(read_id))
     if some:
         kept = kept.unionByName(_first_independent(first.join(long, "_key", "left_semi")).select(F.col("id").alias(read_id)))
     kept = kept.withColumn("_dup", F.lit(False))
