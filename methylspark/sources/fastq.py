@@ -155,6 +155,8 @@ def read_fastq_pairs(spark: SparkSession, first: str | list[str], second: str |
     The name is that of mate 1. A read without its mate is an error.
     """
     a, b = [read_fastq(spark, p, m, upto).select("file", "ordinal", *[F.col(c).alias(f"{c}{m}") for c in ("name", "seq", "qual")]) for m, p in ((1, first), (2, second))]
+    # of mate 2 only what is given out travels, and that it is there
+    b = b.withColumn("name2", F.col("name2").isNotNull())
     lost = F.col("name1").isNull() | F.col("name2").isNull()
     name = F.when(lost, F.raise_error(F.lit("a read has no mate in the other file")).cast("string")).otherwise(F.col("name1"))
     return a.join(b, ["file", "ordinal"], "full").select("file", "ordinal", name.alias("name"), "seq1", "qual1", "seq2", "qual2")

@@ -95,6 +95,26 @@ def write_fastq(reads: DataFrame, path: str, compression: str | None = None) ->
     (w.option("compression", compression) if compression else w).text(path)
 
 
+def write_fastq_pairs(first: DataFrame, path: str, compression: str | None = None, per_file: int = 200_000) -> None:
+    """Pairs (name, seq1, qual1, seq2, qual2; qualities as characters) as FASTQ in ``path``/mate=1 and ``path``/mate=2.
+
+    Both mates are written by one job, from one evaluation: a task has a file of each open and adds a record to both, so record
+    n of file k of one folder is the mate of record n of file k of the other, and nothing is dealt or sorted for that. A file has
+    ``per_file`` records at most.
+    """
+    record = lambda k: F.concat_ws("\n", F.concat(F.lit("@"), F.col("name").cast("string")), f"seq{k}", F.lit("+"), f"qual{k}")
+    both = first.select(F.explode(F.array(*[F.struct(F.lit(k).alias("mate"), record(k).alias("value")) for k in (1, 2)])).alias("r")).select("r.*")
+    conf, name = first.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name)
+    # with files open side by side Spark does not sort a task's rows by folder
+    conf.set(name, "2")
+    try:
+        w = both.write.partitionBy("mate").option("maxRecordsPerFile", str(per_file))
+        (w.option("compression", compression) if compression else w).text(path)
+    finally:
+        conf.set(name, before)
+
+
 def write_unmapped(aln: DataFrame, path: str, order: list[str] | None = None) -> None:
     """Unmapped reads as compressed FASTQ; with ``order`` (see ``write_sam``) in the order of input."""
     fastq_records(aln.orderBy(*order) if order else aln).write.option("compression", "gzip").text(path)

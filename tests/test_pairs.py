@@ -16,3 +16,13 @@ def test_calls_of_mates_that_do_not_pass_stay(spark):
     assert {k: r.pair_class for k, r in got.items()} == {1: "second", 2: "second"} and got[1].one.xm is None and got[2].one is None and got[1].two.xm == "zX"
     sites = {(r.context, r.start): (r.n_meth, r.n_unmeth) for r in extract.paired_site_counts(aln).collect()}
     assert sites == {("CpG", 6): (0, 1), ("CHG", 7): (1, 0), ("CpG", 9): (1, 0)}
+
+
+def test_pairs_of_one_job(spark, tmp_path):
+    r = spark.range(0, 103, numPartitions=3).select(F.concat(F.lit("r"), "id").alias("name"), F.concat(F.lit("AC"), F.lpad(F.lit(""), (F.col("id") % 5).cast("int"), F.lit("G"))).alias("seq1"))
+    r = r.select("name", "seq1", F.translate("seq1", "ACG", "@+I").alias("qual1"), F.reverse("seq1").alias("seq2"), F.translate(F.reverse("seq1"), "ACG", "@+I").alias("qual2"))
+    conf = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    sinks.write_fastq_pairs(r, str(tmp_path / "x"), "gzip", per_file=9)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == conf and len(list((tmp_path / "x" / "mate=2").glob("*.gz"))) == 12
+    got = fastq.read_fastq_pairs(spark, f"{tmp_path}/x/mate=1", f"{tmp_path}/x/mate=2").drop("file", "ordinal")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, r.collect()))
