@@ -142,16 +142,8 @@ def _dense(batch: pa.RecordBatch, letters: np.ndarray, at_letter: np.ndarray, at
     on = np.flatnonzero((_KIND >= 0)[call] & (quals[at_qual[0] : at_qual[-1]] >= min_phred))
     row = np.repeat(np.arange(len(sizes)), sizes)[on]
     index = on - (at_letter[:-1] - at_letter[0])[row]
-    place = index
-    cigar = col("cigar").dictionary_encode()
-    gaps = [k for k, c in enumerate(cigar.dictionary.to_pylist()) if not _PLAIN.match(c)]
-    if gaps:
-        place, of = index.copy(), cigar.indices.to_numpy()[row]
-        for k in gaps:
-            own, walk = np.flatnonzero(of == k), _walk(cigar.dictionary[k].as_py())
-            inside = index[own] < len(walk)
-            place[own] = -1
-            place[own[inside]] = walk[index[own[inside]]]
+    place = _places(col("cigar"), row, index)
+    if place is not index:
         laid = place >= 0
         row, index, place, on = row[laid], index[laid], place[laid], on[laid]
     letter = call[on]
@@ -186,14 +178,23 @@ def _laid(cigar: pa.Array, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, place) of each base of reads of ``sizes`` bases: places from the alignment's start, -1 without one."""
     row = np.repeat(np.arange(len(sizes)), sizes)
     first = np.cumsum(sizes) - sizes
-    place = np.arange(len(row)) - first[row] if len(row) else np.zeros(0, np.int64)
-    cigar = pc.fill_null(cigar, "")
-    plain = pc.match_substring_regex(cigar, r"^\d+M$").to_numpy(zero_copy_only=False)
-    for k in np.flatnonzero(~plain):
-        own = _walk(cigar[k].as_py())[: sizes[k]]
-        place[first[k] : first[k] + sizes[k]] = -1
-        place[first[k] : first[k] + len(own)] = own
-    return row, place
+    return row, _places(cigar, row, np.arange(len(row)) - first[row] if len(row) else np.zeros(0, np.int64))
+
+
+def _places(cigar: pa.Array, row: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Places, from their alignments' starts, of bases number ``index`` of reads ``row``; -1 without one. Each distinct cigar is walked once."""
+    cigar = pc.fill_null(cigar, "").dictionary_encode()
+    texts = cigar.dictionary.to_pylist()
+    plain = np.array([bool(_PLAIN.match(c)) for c in texts], bool)
+    if plain.all():
+        return index
+    walks = [_walk("" if p else c) for p, c in zip(plain, texts)]
+    size = np.array([len(w) for w in walks])
+    of = cigar.indices.to_numpy()[row]
+    place = np.where(plain[of], index, -1)
+    there = np.flatnonzero(~plain[of] & (index < size[of]))
+    place[there] = np.concatenate(walks)[(np.cumsum(size) - size)[of[there]] + index[there]]
+    return place
 
 
 def _strings(sizes: np.ndarray, raw: np.ndarray, valid: pa.Array) -> pa.Array:
@@ -288,21 +289,28 @@ def template_calls(cls: pa.Array, one: pa.StructArray, two: pa.StructArray, min_
     for k, (mate, name) in enumerate(((one, "first"), (two, "second"))):
         row, site, letter, q = _mate_bases(mate, named("overlap", "apart", name), bounds)
         shared = both[row] & (site >= start[row]) & (site < end[row])
-        met.append((row[shared] * _SPAN + site[shared], letter[shared], q[shared]))
+        met.append((row[shared], site[shared], letter[shared], q[shared]))
         alone = ~shared & (letter != ord(".")) & (q >= min_phred)
         out.append((row[alone], np.full(int(alone.sum()), k), site[alone], letter[alone]))
-    keys = np.union1d(met[0][0], met[1][0])
-    letter, q = np.zeros((2, len(keys)), np.int64), np.full((2, len(keys)), -1, np.int64)
-    held = np.zeros((2, len(keys)), bool)
-    for k, (key, letters, quals) in enumerate(met):
-        at = np.searchsorted(keys, key)
-        letter[k, at], q[k, at], held[k, at] = letters, quals, True
+    # a cell for each place under both mates; where these lie far apart (long gaps), for those with a base alone
+    widths = np.where(both, np.maximum(end - start, 0), 0)
+    first, cells = np.cumsum(widths) - widths, int(widths.sum())
+    at = [first[row] + site - start[row] for row, site, *_ in met]
+    if cells > 16 * (len(at[0]) + len(at[1])) + BASES:
+        used = np.union1d(*at)
+        at, cells = [np.searchsorted(used, a) for a in at], len(used)
+    letter, q = np.zeros((2, cells), np.uint8), np.full((2, cells), -1, np.int64)
+    held, where = np.zeros((2, cells), bool), np.zeros((2, cells), np.int64)
+    for k, (row, site, letters, quals) in enumerate(met):
+        letter[k, at[k]], q[k, at[k]], held[k, at[k]] = letters, quals, True
+        where[0, at[k]], where[1, at[k]] = row, site
     lone = held[0] != held[1]
     best = np.where(held[0] & (~held[1] | (q[0] >= q[1])), 0, 1)
     own, high = np.where(best == 0, letter[0], letter[1]), np.where(best == 0, q[0], q[1])
     same = letter[0] == letter[1]
     good = np.where(lone, high >= min_phred, np.where(same, high * 1.2 >= min_phred, (np.abs(q[0] - q[1]) >= min_phred) & (q[0] != q[1]))) & (own != ord("."))
-    out.append((keys[good] // _SPAN, np.where(held[0], 0, 1)[good], keys[good] % _SPAN, own[good].astype(np.uint8)))
+    good &= held[0] | held[1]
+    out.append((where[0, good], np.where(held[0], 0, 1)[good], where[1, good], own[good]))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
@@ -317,12 +325,11 @@ def resolved_calls(templates: DataFrame, keep: list[str], min_phred: int = 5, bo
 
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                b = whole.slice(at, 2048)
+            for at in range(0, whole.num_rows, 4096):
+                b = whole.slice(at, 4096)
                 row, mate, site, letter = template_calls(*(b.column(len(keep) + k) for k in range(3)), min_phred, bounds)
-                order = np.argsort(row, kind="stable")
-                of = pa.array(row[order])
-                columns = [*(b.column(k).take(of) for k in range(len(keep))), pa.array(mate[order].astype(np.int32)), pa.array(site[order].astype(np.int32)), letters.take(pa.array(letter[order]))]
+                of = pa.array(row)
+                columns = [*(b.column(k).take(of) for k in range(len(keep))), pa.array(mate.astype(np.int32)), pa.array(site.astype(np.int32)), letters.take(pa.array(letter))]
                 yield pa.RecordBatch.from_arrays(columns, [*keep, "mate", "site", "call"])
 
     shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema), "mate int, site int, call string"])

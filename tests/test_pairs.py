@@ -26,3 +26,22 @@ def test_pairs_of_one_job(spark, tmp_path):
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == conf and len(list((tmp_path / "x" / "mate=2").glob("*.gz"))) == 12
     got = fastq.read_fastq_pairs(spark, f"{tmp_path}/x/mate=1", f"{tmp_path}/x/mate=2").drop("file", "ordinal")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, r.collect()))
+
+
+def test_long_gaps_and_many_cigars():
+    """Mates that meet over a gap of a million bases take cells for their bases alone, and each cigar is walked once."""
+    import numpy as np
+    import pyarrow as pa
+
+    from methylspark.operators import accumulate
+
+    shape = pa.struct([("pos", pa.int32()), ("cigar", pa.string()), ("xm", pa.string()), ("qual", pa.string())])
+    for gap in (3, 30_000_000):
+        one = pa.array([{"pos": 10, "cigar": f"2M{gap}N2M", "xm": "ZzZ.", "qual": "IIII"}, None], shape)
+        two = pa.array([{"pos": 11, "cigar": f"1M{gap}N2M1S", "xm": "Z.zZ", "qual": "?5I!"}, {"pos": 4, "cigar": "1I1M", "xm": "zX", "qual": "II"}], shape)
+        row, mate, site, letter = accumulate.template_calls(pa.array(["overlap", "second"]), one, two, 5)
+        got = sorted(zip(row.tolist(), site.tolist(), bytes(letter.tolist()).decode()))
+        assert got == [(0, 10, "Z"), (0, 11, "z"), (0, 12 + gap, "Z"), (1, 4, "X")], gap
+    accumulate._walk.cache_clear()
+    row, place = accumulate._laid(pa.array(["1S2M", "3M", None, "1S2M"] * 50), np.full(200, 3))
+    assert accumulate._walk.cache_info().misses <= 2 and accumulate._walk.cache_info().hits <= 2 and place[:12].tolist() == [-1, 0, 1, 0, 1, 2, -1, -1, -1, -1, 0, 1]
