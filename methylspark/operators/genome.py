@@ -52,7 +52,7 @@ def _window(s, offset, on) -> Column:
     return F.when(on, F.when(s.isNull(), lost).otherwise(F.rpad(cut, F.col("_span") + 4, "N")))
 
 
-def with_reference(aln: DataFrame, contigs: DataFrame, tile: int = TILE, overlap: int = OVERLAP, max_span: int | None = None, spread: bool = False) -> DataFrame:
+def with_reference(aln: DataFrame, contigs: DataFrame, tile: int = TILE, overlap: int = OVERLAP, max_span: int | None = None, spread: bool = False, deal: int | None = None) -> DataFrame:
     """Add ``ref``: reference bases from two before ``pos`` to two after the alignment, N beyond the contig.
 
     An equi-join on (chrom, tile); alignments that reach over a tile's margin are joined to whole contigs.
@@ -61,7 +61,9 @@ def with_reference(aln: DataFrame, contigs: DataFrame, tile: int = TILE, overlap
     Unmapped reads (flag 4, or no contig or position) stay, with ``ref`` null; a mapped read whose place is
     not in the genome raises an error. ``spread`` is for libraries that pile up on few tiles, such as amplicons: reads are
     counted first, tiles with more than one of HOT_TILES of all reads (fewer than that, 10 KB each) reach theirs by
-    broadcast, and these reads are dealt evenly over the join that serves all others.
+    broadcast, and these reads are dealt evenly over the join that serves all others. ``deal`` brings the reads of each tile into
+    one of so many tasks, also where the genome is broadcast, so that counts by site made in these tasks hardly overlap; choose it
+    where alignments are narrow and not piled up.
     """
     if max_span is not None and max_span > overlap - 4:
         raise ValueError("max_span must be at most overlap - 4")
@@ -74,6 +76,8 @@ def with_reference(aln: DataFrame, contigs: DataFrame, tile: int = TILE, overlap
     else:
         too_long = F.raise_error(F.concat(F.lit(f"an alignment covers more than {max_span} bases: "), F.col("_span").cast("string")))
         short = a.withColumn("_span", F.when(F.col("_span") > max_span, too_long.cast("int")).otherwise(F.col("_span")))
+    if deal:
+        short = short.repartition(deal, "chrom", "tile")
     if spread:
         sizes = a.filter(on).groupBy("chrom", "tile").agg(F.count("*").alias("_n"))
         total = sizes.agg(F.sum("_n")).first()[0] or 0
