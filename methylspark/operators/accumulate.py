@@ -25,10 +25,10 @@ BASES, SITES = 1 << 20, 1 << 21
 STRETCH = 13
 #: Longest position that fits a key.
 _SPAN = 1 << 31
-_RUN = re.compile("=+")
 _PLAIN = re.compile(r"\d+M$")
 _UPPER = np.arange(256, dtype=np.uint8)
 _UPPER[97:123] -= 32
+_LETTERS = pa.array([chr(k) for k in range(128)])
 #: Context of each letter of a call string, -1 for others; upper case is methylated.
 _KIND = np.full(256, -1, np.int8)
 for _k, _letter in enumerate("zxh"):
@@ -223,20 +223,56 @@ def mismatch_lines(seq: pa.Array, cigar: pa.Array, xm: pa.Array, ref: pa.Array)
     valid = pc.and_(pc.and_(pc.is_valid(seq), pc.is_valid(cigar)), pc.and_(pc.is_valid(ref), pc.is_valid(xm)))
     (base, at), (call, at_call), (window, at_window) = (_text(pc.if_else(valid, c, pa.scalar(None, pa.string()))) for c in (seq, xm, ref))
     sizes = np.minimum(np.diff(at), np.diff(at_call))
+    width = int(sizes[0]) if len(sizes) else 0
+    if width and all((np.diff(a) == w).all() for a, w in ((at, width), (at_call, width), (at_window, width + 4))) and all(_PLAIN.match(c or "") for c in cigar.unique().to_pylist()):
+        # reads of one length that are all matches: letters by rows, and numbers for mismatches alone
+        own, made, there = (a[b[0] : b[-1]].reshape(len(sizes), -1) for a, b in ((base, at), (call, at_call), (window, at_window)))
+        there = there[:, 2:-2]
+        odd = np.flatnonzero((own != there) & (made == ord(".")))
+        of, at_odd = odd // width, odd % width
+        return _lines(sizes, of, at_odd, there[of, at_odd], valid)
     row, place = _laid(cigar, sizes)
     index = np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row] if len(row) else row
     on = (place >= 0) & (at_window[row] + 2 + place < at_window[row + 1])
     genome = np.full(len(row), ord("N"), np.uint8)
     genome[on] = window[at_window[row[on]] + 2 + place[on]]
     same = (call[at_call[row] + index] != ord(".")) | on & (base[at[row] + index] == genome)
-    marks = np.where(same, ord("="), genome).astype(np.uint8).tobytes()
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
-    out = []
-    for a, b in zip(bounds[:-1], bounds[1:]):
-        line = marks[a:b].decode()
-        lead = "" if line[:1] in ("=", "") else "0"
-        out.append(f"{lead}{_RUN.sub(lambda m: str(len(m[0])), line)}\t{len(line) - line.count('=')}")
-    return pc.if_else(valid, pa.array(out, pa.string()), pa.scalar(None, pa.string()))
+    odd = np.flatnonzero(~same)
+    return _lines(sizes, row[odd], index[odd], genome[odd], valid)
+
+
+def _lines(sizes: np.ndarray, of: np.ndarray, at_odd: np.ndarray, letter: np.ndarray, valid: pa.Array) -> pa.Array:
+    """Lines of reads of ``sizes`` bases with mismatches at ``at_odd`` of reads ``of``, in order."""
+    # a piece for each mismatch: the matches before it, if there are any or it is the read's first base, and its letter
+    first = np.diff(of, prepend=-1) != 0
+    before = np.where(first, at_odd, at_odd - np.concatenate([[0], at_odd[:-1]]) - 1)
+    runs = pc.if_else(pa.array((before > 0) | (at_odd == 0)), pa.array(before).cast(pa.string()), "")
+    pieces = pc.binary_join_element_wise(runs, _LETTERS.take(pa.array(letter)), "")
+    n = np.bincount(of, minlength=len(sizes))
+    last = np.full(len(sizes), -1, np.int64)
+    last[of] = at_odd
+    tail = sizes - 1 - last
+    lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pieces), "")
+    ends = pc.if_else(pa.array(tail > 0), pa.array(tail).cast(pa.string()), "")
+    out = pc.binary_join_element_wise(lines, ends, "\t", pa.array(n).cast(pa.string()), "")
+    return pc.if_else(valid, out, pa.scalar(None, pa.string()))
+
+
+def count_letters(aln: DataFrame) -> DataFrame:
+    """letter (its byte) and n of the letters of call strings: 256 rows a task, none where no read has calls."""
+
+    def run(batches):
+        n, seen = np.zeros(256, np.int64), False
+        for b in batches:
+            column = b.column(0)
+            if column.null_count < len(column):
+                letters, at = _text(column)
+                n += np.bincount(letters[at[0] : at[-1]], minlength=256)
+                seen = True
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(256, dtype=np.int32)), pa.array(n)], ["letter", "n"])
+
+    return aln.select("xm").mapInArrow(run, "letter int, n long")
 
 
 def _needed(aln: DataFrame, *more: str) -> list[str]:
@@ -321,7 +357,6 @@ def resolved_calls(templates: DataFrame, keep: list[str], min_phred: int = 5, bo
     strand and second_mate) of their mates, null where there is none. Both mates are in one row, so nothing is shuffled.
     """
     source = templates.select(*keep, "pair_class", "one", "two")
-    letters = pa.array([chr(c) for c in range(128)])
 
     def run(batches):
         for whole in batches:
@@ -329,7 +364,7 @@ def resolved_calls(templates: DataFrame, keep: list[str], min_phred: int = 5, bo
                 b = whole.slice(at, 4096)
                 row, mate, site, letter = template_calls(*(b.column(len(keep) + k) for k in range(3)), min_phred, bounds)
                 of = pa.array(row)
-                columns = [*(b.column(k).take(of) for k in range(len(keep))), pa.array(mate.astype(np.int32)), pa.array(site.astype(np.int32)), letters.take(pa.array(letter))]
+                columns = [*(b.column(k).take(of) for k in range(len(keep))), pa.array(mate.astype(np.int32)), pa.array(site.astype(np.int32)), _LETTERS.take(pa.array(letter))]
                 yield pa.RecordBatch.from_arrays(columns, [*keep, "mate", "site", "call"])
 
     shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema), "mate int, site int, call string"])

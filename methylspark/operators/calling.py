@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from methylspark.functions.seq import cigar_positions, conversions, has_flag, stored_sequence
-from methylspark.operators.accumulate import call_strings, mismatch_lines
+from methylspark.operators.accumulate import call_strings, count_letters, mismatch_lines
 from methylspark.operators.genome import with_reference
 
 
@@ -53,6 +53,6 @@ def call_winners(winners: DataFrame, originals: DataFrame, contigs: DataFrame, m
 
 
 def context_totals(aln: DataFrame) -> DataFrame:
-    """One row: methylated calls and all calls of each context over the call strings."""
-    n = lambda chars: F.sum(F.length("xm") - F.length(F.translate("xm", chars, ""))).cast("long")
-    return aln.agg(*[n(c.upper()).alias(f"m_{k}") for k, c in (("cpg", "z"), ("chg", "x"), ("chh", "h"))], *[n(c + c.upper()).alias(f"t_{k}") for k, c in (("cpg", "z"), ("chg", "x"), ("chh", "h"))])
+    """One row: methylated calls and all calls of each context over the call strings. Tasks count bytes and pass on a row a letter."""
+    n = lambda chars: F.sum(F.when(F.col("letter").isin(*map(ord, chars)), F.col("n")).otherwise(0))
+    return count_letters(aln).agg(*[n(c.upper()).alias(f"m_{k}") for k, c in (("cpg", "z"), ("chg", "x"), ("chh", "h"))], *[n(c + c.upper()).alias(f"t_{k}") for k, c in (("cpg", "z"), ("chg", "x"), ("chh", "h"))])
