@@ -22,7 +22,25 @@ def convert_ga(seq) -> Column:
 
 def reverse_complement(seq) -> Column:
     """Upper-case reverse complement; anything but A, C, G and T becomes N."""
-    return F.reverse(F.translate(F.regexp_replace(F.upper(seq), "[^ACGT]", "N"), "ACGT", "TGCA"))
+    return F.arrow_udf(_turned, StringType())(seq)
+
+
+_COMPLEMENT = np.full(256, ord("N"), np.uint8)
+_COMPLEMENT[list(b"ACGTacgt")] = list(b"TGCATGCA")
+
+
+def _turned(seq: pa.Array) -> pa.Array:
+    if not len(seq) or seq.null_count == len(seq):
+        return seq
+    if not pc.all(pc.string_is_ascii(seq)).as_py():
+        return pa.array([None if s is None else _COMPLEMENT[np.frombuffer(s.upper().encode("ascii", "replace"), np.uint8)][::-1].tobytes().decode() for s in seq.to_pylist()], pa.string())
+    valid, seq = pc.is_valid(seq), pc.fill_null(seq, "")
+    at = np.frombuffer(seq.buffers()[1], np.int32)[seq.offset : seq.offset + len(seq) + 1].astype(np.int64)
+    letters = _COMPLEMENT[np.frombuffer(seq.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]]
+    at = at - at[0]
+    letters = letters[np.repeat(at[:-1] + at[1:] - 1, np.diff(at)) - np.arange(len(letters))]
+    text = pa.StringArray.from_buffers(len(seq), pa.py_buffer(at.astype(np.int32)), pa.py_buffer(letters))
+    return pc.if_else(valid, text, pa.scalar(None, pa.string()))
 
 
 def stored_sequence(original, flag) -> Column:
