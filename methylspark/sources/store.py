@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,12 +29,16 @@ def _bin(chrom, tile) -> F.Column:
     return F.concat(chrom, F.lit(":"), tile.cast("string"))
 
 
-def write_store(aln: DataFrame, contigs: DataFrame, path: str, buckets: int, tile: int = TILE) -> None:
+def write_store(aln: DataFrame, contigs: DataFrame, path: str, buckets: int, tile: int = TILE, finish: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Write alignments and genome under ``path`` in ``buckets`` buckets each, sorted by place inside them.
 
     Each bucket is one file, made by one task, so choose a number that leaves some hundred MB for each. A read goes to
     the tile where it begins; unmapped reads have no tile and are dealt over the buckets. An alignment that covers more than
     the margin of a tile is an error. The columns ``bin`` and ``tile`` are added.
+
+    ``finish`` adds columns that follow from a row and its ``ref``: it gets the rows when they are in the tasks that write them,
+    with ``ref`` from the stored genome, so that what it adds is never shuffled. It must leave rows where they are and keep
+    ``bin``, ``tile`` and ``pos``; ``ref`` is not stored.
     """
     spark = aln.sparkSession
     on = _is_mapped(aln)
@@ -42,14 +47,33 @@ def write_store(aln: DataFrame, contigs: DataFrame, path: str, buckets: int, til
     placed = aln.withColumn("_span", _span(on))
     long = F.raise_error(F.concat(F.lit(f"an alignment covers more than {OVERLAP - 4} bases: "), F.col("_span").cast("string"))).cast("string")
     bin_ = F.when(~on, spare).when(F.col("_span") > OVERLAP - 4, long).otherwise(_bin(F.col("chrom"), t))
-    placed = placed.withColumns({"bin": bin_, "tile": F.when(on, t)})
+    placed = placed.withColumns({"bin": bin_, "tile": F.when(on, t)}).drop("_span")
     pieces = tiles(contigs, tile).withColumn("bin", _bin(F.col("chrom"), F.col("tile")))
-    for name, df, order in ((ALIGNMENTS, placed.drop("_span"), ["bin", "pos"]), (GENOME, pieces, ["bin"])):
-        # what a task holds is then one bucket, by the rule that the writer follows
-        w = df.repartition(buckets, "bin").write.bucketBy(buckets, "bin").sortBy(*order).option("compression", "zstd").option("path", f"{path}/{name}")
-        w.saveAsTable(f"{name}_{uuid.uuid4().hex}")
-    shapes = [spark.createDataFrame([], df.schema)._jdf.schema().toDDL() for df in (placed.drop("_span"), pieces)]
-    spark.createDataFrame([(buckets, tile, OVERLAP - 4, *shapes)], "buckets int, tile int, longest int, alignments string, genome string").write.parquet(f"{path}/{LAYOUT}")
+    # what a task holds is one bucket, by the rule that the writer follows
+    genome = _save(pieces.repartition(buckets, "bin").sortWithinPartitions("bin"), f"{path}/{GENOME}", GENOME, buckets)
+    rows = placed.repartition(buckets, "bin")
+    if finish:
+        rows = finish(_met(rows, spark.table(genome)).sortWithinPartitions("bin", "pos")).drop("ref")
+    else:
+        rows = rows.sortWithinPartitions("bin", "pos")
+    _save(rows, f"{path}/{ALIGNMENTS}", ALIGNMENTS, buckets)
+    shapes = [spark.createDataFrame([], df.schema)._jdf.schema().toDDL() for df in (rows, pieces)]
+    layout = {"buckets": buckets, "tile": tile, "longest": OVERLAP - 4, "alignments": shapes[0], "genome": shapes[1]}
+    spark.range(1).select(*[F.lit(v).alias(k) for k, v in layout.items()]).coalesce(1).write.parquet(f"{path}/{LAYOUT}")
+
+
+def _save(df: DataFrame, path: str, name: str, buckets: int) -> str:
+    """Write a table under ``path`` from sorted tasks that hold a bucket each; its name in this session."""
+    table = f"{name}_{uuid.uuid4().hex}"
+    conf, option = df.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(option)
+    # with files open side by side Spark takes rows as they come; its own sort hashes ``bin`` at each comparison
+    conf.set(option, "2")
+    try:
+        df.write.bucketBy(buckets, "bin").option("compression", "zstd").option("path", path).saveAsTable(table)
+    finally:
+        conf.set(option, before)
+    return table
 
 
 def open_store(spark: SparkSession, path: str) -> Store:
@@ -68,9 +92,13 @@ def referenced(store: Store, aln: DataFrame | None = None) -> DataFrame:
 
     ``aln`` are rows of the store's alignments, filtered as one likes.
     """
-    rows = store.alignments if aln is None else aln
+    return _met(store.alignments if aln is None else aln, store.genome)
+
+
+def _met(rows: DataFrame, genome: DataFrame) -> DataFrame:
+    """Rows in buckets with ``ref`` from the genome's tiles in theirs."""
     on = _is_mapped(rows)
-    near = rows.withColumn("_span", _span(on)).join(store.genome.select("bin", F.col("start").alias("_start"), "tile_seq"), "bin", "left")
+    near = rows.withColumn("_span", _span(on)).join(genome.select("bin", F.col("start").alias("_start"), "tile_seq"), "bin", "left")
     return near.withColumn("ref", _window(F.col("tile_seq"), F.col("_start"), on)).drop("_span", "_start", "tile_seq")
 
 
