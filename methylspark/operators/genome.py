@@ -47,9 +47,13 @@ def _window(s, offset, on) -> Column:
     lost = F.raise_error(F.concat(F.lit("an alignment lies outside the genome: "), F.col("chrom"), F.lit(":"), F.col("pos").cast("string"))).cast("string")
     at = F.col("pos") - offset  # index of pos in s
     # bytes are cut at their own cost, wherever they lie; a window that begins before s is filled up with N
-    cut = F.substring(s.cast("binary"), F.greatest(at - 1, F.lit(1)), F.col("_span") + 4 - F.greatest(2 - at, F.lit(0))).cast("string")
+    raw = s.cast("binary")
+    whole = F.substring(raw, at - 1, F.col("_span") + 4).cast("string")
+    cut = F.substring(raw, F.greatest(at - 1, F.lit(1)), F.col("_span") + 4 - F.greatest(2 - at, F.lit(0))).cast("string")
     cut = F.when(at >= 2, cut).otherwise(F.concat(F.repeat(F.lit("N"), F.least(2 - at, F.lit(2))), cut))
-    return F.when(on, F.when(s.isNull(), lost).otherwise(F.rpad(cut, F.col("_span") + 4, "N")))
+    # filling up looks at each base, so only windows that reach over an end are
+    inside = (at >= 2) & (at + F.col("_span") + 2 <= F.octet_length(s))
+    return F.when(on, F.when(s.isNull(), lost).when(inside, whole).otherwise(F.rpad(cut, F.col("_span") + 4, "N")))
 
 
 def with_reference(aln: DataFrame, contigs: DataFrame, tile: int = TILE, overlap: int = OVERLAP, max_span: int | None = None, spread: bool = False, deal: int | None = None) -> DataFrame:

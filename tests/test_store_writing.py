@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.readwriter import DataFrameWriter
 
+from methylspark.operators import genome
 from methylspark.plans import derive
 from methylspark.plans.queries import queries
 from methylspark.sources import store
@@ -42,6 +43,31 @@ def test_bases_are_made_behind_the_shuffle(spark, written, threshold):
     assert got == {(r.read_id, r.pos) for r in want.collect()} and got
 
 
+def test_stored_counts_shuffle_no_bases(spark, written):
+    """The same sites as from reads that are not stored; bases are in no shuffle, neither when the store is written nor when it is counted."""
+    df = queries()["stored_site_counts"](spark, SF)
+    got = df.select("context", "chrom", "start", "n_meth", "n_unmeth")
+    want = queries()["site_counts"](spark, SF).select(*got.columns)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and not got.isEmpty()
+    plan = next(p for p in written if "_first_bases" in p)
+    for p in (plan, df._jdf.queryExecution().executedPlan().toString()):
+        for line in p.splitlines():
+            if "Exchange hashpartitioning" in line:
+                below = p[p.index(line) + len(line) :].splitlines()[0]
+                assert "seq#" not in below and "qual#" not in below and "xm#" not in below
+    assert plan.index("_first_bases") < plan.index("Exchange hashpartitioning(bin")
+
+
+@pytest.mark.parametrize("pos", [0, 1, 2, 3, 43, 44, 45, 46, 47, 48, 90])
+def test_windows_inside_and_over_the_ends(spark, pos):
+    """Windows of five bases and two more on both sides of 50 bases, with N beyond them."""
+    text = "".join(random.Random(4).choice("ACGTacgt") for _ in range(50))
+    aln = spark.createDataFrame([("c", pos, "5M", 0), (None, None, "*", 4)], "chrom string, pos int, cigar string, flag int")
+    got = genome.with_reference(aln, spark.createDataFrame([("c", text)], "chrom string, seq string"), max_span=60)
+    padded = "NN" + text + "N" * 60
+    assert {r.chrom: r.ref for r in got.collect()} == {"c": padded[pos : pos + 9], None: None}
+
+
 def test_buckets_grow_with_the_reads(spark, tmp_path, monkeypatch):
     layout = lambda path: spark.read.parquet(f"{path}/{store.LAYOUT}").first().buckets
     derive.stored(spark, SF, str(tmp_path / "few"))
